@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, classifier, decontaminate, exact_dedup, simhash, url_filter
+from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, simhash, url_filter
 from parley.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, [("user", probe), ("assistant", probe)])], "conv_id long, messages array<struct<role:string,content:string>>")
+    turns = chat_format.canonical(table(spark, sf_dir, "conversations")).unionByName(chat_format.canonical(extra))
+    return chat_format.digests(chat_format.format_chats(turns)).withColumnRenamed("_conv", "conv_id")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -43,7 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, labels)).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op3_exact_dedup, op6_bpe, op7_decontaminate, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op6_bpe, op7_decontaminate, op9_simhash, op10_quality)}
 
 SQL = {
     "op2_url_filter": """
