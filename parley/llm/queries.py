@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, simhash, url_filter
+from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, secrets, simhash, url_filter
 from parley.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = secrets.scan(docs, secrets.train()).withColumn("redacted", secrets.redact())
+    return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), "findings", F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"), html_extract.train())
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
     return out.withColumnRenamed("_id", "doc_id")
@@ -50,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, labels)).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op6_bpe, op7_decontaminate, op9_simhash, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op9_simhash, op10_quality)}
 
 SQL = {
     "op2_url_filter": """
