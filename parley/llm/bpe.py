@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from pyspark.sql import types as T
 from parley.llm import words
 from parley.session import ship
 
-#: Entries of the tables of states and of pieces; a full table is emptied.
-STATES, PIECES = 150_000, 400_000
+#: Entries at most of the tables of states, of pairs of tokens, and of pieces (two of the last).
+STATES, PAIRS, PIECES = 200_000, 300_000, 200_000
 #: Tokens that are decoded at once.
 BLOCK_TOKENS = 8192
 
@@ -36,22 +37,23 @@ def read_ranks(text: str) -> dict[bytes, int]:
 
 #: Bytes not settled yet; at each place in them the token that ends there and where it starts (the
 #: first place has the last settled token); places where a token that goes on may start.
-State = tuple[bytes, list[tuple[int, int]], list[int]]
+State = tuple[bytes, tuple[int, ...], bytes, bytes]
 
 
 class Transducer:
-    """Encodes one piece at a time; ``steps`` maps (state, byte) to (state, tokens emitted)."""
+    """Encodes one piece at a time; ``steps`` maps (state, byte) to (state, tokens emitted).
+
+    The tables take the states that are met first, which are those of frequent texts; once they are
+    full, further states live as long as their piece and are made again when they are needed.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
         self.token = {rank: token for token, rank in ranks.items()}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.reset()
-
-    def reset(self) -> None:
-        self.states: list[State] = [(b"", [(-1, -1)], [0])]
+        self.states: list[State] = [(b"", (-1,), b"\0", b"\0")]
         self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
 
@@ -78,10 +80,10 @@ class Transducer:
         The merges at the seam are undone, latest first; were two parts at the seam ever free at once
         whose own merge comes before they are used up, the pair could not have come about.
         """
-        key = left, right
+        key = left << 32 | right
         found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 4 * STATES:
+            if len(self.fits) > PAIRS:
                 self.fits.clear()
             found = self.fits[key] = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
         return found
@@ -100,60 +102,77 @@ class Transducer:
             else:
                 used_left, used_right, right = 1 << 60, right, b[0]
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The state after one more byte, made if it is new."""
-        pending, nodes, live = self.states[state]
-        pending += bytes((byte,))
-        n = len(pending)
+    def step(self, state: State, byte: bytes) -> tuple[State, tuple[int, ...]]:
+        """The state after one more byte, and what is settled then."""
+        pending, last, starts, live = state
+        pending += byte
+        n, token, start, ahead = len(pending), -1, 0, []
+        get, fits, prefixes = self.ranks.get, self.fits, self.prefixes
         for j in live:
-            rank = self.ranks.get(pending[j:])
-            if rank is not None and self.fit(nodes[j][0], rank):
-                break
-        else:
+            part = pending[j:]
+            if token < 0:
+                rank = get(part)
+                if rank is not None:
+                    fine = fits.get(last[j] << 32 | rank)
+                    if fine or fine is None and self.fit(last[j], rank):
+                        token, start = rank, j
+            if part in prefixes:
+                ahead.append(j)
+        if token < 0:
             raise ValueError(f"no token ends after {pending!r}")
-        nodes = [*nodes, (rank, j)]
-        live = [j for j in live if pending[j:] in self.prefixes]
-        live.append(n)
-        open_, only, wanted = set(live), [0] * (n + 1), [0] * (n + 1)
-        marked = set(live)
-        for j in range(n, 0, -1):
-            if j in marked:
-                up = nodes[j][1]
-                marked.add(up)
-                only[up] = j
-                wanted[up] += 1
-        base, out = 0, []
-        while base not in open_ and wanted[base] == 1:
-            base = only[base]
-            out.append(nodes[base][0])
-        key = nodes[base][0], pending[base:]
-        found = self.number.get(key)
-        if found is None:
-            kept = [(nodes[base][0], -1), *((x, y - base) for x, y in nodes[base + 1 :])]
-            found = self.number[key] = len(self.states)
-            self.states.append((pending[base:], kept, [j - base for j in live]))
-        return found, tuple(out)
+        last += (token,)
+        if n > 250:
+            raise ValueError("a token or its lookahead is longer than 250 bytes")
+        starts += bytes((start,))
+        base = n
+        for j in ahead:
+            while base != j:
+                if base > j:
+                    base = starts[base]
+                else:
+                    j = starts[j]
+        if not base:
+            return (pending, last, starts, bytes((*ahead, n))), ()
+        out, at = [], base
+        while at:
+            out.append(last[at])
+            at = starts[at]
+        rest = bytes(max(0, x - base) for x in starts[base:])
+        return (pending[base:], last[base:], rest, bytes([j - base for j in (*ahead, n)])), tuple(out[::-1])
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """The tokens of one piece; a piece that is itself a token is that token."""
-        if piece in self.ranks:
-            return (self.ranks[piece],)
-        if len(self.states) > STATES:
-            self.reset()
-        out: list[int] = []
-        state = 0
-        for byte in piece:
-            key = state << 8 | byte
-            found = self.steps.get(key)
-            if found is None:
-                found = self.steps[key] = self.step(state, byte)
-            state = found[0]
-            out += found[1]
-        nodes, rest = self.states[state][1], []
-        at = len(nodes) - 1
-        while at > 0:
-            rest.append(nodes[at][0])
-            at = nodes[at][1]
+        found = self.ranks.get(piece)
+        if found is not None:
+            return (found,)
+        out: tuple[int, ...] = ()
+        steps, number, at, own = self.steps, 0, 0, self.states[0]
+        for at, byte in enumerate(piece):
+            known = steps.get(number << 8 | byte)
+            if known is None:
+                break
+            number, more = known
+            out += more
+        else:
+            at = len(piece)
+        own = self.states[number]
+        for i in range(at, len(piece)):
+            own, more = self.step(own, piece[i : i + 1])
+            out += more
+            if number >= 0:
+                key = own[1][0], own[0]
+                after = self.number.get(key, -1)
+                if after < 0 and len(self.states) < STATES:
+                    after = self.number[key] = len(self.states)
+                    self.states.append(own)
+                if after >= 0 and len(steps) < 2 * STATES:
+                    steps[number << 8 | piece[i]] = after, more
+                number = after
+        _, last, starts, _ = own
+        rest, at = [], len(last) - 1
+        while at:
+            rest.append(last[at])
+            at = starts[at]
         return (*out, *rest[::-1])
 
 
@@ -186,25 +205,31 @@ class Codec:
         self.machine = Transducer(ranks)
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.table = self.machine.token
 
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                if len(known) > PIECES:
-                    known.clear()
-                ids = self.machine.encode(piece.encode())
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out += ids
-        return out
-
-    def decode(self, ids: Iterable[int]) -> str:
-        ids, machine, out = list(ids), Utf8Machine(), []
+    def tokens(self, piece: str) -> tuple[int, ...]:
+        """Tokens of a piece that the younger table lacks; a full one becomes the older table."""
+        found = self.older.get(piece)
+        if found is None:
+            found = self.machine.encode(piece.encode())
+        if len(piece) <= 64:
+            if len(self.known) >= PIECES:
+                self.older, self.known = self.known, {}
+            self.known[piece] = found
+        return found
+
+    def encode(self, text: str) -> np.ndarray:
+        pieces = self.split(text)
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            found = [self.known.get(p) or self.tokens(p) if x is None else x for x, p in zip(found, pieces, strict=True)]
+        return np.fromiter(chain.from_iterable(found), np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        machine, out, get = Utf8Machine(), [], self.table.__getitem__
         for a in range(0, len(ids), BLOCK_TOKENS):
-            out.append(machine.feed(b"".join(map(self.table.__getitem__, ids[a : a + BLOCK_TOKENS]))))
+            out.append(machine.feed(b"".join(map(get, ids[a : a + BLOCK_TOKENS].tolist()))))
         return "".join(out) + machine.feed(b"", last=True)
 
 
@@ -250,7 +275,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared, pattern)
         for rows, values in _sliced(batches, at):
-            ids = [np.array(codec.encode(v.decode("utf-8", "replace")), np.int32) for v in values]
+            ids = [codec.encode(v.decode("utf-8", "replace")) for v in values]
             ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns, column], schema.names)
@@ -271,7 +296,7 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 rows = batch.slice(a, 256)
-                out = [codec.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in rows.column(at)]
+                out = [codec.decode(x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)) for x in rows.column(at)]
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], schema.names)
 
     return rest.mapInArrow(run, schema)

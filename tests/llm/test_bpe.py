@@ -18,16 +18,16 @@ def test_transducer_agrees_with_the_library():
     texts += [b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 5))).decode("utf-8", "ignore") for _ in range(4000)]
     for text in texts:
         ids = codec.encode(text)
-        assert ids == LIBRARY.encode_ordinary(text)
+        assert ids.tolist() == LIBRARY.encode_ordinary(text)
         assert codec.decode(ids) == text
 
 
-def test_full_tables_are_emptied(monkeypatch):
+def test_full_tables_change_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "STATES", 50)
     monkeypatch.setattr(bpe, "PIECES", 5)
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     for text in ("unbelievable streaming transducers", "größere Häuser entstehen", "los niños pequeños") * 3:
-        assert codec.encode(text) == LIBRARY.encode_ordinary(text)
+        assert codec.encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
 def test_utf8_machine_holds_back_cut_characters():
