@@ -1,0 +1,11 @@
+"""Registered queries over the driver's tables, and the same results in DuckDB SQL."""
+
+from __future__ import annotations
+
+
+def all_queries() -> tuple[dict, dict]:
+    """Queries and their SQL by name."""
+    from parley.plans import evaluation, meetings, speakers, texts, timeline  # noqa: F401
+    from parley.plans.registry import QUERIES, SQL
+
+    return QUERIES, SQL
