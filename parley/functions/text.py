@@ -25,14 +25,26 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trigrams(ws: Column) -> Column:
-    return F.when(F.size(ws) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 2, F.lit(1))), lambda i: F.array_join(F.slice(ws, i, 3), " "))).otherwise(F.array().cast("array<string>"))
+    """Three consecutive words joined by blanks, in order."""
+
+    def build(x: Column) -> Column:
+        n = F.greatest(F.size(x) - 2, F.lit(0))
+        two = F.zip_with(F.slice(x, 1, n), F.slice(x, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.zip_with(two, F.slice(x, 3, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    return let(ws, build)
 
 
 def semantic_key(normal: Column) -> Column:
     """What two texts must share to count as the same: word trigrams, words, bytes in tens."""
-    ws = words(normal)
-    return F.concat_ws("|", F.array_join(trigrams(ws), "/"), F.size(ws).cast("string"), (F.octet_length(normal) / 10).cast("int").cast("string"))
+    counts = lambda ws: F.concat_ws("|", F.array_join(trigrams(ws), "/"), F.size(ws).cast("string"))
+    return F.concat_ws("|", let(words(normal), counts), (F.octet_length(normal) / 10).cast("int").cast("string"))
 
 
 def rarity(word: Column) -> Column:
@@ -55,16 +67,19 @@ def length_similarity(a: Column, b: Column) -> Column:
 
 def position_similarity(a: Column, b: Column) -> Column:
     """Jaccard share of common words with a bonus for like places; containment counts 0.95."""
-    x, y = F.trim(F.lower(a)), F.trim(F.lower(b))
-    p, q = words(x), words(y)
-    size = F.least(F.octet_length(x), F.octet_length(y))
-    inside = (size >= F.greatest(F.lit(8), (size / 3).cast("int"))) & (x.contains(y) | y.contains(x))
-    top = F.greatest(F.size(p), F.size(q))
-    placed = F.filter(F.transform(p, lambda w, i: F.struct(i.alias("i"), F.array_position(q, w).cast("int").alias("j"))), lambda s: s["j"] > 0)
-    n = F.size(placed)
-    bonus = F.aggregate(placed, F.lit(0.0), lambda s, e: s + 1.0 - F.abs(e["i"] - (e["j"] - 1)) / top)
-    mixed = F.least(0.7 * n / (F.size(p) + F.size(q) - n) + 0.3 * bonus / F.greatest(n, F.lit(1)), F.lit(1.0))
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, 0.95).when((F.size(p) == 0) | (F.size(q) == 0), 0.0).otherwise(mixed)
+
+    def score(s: Column) -> Column:
+        x, y, p, q = s["x"], s["y"], s["p"], s["q"]
+        size = F.least(F.octet_length(x), F.octet_length(y))
+        inside = (size >= F.greatest(F.lit(8), (size / 3).cast("int"))) & (x.contains(y) | y.contains(x))
+        top = F.greatest(F.size(p), F.size(q))
+        places = F.filter(F.transform(p, lambda w, i: F.struct(i.alias("i"), F.array_position(q, w).cast("int").alias("j"))), lambda e: e["j"] > 0)
+        sums = F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("bonus")), lambda t, e: F.struct((t["n"] + 1).alias("n"), (t["bonus"] + 1.0 - F.abs(e["i"] - (e["j"] - 1)) / top).alias("bonus")))
+        mixed = let(sums, lambda t: F.least(0.7 * t["n"] / (F.size(p) + F.size(q) - t["n"]) + 0.3 * t["bonus"] / F.greatest(t["n"], F.lit(1)), F.lit(1.0)))
+        return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(inside, 0.95).when((F.size(p) == 0) | (F.size(q) == 0), 0.0).otherwise(mixed)
+
+    low = lambda c: F.trim(F.lower(c))
+    return let(F.struct(low(a).alias("x"), low(b).alias("y"), words(low(a)).alias("p"), words(low(b)).alias("q")), score)
 
 
 def repeats(text: Column, before: Column, least: float) -> Column:

@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from parley.session import ship
+
 
 def _cosines(vectors: np.ndarray) -> np.ndarray:
     size = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -93,6 +95,8 @@ def cluster(voices: DataFrame, key: str, method: str = "agglomerative", similari
     conversation.
     """
 
+    ship(voices.sparkSession)
+
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         vectors = np.array(frame["vector"].to_list(), float)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.operators.metrics import _common, common_words
+from parley.session import ship
 
 #: How many accepted texts are remembered, and from which similarity a text repeats one of them.
 KEPT, LEAST = 8, 0.6
@@ -69,6 +70,7 @@ def exact_repeats(rows: DataFrame, key: str = "meeting", order: str = "seq", kep
 
     Rows of a session come in order to one task, which holds only the remembered texts.
     """
+    ship(rows.sparkSession)
     normal = X.normalize(F.coalesce("text", F.lit("")))
     slim = rows.select(key, order, normal.alias("_normal"), X.semantic_key(normal).alias("_key"))
     schema = rows.select(key, order, F.lit(True).alias("duplicate")).schema

@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.operators.intervals import best_overlap, labelled_spans, overlap_join, overlapping_pairs
+from parley.session import ship
 
 
 def cells(reference: DataFrame, hypothesis: DataFrame, *by: str) -> DataFrame:
@@ -128,13 +130,13 @@ def _common(a: list[str], b: list[str]) -> int:
     return int(row[-1])
 
 
-@F.pandas_udf("substitutions long, insertions long, deletions long")
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "insertions", "deletions")]))
 def edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     """Edit operations between two columns of word lists; null counts as empty."""
     return pd.DataFrame([_edits(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, hypothesis, strict=True)], columns=["substitutions", "insertions", "deletions"])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def common_words(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words of the longest common subsequence of two columns of word lists."""
     return pd.Series([_common(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b, strict=True)], dtype="int64")
@@ -142,6 +144,7 @@ def common_words(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with the edit counts and the error rate over the reference's words."""
+    ship(pairs.sparkSession)
     out = pairs.withColumn("_e", edits(F.col(reference), F.col(hypothesis)))
     n = F.size(reference)
     wrong = F.col("_e.substitutions") + F.col("_e.insertions") + F.col("_e.deletions")

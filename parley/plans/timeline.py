@@ -126,7 +126,7 @@ def align_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 from segments a join predicted b on {MEET} where {OVERLAP} > 0.02 * (a.end_ms - a.start_ms) group by 1, 2),
 p as (select meeting, seq, end_ms, found, unnest(range(len(found))) as i, start_ms from f where len(found) > 1),
 w as (select *, start_ms + coalesce(list_sum(list_transform(found[1:i], lambda x: x.o)), 0)::bigint as begun from p)
-select meeting, seq, i as part, found[i + 1].s as speaker, begun as start_ms, least(begun + found[i + 1].o, end_ms) as end_ms from w where begun < end_ms""")
+select meeting, seq, i as part, found[i + 1].s as speaker, begun as start_ms, least(begun + found[i + 1].o, end_ms) as end_ms from w where begun < end_ms qualify count(*) over (partition by meeting, seq) > 1""")
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _both(spark, sf_dir)
     pieces = I.align(own, found, 0.02)
@@ -165,3 +165,33 @@ select meeting, part::bigint as part, p.a as start_ms, p.b as end_ms, p.who as s
 def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = N.resolve(_both(spark, sf_dir)[1], 1000)
     return out.select("meeting", F.col("part").cast("long").alias("part"), "start_ms", "end_ms", "speaker", F.round("confidence", 6).alias("confidence"), F.col("n").cast("long").alias("n"))
+
+
+WORDS_SQL = f"""w0 as (select meeting, seq, speaker, start_ms, end_ms, n_words as n, unnest({SQL_WORDS.format("text")}) as word, generate_subscripts({SQL_WORDS.format("text")}, 1) - 1 as pos from segments),
+words as (select meeting, seq, speaker, pos, start_ms + floor((end_ms - start_ms) * pos / n)::bigint as start_ms, start_ms + floor((end_ms - start_ms) * (pos + 1) / n)::bigint as end_ms from w0)"""
+
+
+@query(f"""with {PREDICTED}, {WORDS_SQL}, m as (select a.meeting, a.seq, a.pos, a.speaker as true_speaker, arg_min(b.speaker, b.seq) as found_speaker from words a join predicted b on {MEET} where {OVERLAP} > 200 group by 1, 2, 3, 4)
+select true_speaker, found_speaker, count(*) as words from m group by 1, 2""")
+def word_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, found = _both(spark, sf_dir)
+    words = N.word_times(own, X.words(F.col("text"))).select("meeting", "seq", "pos", "speaker", F.col("word_start").alias("start_ms"), F.col("word_end").alias("end_ms"))
+    pairs = I.overlap_join(words, found).where("overlap > 200")
+    first = pairs.groupBy("l_meeting", "l_seq", "l_pos", F.col("l_speaker").alias("true_speaker")).agg(F.min_by("r_speaker", "r_seq").alias("found_speaker"))
+    return first.groupBy("true_speaker", "found_speaker").agg(F.count("*").alias("words"))
+
+
+@query(f"""with {SEGMENTS}, l as (select meeting, seq, start_ms, row_number() over (partition by meeting order by start_ms, seq) as i,
+printf('%02d:%02d:%02d,%03d', start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) as t, speaker || ': ' || text as s from segments)
+select meeting, md5(string_agg(i || chr(10) || t || chr(10) || s || chr(10), chr(10) order by i)) as digest from l group by 1""")
+def caption_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parley.sources.documents import captions
+
+    return captions(views.segments(spark, sf_dir)).select("meeting", F.md5("body").alias("digest"))
+
+
+@query(f"with {SEGMENTS} select meeting, seq, start_ms from segments s where not exists (select 1 from segments b where b.meeting = s.meeting and b.seq = s.seq - 1 and b.speaker = s.speaker) and seq > 0")
+def speaker_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = views.segments(spark, sf_dir)
+    before = own.select("meeting", (F.col("seq") + 1).alias("seq"), "speaker")
+    return own.where("seq > 0").join(before, ["meeting", "seq", "speaker"], "left_anti").select("meeting", "seq", "start_ms")
