@@ -39,7 +39,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives the text back."""
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, pattern), path, pattern)
+    both = bpe.round_trip(docs.select("doc_id", "text"), path, pattern)
     return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

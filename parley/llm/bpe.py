@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -25,7 +26,7 @@ from parley.llm import words
 from parley.session import ship
 
 #: Entries at most of the tables of states, of pairs of tokens, and of pieces (two of the last).
-STATES, PAIRS, PIECES = 200_000, 300_000, 200_000
+STATES, PAIRS, PIECES = 30_000, 60_000, 120_000
 #: Tokens that are decoded at once.
 BLOCK_TOKENS = 8192
 
@@ -202,11 +203,18 @@ class Codec:
     """Encodes and decodes whole texts by the ranks and the splitting pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.table = self.machine.token
+
+    @cached_property
+    def machine(self) -> Transducer:
+        return Transducer(self.ranks)
+
+    @cached_property
+    def table(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in self.ranks.items()}
 
     def tokens(self, piece: str) -> tuple[int, ...]:
         """Tokens of a piece that the younger table lacks; a full one becomes the older table."""
@@ -257,47 +265,58 @@ class _Shared:
         return self.sent.value
 
 
-def _sliced(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _encoded(shared: _Shared, pattern: str, at: int, names: list[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with one more column: the ids of the texts in column ``at``."""
+    codec = _codec(shared, pattern)
     for batch in batches:
-        values = words.texts(batch.column(at))
-        for a, b in words.blocks(values):
-            yield batch.slice(a, b - a), values[a:b]
+        for rows, values in words.sliced(batch, at):
+            ids = [codec.encode(v.decode("utf-8", "replace")) for v in values]
+            ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
+            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([*rows.columns, column], names)
+
+
+def _decoded(shared: _Shared, pattern: str, at: int, names: list[str], batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with one more column: the texts of the ids in column ``at``."""
+    codec = _codec(shared, pattern)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            rows = batch.slice(a, 256)
+            out = [codec.decode(x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)) for x in rows.column(at)]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], names)
+
+
+def _ids_field(name: str) -> T.StructField:
+    return T.StructField(name, T.ArrayType(T.IntegerType(), False))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text; null and empty texts have none."""
     ship(docs.sparkSession)
-    shared = _Shared(docs.sparkSession, ranks_path)
-    rest = docs.drop(ids_col)
-    schema = T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))])
+    shared, rest = _Shared(docs.sparkSession, ranks_path), docs.drop(ids_col)
+    schema = T.StructType([*rest.schema.fields, _ids_field(ids_col)])
     at = rest.columns.index(text_col)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
-        for rows, values in _sliced(batches, at):
-            ids = [codec.encode(v.decode("utf-8", "replace")) for v in values]
-            ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*rows.columns, column], schema.names)
-
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lambda batches: _encoded(shared, pattern, at, schema.names, batches), schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``tokens`` with the text of each list of ids; a null list gives an empty text."""
     ship(tokens.sparkSession)
-    shared = _Shared(tokens.sparkSession, ranks_path)
-    rest = tokens.drop(text_col)
+    shared, rest = _Shared(tokens.sparkSession, ranks_path), tokens.drop(text_col)
     schema = T.StructType([*rest.schema.fields, T.StructField(text_col, T.StringType())])
     at = rest.columns.index(ids_col)
+    return rest.mapInArrow(lambda batches: _decoded(shared, pattern, at, schema.names, batches), schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass, so that a task has one worker and one set of tables."""
+    ship(docs.sparkSession)
+    shared, rest = _Shared(docs.sparkSession, ranks_path), docs.drop(ids_col, decoded_col)
+    schema = T.StructType([*rest.schema.fields, _ids_field(ids_col), T.StructField(decoded_col, T.StringType())])
+    at, names = rest.columns.index(text_col), schema.names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared, pattern)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                rows = batch.slice(a, 256)
-                out = [codec.decode(x.values.to_numpy() if x.is_valid else np.empty(0, np.int32)) for x in rows.column(at)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.string())], schema.names)
+        return _decoded(shared, pattern, len(names) - 2, names, _encoded(shared, pattern, at, names[:-1], batches))
 
     return rest.mapInArrow(run, schema)
 
@@ -305,5 +324,5 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    both = decode(encode(slim, ranks_path, pattern, "_text", "_ids").drop("_text"), ranks_path, pattern, "_ids", "_back")
+    both = round_trip(slim, ranks_path, pattern, "_text", "_ids", "_back")
     return both.select("_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("_back", 256).alias("decoded_sha256"))

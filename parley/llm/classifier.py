@@ -158,11 +158,9 @@ def _columns(docs: DataFrame, text_col: str) -> list:
 def _features(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple, tuple, int]]:
     """Text and metadata pairs of slices of a batch with columns _text, _lang, _source, _n_chars."""
     at = {n: batch.schema.get_field_index(n) for n in ("_text", "_lang", "_source", "_n_chars")}
-    values = words.texts(batch.column(at["_text"]))
-    for a, b in words.blocks(values):
-        rows = batch.slice(a, b - a)
+    for rows, values in words.sliced(batch, at["_text"]):
         meta = [rows.column(at[n]).to_pylist() for n in ("_lang", "_source", "_n_chars")]
-        yield rows, text_features(values[a:b]), meta_features(*meta), b - a
+        yield rows, text_features(values), meta_features(*meta), len(values)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, pool: int = POOL) -> Model:

@@ -133,25 +133,35 @@ def _search(phrases: Phrases, batches: Iterable[pa.RecordBatch], column: str, fo
     yield from words.by_batch(of, batches, column)
 
 
-def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, found: str = "_found") -> DataFrame:
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_bytes: int) -> Iterator:
+    """The phrases of the benchmark, block by block of about ``pass_bytes``, each sent to the executors."""
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("t")).where("i is not null").distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    count = max(1, -(-size // pass_bytes))
+    for k in range(count):
+        own = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k).orderBy("i", "t").collect()
+        yield spark.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in own], window))
+
+
+def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, found: str = "_found", then=None, schema: T.StructType | None = None) -> DataFrame:
     """``docs`` with a struct column ``found``: n_words, spans of hit words (starts, ends), items.
 
     Null and empty texts have no words; items without words or without an id have no windows; items
     that occur twice count once. All columns of ``docs`` stay as they are, repeated rows and null
     ids too. The benchmark is read in blocks of ``pass_bytes``; each block is one more narrow pass.
-    Spans of one pass do not touch; spans of several passes may, see ``merged``.
+    Spans of one pass do not touch; spans of several passes may, see ``merged``. ``then`` goes on with
+    the batches of the last pass in the same worker and gives rows of ``schema``.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("t")).where("i is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    passes = max(1, -(-size // pass_bytes))
+    ship(docs.sparkSession)
     out = docs.withColumn(found, F.lit(None).cast(FOUND))
-    for k in range(passes):
-        own = items.where(F.pmod(F.xxhash64("i"), F.lit(passes)) == k).orderBy("i", "t").collect()
-        held = spark.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in own], window))
+    every = list(_passes(benchmark, item_col, item_text_col, window, pass_bytes))
+    for held in every[:-1]:
         out = out.mapInArrow(lambda batches, held=held: _search(held.value, batches, text_col, found), out.schema)
-    return out
+    last = every[-1]
+    if then is None:
+        return out.mapInArrow(lambda batches: _search(last.value, batches, text_col, found), out.schema)
+    return out.mapInArrow(lambda batches: then(_search(last.value, batches, text_col, found)), schema)
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -175,22 +185,20 @@ def _counts(found: list[dict]) -> Iterator[tuple]:
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    found = search(slim, benchmark, "_text", **options).select("_id", "_found")
-    schema = T.StructType([found.schema["_id"], *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())))])
+    schema = T.StructType([slim.schema["_id"], *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType())))])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*_counts(batch.column(1).to_pylist()), strict=True)) or [[]] * 5
+            rows = list(zip(*_counts(batch.column(2).to_pylist()), strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(x), k) for x, k in zip(rows, kinds, strict=True))], [f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(x), k) for x, k in zip(rows, kinds, strict=True))], schema.names)
 
-    return found.mapInArrow(count, schema)
+    return search(slim, benchmark, "_text", found="_found", then=count, schema=schema, **options)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     found = "_found_spans"
-    marked = search(docs, benchmark, text_col, found=found, **options)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,4 +206,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **optio
             good = [not x[-1] for x in _counts(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(good, pa.bool_())).drop_columns([found])
 
-    return marked.mapInArrow(keep, docs.schema)
+    return search(docs, benchmark, text_col, found=found, then=keep, schema=docs.schema, **options)

@@ -7,9 +7,10 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text that one block holds at most, besides its last text.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: Base of the rolling word hash, odd so that it has an inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 
@@ -73,9 +74,20 @@ class Table:
         return self.joined[self.start[i] : self.end[i]].lower()
 
 
+def sliced(batch: pa.RecordBatch, at: int, limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch with the texts of column ``at``, of which each holds about ``limit`` bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for i, size in enumerate(sizes.tolist()):
+        held += size
+        if held >= limit or i + 1 == len(sizes):
+            rows = batch.slice(start, i + 1 - start)
+            yield rows, texts(rows.column(at))
+            start, held = i + 1, 0
+
+
 def by_batch(fn, batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
     """Apply ``fn(slice, texts)`` to slices of each batch that hold a bounded number of bytes."""
     for batch in batches:
-        values = texts(batch.column(batch.schema.get_field_index(column)))
-        for a, b in blocks(values):
-            yield from fn(batch.slice(a, b - a), values[a:b])
+        for rows, values in sliced(batch, batch.schema.get_field_index(column)):
+            yield from fn(rows, values)
