@@ -1,10 +1,10 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
-A state is the last settled token and the bytes after it that no settled token covers yet. Reading
-a byte finds the one token that may end there after a compatible token; what all readings that can
-still go on have in common is settled and emitted. States and steps are made when first met and
-kept in bounded tables. Decoding joins token bytes block by block; an incremental UTF-8 machine
-holds back the bytes of a character that a block's end has cut.
+Reading tokens from every place of a piece at once is a non-deterministic machine; its sets of open
+readings are made into states when they are first met. A state knows the tokens that may end there,
+longest first; exactly one of them fits the token before it. What all open readings have in common is
+settled and emitted after a bounded lookahead. Decoding joins token bytes block by block; an
+incremental UTF-8 machine holds back the bytes of a character that a block's end has cut.
 """
 
 from __future__ import annotations
@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 from parley.llm import words
 from parley.session import ship
 
-#: Entries at most of the tables of states, of pairs of tokens, and of pieces (two of the last).
-STATES, PAIRS, PIECES = 30_000, 60_000, 120_000
+#: Entries at most of the tables of steps, of pairs of tokens, and of pieces (two of the last).
+STEPS, PAIRS, PIECES = 300_000, 200_000, 120_000
+#: Bytes that are read before what is settled is emitted.
+LOOKAHEAD = 256
 #: Tokens that are decoded at once.
 BLOCK_TOKENS = 8192
 
@@ -36,16 +38,11 @@ def read_ranks(text: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines() if line.strip())}
 
 
-#: Bytes not settled yet; at each place in them the token that ends there and where it starts (the
-#: first place has the last settled token); places where a token that goes on may start.
-State = tuple[bytes, tuple[int, ...], bytes, bytes]
-
-
 class Transducer:
-    """Encodes one piece at a time; ``steps`` maps (state, byte) to (state, tokens emitted).
+    """Encodes one piece at a time; ``steps`` maps (state, byte) to a state.
 
-    The tables take the states that are met first, which are those of frequent texts; once they are
-    full, further states live as long as their piece and are made again when they are needed.
+    A state stands for the longest end of what was read that a token begins with, so there are no
+    more states than beginnings of tokens.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -54,9 +51,10 @@ class Transducer:
         self.token = {rank: token for token, rank in ranks.items()}
         self.fits: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
-        self.states: list[State] = [(b"", (-1,), b"\0", b"\0")]
-        self.number: dict[tuple[int, bytes], int] = {(-1, b""): 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.texts: list[bytes] = [b""]
+        self.ending: list[tuple[tuple[int, int], ...]] = [()]
+        self.number: dict[bytes, int] = {b"": 0}
+        self.steps: dict[int, int] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a byte or a token no merge makes."""
@@ -103,78 +101,73 @@ class Transducer:
             else:
                 used_left, used_right, right = 1 << 60, right, b[0]
 
-    def step(self, state: State, byte: bytes) -> tuple[State, tuple[int, ...]]:
-        """The state after one more byte, and what is settled then."""
-        pending, last, starts, live = state
-        pending += byte
-        n, token, start, ahead = len(pending), -1, 0, []
-        get, fits, prefixes = self.ranks.get, self.fits, self.prefixes
-        for j in live:
-            part = pending[j:]
-            if token < 0:
-                rank = get(part)
-                if rank is not None:
-                    fine = fits.get(last[j] << 32 | rank)
-                    if fine or fine is None and self.fit(last[j], rank):
-                        token, start = rank, j
-            if part in prefixes:
-                ahead.append(j)
-        if token < 0:
-            raise ValueError(f"no token ends after {pending!r}")
-        last += (token,)
-        if n > 250:
-            raise ValueError("a token or its lookahead is longer than 250 bytes")
-        starts += bytes((start,))
-        base = n
-        for j in ahead:
-            while base != j:
-                if base > j:
-                    base = starts[base]
-                else:
-                    j = starts[j]
-        if not base:
-            return (pending, last, starts, bytes((*ahead, n))), ()
-        out, at = [], base
-        while at:
-            out.append(last[at])
-            at = starts[at]
-        rest = bytes(max(0, x - base) for x in starts[base:])
-        return (pending[base:], last[base:], rest, bytes([j - base for j in (*ahead, n)])), tuple(out[::-1])
+    def step(self, state: int, byte: int) -> int:
+        """The state after one more byte; it is made if it is new."""
+        text = self.texts[state] + bytes((byte,))
+        while text and text not in self.prefixes and text not in self.ranks:
+            text = text[1:]
+        found = self.number.get(text)
+        if found is None:
+            found = self.number[text] = len(self.texts)
+            self.texts.append(text)
+            self.ending.append(tuple((self.ranks[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.ranks))
+        if len(self.steps) >= STEPS:
+            self.steps.clear()
+        self.steps[state << 8 | byte] = found
+        return found
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def encode(self, piece: bytes) -> list[int]:
         """The tokens of one piece; a piece that is itself a token is that token."""
         found = self.ranks.get(piece)
         if found is not None:
-            return (found,)
-        out: tuple[int, ...] = ()
-        steps, number, at, own = self.steps, 0, 0, self.states[0]
-        for at, byte in enumerate(piece):
-            known = steps.get(number << 8 | byte)
-            if known is None:
-                break
-            number, more = known
-            out += more
-        else:
-            at = len(piece)
-        own = self.states[number]
-        for i in range(at, len(piece)):
-            own, more = self.step(own, piece[i : i + 1])
-            out += more
-            if number >= 0:
-                key = own[1][0], own[0]
-                after = self.number.get(key, -1)
-                if after < 0 and len(self.states) < STATES:
-                    after = self.number[key] = len(self.states)
-                    self.states.append(own)
-                if after >= 0 and len(steps) < 2 * STATES:
-                    steps[number << 8 | piece[i]] = after, more
-                number = after
-        _, last, starts, _ = own
-        rest, at = [], len(last) - 1
+            return [found]
+        out: list[int] = []
+        # the token that ends at each place since the last settled one, and its size
+        last, sizes, state = [-1], [0], 0
+        steps, fits, ending = self.steps, self.fits, self.ending
+        for byte in piece:
+            after = steps.get(state << 8 | byte)
+            state = self.step(state, byte) if after is None else after
+            n = len(last)
+            for token, size in ending[state]:
+                # a longer token would begin before the last settled place
+                if size > n:
+                    continue
+                left = last[n - size]
+                fine = fits.get(left << 32 | token)
+                if fine or fine is None and self.fit(left, token):
+                    last.append(token)
+                    sizes.append(size)
+                    break
+            else:
+                raise ValueError(f"no token ends after {self.texts[state]!r}")
+            if n % LOOKAHEAD == 0:
+                base = self.settled(state, sizes)
+                out += self.back(last, sizes, base)
+                last, sizes = last[base:], [0, *sizes[base + 1 :]]
+        return out + self.back(last, sizes, len(last) - 1)
+
+    def settled(self, state: int, sizes: list[int]) -> int:
+        """The last place that all readings which can still go on share."""
+        text, base = self.texts[state], len(sizes) - 1
+        for size in range(min(len(text), len(sizes) - 1), 0, -1):
+            if text[len(text) - size :] in self.prefixes:
+                other = len(sizes) - 1 - size
+                while base != other:
+                    if base > other:
+                        base -= sizes[base]
+                    else:
+                        other -= sizes[other]
+        return base
+
+    @staticmethod
+    def back(last: list[int], sizes: list[int], at: int) -> list[int]:
+        """The tokens on the way to place ``at``."""
+        out = []
         while at:
-            rest.append(last[at])
-            at = starts[at]
-        return (*out, *rest[::-1])
+            out.append(last[at])
+            at -= sizes[at]
+        return out[::-1]
 
 
 class Utf8Machine:
@@ -205,8 +198,8 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
 
     @cached_property
     def machine(self) -> Transducer:
@@ -216,7 +209,7 @@ class Codec:
     def table(self) -> dict[int, bytes]:
         return {rank: token for token, rank in self.ranks.items()}
 
-    def tokens(self, piece: str) -> tuple[int, ...]:
+    def tokens(self, piece: str) -> list[int]:
         """Tokens of a piece that the younger table lacks; a full one becomes the older table."""
         found = self.older.get(piece)
         if found is None:

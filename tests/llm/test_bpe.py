@@ -23,7 +23,7 @@ def test_transducer_agrees_with_the_library():
 
 
 def test_full_tables_change_nothing(monkeypatch):
-    monkeypatch.setattr(bpe, "STATES", 50)
+    monkeypatch.setattr(bpe, "STEPS", 50)
     monkeypatch.setattr(bpe, "PIECES", 5)
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
     for text in ("unbelievable streaming transducers", "größere Häuser entstehen", "los niños pequeños") * 3:
