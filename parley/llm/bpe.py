@@ -26,7 +26,7 @@ from parley.llm import words
 from parley.session import ship
 
 #: Entries at most of the tables of steps, of pairs of tokens, and of pieces (two of the last).
-STEPS, PAIRS, PIECES = 300_000, 200_000, 120_000
+STEPS, PAIRS, PIECES = 300_000, 500_000, 250_000
 #: Bytes that are read before what is settled is emitted.
 LOOKAHEAD = 256
 #: Tokens that are decoded at once.
