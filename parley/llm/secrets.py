@@ -1,7 +1,9 @@
 """Secret scans: candidates by pattern, judged by a random forest trained on labelled findings.
 
-Candidates come from one pattern over whole texts. Their features are length, character transitions,
-dictionary coverage, the path (source) they come from, and words before and after. The forest is
+Candidates come from patterns over whole texts and reach to the end of their run of token characters,
+however long it is; they may overlap, and what is accepted of them is joined. Their features are
+length, character transitions, dictionary coverage, the path (source) they come from, and words
+before and after. The forest is
 grown here from findings with labels that a seeded generator writes down (see ``labelled``), and
 removes false positives.
 """
@@ -29,55 +31,98 @@ from parley.session import ship
 TREES, DEPTH, LEAF, FINDINGS = 31, 9, 4, 4000
 #: Bytes before and after a candidate whose words count as its surroundings.
 AROUND = 48
+#: Bytes of a value that are counted at once.
+BLOCK = 1 << 20
 
 #: Prefixes of public token formats, and words that stand before a secret.
+_NAME = rb"(?i:(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
 KINDS = (
     ("cloud key id", rb"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
-    ("code host token", rb"\b(?:gh[pousr]_[A-Za-z0-9]{20,80}|glpat-[\w-]{20,40})"),
-    ("chat token", rb"\bxox[abprs]-[A-Za-z0-9-]{10,80}"),
-    ("api key", rb"\b(?:sk|pk|rk)[-_](?:live|test|proj)?[-_]?[A-Za-z0-9]{20,80}"),
-    ("signed token", rb"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("private key", rb"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----"),
-    ("assigned", rb"(?i:(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<value>[^\s\"'<>,;]{6,200})"),
-    ("long word", rb"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,100}[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}(?![A-Za-z0-9+/_=-])"),
+    ("code host token", rb"\b(?:gh[pousr]_[A-Za-z0-9]{20}[\w-]*+|glpat-[\w-]{20,}+)"),
+    ("chat token", rb"\bxox[abprs]-[A-Za-z0-9-]{10}[\w-]*+"),
+    ("api key", rb"\b(?:sk|pk|rk)[-_][\w-]{20,}+"),
+    ("signed token", rb"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    ("private key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----"),
+    ("assigned", _NAME + rb"(?P<value>[^\s\"'<>,;]{6,}+)"),
+    ("long word", rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"),
 )
+ASSIGNED, LONG = len(KINDS) - 2, len(KINDS) - 1
 HINTS = frozenset(b"password passwd passphrase pwd secret token key apikey auth bearer credential credentials login private".split())
 DECOYS = frozenset(b"commit sha sha1 sha256 md5 checksum digest uuid guid example sample placeholder dummy changeme order isbn version hash id".split())
 SYLLABLES = frozenset("th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ei ie un au qu la el os ci ue ll ai eu pa ab ad us".split())
 
 FOUND = "array<struct<kind:string,start:int,end:int,score:double>>"
-_ANY = re.compile(b"|".join(b"(?P<k%d>%s)" % (i, p) for i, (_, p) in enumerate(KINDS)))
+_PREFIXED = re.compile(b"|".join(b"(?P<k%d>%s)" % (i, p) for i, (_, p) in enumerate(KINDS[:ASSIGNED])))
+_ASSIGNED, _LONG, _NAMES = re.compile(KINDS[ASSIGNED][1]), re.compile(KINDS[LONG][1]), re.compile(_NAME)
 _HINT = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|AKIA|ASIA|gh[pousr]_|glpat|xox|sk[-_]|pk[-_]|rk[-_]|eyJ|-----BEGIN|[A-Za-z0-9+/_-]{24}")
 _WORDS = re.compile(rb"[A-Za-z]+")
 
 
 def candidates(text: bytes) -> Iterator[tuple[int, int, int]]:
-    """(kind, start, end) of what may be a secret, in bytes; an assignment counts without its name."""
+    """(kind, start, end) of what may be a secret, in bytes; an assignment counts without its name.
+
+    Kinds are looked for one by one, so what is rejected in the end hides nothing inside it. A value
+    with more assignments in it counts as a whole and by its parts.
+    """
     if not _HINT.search(text):
         return
-    for m in _ANY.finditer(text):
-        kind = int(m.lastgroup[1:]) if m.lastgroup.startswith("k") else next(i for i in range(len(KINDS)) if m.group(f"k{i}") is not None)
-        start, end = m.span("value") if m.group("value") is not None else m.span()
-        yield kind, start, end
-
-
-def _classes(value: bytes) -> np.ndarray:
-    raw = np.frombuffer(value, np.uint8)
-    return np.select([(raw >= 48) & (raw <= 57), (raw >= 97) & (raw <= 122), (raw >= 65) & (raw <= 90)], [0, 1, 2], 3)
+    for m in _PREFIXED.finditer(text):
+        yield int(m.lastgroup[1:]), *m.span()
+    for m in _ASSIGNED.finditer(text):
+        start, end = m.span("value")
+        yield ASSIGNED, start, end
+        at = start
+        for name in _NAMES.finditer(text, start, end):
+            if name.start() - at >= 6:
+                yield ASSIGNED, at, name.start()
+            at = name.end()
+        if at > start and end - at >= 6:
+            yield ASSIGNED, at, end
+    for m in _LONG.finditer(text):
+        yield LONG, *m.span()
+
+
+def joined(hits: Iterable[tuple[int, int, int, float]]) -> list[tuple[int, int, int, float]]:
+    """Accepted (kind, start, end, score) in text order; overlapping ones are one, named as the longest."""
+    out: list[list] = []
+    for kind, start, end, score in sorted(hits, key=lambda h: (h[1], -h[2], h[0] != ASSIGNED, h[0])):
+        if out and start < out[-1][2]:
+            last = out[-1]
+            if end - start > last[4]:
+                last[0], last[3], last[4] = kind, score, end - start
+            last[2] = max(last[2], end)
+        else:
+            out.append([kind, start, end, score, end - start])
+    return [tuple(h[:4]) for h in out]
+
+
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[48:58], _CLASS[97:123], _CLASS[65:91] = 0, 1, 2
+_KNOWN = np.zeros(1 << 16, bool)
+_KNOWN[[ord(p[0]) << 8 | ord(p[1]) for p in SYLLABLES]] = True
+
+
+def _counts(value: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """Of a value: how often each byte and each step between classes comes, and how many pairs are known."""
+    raw, low = np.frombuffer(value, np.uint8), np.frombuffer(value.lower(), np.uint8)
+    each, steps, known = np.zeros(256, np.int64), np.zeros(16, np.int64), 0
+    for at in range(0, len(raw), BLOCK):
+        each += np.bincount(raw[at : at + BLOCK], minlength=256)
+        kinds = _CLASS[raw[at : at + BLOCK + 1]]
+        steps += np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16)
+        pairs = low[at : at + BLOCK + 1].astype(np.uint16)
+        known += int(_KNOWN[pairs[:-1] << 8 | pairs[1:]].sum())
+    return each, steps, known
 
 
 def features(text: bytes, kind: int, start: int, end: int, path: str) -> list[float]:
     """What the forest sees of one candidate."""
     value = text[start:end]
-    kinds = _classes(value)
     n = len(value)
-    steps = np.bincount(kinds[:-1] * 4 + kinds[1:], minlength=16) / max(1, n - 1)
-    share = np.bincount(kinds, minlength=4) / n
-    counts = np.bincount(np.frombuffer(value, np.uint8))
-    rate = counts[counts > 0] / n
-    lower = value.lower().decode("latin-1")
-    pairs = [lower[i : i + 2] for i in range(n - 1) if lower[i : i + 2].isalpha()]
-    known = sum(p in SYLLABLES for p in pairs) / max(1, n - 1)
+    each, steps, known = _counts(value)
+    share = np.bincount(_CLASS, each, minlength=4) / n
+    rate = each[each > 0] / n
+    lower = value.lower()
     before = {w.lower() for w in _WORDS.findall(text[max(0, start - AROUND) : start])}
     after = {w.lower() for w in _WORDS.findall(text[end : end + AROUND])}
     hexed = float(bool(re.fullmatch(rb"[0-9a-fA-F-]+", value)))
@@ -85,7 +130,7 @@ def features(text: bytes, kind: int, start: int, end: int, path: str) -> list[fl
     code = float(bool(re.search(r"(?i)conf|env|\.ya?ml|\.json|\.py|\.js|deploy|secret", path)))
     test = float(bool(re.search(r"(?i)test|example|doc|sample", path)))
     near = text[max(0, start - 3) : start]
-    return [kind, n, -float((rate * np.log2(rate)).sum()), *steps, *share, known, max(counts) / n, hexed, dashed, code, test, len(before & HINTS), len(before & DECOYS), len(after & HINTS), len(after & DECOYS), float(b"=" in near or b":" in near), float(any(d in lower for d in ("example", "xxxx", "changeme", "placeholder", "1234567890", "your")))]
+    return [kind, n, -float((rate * np.log2(rate)).sum()), *steps / max(1, n - 1), *share, known / max(1, n - 1), max(each) / n, hexed, dashed, code, test, len(before & HINTS), len(before & DECOYS), len(after & HINTS), len(after & DECOYS), float(b"=" in near or b":" in near), float(any(d in lower for d in (b"example", b"xxxx", b"changeme", b"placeholder", b"1234567890", b"your")))]
 
 
 @dataclass
@@ -150,6 +195,7 @@ def labelled(count: int = FINDINGS, seed: int = 23) -> list[tuple[bytes, int, in
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     lower = sorted(SYLLABLES)
     word = lambda a=2, b=5: "".join(rng.choice(lower) for _ in range(rng.randint(a, b)))
+    size = lambda: int(10 ** rng.uniform(1.9, 3.6))
     plain = lambda: " ".join(word() for _ in range(rng.randint(2, 7)))
     true = (
         lambda: "AKIA" + some(string.ascii_uppercase + string.digits, 16),
@@ -160,6 +206,11 @@ def labelled(count: int = FINDINGS, seed: int = 23) -> list[tuple[bytes, int, in
         lambda: rng.choice(("password=", "pwd: ", "passwd = ", "secret=", "auth: ")) + rng.choice(("", '"')) + some(rng.choice((pool, pool + "!@#$%", "0123456789abcdef")), rng.randint(8, 40)),
         lambda: rng.choice(("token = ", "api_key: ", "access-key=", "token=")) + rng.choice(("", '"')) + some(rng.choice(("0123456789abcdef", pool)), rng.choice((16, 18, 20, 32, 40, 64))),
         lambda: rng.choice(("bearer ", "private key ", "credential ")) + base64.b64encode(rng.randbytes(rng.randint(24, 60))).decode(),
+        lambda: rng.choice(("token=", "aws_session_token=", "secret: ", "auth = ")) + some(rng.choice((pool, pool + "+/", "0123456789abcdef")), size()),
+        lambda: rng.choice(("bearer ", "private key ", "credential ", "")) + some(rng.choice((pool, pool + "+/", pool + "-_")), size()),
+        lambda: rng.choice(("bearer ", "token ", "credential ", "password=", "token: ")) + some(string.ascii_letters, rng.choice((24, 32, 40, 64, size()))),
+        lambda: rng.choice(("sk-proj-", "sk-ant-", "ghp_", "xoxb-", "glpat-")) + some(pool, 20) + some(pool + "-_", rng.choice((4, 40, size()))),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(pool + "+/", 64) for _ in range(rng.choice((6, 25, 50, 200)))) + "\n-----END RSA PRIVATE KEY-----",
     )
     false = (
         lambda: rng.choice(("commit ", "sha1 ", "sha256 checksum ", "md5 digest ", "hash ")) + some("0123456789abcdef", rng.choice((32, 40, 64))),
@@ -173,6 +224,10 @@ def labelled(count: int = FINDINGS, seed: int = 23) -> list[tuple[bytes, int, in
         lambda: "sk-" + rng.choice(("your_api_key_here_placeholder", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx")),
         lambda: "-".join(word() for _ in range(rng.randint(5, 9))) + f"-{rng.randint(1, 999)}",
         lambda: (word(12, 14) + str(rng.randint(1, 9)))[:60],
+        lambda: rng.choice("/-_").join(word(1, 4) for _ in range(rng.choice((4, 6, 9, 40, size() // 8)))),
+        lambda: word(10, 14),
+        lambda: rng.choice(("-", "_", "=-", "/", "+-", "a", "ha", "xo", "no", "0")) * rng.choice((30, 60, 100, size())),
+        lambda: rng.choice(("token: ", "auth=", "password: ")) + rng.choice("/.&-_").join(word() for _ in range(rng.choice((4, 20, size() // 8)))),
     )
     out = []
     while len(out) < count:
@@ -211,10 +266,16 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
         cells: list[list[dict]] = [[] for _ in values]
         if hits:
             score = held.value.score(np.array([features(values[i], k, a, b, str(paths[i] or "")) for i, k, a, b in hits], float))
+            kept: dict[int, list] = {}
             for (i, k, a, b), s in zip(hits, score.tolist(), strict=True):
                 if s >= least:
-                    start = len(values[i][:a].decode("utf-8", "replace"))
-                    cells[i].append({"kind": KINDS[k][0], "start": start, "end": start + len(values[i][a:b].decode("utf-8", "replace")), "score": round(s, 6)})
+                    kept.setdefault(i, []).append((k, a, b, s))
+            for i, own in kept.items():
+                at = point = 0
+                for k, a, b, s in joined(own):
+                    start = point + len(values[i][at:a].decode("utf-8", "replace"))
+                    at, point = b, start + len(values[i][a:b].decode("utf-8", "replace"))
+                    cells[i].append({"kind": KINDS[k][0], "start": start, "end": point, "score": round(s, 6)})
         yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells, kind)], schema.names)
 
     return rest.mapInArrow(lambda batches: words.by_batch(judge, batches, text_col), schema)
