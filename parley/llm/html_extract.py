@@ -32,7 +32,7 @@ SLOTS, PAGES, RIDGE = 4096, 900, 0.5
 #: Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp svg".split())
-SKIPPED = frozenset("select button option datalist canvas audio video object math head".split())
+SKIPPED = frozenset("select button option datalist canvas".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body html caption tbody td tfoot th thead tr legend".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -61,11 +61,15 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """The nodes of a page, parents before children. Unclosed, stray and cut-off tags are borne."""
+    """The nodes of a page, parents before children. Unclosed, stray and cut-off tags are borne.
+
+    A head without its end tag ends at the body, at a block element or at text that is not blank.
+    """
     nodes = [Node("html", -1)]
     stack: list[tuple[str, int]] = [("html", 0)]
     skipping = links = 0
     open_text = -1
+    in_head = False
     at = 0
 
     def add(text: str) -> None:
@@ -76,6 +80,7 @@ def parse(page: str) -> list[Node]:
         if open_text < 0:
             if text.isspace():
                 return
+            leave_head()
             nodes.append(Node("#text", owner))
             open_text = len(nodes) - 1
         node = nodes[open_text]
@@ -84,9 +89,16 @@ def parse(page: str) -> list[Node]:
         if links:
             node.linked += len(text.strip())
 
+    def leave_head() -> None:
+        nonlocal in_head
+        if in_head:
+            stack[:] = [s for s in stack if s[0] != "head"]
+            in_head = False
+
     def pop() -> None:
-        nonlocal skipping, links, open_text
+        nonlocal skipping, links, open_text, in_head
         tag = stack.pop()[0]
+        in_head = in_head and tag != "head"
         skipping -= tag in SKIPPED
         links -= tag == "a"
         if tag in BLOCK:
@@ -127,6 +139,15 @@ def parse(page: str) -> list[Node]:
                 if name == "hr":
                     open_text = -1
             continue
+        if name == "body":
+            while in_head:
+                pop()
+        elif name in BLOCK:
+            leave_head()
+        elif name == "head":
+            if in_head:
+                continue
+            in_head = True
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":

@@ -65,3 +65,19 @@ def test_edges(spark):
     assert sorted((r.page_id, r.n_chars) for r in got)[:3] == [(1, 0), (2, 0), (3, 0)] and len(got) == 5
     assert max(r.n_chars for r in got) == 360004
     assert html_extract.main_texts(pages.limit(0), MODEL).count() == 0
+
+
+def test_pages_without_end_of_head_and_body():
+    article = "<article><h1>Of a title</h1><p>The first paragraph is here, and it says more.<p>The second one ends the text.</article>"
+    want = "Of a title\n\nThe first paragraph is here, and it says more.\n\nThe second one ends the text."
+    for start in ("<head><title>x</title><body>", "<html><head><title>x</title>\n<body class=x>", "<head><meta charset=utf-8><title>x</title><style>p{}</style>", "<html><head><title>x</title></head>", "<head><title>x</title><a><body>"):
+        assert MODEL.extract(start + article) == want, start
+        assert MODEL.extract(start + article + "</body></html>") == want, start
+    assert "".join(n.text for n in html_extract.parse("<head><title>x</title> Text of <b>the</b> body.")) == "Text of the body."
+    for page in html_extract.labelled_pages(100, seed=778):
+        assert MODEL.extract(page.replace("</head>", "").replace("</body></html>", "")) == MODEL.extract(page) != ""
+
+
+def test_text_of_formulas_and_media_stays():
+    page = "<article><p>The sum is <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, and it is used below.<p>See <object data=x>the drawing of it</object> here, please.<p>Hear <audio src=x>a talk</audio> or <video src=x>a film</video> of it.</article>"
+    assert MODEL.extract(page) == "The sum is x=2, and it is used below.\n\nSee the drawing of it here, please.\n\nHear a talk or a film of it."
