@@ -101,6 +101,23 @@ def test_utterances_by_brute_force(spark, sf):
     assert sorted(got) == sorted(want)
 
 
+@pytest.fixture(scope="module")
+def scattered(spark, sf, tmp_path_factory):
+    """The tables that are streamed, each as 20 files in no order."""
+    place = tmp_path_factory.mktemp("scattered")
+    for t in ("events", "conversations"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(20).write.parquet(f"{place}/{t}.parquet")
+        assert len(list((place / f"{t}.parquet").glob("*.parquet"))) == 20
+    return str(place)
+
+
+@pytest.mark.parametrize("name", ["stream_session_window", "stream_dedup", "stream_utterances", "stream_repeats"])
+def test_streams_of_many_files(spark, sf, scattered, name):
+    rows = lambda place: sorted((tuple(map(plain, r)) for r in QUERIES[name](spark, place).collect()), key=str)
+    got = rows(scattered)
+    assert got and got == rows(sf)
+
+
 @pytest.mark.parametrize("name", ["cer_turns", "sa_wer", "cluster_agglomerative", "cluster_online"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
