@@ -118,6 +118,23 @@ def test_streams_of_many_files(spark, sf, scattered, name):
     assert got and got == rows(sf)
 
 
+def test_repeats_of_a_session_in_many_files(spark, tmp_path):
+    """The last turns come first; only turn 0 is new."""
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "conversations.parquet").mkdir()
+    text = "we meet again on the second day of the month to speak about the plan"
+    for turn in range(19, -1, -1):
+        file = tmp_path / "conversations.parquet" / f"{19 - turn:02}.parquet"
+        pq.write_table(pa.table({"conv_id": pa.array([1], pa.int64()), "turn": pa.array([turn], pa.int64()), "text": [text]}), file)
+        os.utime(file, (1_700_000_000 - turn, 1_700_000_000 - turn))
+    got = {r.seq: r.duplicate for r in QUERIES["stream_repeats"](spark, str(tmp_path)).collect()}
+    assert got == {turn: turn > 0 for turn in range(20)}
+
+
 @pytest.mark.parametrize("name", ["cer_turns", "sa_wer", "cluster_agglomerative", "cluster_online"])
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
