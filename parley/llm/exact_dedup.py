@@ -1,9 +1,11 @@
 """Exact deduplication with built-in functions only.
 
-Rows are grouped by a 128-bit hash of the normalised text; of each group the row with the most
-code points in its original text stays, ties going to the smallest id. Groups of more than one row
-are then compared byte for byte (their smallest and largest text must be the same); a group that
-fails is split by a second, longer digest, so a collision never merges different texts.
+Each row becomes a slim one (id, length, 128-bit hash of the normalised text), and rows are grouped by
+that hash; of each group the row with the most code points in its original text stays, then the
+smallest id. Texts move only for groups of more than one row: each is compared byte for byte with
+the first text of its group, and large groups are dealt out over parts that get a copy of that
+text each. A group that fails is split by a second, longer digest, so a collision never merges
+different texts.
 """
 
 from __future__ import annotations
@@ -11,8 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm import rows
+from parley.session import cut
+
 #: The characters that do not count: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Rows of a group whose texts are compared in one part.
+PART = 512
 
 
 def normalised(text: Column) -> Column:
@@ -20,36 +27,72 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, digest: Column | None) -> DataFrame:
+    """``_row`` (all columns), ``_norm``, its hash ``_h``, and ``_key``, by which rows of a group are ordered."""
+    own = F.col(f"`{text_col}`")
+    wide = docs.select(rows.packed(docs).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.char_length(F.coalesce(own, F.lit(""))).alias("_n"), normalised(own).alias("_norm"), rows.digest(docs).alias("_tie"))
+    key = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))
+    return wide.select("_row", "_norm", (F.unhex(F.md5("_norm")) if digest is None else digest).alias("_h"), key.alias("_key"))
+
+
+def _collided(marked: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """Hashes of groups in which a text differs from the first one."""
+    parts = groups.select("_h", F.ceil(F.col("group_size") / PART).cast("int").alias("_parts"))
+    texts = marked.select("_h", "_norm", "_key").join(rows.near(parts, count), "_h")
+    firsts = texts.groupBy("_h").agg(F.min("_parts").alias("_parts"), F.first("_norm").alias("_first"))
+    firsts = firsts.select(F.col("_h").alias("_g"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_p"), "_first")
+    own = texts.select("_h", "_norm", F.pmod(F.xxhash64("_key"), F.col("_parts")).cast("int").alias("_part"))
+    pairs = own.join(firsts, (F.col("_h") == F.col("_g")) & (F.col("_part") == F.col("_p")))
+    return pairs.where("_norm <> _first").select("_h").distinct()
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, digest: Column | None) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Marked rows, slim rows, and the groups of several rows (``_h, _sub, group_size, _best``) with their number.
+
+    ``_sub`` is empty, or the longer digest where texts of one hash differ.
+    """
+    marked = _marked(docs, id_col, text_col, digest)
+    slim = cut(marked.select("_h", F.sha2("_norm", 256).alias("_sha"), "_key", F.monotonically_increasing_id().alias("_at")))
+    order = F.struct("_key", "_at")
+    groups = cut(slim.groupBy("_h").agg(F.count("*").alias("group_size"), F.min(order).alias("_best")).where("group_size > 1"))
+    count = groups.count()
+    wrong = cut(_collided(marked, groups, count)) if count else groups.select("_h").limit(0)
+    whole = groups.join(wrong, "_h", "left_anti").select("_h", F.lit("").alias("_sub"), "group_size", "_best")
+    apart = slim.join(wrong, "_h", "left_semi").groupBy("_h", F.col("_sha").alias("_sub")).agg(F.count("*").alias("group_size"), F.min(order).alias("_best"))
+    found = cut(whole.unionByName(apart)) if count and not wrong.isEmpty() else whole
+    return marked, slim, found.select(F.col("_h").alias("_g"), "_sub", "group_size", "_best"), count
+
+
+def _own_group() -> Column:
+    return (F.col("_h") == F.col("_g")) & ((F.col("_sub") == "") | (F.col("_sub") == F.col("_sha")))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
-    """One row per input row: ``_id, keep_id, group_size, kept, same, text_sha256``.
+    """One row per input row: ``_id, keep_id, group_size, kept, text_sha256``.
+
+    Exactly one row of each group of equal texts has ``kept`` true, also where ids or whole rows are
+    repeated (then the one whose other columns have the smallest hash, then any of those alike). Ids
+    may be of any type that can be ordered; a null id comes after all others. Null and empty texts
+    are equal to each other. An empty table gives an empty result. ``digest`` (of column ``_norm``)
+    replaces the 128-bit hash in tests of the collision path.
+    """
+    _, slim, groups, count = _decided(docs, id_col, text_col, digest)
+    out = slim.join(rows.near(groups, count), _own_group(), "left")
+    alone, best = F.col("_g").isNull(), F.col("_best._key.id")
+    kept = alone | (F.col("_at") == F.col("_best._at"))
+    return out.select(F.col("_key.id").alias("_id"), F.when(alone, F.col("_key.id")).otherwise(best).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None) -> DataFrame:
+    """The rows that stay, with all columns of ``docs``: one of each group of equal texts.
 
-    Null and empty texts are equal to each other. A null id sorts after all others. Rows that share
-    both id and text all have ``kept`` true; ``same`` counts them, so a caller that needs one row
-    keeps one of ``same``. An empty table gives an empty result; other columns are not looked at.
-    ``digest`` (of column ``_norm``) replaces the 128-bit hash in tests of the collision path.
+    Which one is decided as in ``exact_dedup``; of rows alike in every column one stays. Rows whose
+    text is theirs alone are passed on where they are, without a shuffle, while the groups are few
+    enough to be sent to them.
     """
-    d = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
-    d = d.select("_id", F.char_length("_text").cast("long").alias("_n"), F.regexp_replace("_text", BLANKS, "").alias("_norm"))
-    d = d.withColumn("_h", F.md5("_norm") if digest is None else digest)
-    keyed = d.select("_id", "_n", "_h", F.sha2("_norm", 256).alias("text_sha256"))
-    several = d.groupBy("_h").agg(F.count("*").alias("_c")).where("_c > 1").select("_h")
-    collided = d.join(several, "_h", "left_semi").groupBy("_h").agg(F.min("_norm").alias("_a"), F.max("_norm").alias("_b")).where("_a <> _b").select("_h", F.lit(True).alias("_hit"))
-    keyed = keyed.join(collided, "_h", "left").withColumn("_sub", F.when(F.col("_hit"), F.col("text_sha256")).otherwise("")).drop("_hit")
-    each = keyed.groupBy("_h", "_sub", "_id", "_n").agg(F.count("*").alias("_same"))
-    order = F.struct(F.col("_n"), F.col("_id").isNotNull().alias("_some"), (-F.col("_id")).alias("_neg"), F.col("_same"), F.col("_id").alias("_first"))
-    best = each.groupBy("_h", "_sub").agg(F.sum("_same").alias("group_size"), F.max(order).alias("_best"))
-    best = best.select("_h", "_sub", "group_size", F.col("_best._first").alias("keep_id"), F.col("_best._same").alias("same"))
-    out = keyed.join(best, ["_h", "_sub"])
-    return out.select("_id", "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "same", "text_sha256")
-
-
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all columns of ``docs``; of rows alike in id and text one stays."""
-    decided = exact_dedup(docs, id_col, text_col).where("kept")
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_key"))
-    packed = packed.withColumn("_own", F.sha2(normalised(F.col(f"_row.`{text_col}`")), 256))
-    decided = decided.groupBy(F.col("_id").alias("_kid"), F.col("text_sha256").alias("_ksha")).agg(F.max("same").alias("_same"))
-    stay = packed.join(decided, F.col("_key").eqNullSafe(F.col("_kid")) & (F.col("_own") == F.col("_ksha")))
-    single = stay.where("_same = 1").select("_row.*")
-    alike = stay.where("_same > 1").groupBy("_key", "_own").agg(F.max_by("_row", F.char_length(F.coalesce(F.col(f"_row.`{text_col}`"), F.lit("")))).alias("_row")).select("_row.*")
-    return single.unionByName(alike)
+    marked, _, groups, count = _decided(docs, id_col, text_col, digest)
+    every = marked.select("_row", "_h", "_key", F.sha2("_norm", 256).alias("_sha"))
+    out = every.join(rows.near(groups, count), _own_group(), "left")
+    alone = out.where("_g is null").select("_row.*")
+    best = out.where(F.col("_key").eqNullSafe(F.col("_best._key"))).groupBy("_g", "_sub").agg(F.first("_row").alias("_row"))
+    return alone.unionByName(best.select("_row.*"))

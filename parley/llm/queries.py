@@ -81,7 +81,7 @@ select h.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from h
 with d as (select doc_id, coalesce(text, '') as t from documents),
 n as (select doc_id, length(t) as n, sha256(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from d)
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
-       doc_id = first_value(doc_id) over w as kept, text_sha256
+       row_number() over w = 1 as kept, text_sha256
 from n window w as (partition by text_sha256 order by n desc, doc_id)
 """,
 }

@@ -32,6 +32,37 @@ def test_drop_copies_keeps_one_of_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.text) for r in got if r.text) == [(0, "c"), (2, "a ")] and len(got) == 3
 
 
+def test_one_row_stays_where_ids_are_repeated(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "x"), (2, "ab", "x"), (5, "q r", "x"), (5, "qr ", "y"), (5, "q r", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r._id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 3, False), (1, 1, 3, True), (2, 1, 3, False), (5, 5, 3, False), (5, 5, 3, False), (5, 5, 3, True)]
+    for parts in (1, 3):
+        kept = exact_dedup.drop_copies(docs.repartition(parts)).collect()
+        assert len(kept) == 2 and (1, "a  b", "x") in map(tuple, kept)
+    assert len({tuple(r) for n in (1, 2, 5) for r in exact_dedup.drop_copies(docs.repartition(n)).where("doc_id = 5").collect()}) == 1
+
+
+def test_ids_of_other_types_and_ends(spark):
+    low = -(2**63)
+    got = exact_dedup.exact_dedup(spark.createDataFrame([(low, "a"), (low + 1, "a"), (2**63 - 1, "b")], "doc_id long, text string")).collect()
+    assert sorted((r._id, r.keep_id, r.kept) for r in got) == [(low, low, True), (low + 1, low, False), (2**63 - 1, 2**63 - 1, True)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame([("x", "a"), ("b", "a"), (None, "a")], "doc_id string, text string")).collect()
+    assert {(r._id, r.keep_id, r.kept) for r in got} == {("x", "b", False), ("b", "b", True), (None, "b", False)}
+
+
+def test_groups_over_many_parts_and_without_broadcast(spark, monkeypatch):
+    rows = [(i, "same  text" if i % 7 else f"own {i}", "x") for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = sorted(tuple(r) for r in exact_dedup.exact_dedup(docs).collect())
+    monkeypatch.setattr(exact_dedup, "PART", 3)
+    monkeypatch.setattr(exact_dedup.rows, "SMALL", 0)
+    assert sorted(tuple(r) for r in exact_dedup.exact_dedup(docs).collect()) == want
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == sorted(r[0] for r in want if r[3])
+    clash = exact_dedup.drop_copies(docs, digest=F.lit("one"))
+    assert sorted(r.doc_id for r in clash.collect()) == sorted(r[0] for r in want if r[3])
+
+
 def test_simhash_matches_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
