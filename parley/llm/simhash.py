@@ -1,8 +1,9 @@
 """SimHash near-dedup: fingerprints, candidate pairs through pivot distance tables, components.
 
-Distinct fingerprints are dealt out by pigeonhole keys: of ``k`` bit blocks, two fingerprints within
-``d`` bits agree on some ``k - d``. Within a key a table of distances to reference fingerprints
-(pivots) discards pairs whose distance to any pivot differs by more than ``d``, which the triangle
+Distinct fingerprints get a table of Hamming distances to reference fingerprints (pivots), once and in
+the JVM, and are dealt out by pigeonhole keys: of ``k`` bit blocks, two fingerprints within ``d``
+bits agree on some ``k - d``. In a task the groups of a whole batch are judged together: a pair is
+discarded if its largest coordinate difference in the table exceeds ``d``, which the triangle
 inequality makes safe; survivors are compared bit by bit. Large keys are cut into parts and each
 pair of parts is its own group. Components come from min-label contraction on Spark tables.
 """
@@ -13,13 +14,12 @@ from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm import words
+from parley.llm import rows, words
 from parley.session import cut, ship
 
 #: Words of a shingle, seed of its hash, most differing bits of a link.
@@ -30,6 +30,8 @@ PIVOTS = 24
 PART = 2048
 #: Fingerprints that a key should hold on average, at most, if bits are spread evenly.
 CROWD = 16
+#: Dealt-out fingerprints of one task, at most on average, and pairs that are judged at once.
+TASK, PAIRS = 400_000, 2_000_000
 
 
 def fingerprint_of(text: bytes, size: int = SHINGLE) -> int:
@@ -60,31 +62,44 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return slim.mapInArrow(mark, schema)
 
 
-def pivot_table(prints: np.ndarray, count: int = PIVOTS) -> np.ndarray:
-    """Hamming distances of each fingerprint to fixed reference fingerprints."""
-    pivots = np.random.default_rng(7).integers(0, 2**64, count, np.uint64)
-    return np.bitwise_count(prints[:, None] ^ pivots[None, :]).astype(np.int8)
-
-
-def close_pairs(left: np.ndarray, right: np.ndarray, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within ``bits``: sorted by the first pivot, cut by the others, then verified."""
-    order = np.argsort(pivot_table(right, 1)[:, 0], kind="stable")
-    table, own = pivot_table(right[order]), pivot_table(left)
-    first = table[:, 0].astype(np.int64)
-    low, high = np.searchsorted(first, own[:, 0].astype(np.int64) - bits), np.searchsorted(first, own[:, 0].astype(np.int64) + bits, "right")
-    step = max(1, 2_000_000 // max(1, len(right)))
-    for a in range(0, len(left), step):
-        size = (high - low)[a : a + step]
-        x = np.repeat(np.arange(a, a + len(size)), size)
-        y = np.repeat(low[a : a + step] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        for p in range(1, own.shape[1]):
-            if len(x) < 64:
-                break
-            near = np.abs(own[x, p] - table[y, p]) <= bits
-            x, y = x[near], y[near]
-        y = order[y]
-        sure = np.bitwise_count(left[x] ^ right[y]) <= bits
-        yield x[sure], y[sure]
+def pivots(count: int = PIVOTS) -> list[int]:
+    """The reference fingerprints, as signed longs."""
+    return np.random.default_rng(7).integers(-(2**63), 2**63, count, np.int64).tolist()
+
+
+def pivot_table(prints: DataFrame, count: int = PIVOTS) -> DataFrame:
+    """``prints`` with ``_d``: the Hamming distance to each reference fingerprint, one byte each."""
+    far = [F.substring(F.unhex(F.hex(F.bit_count(F.col("_fp").bitwiseXOR(F.lit(p))))), -1, 1) for p in pivots(count)]
+    return prints.withColumn("_d", F.concat(*far))
+
+
+def close_pairs(group: np.ndarray, prints: np.ndarray, table: np.ndarray, bits: int = BITS, seen: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of one group that are within ``bits``.
+
+    Rows are sorted by group and first coordinate, so pairs whose first coordinates differ too much
+    are never made; the other coordinates discard pairs in turn, and what is left is verified.
+    ``seen`` counts the pairs made, those left after each coordinate, and those verified.
+    """
+    place = np.unique(group, return_inverse=True)[1].astype(np.int64) * 256 + table[:, 0]
+    order = np.argsort(place, kind="stable")
+    place, table, prints = place[order], table[order].astype(np.int8), prints[order]
+    many = np.searchsorted(place, place + bits, "right") - np.arange(len(place)) - 1
+    upto = np.concatenate(([0], np.cumsum(many)))
+    a = 0
+    while a < len(place):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        x = np.repeat(np.arange(a, b), many[a:b])
+        y = x + 1 + np.arange(len(x)) - np.repeat(upto[a:b] - upto[a], many[a:b])
+        left = [len(x)]
+        for p in range(1, table.shape[1]):
+            stay = np.abs(table[x, p] - table[y, p]) <= bits
+            x, y = x[stay], y[stay]
+            left.append(len(x))
+        sure = np.bitwise_count(prints[x] ^ prints[y]) <= bits
+        if seen is not None:
+            seen.setdefault("pairs", []).append([*left, int(sure.sum())])
+        yield order[x[sure]], order[y[sure]]
+        a = b
 
 
 def forest(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
@@ -106,16 +121,17 @@ def forest(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     return label
 
 
-def _linked(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links of one group of fingerprints: each one with the smallest that it reaches in the group."""
-    own = np.unique(frame["_fp"].to_numpy())
-    prints = own.view(np.uint64)
+def _linked(batch: pa.RecordBatch, bits: int) -> pa.RecordBatch:
+    """Links of whole groups of fingerprints: each one with the smallest that it reaches in its group."""
+    own = batch.column(0).to_numpy()
+    at = np.argsort(own, kind="stable")
+    own, group = own[at], batch.column(1).to_numpy()[at]
+    table = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.int8).reshape(len(own), -1)[at]
     label = np.arange(len(own))
-    for x, y in close_pairs(prints, prints):
-        less = x > y
-        label = forest(np.concatenate((np.arange(len(own)), x[less])), np.concatenate((label, y[less])), len(own))
-    linked = label != np.arange(len(own))
-    return pd.DataFrame({"a": own[linked], "b": own[label[linked]]})
+    for x, y in close_pairs(group, own.view(np.uint64), table, bits):
+        label = forest(np.concatenate((np.arange(len(own)), x)), np.concatenate((label, y)), len(own))
+    linked = own[label] != own
+    return pa.RecordBatch.from_arrays([pa.array(own[linked]), pa.array(own[label[linked]])], ["a", "b"])
 
 
 def block_keys(count: int, bits: int = BITS) -> tuple[int, list[tuple[int, ...]]]:
@@ -129,10 +145,13 @@ def block_keys(count: int, bits: int = BITS) -> tuple[int, list[tuple[int, ...]]
 def links(prints: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (column ``_fp``), enough to connect each class.
 
+    ``part`` bounds the fingerprints that one group holds of a part.
+
     Every pair within ``bits`` is connected through the links; pairs that others connect need no
     link of their own. Keys above ``part`` fingerprints are compared part by part, none is left out.
     """
-    blocks, sets = block_keys(prints.count(), bits)
+    count = prints.count()
+    blocks, sets = block_keys(count, bits)
     edges = [64 * i // blocks for i in range(blocks + 1)]
 
     def piece(i: int):
@@ -140,32 +159,30 @@ def links(prints: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
         return F.shiftrightunsigned("_fp", edges[i]).bitwiseAND(F.lit((1 << width) - 1))
 
     keys = F.array(*[F.xxhash64(F.lit(k), *[piece(i) for i in own]) for k, own in enumerate(sets)])
-    keyed = prints.select("_fp", F.explode(keys).alias("_key"))
+    keyed = pivot_table(prints).select("_fp", "_d", F.explode(keys).alias("_key"))
     sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_parts", F.ceil(F.col("_n") / part).cast("int"))
     keyed = keyed.join(sizes, "_key").withColumn("_own", F.pmod(F.xxhash64("_fp", F.lit(1)), F.col("_parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda i: F.struct(F.least(i, "_own").alias("p"), F.greatest(i, "_own").alias("q")))
-    dealt = keyed.select("_fp", "_key", F.explode(pair).alias("_pair")).select("_fp", F.xxhash64("_key", "_pair.p", "_pair.q").alias("_group"))
+    group = F.xxhash64("_key", "_pair.p", "_pair.q").alias("_group")
+    dealt = keyed.select("_fp", "_d", F.col("_key"), F.explode(pair).alias("_pair")).select("_fp", group, "_d")
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count * len(sets) // TASK))
 
     def solve(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pd.DataFrame] = []
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            frame = batch.to_pandas()
-            cut_at = np.flatnonzero(np.diff(frame["_group"].to_numpy(), prepend=frame["_group"].iloc[0] if len(frame) else 0))
-            pieces = [frame.iloc[a:b] for a, b in zip([0, *cut_at], [*cut_at, len(frame)], strict=True) if b > a]
-            for own in pieces:
-                if held and held[-1]["_group"].iloc[0] != own["_group"].iloc[0]:
-                    yield from emit(held)
-                    held = []
-                held.append(own)
+            if not batch.num_rows:
+                continue
+            group = batch.column(1).to_numpy()
+            # the last group of a batch may go on in the next one
+            cut_at = int(np.searchsorted(group, group[-1]))
+            if cut_at or held and held[-1].column(1)[-1].as_py() != group[-1]:
+                yield _linked(pa.concat_batches([*held, batch.slice(0, cut_at)]), bits)
+                held = []
+            held.append(batch.slice(cut_at))
         if held:
-            yield from emit(held)
-
-    def emit(held: list[pd.DataFrame]) -> Iterator[pa.RecordBatch]:
-        out = _linked(pd.concat(held))
-        if len(out):
-            yield pa.RecordBatch.from_arrays([pa.array(out["a"].to_numpy(np.int64)), pa.array(out["b"].to_numpy(np.int64))], ["a", "b"])
+            yield _linked(pa.concat_batches(held), bits)
 
-    return dealt.repartition("_group").sortWithinPartitions("_group").mapInArrow(solve, "a long, b long").distinct()
+    return dealt.repartition(tasks, "_group").sortWithinPartitions("_group").mapInArrow(solve, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -202,3 +219,26 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = classed.groupBy("_root").agg(F.min("_low").alias("component_id"))
     member = classed.join(named, "_root").select("_fp", "component_id")
     return marked.join(member, "_fp").select("_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
+    """One row of each component, with all columns of ``docs``: the one with the smallest id.
+
+    Of rows with that id the one whose columns have the smallest hash stays, of rows alike in every
+    column any one; a null id comes last. Rows are told apart by id and hash, so a repeated id never
+    keeps a second document. While those that go are few, they are sent to the rows, which stay
+    where they are.
+    """
+    wide = docs.select(rows.packed(docs).alias("_row"), F.col(f"`{id_col}`").alias("_id"), rows.digest(docs).alias("_tie"), F.col(f"`{text_col}`").alias("_text"))
+    key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_tie").alias("tie"))
+    marked = cut(fingerprints(wide.select(key.alias("_key"), "_text"), "_key", "_text"))
+    each = marked.groupBy("_fp", "_id").agg(F.count("*").alias("_same"))
+    prints = marked.select("_fp").distinct()
+    named = each.join(components(links(prints, bits)), F.col("_fp") == F.col("node"), "left").select("_id", "_same", F.coalesce("root", "_fp").alias("_root"))
+    best = named.groupBy("_root").agg(F.min("_id").alias("_best"), F.count("*").alias("_n"), F.max("_same").alias("_most")).where("_n > 1 or _most > 1")
+    judged = named.join(best, "_root").select("_id", "_same", (F.col("_id") == F.col("_best")).alias("_stays")).where("not _stays or _same > 1")
+    judged = cut(judged.select(F.col("_id").alias("_which"), "_stays").distinct())
+    out = wide.select("_row", key.alias("_key")).join(rows.near(judged, judged.count()), F.col("_key") == F.col("_which"), "left")
+    alone = out.where("_which is null").select("_row.*")
+    again = out.where("_stays").groupBy("_which").agg(F.first("_row").alias("_row"))
+    return alone.unionByName(again.select("_row.*"))

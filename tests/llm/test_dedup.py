@@ -100,3 +100,46 @@ def test_near_dedup_edges(spark):
     assert got[3].component_id == 2 and got[2].fingerprint == "0" * 16
     assert got[7].component_id == got[None].component_id == 5
     assert simhash.near_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pivots_discard_the_pairs():
+    """Almost all pairs go by the table of distances; none that is close does."""
+    rng = np.random.default_rng(8)
+    prints = rng.integers(0, 2**64, 400, np.uint64)
+    prints = np.unique(np.concatenate((prints, prints[:50] ^ np.uint64(5))))
+    group = ((prints >> np.uint64(8)) % np.uint64(3)).astype(int)
+    far = np.bitwise_count(prints[:, None] ^ np.array(simhash.pivots(), np.int64).view(np.uint64)[None, :]).astype(np.int8)
+    seen = {}
+    got = {(min(a, b), max(a, b)) for x, y in simhash.close_pairs(group, prints, far, seen=seen) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    want = {(i, j) for j in range(len(prints)) for i in range(j) if group[i] == group[j] and int(prints[i] ^ prints[j]).bit_count() <= 3}
+    assert got == want and want
+    made, *left, sure = np.array(seen["pairs"]).sum(axis=0).tolist()
+    assert made < len(prints) ** 2 / 6 and left[0] < made and left[-1] < made / 100 and sure == len(want)
+
+
+def test_pairs_in_blocks_are_the_same(monkeypatch):
+    rng = np.random.default_rng(9)
+    prints = np.unique(rng.integers(0, 2**6, 60, np.uint64))
+    far = np.bitwise_count(prints[:, None] ^ np.array(simhash.pivots(), np.int64).view(np.uint64)[None, :]).astype(np.int8)
+    pairs = lambda: {(min(a, b), max(a, b)) for x, y in simhash.close_pairs(np.zeros(len(prints), int), prints, far) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    want = pairs()
+    monkeypatch.setattr(simhash, "PAIRS", 7)
+    assert pairs() == want and want
+
+
+def test_table_of_distances(spark):
+    frame = spark.createDataFrame([(0,), (-1,), (2**63 - 1,), (-(2**63),)], "_fp long")
+    for r in simhash.pivot_table(frame).collect():
+        assert list(r._d) == [((r._fp ^ p) & (2**64 - 1)).bit_count() for p in simhash.pivots()]
+
+
+def test_drop_near_keeps_one_document_of_each(spark, monkeypatch):
+    x, y = "one two three four five six", "quite another text which is not alike at all"
+    rows = [(1, x, "a"), (7, y, "a"), (7, x, "b"), (7, x, "b"), (7, y, "a"), (9, "ONE two three four five six", "c"), (None, x, "d"), (None, "alone here and now", None), (4, None, "e"), (5, "", "e")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = [(1, x, "a"), (4, None, "e"), (7, y, "a"), (None, "alone here and now", None)]
+    for small in (simhash.rows.SMALL, 0):
+        monkeypatch.setattr(simhash.rows, "SMALL", small)
+        got = simhash.drop_near(docs)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert simhash.drop_near(docs.limit(0)).count() == 0
