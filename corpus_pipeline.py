@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import bpe, classifier, decontaminate, exact_dedup, simhash
 from parley.llm.queries import RANKS
-from parley.session import cut, shared_dir, table
+from parley.session import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: the one with the smallest id."""
-    found = simhash.near_dedup(docs)
-    stay = cut(found.where(F.col("_id").eqNullSafe(F.col("component_id"))).select("_id").distinct())
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return simhash.drop_near(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
