@@ -1,9 +1,11 @@
 """Benchmark decontamination: an FM-index for each block of documents, searched for test phrases.
 
 A block of documents becomes a sequence of word numbers (numbers are given to words of the
-benchmark only). Stretches of at least the shortest window's length go into an FM-index; all windows
-are searched backwards at once, their occurrences are located by sampled positions, confirmed byte
-for byte, and merged into spans. Documents never leave their task: no shuffle.
+benchmark only). Windows are told apart by their last words: where none of these endings occurs, no
+window can, so only the words before an ending go into an FM-index, and only windows with an ending
+that occurs are searched backwards. The cost of a block thus follows what may occur in it, not the
+size of the benchmark. Occurrences are located by sampled positions, confirmed byte for byte, and
+merged into spans. Documents never leave their task: no shuffle.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from pyspark.sql import types as T
 
 from parley.llm import words
 from parley.llm.fm_index import FMIndex
-from parley.session import ship
+from parley.session import ship, written
 
-#: Words of a window.
-WINDOW = 13
+#: Words of a window, and last words of it that are looked up first.
+WINDOW, ENDING = 13, 4
 #: Bytes of benchmark text that one pass over the documents searches for; more take more passes.
 PASS_BYTES = 16_000_000
 #: A document is contaminated if at least one word in so many is hit.
@@ -58,6 +60,43 @@ class Phrases:
             self.rows[i, window - len(x) // 4 :] = np.frombuffer(x, np.int32)
         self.of = [np.array(x) for x in rows.values()]
         self.shortest = int(self.lengths.min()) if len(rows) else 0
+        self.endings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in range(1, ENDING + 1):
+            own = np.flatnonzero(np.minimum(self.lengths, ENDING) == size)
+            if len(own):
+                code = _codes(self.rows[own, window - min(size, window) :].astype(np.int64), size)
+                order = np.argsort(code, kind="stable")
+                self.endings[size] = code[order], own[order]
+
+
+def _codes(numbers: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit code of each row of ``size`` word numbers; unlike rows may share one."""
+    code = np.zeros(len(numbers), np.uint64)
+    for k in range(size):
+        code = (code ^ (numbers[:, k].astype(np.uint64) + np.uint64(1))) * np.uint64(words.BASE)
+        code ^= code >> np.uint64(29)
+    return code
+
+
+def _possible(number: np.ndarray, start: np.ndarray, end: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Windows whose last words occur in the stretches, and which words may be of an occurrence."""
+    live, near = [], np.zeros(len(number) + 1, np.int64)
+    for size, (codes, windows) in phrases.endings.items():
+        room = np.maximum(0, end - start - size + 1)
+        at = np.repeat(start - (np.cumsum(room) - room), room) + np.arange(int(room.sum()))
+        own = _codes(np.stack([number[at + k] for k in range(size)], 1), size) if len(at) else np.empty(0, np.uint64)
+        low, high = np.searchsorted(codes, own), np.searchsorted(codes, own, "right")
+        hit = np.flatnonzero(low < high)
+        if not len(hit):
+            continue
+        pairs = np.unique(np.stack((low[hit], high[hit]), 1), axis=0)
+        many = pairs[:, 1] - pairs[:, 0]
+        live.append(windows[np.repeat(pairs[:, 0] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))])
+        longest = int(phrases.lengths[live[-1]].max())
+        first = np.repeat(start, room)[hit]
+        np.add.at(near, np.maximum(first, at[hit] + size - longest), 1)
+        np.add.at(near, at[hit] + size, -1)
+    return np.concatenate(live) if live else np.empty(0, np.int64), np.cumsum(near)[:-1] > 0
 
 
 def _stretches(known: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,19 +119,28 @@ def occurrences(table: words.Table, phrases: Phrases) -> tuple[np.ndarray, np.nd
     number[number == len(phrases.vocabulary)] = 0
     known = phrases.vocabulary[number] == table.hash
     start, end = _stretches(known, table.doc, phrases.shortest)
-    if not len(start):
+    live, near = _possible(number, start, end, phrases)
+    if not len(live):
         return nothing
+    start, end = _stretches(near, table.doc, phrases.shortest)
     size = end - start
     offset = np.cumsum(size + 1) - size - 1
     at = np.repeat(start - offset, size + 1) + np.arange(int((size + 1).sum()))
     gap = np.cumsum(size + 1) - 1
     sigma = len(phrases.vocabulary) + 1
     sequence = np.where(np.isin(np.arange(len(at)), gap, assume_unique=True), sigma - 1, number[np.minimum(at, len(number) - 1)])
-    index = FMIndex(sequence, sigma)
-    low, high = index.search(phrases.rows, phrases.lengths)
+    # numbers of this block's words only, so that the alphabet and its table stay small
+    present, sequence = np.unique(np.append(sequence, sigma - 1), return_inverse=True)
+    index = FMIndex(sequence[:-1], len(present))
+    rows_of = phrases.rows[live]
+    wanted = np.searchsorted(present, rows_of)
+    inside = np.arange(rows_of.shape[1]) >= rows_of.shape[1] - phrases.lengths[live][:, None]
+    whole = ((present[np.minimum(wanted, len(present) - 1)] == rows_of) | ~inside).all(1)
+    live, wanted = live[whole], np.where(inside, wanted, 0)[whole]
+    low, high = index.search(wanted, phrases.lengths[live])
     many = high - low
     rows = np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    first, window = at[index.locate(rows)], np.repeat(np.arange(len(many)), many)
+    first, window = at[index.locate(rows)], np.repeat(live, many)
     covered = np.zeros(len(known) + 1, np.int64)
     np.add.at(covered, first, 1)
     np.add.at(covered, first + phrases.lengths[window], -1)
@@ -133,15 +181,16 @@ def _search(phrases: Phrases, batches: Iterable[pa.RecordBatch], column: str, fo
     yield from words.by_batch(of, batches, column)
 
 
-def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_bytes: int) -> Iterator:
-    """The phrases of the benchmark, block by block of about ``pass_bytes``, each sent to the executors."""
+def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_bytes: int) -> Iterator[tuple]:
+    """The phrases of the benchmark, block by block of about ``pass_bytes``, each sent to the executors
+    when it is asked for; and whether there are more."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("t")).where("i is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     count = max(1, -(-size // pass_bytes))
     for k in range(count):
         own = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k).orderBy("i", "t").collect()
-        yield spark.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in own], window))
+        yield spark.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in own], window)), k + 1 < count
 
 
 def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES, found: str = "_found", then=None, schema: T.StructType | None = None) -> DataFrame:
@@ -149,19 +198,25 @@ def search(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_c
 
     Null and empty texts have no words; items without words or without an id have no windows; items
     that occur twice count once. All columns of ``docs`` stay as they are, repeated rows and null
-    ids too. The benchmark is read in blocks of ``pass_bytes``; each block is one more narrow pass.
-    Spans of one pass do not touch; spans of several passes may, see ``merged``. ``then`` goes on with
-    the batches of the last pass in the same worker and gives rows of ``schema``.
+    ids too; ``found`` must not be one of them (ValueError). A benchmark of more than ``pass_bytes``
+    is searched for in passes one after the other: each but the last writes its rows into the shared
+    folder and takes its broadcast back before the next begins, so one block of the benchmark is
+    held at a time. Spans of one pass do not touch; spans of several passes may, see ``merged``.
+    ``then`` goes on with the batches of the last pass in the same worker and gives rows of ``schema``.
     """
+    if found in docs.columns:
+        raise ValueError(f"documents have a column {found}")
     ship(docs.sparkSession)
     out = docs.withColumn(found, F.lit(None).cast(FOUND))
-    every = list(_passes(benchmark, item_col, item_text_col, window, pass_bytes))
-    for held in every[:-1]:
-        out = out.mapInArrow(lambda batches, held=held: _search(held.value, batches, text_col, found), out.schema)
-    last = every[-1]
+    passes = _passes(benchmark, item_col, item_text_col, window, pass_bytes)
+    held, more = next(passes)
+    while more:
+        out = written(out.mapInArrow(lambda batches, held=held: _search(held.value, batches, text_col, found), out.schema), "passes")
+        held.destroy()
+        held, more = next(passes)
     if then is None:
-        return out.mapInArrow(lambda batches: _search(last.value, batches, text_col, found), out.schema)
-    return out.mapInArrow(lambda batches: then(_search(last.value, batches, text_col, found)), schema)
+        return out.mapInArrow(lambda batches: _search(held.value, batches, text_col, found), out.schema)
+    return out.mapInArrow(lambda batches: then(_search(held.value, batches, text_col, found)), schema)
 
 
 def merged(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
@@ -197,8 +252,15 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
+    """The documents that are not contaminated, with all their columns.
+
+    A null or empty text is never contaminated; repeated rows and null ids are judged like any other.
+    An empty table, or an empty benchmark, gives the documents back. Columns may have any names: the
+    spans go under one that is free.
+    """
     found = "_found_spans"
+    while found in docs.columns:
+        found += "_"
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

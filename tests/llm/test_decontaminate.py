@@ -39,3 +39,40 @@ def test_edges_and_several_passes(spark):
     assert [r[4] for r in decontaminate.report(d, b.limit(0)).collect()] == [brute.contamination([(0, "")], [])[0][3]] * len(docs)
     kept = decontaminate.clean(d, b)
     assert kept.columns == d.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [1, 2]
+
+
+def test_clean_bears_any_column_name(spark):
+    text = " ".join(f"word{i}" for i in range(20))
+    d = spark.createDataFrame([(1, text, "c"), (2, "other", None)], "doc_id long, text string, _found_spans string")
+    b = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.clean(d, b).collect()] == [(2, "other", None)]
+
+
+def test_cost_does_not_follow_windows_that_cannot_occur():
+    """A million windows take at most about twice the time of a few hundred, for one block of text."""
+    import random
+    import time
+
+    from parley.llm import words
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(30_000)]
+    some = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    few = [(str(i), some(20).encode()) for i in range(400)]
+    many = few + [(f"x{i}", some(5012).encode()) for i in range(200)]
+    block = [(some(300) + " " + few[i][1].decode() + " " + some(60)).encode() for i in range(300)]
+    table = words.Table(block)
+    took, found = [], []
+    for items in (few, many):
+        phrases = decontaminate.Phrases(items, 13)
+        decontaminate.occurrences(table, phrases)
+        best = []
+        for _ in range(3):
+            began = time.perf_counter()
+            first, window = decontaminate.occurrences(table, phrases)
+            best.append(time.perf_counter() - began)
+        took.append(min(best))
+        found.append(sorted(zip(first.tolist(), [phrases.rows[w].size for w in window])))
+    assert len(decontaminate.Phrases(many, 13).of) > 1_000_000
+    assert len(found[0]) == 300 * 8 == len(found[1])
+    assert took[1] < 2.5 * took[0] + 0.1, took
