@@ -1,10 +1,12 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
-Reading tokens from every place of a piece at once is a non-deterministic machine; its sets of open
-readings are made into states when they are first met. A state knows the tokens that may end there,
-longest first; exactly one of them fits the token before it. What all open readings have in common is
-settled and emitted after a bounded lookahead. Decoding joins token bytes block by block; an
-incremental UTF-8 machine holds back the bytes of a character that a block's end has cut.
+Reading tokens from every place of a piece at once is a non-deterministic machine. Of a set of open
+readings only the longest beginning of a token matters, as the others are its ends; so these
+beginnings are the states, made when they are first met. A state knows the tokens that may end
+there, longest first, and the compiled merges decide which of them fits the token before it (exactly
+one does). What all open readings have in common is settled and emitted after a bounded lookahead.
+Decoding joins token bytes block by block; an incremental UTF-8 machine holds back the bytes of a
+character that a block's end has cut.
 """
 
 from __future__ import annotations
@@ -284,7 +286,11 @@ def _ids_field(name: str) -> T.StructField:
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of each whole text; null and empty texts have none."""
+    """``docs`` with the token ids of each whole text; null and empty texts have none.
+
+    A column named ``ids_col`` is replaced; all other columns, repeated rows and null ids stay, and
+    an empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     shared, rest = _Shared(docs.sparkSession, ranks_path), docs.drop(ids_col)
     schema = T.StructType([*rest.schema.fields, _ids_field(ids_col)])
@@ -293,7 +299,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 
 def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``tokens`` with the text of each list of ids; a null list gives an empty text."""
+    """``tokens`` with the text of each list of ids; a null list gives an empty text.
+
+    A column named ``text_col`` is replaced; other columns and repeated rows stay.
+    """
     ship(tokens.sparkSession)
     shared, rest = _Shared(tokens.sparkSession, ranks_path), tokens.drop(text_col)
     schema = T.StructType([*rest.schema.fields, T.StructField(text_col, T.StringType())])
@@ -302,7 +311,10 @@ def decode(tokens: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """``encode`` and then ``decode`` in one pass, so that a task has one worker and one set of tables."""
+    """``encode`` and then ``decode`` in one pass, so that a task has one worker and one set of tables.
+
+    Columns named ``ids_col`` and ``decoded_col`` are replaced; edges as in both.
+    """
     ship(docs.sparkSession)
     shared, rest = _Shared(docs.sparkSession, ranks_path), docs.drop(ids_col, decoded_col)
     schema = T.StructType([*rest.schema.fields, _ids_field(ids_col), T.StructField(decoded_col, T.StringType())])
@@ -315,7 +327,10 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
+    """Per row: _id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
+
+    Null texts count as empty; null and repeated ids stay; other columns are not looked at.
+    """
     slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     both = round_trip(slim, ranks_path, pattern, "_text", "_ids", "_back")
     return both.select("_id", F.size("_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("_back", 256).alias("decoded_sha256"))

@@ -1,8 +1,9 @@
 """Chat formatting: layouts are told by a fingerprint of their field paths and become marked turns.
 
-The nested field paths of a table, as far as any known layout uses them, are hashed; the hash selects
-a declarative mapping to canonical rows (conversation, turn, role, text). Turns are then written in
-one template, in which control strings inside texts are escaped so that reading gives them back.
+The nested field paths of a table, as far as a known layout uses them, are hashed; a hash that is that
+layout's own selects its declarative mapping to canonical rows (conversation, turn, role, text).
+Turns are then written in one template, in which control strings inside texts are escaped so that
+reading gives them back.
 """
 
 from __future__ import annotations
@@ -72,19 +73,26 @@ LAYOUTS = (
     Mapping("instruction without input", ("instruction", "output"), _turns(("user", lambda: F.col("instruction")), ("assistant", lambda: F.col("output")))),
 )
 BY_FINGERPRINT = {fingerprint(m.paths): m for m in LAYOUTS}
-_KNOWN = {p for m in LAYOUTS for p in m.paths}
+
+
+def layout_of(kind: T.StructType) -> Mapping | None:
+    """The layout that a table has whole: the one with the most fields, of those the first in ``LAYOUTS``."""
+    paths = set(field_paths(kind))
+    found = [BY_FINGERPRINT.get(fingerprint(paths.intersection(m.paths))) for m in LAYOUTS]
+    return max((m for m in found if m), key=lambda m: (len(m.paths), -LAYOUTS.index(m)), default=None)
 
 
 def canonical(table: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """Rows ``_conv, _turn, _role, _text`` of a table in any known layout.
 
-    Fields that no layout knows are not looked at. Raises ValueError for an unknown layout. Roles are
-    lower-cased and named alike where they are known; a null role or text is empty.
+    Other fields are not looked at, also where some layout knows their names; of several whole
+    layouts the one with the most fields wins, then the first in ``LAYOUTS``. Raises ValueError for
+    an unknown layout. Roles are lower-cased and named alike where they are known (rows by turn keep
+    theirs); a null role or text is empty, repeated rows stay, and a null list has no turns.
     """
-    found = fingerprint(p for p in field_paths(table.schema) if p in _KNOWN)
-    if found not in BY_FINGERPRINT:
+    mapping = layout_of(table.schema)
+    if mapping is None:
         raise ValueError(f"no mapping for the layout {sorted(field_paths(table.schema))}")
-    mapping = BY_FINGERPRINT[found]
     conv = F.col(f"`{id_col}`").alias("_conv")
     if mapping.turns is None:
         rows = table.select(conv, F.col("turn").cast("long").alias("_turn"), F.col("role").alias("_role"), F.col("text").alias("_text"))
@@ -130,7 +138,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """Per conversation of canonical rows: ``_conv, formatted, loss`` (spans of code points).
 
     Turns are ordered by number, then role and text; repeated rows are repeated turns. Rows with a
-    null conversation id are one conversation. An empty table gives an empty result.
+    null conversation id are one conversation. An empty table gives an empty result. A conversation
+    is one text, so its turns come to one task; texts of several conversations never do.
     """
     ship(turns.sparkSession)
     grouped = turns.groupBy("_conv").agg(F.array_sort(F.collect_list(F.struct("_turn", "_role", "_text"))).alias("_turns"))

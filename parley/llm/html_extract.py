@@ -14,6 +14,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -67,6 +68,8 @@ def parse(page: str) -> list[Node]:
     """
     nodes = [Node("html", -1)]
     stack: list[tuple[str, int]] = [("html", 0)]
+    # how many open elements of each name there are besides the root
+    opened: Counter[str] = Counter()
     skipping = links = 0
     open_text = -1
     in_head = False
@@ -93,11 +96,13 @@ def parse(page: str) -> list[Node]:
         nonlocal in_head
         if in_head:
             stack[:] = [s for s in stack if s[0] != "head"]
+            opened["head"] = 0
             in_head = False
 
     def pop() -> None:
         nonlocal skipping, links, open_text, in_head
         tag = stack.pop()[0]
+        opened[tag] -= 1
         in_head = in_head and tag != "head"
         skipping -= tag in SKIPPED
         links -= tag == "a"
@@ -118,8 +123,7 @@ def parse(page: str) -> list[Node]:
         if found[1] or found[4]:
             if name == "br":
                 add(" ")
-            names = [t for t, _ in stack]
-            if name in names[1:]:
+            if opened[name] > 0:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -148,7 +152,7 @@ def parse(page: str) -> list[Node]:
             if in_head:
                 continue
             in_head = True
-        if name in CLOSES_P:
+        if name in CLOSES_P and opened["p"] > 0:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     while len(stack) > k:
@@ -156,7 +160,7 @@ def parse(page: str) -> list[Node]:
                     break
                 if stack[k][0] in SCOPE or stack[k][0] in BLOCK:
                     break
-        if name in SAME:
+        if name in SAME and any(opened[t] > 0 for t in SAME[name]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in SAME[name]:
                     while len(stack) > k:
@@ -164,7 +168,7 @@ def parse(page: str) -> list[Node]:
                     break
                 if stack[k][0] in SCOPE:
                     break
-        if name in ("html", "body") and any(t == name for t, _ in stack[1:]):
+        if name in ("html", "body") and opened[name] > 0:
             continue
         owner = stack[-1][1]
         if name in BLOCK:
@@ -182,6 +186,7 @@ def parse(page: str) -> list[Node]:
         skipping += name in SKIPPED
         links += name == "a"
         stack.append((name, owner))
+        opened[name] += 1
     return nodes
 
 

@@ -42,3 +42,16 @@ def test_edges(spark):
     got = {r._conv: r for r in chat.digests(chat.format_chats(chat.canonical(df))).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 10 and got[None].n_turns == 1 and got[2].loss_chars == 250000
     assert chat.digests(chat.format_chats(chat.canonical(df.limit(0)))).count() == 0
+
+
+def test_fields_of_other_layouts_do_not_matter(spark):
+    want = [(1, 0, "user", "q")]
+    tables = [
+        spark.createDataFrame([(1, 0, "user", "q", "x", "y")], "conv_id long, turn int, role string, text string, input string, prompt string"),
+        spark.createDataFrame([(1, [("user", "q")], "x")], "conv_id long, messages array<struct<role:string,content:string>>, text string"),
+        spark.createDataFrame([(1, [("user", "q", 3)], "x", "y")], "conv_id long, messages array<struct<role:string,content:string,n:int>>, prompt string, system string"),
+        spark.createDataFrame([(1, 0, "user", "q", [("human", "other")])], "conv_id long, turn int, role string, text string, messages array<struct<role:string,content:string>>"),
+    ]
+    for df in tables:
+        assert _turns(df) == want
+    assert _turns(spark.createDataFrame([(1, None)], "conv_id long, messages array<struct<role:string,content:string>>")) == []
