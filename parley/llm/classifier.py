@@ -1,27 +1,30 @@
 """Quality and toxicity by co-training of a text view and a metadata view.
 
 Two sparse logistic models, one on words and layout of the text and one on page metadata, are fitted
-on a bounded sample of labelled documents. Over some rounds each gives its surest labels for a
-bounded pool of unlabelled documents to the other. Both views are calibrated on labelled documents
-kept back, and their calibrated log-odds add up to the score. All documents are scored.
+on a bounded sample of labelled documents. In each round Spark scores all unlabelled documents by
+both; of those that a view is sure of, a bounded number chosen by a hash of the id goes with its
+labels to the other view, in the proportion of the labelled documents. Both views are calibrated on labelled documents kept back, and their
+calibrated log-odds add up to the score. All documents are scored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import words
-from parley.session import ship
+from parley.session import cut, ship
 
-#: Labelled and unlabelled documents that a fit uses at most; both are chosen by a hash of the id.
-LABELLED, POOL = 6000, 2000
+#: Labelled documents that a fit uses at most, and sure documents that a view passes on in a round.
+LABELLED, TAKEN = 6000, 1000
 #: Buckets of the hashed features (a power of two), rounds, and how sure a passed-on label must be.
 BUCKETS, ROUNDS, SURE = 1 << 18, 3, 0.98
 #: A feature is used if it is in so many sampled documents and its rate differs by so many deviations.
@@ -110,127 +113,169 @@ def _fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, ridge: float = 1.0,
     return View(weights, float(w[-1]))
 
 
-def _subset(pairs: tuple[np.ndarray, np.ndarray], rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of some rows, renumbered in the order of ``rows``."""
-    place = np.full(size, -1)
-    place[rows] = np.arange(len(rows))
-    at = place[pairs[0]] >= 0
-    return place[pairs[0][at]], pairs[1][at]
-
-
 def _calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of both views' log-odds by penalised logistic regression (Newton steps)."""
+    """Weights of both views' log-odds by logistic regression with one prior for both (Newton steps)."""
     x = np.stack((a, b, np.ones(len(y))), 1)
-    w = np.array([1.0, 0.0, 0.0])
+    prior = np.array([0.5, 0.5, 0.0])
+    w = prior.copy()
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.5, 0.5, 1e-3])
-        w -= np.linalg.solve(h, x.T @ (p - y) + np.array([0.5, 0.5, 1e-3]) * (w - np.array([1.0, 0.0, 0.0])))
+        w -= np.linalg.solve(h, x.T @ (p - y) + np.array([0.5, 0.5, 1e-3]) * (w - prior))
     return float(max(w[0], 0.0)), float(max(w[1], 0.0)), float(w[2])
 
 
-def co_train(text: tuple, meta: tuple, y: np.ndarray, labelled: np.ndarray, size: int, seed: int = 5) -> tuple[tuple[View, View], tuple[float, float, float]]:
-    """Both views of one target and their calibration; rows not in ``labelled`` are the pool."""
-    rng = np.random.default_rng(seed)
-    own = rng.permutation(labelled)
-    held, train = own[: max(1, len(own) // 4)], own[max(1, len(own) // 4) :]
-    pool = np.setdiff1d(np.arange(size), labelled)
-    given = [(train, y[train])] * 2
-    views: list[View] = []
-    for _ in range(ROUNDS):
-        views = [_fit(*_subset(pairs, rows, size), z) for pairs, (rows, z) in zip((text, meta), given, strict=True)]
-        sure = []
-        for view, pairs in zip(views, (text, meta), strict=True):
-            p = 1 / (1 + np.exp(-np.clip(view.logits(*_subset(pairs, pool, size), len(pool)), -30, 30)))
-            at = np.flatnonzero((p >= SURE) | (p <= 1 - SURE))
-            sure.append((pool[at], (p[at] >= 0.5).astype(float)))
-        given = [(np.concatenate((train, rows)), np.concatenate((y[train], z))) for rows, z in sure[::-1]]
-    a, b = (view.logits(*_subset(pairs, held, size), len(held)) for view, pairs in zip(views, (text, meta), strict=True))
-    return (views[0], views[1]), _calibrate(a, b, y[held])
-
-
-def _columns(docs: DataFrame, text_col: str) -> list:
-    """Text and metadata under own names; a missing metadata column counts as null."""
-    have = set(docs.columns)
-    return [F.col(f"`{text_col}`").alias("_text"), *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(f"_{c}") for c, t in (("lang", "string"), ("source", "string"), ("n_chars", "long"))]]
+def _joined(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) pairs of the feature lists of documents."""
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64)
 
 
-def _features(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, tuple, tuple, int]]:
-    """Text and metadata pairs of slices of a batch with columns _text, _lang, _source, _n_chars."""
-    at = {n: batch.schema.get_field_index(n) for n in ("_text", "_lang", "_source", "_n_chars")}
-    for rows, values in words.sliced(batch, at["_text"]):
-        meta = [rows.column(at[n]).to_pylist() for n in ("_lang", "_source", "_n_chars")]
-        yield rows, text_features(values), meta_features(*meta), len(values)
+META = (("lang", "string"), ("source", "string"), ("n_chars", "long"))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Fit on at most ``labelled`` labelled and ``pool`` other documents, chosen by a hash of the id.
+def _meta(docs: DataFrame) -> list[Column]:
+    """Metadata under own names; a missing column counts as null."""
+    have = set(docs.columns)
+    return [(F.col(c) if c in have else F.lit(None)).cast(t).alias(f"_{c}") for c, t in META]
+
+
+def _features(batch: pa.RecordBatch, text: int, meta: int) -> Iterator[tuple[pa.RecordBatch, tuple, tuple, int]]:
+    """Text and metadata pairs of slices of a batch; ``text`` and ``meta`` are places of columns."""
+    for rows, values in words.sliced(batch, text):
+        yield rows, text_features(values), meta_features(*(rows.column(meta + i).to_pylist() for i in range(len(META)))), len(values)
 
-    Rows of ``labels`` with a null id or null labels are left out; of several for one id the worst
-    counts. A target with fewer than 20 labels of either kind is not fitted: its probability is null
-    and rejects nothing.
-    """
-    ship(docs.sparkSession)
-    marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).dropna()
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("_key"), "quality", "toxic")
-    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), *_columns(docs, text_col)).where("_id is not null")
-    free = slim.select(F.col("_id").alias("_key")).join(chosen.select("_key"), "_key", "left_anti").distinct().orderBy(F.xxhash64("_key", F.lit(1)), "_key").limit(pool)
-    picked = chosen.unionByName(free, allowMissingColumns=True)
-    rows = slim.join(picked, F.col("_id") == F.col("_key")).drop("_key")
-    kind = "_id long, quality double, toxic double, words array<int>, meta array<int>"
+
+def _gathered(slim: DataFrame, keys: DataFrame) -> pd.DataFrame:
+    """Feature lists of the documents with the ids in ``keys`` (``_key`` and what else is known), one
+    row of each id; ``keys`` are few."""
+    extra = [c for c in keys.columns if c != "_key"]
+    rows = slim.join(F.broadcast(keys), F.col("_id") == F.col("_key"))
+    one = rows.groupBy("_id").agg(F.min(F.struct("_text", *[f"_{c}" for c, _ in META])).alias("_row"), *[F.first(c).alias(c) for c in extra])
+    one = one.select(F.col("_id").cast("string").alias("_id"), "_row.*", *[F.col(c).cast("double").alias(c) for c in extra])
+    names = ["_id", *extra, "words", "meta"]
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, text, meta, n in _features(batch):
+            for part, text, meta, n in _features(batch, 1, 2):
                 lists = [pa.array([x.astype(np.int32) for x in np.split(pairs[1], np.searchsorted(pairs[0], np.arange(1, n)))], pa.list_(pa.int32())) for pairs in (text, meta)]
-                own = {c: part.column(part.schema.get_field_index(c)) for c in ("_id", "quality", "toxic")}
-                yield pa.RecordBatch.from_arrays([own["_id"].cast(pa.int64()), own["quality"].cast(pa.float64()), own["toxic"].cast(pa.float64()), *lists], ["_id", "quality", "toxic", "words", "meta"])
-
-    got = rows.mapInArrow(gather, kind).toPandas().sort_values(["_id"], kind="stable").drop_duplicates("_id")
-    model = Model()
-    size = len(got)
-    if not size:
-        return model
-    text, meta = ((np.repeat(np.arange(size), got[c].map(len).to_numpy()), np.concatenate(got[c].to_list()).astype(np.int64)) for c in ("words", "meta"))
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in names[:-2]] + lists, names)
+
+    schema = ", ".join(["_id string", *(f"{c} double" for c in extra), "words array<int>", "meta array<int>"])
+    return one.mapInArrow(gather, schema).toPandas().sort_values("_id", kind="stable", ignore_index=True)
+
+
+def _exchange(free: DataFrame, views: dict[str, tuple[View, View]], rates: list[float], taken: int, turn: int) -> pd.DataFrame:
+    """Documents that a view is sure of: feature lists, and in ``_for`` a bit for each view and label
+    (target by target, text before metadata, 0 before 1) that passes it on. ``rates``: shares of 1."""
+    held = free.sparkSession.sparkContext.broadcast(views)
+    schema = T.StructType([free.schema["_id"], T.StructField("_mask", T.IntegerType())])
+
+    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, text, meta, n in _features(batch, 1, 2):
+                mask = np.zeros(n, np.int32)
+                for k, (view, pairs) in enumerate((v, x) for both in held.value.values() for v, x in zip(both, (text, meta), strict=True)):
+                    p = 1 / (1 + np.exp(-np.clip(view.logits(*pairs, n), -30, 30)))
+                    mask |= ((p <= 1 - SURE).astype(np.int32) | (p >= SURE).astype(np.int32) << 1) << 2 * k
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(mask)], schema.names).filter(pa.array(mask > 0))
+
+    sure = cut(free.mapInArrow(judge, schema).groupBy("_id").agg(F.min("_mask").alias("_mask")))
+    own = None
+    for k in range(4 * len(views)):
+        share = rates[k // 4] if k % 2 else 1 - rates[k // 4]
+        some = sure.where(F.col("_mask").bitwiseAND(F.lit(1 << k)) != 0).orderBy(F.xxhash64("_id", F.lit(turn)), "_id").limit(math.ceil(taken * share)).select("_id", F.lit(1 << k).alias("_for"))
+        own = some if own is None else own.unionByName(some)
+    keys = own.groupBy(F.col("_id").alias("_key")).agg(F.bit_or("_for").alias("_for"))
+    got = _gathered(free, keys)
+    held.destroy()
+    return got
+
+
+def _told(told: pd.DataFrame, k: int, rate: float, column: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """What the ``k``-th view passes on: features and labels, cut to the labelled documents'
+    proportion. A view that is sure of one label only would shift the other's idea of how frequent
+    it is, so it passes on nothing."""
+    bits = told["_for"].to_numpy(int)
+    found = [np.flatnonzero(bits >> 2 * k + y & 1) for y in (0, 1)]
+    scale = min(len(found[0]) / (1 - rate), len(found[1]) / rate)
+    own = [x[: int(scale * share)] for x, share in zip(found, (1 - rate, rate), strict=True)]
+    return [np.asarray(told[column].iloc[i]) for i in np.concatenate(own)], np.repeat([0.0, 1.0], [len(x) for x in own])
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, taken: int = TAKEN, labels_id: str = "doc_id", seed: int = 5) -> Model:
+    """Fit on at most ``labelled`` labelled documents, and on what the views tell each other of all others.
+
+    Labelled documents are chosen by a hash of the id, which may be of any type. Rows of ``labels``
+    with a null id or null labels are left out; of several for one id the worst counts, and of
+    several documents with one id the smallest text. A target with fewer than 20 labels of either kind is not fitted: its
+    probability is null and rejects nothing.
+    """
+    ship(docs.sparkSession)
+    marks = labels.select(F.col(f"`{labels_id}`").alias("_key"), "quality", "toxic").where("_key is not null").groupBy("_key").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).dropna()
+    chosen = cut(marks.orderBy(F.xxhash64("_key"), "_key").limit(labelled))
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *_meta(docs)).where("_id is not null")
+    free = slim.join(F.broadcast(chosen.select("_key")), F.col("_id") == F.col("_key"), "left_anti")
+    got = _gathered(slim, chosen)
+    lists = [[np.asarray(x) for x in got[c]] for c in ("words", "meta")]
+    parts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for target in TARGETS:
         y = got[target].to_numpy(float)
-        known = np.flatnonzero(~np.isnan(y))
-        if min((y[known] == 1).sum(), (y[known] == 0).sum()) >= 20:
-            model.views[target], model.mix[target] = co_train(text, meta, y, known, size)
+        if min((y == 1).sum(), (y == 0).sum()) >= 20:
+            own = np.random.default_rng(seed).permutation(len(y))
+            parts[target] = y, own[len(own) // 4 :], own[: len(own) // 4]
+    model, given = Model(), {}
+    for turn in range(ROUNDS if parts else 0):
+        for target, (y, train_, _) in parts.items():
+            model.views[target] = tuple(_fit(*_joined([lists[v][i] for i in train_] + given.get((target, v), ([], []))[0]), np.concatenate((y[train_], given.get((target, v), ([], []))[1]))) for v in (0, 1))
+        if turn + 1 < ROUNDS:
+            rates = [float(y[train_].mean()) for y, train_, _ in parts.values()]
+            told = _exchange(free, model.views, rates, taken, turn)
+            for k, (target, view) in enumerate((t, v) for t in model.views for v in (0, 1)):
+                given[target, 1 - view] = _told(told, k, rates[k // 2], ("words", "meta")[1 - view])
+    for target, (y, _, held) in parts.items():
+        a, b = (model.views[target][v].logits(*_joined([lists[v][i] for i in held]), len(held)) for v in (0, 1))
+        model.mix[target] = _calibrate(a, b, y[held])
     return model
 
 
-def _scored(batch: pa.RecordBatch, model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    for rows, text, meta, n in _features(batch):
+def _scored(batch: pa.RecordBatch, model: Model, text_at: int, meta_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    for rows, text, meta, n in _features(batch, text_at, meta_at):
         good, bad = (model.probability(t, text, meta, n) for t in TARGETS)
         yield rows, good, bad, ~(good < 0.5) & ~(bad >= 0.5)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: _id, p_quality, p_toxic, accepted. Null text counts as empty."""
+    """Per row: _id, p_quality, p_toxic, accepted.
+
+    Null text counts as empty, null and missing metadata as a value of its own. Every row is scored,
+    repeated rows and null ids too; ids may be of any type. An empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), *_columns(docs, text_col))
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"), *_meta(docs))
     schema = T.StructType([slim.schema["_id"], T.StructField("p_quality", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, good, bad, fine in _scored(batch, held.value):
+            for rows, good, bad, fine in _scored(batch, held.value, 1, 2):
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(good, from_pandas=True), pa.array(bad, from_pandas=True), pa.array(fine)], schema.names)
 
     return slim.mapInArrow(run, schema)
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that are not rejected, with all their columns, whatever their names.
+
+    A document goes if it is more likely bad than good, or toxic. Edges as in ``score``.
+    """
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    wide = docs.select("*", *_columns(docs, text_col))
-    names = docs.columns
+    names, at = docs.columns, docs.columns.index(text_col)
+    wide = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], *_meta(docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, _, _, fine in _scored(batch, held.value):
+            for rows, _, _, fine in _scored(batch, held.value, at, len(names)):
                 yield pa.RecordBatch.from_arrays(rows.columns[: len(names)], names).filter(pa.array(fine))
 
     return wide.mapInArrow(run, docs.schema)
