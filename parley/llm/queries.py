@@ -33,7 +33,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = secrets.scan(docs, secrets.train()).withColumn("redacted", secrets.redact())
+    found = secrets.scan(docs, secrets.train(known=secrets.dictionary(docs))).withColumn("redacted", secrets.redact())
     return found.select("doc_id", F.size("findings").cast("long").alias("n_findings"), "findings", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 

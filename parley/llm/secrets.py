@@ -3,9 +3,9 @@
 Candidates come from patterns over whole texts and reach to the end of their run of token characters,
 however long it is; they may overlap, and what is accepted of them is joined. Their features are
 length, character transitions, dictionary coverage, the path (source) they come from, and words
-before and after. The forest is
-grown here from findings with labels that a seeded generator writes down (see ``labelled``), and
-removes false positives.
+before and after. The dictionary is the most frequent words of the documents, counted over all of
+them. The forest is grown here from findings with labels that a seeded generator writes down (see
+``labelled``), and removes false positives.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from parley.session import ship
 TREES, DEPTH, LEAF, FINDINGS = 31, 9, 4, 4000
 #: Bytes before and after a candidate whose words count as its surroundings.
 AROUND = 48
+#: Words of the dictionary at most, and letters of each at least and at most.
+DICTIONARY, LETTERS = 5000, (3, 24)
 #: Bytes of a value that are counted at once.
 BLOCK = 1 << 20
 
@@ -56,6 +58,23 @@ _PREFIXED = re.compile(b"|".join(b"(?P<k%d>%s)" % (i, p) for i, (_, p) in enumer
 _ASSIGNED, _LONG, _NAMES = re.compile(KINDS[ASSIGNED][1]), re.compile(KINDS[LONG][1]), re.compile(_NAME)
 _HINT = re.compile(rb"(?i)pass|pwd|secret|token|key|auth|AKIA|ASIA|gh[pousr]_|glpat|xox|sk[-_]|pk[-_]|rk[-_]|eyJ|-----BEGIN|[A-Za-z0-9+/_-]{24}")
 _WORDS = re.compile(rb"[A-Za-z]+")
+_RUNS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
+
+
+def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> frozenset[bytes]:
+    """The words of A-Z, lower-cased, that most documents have; whole texts of all documents count.
+
+    Words of one document are no words. Null texts have none; ties go by the alphabet.
+    """
+    own = F.array_distinct(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "[^a-z]+"))
+    each = docs.select(F.explode(own).alias("_word")).where(F.char_length("_word").between(*LETTERS))
+    often = each.groupBy("_word").agg(F.count("*").alias("_n")).where("_n > 1")
+    return frozenset(r[0].encode() for r in often.orderBy(F.desc("_n"), "_word").limit(size).select("_word").collect())
+
+
+def coverage(value: bytes, known: frozenset[bytes]) -> float:
+    """Share of a value that is words of the dictionary; marks, digits and capitals divide words."""
+    return sum(len(w) for w in _RUNS.findall(value) if len(w) >= LETTERS[0] and w.lower() in known) / len(value)
 
 
 def candidates(text: bytes) -> Iterator[tuple[int, int, int]]:
@@ -115,7 +134,7 @@ def _counts(value: bytes) -> tuple[np.ndarray, np.ndarray, int]:
     return each, steps, known
 
 
-def features(text: bytes, kind: int, start: int, end: int, path: str) -> list[float]:
+def features(text: bytes, kind: int, start: int, end: int, path: str, words_: frozenset[bytes] = frozenset()) -> list[float]:
     """What the forest sees of one candidate."""
     value = text[start:end]
     n = len(value)
@@ -130,14 +149,16 @@ def features(text: bytes, kind: int, start: int, end: int, path: str) -> list[fl
     code = float(bool(re.search(r"(?i)conf|env|\.ya?ml|\.json|\.py|\.js|deploy|secret", path)))
     test = float(bool(re.search(r"(?i)test|example|doc|sample", path)))
     near = text[max(0, start - 3) : start]
-    return [kind, n, -float((rate * np.log2(rate)).sum()), *steps / max(1, n - 1), *share, known / max(1, n - 1), max(each) / n, hexed, dashed, code, test, len(before & HINTS), len(before & DECOYS), len(after & HINTS), len(after & DECOYS), float(b"=" in near or b":" in near), float(any(d in lower for d in (b"example", b"xxxx", b"changeme", b"placeholder", b"1234567890", b"your")))]
+    return [kind, n, -float((rate * np.log2(rate)).sum()), *steps / max(1, n - 1), *share, known / max(1, n - 1), coverage(value, words_), max(each) / n, hexed, dashed, code, test, len(before & HINTS), len(before & DECOYS), len(after & HINTS), len(after & DECOYS), float(b"=" in near or b":" in near), float(any(d in lower for d in (b"example", b"xxxx", b"changeme", b"placeholder", b"1234567890", b"your")))]
 
 
 @dataclass
 class Forest:
-    """Trees as arrays: feature, bound, left and right child, and the share of secrets in a node."""
+    """Trees as arrays (feature, bound, left and right child, share of secrets in a node), and the
+    dictionary they were grown with."""
 
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    known: frozenset[bytes] = frozenset()
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -188,13 +209,18 @@ def grow(x: np.ndarray, y: np.ndarray, seed: int = 11) -> Forest:
     return Forest(trees)
 
 
-def labelled(count: int = FINDINGS, seed: int = 23) -> list[tuple[bytes, int, int, int, str, int]]:
-    """Findings (text, kind, start, end, path, secret or not) from written-out patterns of use."""
+def labelled(count: int = FINDINGS, seed: int = 23, known: frozenset[bytes] = frozenset()) -> list[tuple[bytes, int, int, int, str, int]]:
+    """Findings (text, kind, start, end, path, secret or not) from written-out patterns of use.
+
+    Their plain words come from the dictionary, if there is one, and from frequent pairs of letters.
+    """
     rng = random.Random(seed)
     pool = string.ascii_letters + string.digits
     some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
     lower = sorted(SYLLABLES)
-    word = lambda a=2, b=5: "".join(rng.choice(lower) for _ in range(rng.randint(a, b)))
+    common = sorted(w.decode() for w in known)
+    made = lambda a, b: "".join(rng.choice(lower) for _ in range(rng.randint(a, b)))
+    word = lambda a=2, b=5: rng.choice(common) if common and b < 10 and rng.random() < 0.7 else made(a, b)
     size = lambda: int(10 ** rng.uniform(1.9, 3.6))
     plain = lambda: " ".join(word() for _ in range(rng.randint(2, 7)))
     true = (
@@ -238,11 +264,13 @@ def labelled(count: int = FINDINGS, seed: int = 23) -> list[tuple[bytes, int, in
     return out[:count]
 
 
-def train(findings: list[tuple[bytes, int, int, int, str, int]] | None = None) -> Forest:
-    """A forest from labelled findings; without any, from the written-out ones."""
-    findings = labelled() if findings is None else findings
-    x = np.array([features(t, k, a, b, p) for t, k, a, b, p, _ in findings], float)
-    return grow(x, np.array([f[-1] for f in findings], float))
+def train(findings: list[tuple[bytes, int, int, int, str, int]] | None = None, known: frozenset[bytes] = frozenset()) -> Forest:
+    """A forest from labelled findings and a dictionary; without findings, from the written-out ones."""
+    findings = labelled(known=known) if findings is None else findings
+    x = np.array([features(t, k, a, b, p, known) for t, k, a, b, p, _ in findings], float)
+    out = grow(x, np.array([f[-1] for f in findings], float))
+    out.known = known
+    return out
 
 
 def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str = "source", least: float = 0.5, found: str = "findings") -> DataFrame:
@@ -265,7 +293,7 @@ def scan(docs: DataFrame, forest: Forest, text_col: str = "text", path_col: str
         hits = [(i, *c) for i, v in enumerate(values) for c in candidates(v)]
         cells: list[list[dict]] = [[] for _ in values]
         if hits:
-            score = held.value.score(np.array([features(values[i], k, a, b, str(paths[i] or "")) for i, k, a, b in hits], float))
+            score = held.value.score(np.array([features(values[i], k, a, b, str(paths[i] or ""), held.value.known) for i, k, a, b in hits], float))
             kept: dict[int, list] = {}
             for (i, k, a, b), s in zip(hits, score.tolist(), strict=True):
                 if s >= least:

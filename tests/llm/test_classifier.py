@@ -55,7 +55,7 @@ def test_views_tell_each_other_of_all_documents(spark, monkeypatch):
     for k in range(4):
         lists, y = classifier._told(told, k, 0.5, "meta")
         assert len(lists) == len(y) == 20 and y.sum() == 10
-        bad = {int(i) % 2 == (k < 2) for i in told[told["_for"].astype(int) >> 2 * k & 1 == 1]["_id"]}
+        bad = {int(i) % 2 == (k < 2) for i in told[told["_for"].to_numpy(int) >> 2 * k & 1 == 1]["_id"]}
         assert bad == {True}
     only = told.assign(_for=told["_for"].astype(int) & 1)
     assert classifier._told(only, 0, 0.5, "meta")[0] == []

@@ -63,3 +63,64 @@ def test_rejected_runs_hide_nothing():
     assert b"7db7aa4a5fcc78305" not in _redacted(b"see auth:" + way + b"&password=b7db7aa4a5fcc78305 there")
     for plain in (b"-" * 80, b"_" * 400, way, b"a" * 300):
         assert _redacted(b"some words " + plain + b" and more") == b"some words " + plain + b" and more"
+
+
+def test_dictionary_counts_documents(spark):
+    docs = spark.createDataFrame([(1, "The cat, the CAT and co"), (2, "cat-the é 12"), (3, None), (4, "dog dog")], "doc_id long, text string")
+    assert secrets.dictionary(docs) == {b"the", b"cat"} and secrets.dictionary(docs, size=1) == {b"cat"}
+    assert secrets.dictionary(docs.limit(0)) == frozenset()
+    assert secrets.coverage(b"theCat/x9-dog", frozenset((b"the", b"cat"))) == 6 / 13
+
+
+def test_planted_findings_that_the_generator_does_not_write(spark, sf):
+    """Recall and precision over texts of the documents, with forms of use written for this test."""
+    import random
+    import string
+    import uuid
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    known = secrets.dictionary(docs)
+    forest = secrets.train(known=known)
+    plain = [r.text for r in docs.collect() if r.text and len(r.text) > 300 and "token" not in r.text]
+    rng = random.Random(31)
+    base, hexed = string.ascii_letters + string.digits, "0123456789abcdef"
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    english = [w.decode() for w in known if len(w) > 3]
+    word = lambda: rng.choice(english)
+    true = (
+        lambda: ('client_secret: "', some(base, 34), '",'),
+        lambda: ("export AWS_SECRET_ACCESS_KEY=", some(base + "+/", 40), "\n"),
+        lambda: ("Authorization: Bearer ", some(base + "-_", 48), "\n"),
+        lambda: ("login with passwd='", some(base + "!#%+", 14), "' today"),
+        lambda: ("set api-key = ", some(hexed, 32), ";"),
+        lambda: ("(", "ghu_" + some(base, 36), ")"),
+        lambda: ("PGPASSWORD=", some(base, 18), " psql"),
+        lambda: ("stripe ", "rk_live_" + some(base, 28), "."),
+    )
+    false = (
+        lambda: ("merged commit ", some(hexed, 40), " into main"),
+        lambda: ("the request id ", str(uuid.UUID(int=rng.getrandbits(128))), " failed"),
+        lambda: ("see ", "/".join(word() for _ in range(6)), " for more"),
+        lambda: ("call ", "_".join(word() for _ in range(6)), "() first"),
+        lambda: ("the class ", "".join(word().capitalize() for _ in range(6)), " does"),
+        lambda: ("your password: ", word(), " is too short"),
+        lambda: ("token = ", word() + "." + word(), "\n"),
+        lambda: ("md5 checksum ", some(hexed, 32), " ok"),
+    )
+    right = wrong = missed = 0
+    for k in range(600):
+        text = rng.choice(plain)
+        at = rng.randrange(len(text))
+        secret = k % 2 == 0
+        head, value, tail = rng.choice(true if secret else false)()
+        whole = f"{text[:at]} {head}{value}{tail} {text[at:]}".encode()
+        place = len(f"{text[:at]} {head}".encode())
+        hits = list(secrets.candidates(whole))
+        score = forest.score(np.array([secrets.features(whole, *h, "src3", known) for h in hits], float)) if hits else []
+        found = [(a, b) for (_, a, b), s in zip(hits, score, strict=True) if s >= 0.5]
+        whole_found = any(a <= place and b >= place + len(value.encode()) for a, b in found)
+        right += secret and whole_found
+        missed += secret and not whole_found
+        wrong += not secret and bool(found)
+    print(right, missed, wrong)
+    assert right / (right + missed) >= 0.9 and right / (right + wrong) >= 0.9
