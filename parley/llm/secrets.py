@@ -250,6 +250,7 @@ def labelled(count: int = FINDINGS, seed: int = 23, known: frozenset[bytes] = fr
         lambda: "sk-" + rng.choice(("your_api_key_here_placeholder", "xxxxxxxxxxxxxxxxxxxxxxxxxxxx")),
         lambda: "-".join(word() for _ in range(rng.randint(5, 9))) + f"-{rng.randint(1, 999)}",
         lambda: (word(12, 14) + str(rng.randint(1, 9)))[:60],
+        lambda: word() + "".join(word().capitalize() for _ in range(rng.randint(4, 8))) + rng.choice(("", "", "2", "V3")),
         lambda: rng.choice("/-_").join(word(1, 4) for _ in range(rng.choice((4, 6, 9, 40, size() // 8)))),
         lambda: word(10, 14),
         lambda: rng.choice(("-", "_", "=-", "/", "+-", "a", "ha", "xo", "no", "0")) * rng.choice((30, 60, 100, size())),

@@ -1,6 +1,6 @@
 """Suffix-array dedup: bytes of every stretch of ``LENGTH`` bytes that starts in two places go.
 
-Distinct texts are kept once, bucketed by digest. A stretch is told by its lowest k-mer (the anchor),
+Distinct texts are kept once, bucketed by digest (half a SHA-256). A stretch is told by its lowest k-mer (the anchor),
 so equal stretches share anchor and offset, and consecutive stretches with one anchor form one
 string. Strings meet by anchor; those equal as a whole count as one string with a weight. The strings
 of an anchor are merged in ``suffix_merge``, whose repeated intervals are the stretches to remove.
@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import suffix_merge, words
-from parley.session import shared_dir, ship
+from parley.session import ship, written
 
 #: Bytes of a stretch, and of the k-mers that are anchors.
 LENGTH, KMER = 200, 32
 #: Strings of one anchor that are merged together; stretches of larger groups are counted one by one.
 GROUP_STRINGS = 2000
+#: Bytes of the digest that tells texts apart.
+REF = 16
 #: Bytes of strings that are merged at once, besides the last group.
 UNIT = 45_000
 #: An anchor is dealt out over parts if it is more than one in so many of a sample of texts.
@@ -100,15 +102,9 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([refs.take(pa.array(text)), *(pa.array(c.astype(np.int32)) for c in (start, size, run, weight)), pa.array(key), pa.array(own)], ["ref", "start", "size", "run", "weight", "key", "own"])
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder."""
-    out = f"{shared_dir(df.sparkSession)}/stretches-{uuid.uuid4().hex}"
-    df.write.parquet(out)
-    return df.sparkSession.read.parquet(out)
-
-
-def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
-    """``ref`` (digest), ``copies`` and packed text of each distinct text, bucketed by ``ref``."""
+def distinct_texts(docs: DataFrame, text_col: str) -> str:
+    """``ref`` (digest), ``copies`` and packed text of each distinct text, as a table of the warehouse
+    that is bucketed by ``ref``; ``removed`` drops it once it is done."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{text_col}`").alias("_text")).where(F.octet_length("_text") >= LENGTH)
 
@@ -116,19 +112,19 @@ def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
         shrink = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             values = words.texts(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(v, usedforsecurity=False).digest() for v in values], pa.binary()), pa.array([shrink(v) for v in values], pa.binary())], ["ref", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(v).digest()[:REF] for v in values], pa.binary()), pa.array([shrink(v) for v in values], pa.binary())], ["ref", "packed"])
 
     grouped = slim.mapInArrow(pack, "ref binary, packed binary").groupBy("ref").agg(F.count("*").alias("copies"), F.first("packed").alias("packed"))
     name = f"stretches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped.write.bucketBy(buckets, "ref").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    grouped.write.bucketBy(buckets, "ref").saveAsTable(name)
+    return name
 
 
 def _hot(texts: DataFrame) -> list[int]:
     """Anchors so frequent in a sample that their members are dealt out; this changes no result."""
     counts = texts.sample(HOT_SAMPLE, seed=3).select("ref", "copies", "packed").mapInArrow(_members, MEMBER).groupBy("key").agg(F.count("*").alias("n"))
-    counts = _written(counts.where("n > 3"))
+    counts = written(counts.where("n > 3"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return [r.key for r in counts.where(F.col("n") > max(16, total // HOT_SHARE)).select("key").collect()]
 
@@ -166,7 +162,7 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
         out = rows.set_column(rows.schema.get_field_index("weight"), "weight", pa.array(twice[:n].astype(np.int32))).append_column("head", pa.array(~alike[:n]))
         yield out.filter(pa.array(stay))
 
-    return _written(dealt.mapInArrow(keep, MEMBER + ", head boolean"))
+    return written(dealt.mapInArrow(keep, MEMBER + ", head boolean"))
 
 
 def _ids(batch: pa.RecordBatch, i: int) -> tuple[int, int]:
@@ -227,17 +223,17 @@ def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Byte ranges to remove, for each string that has any: ``RESULT``."""
     least = F.min(F.struct("ref", "start", "size")).alias("at")
-    strings = _written(members.where("head").groupBy("key", "own").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), least))
+    strings = written(members.where("head").groupBy("key", "own").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), least))
     many = strings.groupBy("key").agg(F.count("*").cast("int").alias("many"))
     strings = strings.join(many, "key")
     alone = strings.where("many = 1 and weight > 1").select("key", "own", F.array(F.lit(0)).alias("starts"), F.array("at.size").alias("ends"))
     asked = strings.where("many > 1").groupBy("at.ref").agg(F.collect_list(F.struct("key", "own", "weight", "many", "at.start", "at.size")).alias("asked"))
-    cut = _written(asked.join(texts.select("ref", "packed"), "ref").select("packed", "asked").mapInArrow(_cut_out, STRING))
+    cut = written(asked.join(texts.select("ref", "packed"), "ref").select("packed", "asked").mapInArrow(_cut_out, STRING))
     merged = cut.where(F.col("many") <= GROUP_STRINGS).repartition("key").sortWithinPartitions("key").mapInArrow(_merge, RESULT)
     each = cut.where(F.col("many") > GROUP_STRINGS).mapInArrow(_stretches, "key long, own long, weight int, at int, print binary")
     often = each.groupBy("print").agg(F.sum("weight").alias("n")).where("n > 1").select("print")
     large = each.join(often, "print").select("key", "own", F.array("at").alias("starts"), F.array(F.col("at") + LENGTH).alias("ends"))
-    return _written(alone.unionByName(merged).unionByName(large).where(F.size("starts") > 0))
+    return written(alone.unionByName(merged).unionByName(large).where(F.size("starts") > 0))
 
 
 def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,19 +254,29 @@ def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((lists, lists, pa.binary())))], ["ref", "starts", "ends", "kept"])
 
 
-def removed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``ref, starts, ends, kept`` of each distinct text that loses bytes; ``ref`` is its digest."""
-    ship(docs.sparkSession)
-    texts = distinct_texts(docs, text_col)
-    members = shared_anchors(texts)
-    found = members.join(repeats(texts, members), ["key", "own"]).select("ref", F.explode(F.arrays_zip("starts", "ends")).alias("r"), "start", "run")
-    spans = found.groupBy("ref").agg(F.collect_list(F.struct((F.col("start") + F.col("r.starts")).alias("a"), (F.col("start") + F.col("r.ends") + F.col("run") - 1).alias("b"))).alias("spans"))
-    return spans.join(texts.select("ref", "packed"), "ref").select("ref", "packed", "spans").mapInArrow(_kept, T.StructType.fromDDL("ref binary, starts array<bigint>, ends array<bigint>, kept binary"))
+def removed(docs: DataFrame, text_col: str = "text", columns: list | None = None) -> DataFrame:
+    """``ref, starts, ends, kept`` of each distinct text that loses bytes; ``ref`` is its digest.
+
+    The result (or the ``columns`` made of it) is written into the shared folder, and the table of
+    distinct texts is dropped.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    name = distinct_texts(docs, text_col)
+    try:
+        texts = spark.table(name)
+        members = shared_anchors(texts)
+        found = members.join(repeats(texts, members), ["key", "own"]).select("ref", F.explode(F.arrays_zip("starts", "ends")).alias("r"), "start", "run")
+        spans = found.groupBy("ref").agg(F.collect_list(F.struct((F.col("start") + F.col("r.starts")).alias("a"), (F.col("start") + F.col("r.ends") + F.col("run") - 1).alias("b"))).alias("spans"))
+        out = spans.join(texts.select("ref", "packed"), "ref").select("ref", "packed", "spans").mapInArrow(_kept, T.StructType.fromDDL("ref binary, starts array<bigint>, ends array<bigint>, kept binary"))
+        return written(out.select(*columns) if columns else out, "kept")
+    finally:
+        spark.sql(f"drop table if exists {name}")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.unhex(F.md5(text)).alias("_ref"))
+    return docs.select(F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.unhex(F.substring(F.sha2(text, 256), 1, 2 * REF)).alias("_ref"))
 
 
 def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,6 +294,6 @@ def strip_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``_id, n_bytes, n_removed, n_spans, kept_sha256``; texts stay where they are read."""
     rows = _rows(docs, id_col, text_col).select("_id", "_ref", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("_sha"))
-    changed = removed(docs, text_col).select("ref", F.octet_length("kept").cast("long").alias("_left"), F.size("starts").cast("long").alias("_spans"), F.sha2("kept", 256).alias("_kept"))
-    out = rows.join(changed, F.col("_ref") == F.col("ref"), "left")
+    columns = ["ref", F.octet_length("kept").cast("long").alias("_left"), F.size("starts").cast("long").alias("_spans"), F.sha2("kept", 256).alias("_kept")]
+    out = rows.join(removed(docs, text_col, columns), F.col("_ref") == F.col("ref"), "left")
     return out.select("_id", "n_bytes", F.coalesce(F.col("n_bytes") - F.col("_left"), F.lit(0)).alias("n_removed"), F.coalesce("_spans", F.lit(0)).alias("n_spans"), F.coalesce("_kept", "_sha").alias("kept_sha256"))

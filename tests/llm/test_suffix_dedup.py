@@ -67,3 +67,6 @@ def test_edges(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "_hot", lambda texts: [k for (k,) in texts.select("ref", "copies", "packed").mapInArrow(suffix_dedup._members, suffix_dedup.MEMBER).select("key").distinct().collect()])
     assert _compare(spark, rows) == found
     assert suffix_dedup.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    kept = {r._id: bytes(r.kept) for r in suffix_dedup.strip_repeats(spark.createDataFrame([(1, passage, "x"), (2, "y" + passage, "x"), (3, None, "x")], "doc_id long, text string, kept string")).collect()}
+    assert kept == {1: b"", 2: b"y", 3: b""}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("stretches")]
