@@ -153,3 +153,50 @@ def relative_day(day: Column, today: Column) -> Column:
 def is_noise(text: Column) -> Column:
     """Empty, or one of the marks that recognisers write for no speech."""
     return F.coalesce((F.trim(text) == "") | text.contains("[BLANK_AUDIO]") | text.contains("[INAUDIBLE]"), F.lit(True))
+
+
+def repeats_any(text: Column, recent: Column, least: float) -> Column:
+    """Whether ``text`` repeats one of the texts in ``recent``."""
+    return F.exists(recent, lambda before: repeats(text, before, least))
+
+
+def without_overlap(text: Column, buffer: Column, over: float) -> Column:
+    """``text`` without its first words, as many as ``buffer`` has, where the common start of both is
+    more than ``over`` of the longer one and ``text`` has more words; case does not count."""
+    def cut(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        low = lambda ws: F.transform(ws, lambda w: F.lower(w))
+        alike = common_prefix(low(F.slice(a, 1, F.least(F.size(a), F.size(b)))), low(F.slice(b, 1, F.least(F.size(a), F.size(b))))) / F.greatest(F.size(a), F.size(b))
+        fits = (F.size(a) > 0) & (F.size(b) > 0) & (alike > over) & (F.size(a) > F.size(b))
+        return F.when(fits, F.array_join(F.slice(a, F.size(b) + 1, F.greatest(F.size(a) - F.size(b), F.lit(0))), " ")).otherwise(text)
+
+    return let(F.struct(words(text).alias("a"), words(buffer).alias("b")), cut)
+
+
+def boosted(ws: Column, vocabulary: tuple[str, ...], least: float = 0.9) -> Column:
+    """Words (word, confidence) with at least ``least`` for those of the vocabulary."""
+    known = F.array(*[F.lit(w) for w in vocabulary])
+    return F.transform(ws, lambda w: F.struct(w["word"].alias("word"), F.when(F.array_contains(known, w["word"]), F.greatest(w["confidence"], F.lit(least))).otherwise(w["confidence"]).alias("confidence")))
+
+
+def minute_clock(seconds: Column) -> Column:
+    """mm:ss, minutes without bound."""
+    s = F.floor(seconds).cast("long")
+    two = lambda x: F.when(x < 10, F.concat(F.lit("0"), x.cast("string"))).otherwise(x.cast("string"))
+    return F.concat_ws(":", two(F.floor(s / 60).cast("long")), two(F.pmod(s, F.lit(60))))
+
+
+def speech_time(seconds: Column) -> Column:
+    """N.Ns below a minute, else Xm Ys."""
+    s = F.floor(seconds).cast("long")
+    long = F.concat(F.floor(s / 60).cast("string"), F.lit("m "), F.pmod(s, F.lit(60)).cast("string"), F.lit("s"))
+    return F.when(seconds < 60, F.concat(F.format_string("%.1f", seconds), F.lit("s"))).otherwise(long)
+
+
+def error_category(kind: Column) -> Column:
+    """The first of the known areas that the name of an error holds."""
+    areas = (("model", "model"), ("audio", "audio"), ("permission", "permissions"), ("system", "system"), ("network", "network"))
+    out = F.lit("unknown")
+    for part, area in reversed(areas):
+        out = F.when(kind.contains(part), area).otherwise(out)
+    return out

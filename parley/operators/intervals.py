@@ -117,3 +117,30 @@ def at_time(rows: DataFrame, time_ms: int) -> DataFrame:
 
 def within(rows: DataFrame, start: int, end: int) -> DataFrame:
     return rows.where((F.col("start_ms") < end) & (F.col("end_ms") > start))
+
+
+def merge(transcript: DataFrame, speakers: DataFrame, least: float = 0.5) -> DataFrame:
+    """``align``, and what it leaves out: meetings that only one side has.
+
+    Without speaker segments a transcript keeps its own speaker and confidence; without a transcript
+    a speaker segment has an empty text. ``part`` numbers the pieces of a segment.
+    """
+    both = transcript.join(speakers.select("meeting").distinct(), "meeting", "left_semi")
+    only = transcript.join(speakers.select("meeting").distinct(), "meeting", "left_anti")
+    silent = speakers.join(transcript.select("meeting").distinct(), "meeting", "left_anti")
+    named = lambda d, text: d.select("meeting", "seq", "start_ms", "end_ms", "speaker", text.alias("text"), F.col("confidence").alias("overall"), F.lit(0).alias("part"))
+    return align(both, speakers, least).unionByName(named(only, F.col("text"))).unionByName(named(silent, F.lit("")))
+
+
+def majority(found: DataFrame, truth: DataFrame, least: int) -> DataFrame:
+    """Per meeting and found speaker: the true speaker that most of its segments overlap best (ties:
+    first name), how many do, and how many segments it has. Overlaps below ``least`` do not count."""
+    votes = best_overlap(found, truth, least - 1).groupBy(F.col("l_meeting").alias("meeting"), F.col("l_speaker").alias("speaker"), F.col("r_speaker").alias("true_speaker")).agg(F.count("*").alias("n"))
+    best = votes.groupBy("meeting", "speaker").agg(F.min(F.struct((-F.col("n")).alias("n"), "true_speaker")).alias("b"))
+    total = found.groupBy("meeting", "speaker").agg(F.count("*").alias("segments"))
+    return total.join(best, ["meeting", "speaker"], "left").select("meeting", "speaker", F.col("b.true_speaker").alias("true_speaker"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("correct"), "segments")
+
+
+def same_timing(s1: Column, e1: Column, s2: Column, e2: Column, tolerance: int) -> Column:
+    """Whether both ends are within ``tolerance``."""
+    return (F.abs(s1 - s2) <= tolerance) & (F.abs(e1 - e2) <= tolerance)

@@ -28,9 +28,20 @@ def facets(meetings: DataFrame, term: str = "", language: str = "all", quality:
 ORDERS = {"date": F.desc, "duration_s": F.desc, "speakers": F.desc, "accuracy": F.desc, "title": F.asc, "name": F.asc}
 
 
-def ordered(meetings: DataFrame, by: str, key: str = "id") -> DataFrame:
-    """Ordered by a column in its usual direction, ties by key."""
-    return meetings.orderBy(ORDERS.get(by, F.asc)(by), key)
+def ordered(meetings: DataFrame, by: str, key: str = "id", descending: bool | None = None) -> DataFrame:
+    """Ordered by a column in its usual direction or the one asked for, ties by key."""
+    way = ORDERS.get(by, F.asc) if descending is None else F.desc if descending else F.asc
+    return meetings.orderBy(way(by), key)
+
+
+def saved(meetings: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The list with meetings put at its end."""
+    return meetings.unionByName(fresh)
+
+
+def storage(files: DataFrame, *by: str) -> DataFrame:
+    """Number and bytes of files (size)."""
+    return files.groupBy(*by).agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))
 
 
 def library_stats(meetings: DataFrame) -> DataFrame:

@@ -65,9 +65,16 @@ def temporal_alignment(reference: DataFrame, hypothesis: DataFrame) -> DataFrame
     return best.crossJoin(total).withColumn("alignment", F.when(F.col("total_ms") > 0, F.col("aligned_ms") / F.col("total_ms")).otherwise(0.0))
 
 
+def _bare(speaker: str) -> Column:
+    return F.replace(F.col(speaker), F.lit("speaker_"), F.lit(""))
+
+
 def matched(reference: DataFrame, hypothesis: DataFrame, least: float = 0.5) -> DataFrame:
-    """Segments of each side with a partner: over ``least`` of the shorter one, same speaker."""
-    pairs = overlap_join(reference, hypothesis).where((F.col("overlap") > least * F.least(F.col("l_end_ms") - F.col("l_start_ms"), F.col("r_end_ms") - F.col("r_start_ms"))) & (F.col("l_speaker").contains(F.col("r_speaker")) | F.col("r_speaker").contains(F.col("l_speaker"))))
+    """Segments of each side with a partner: over ``least`` of the shorter one, same speaker.
+
+    Speakers are the same if one's name, without ``speaker_``, is part of the other's.
+    """
+    pairs = overlap_join(reference, hypothesis).where((F.col("overlap") > least * F.least(F.col("l_end_ms") - F.col("l_start_ms"), F.col("r_end_ms") - F.col("r_start_ms"))) & (_bare("l_speaker").contains(_bare("r_speaker")) | _bare("r_speaker").contains(_bare("l_speaker"))))
     hit = pairs.agg(F.countDistinct("l_meeting", "l_seq").alias("true_matched"), F.countDistinct("r_meeting", "r_seq").alias("found_matched"))
     counts = reference.agg(F.count("*").alias("true_n")).crossJoin(hypothesis.agg(F.count("*").alias("found_n")))
     both = hit.crossJoin(counts)
@@ -85,9 +92,104 @@ def overall_score(wer: Column, der: Column, rtf: Column, attribution: Column) ->
     return clamp(0.4 * clamp(100 - wer * 100) + 0.3 * clamp(100 - der * 100) + 0.2 * clamp((2 - rtf) * 50) + 0.1 * attribution * 100)
 
 
-def recommendations(wer: Column, der: Column, rtf: Column) -> Column:
-    rules = ((wer > 0.15, "use a larger recognition model"), (der > 0.15, "tune speaker clustering"), (rtf > 1.0, "use a faster model"))
-    return F.array_compact(F.array(*[F.when(hit, F.lit(text)) for hit, text in rules]))
+#: Bounds of the rules, by kind; what a rule reads and whether more or less is bad.
+RULES = {
+    "critical": (("wer", ">", 0.30, "far too many word errors"), ("der", ">", 0.3, "far too many speaker errors"), ("rtf", ">", 3.0, "far too slow")),
+    "performance": (("rtf", ">", 1.5, "use a faster model"), ("memory_mb", ">", 2000.0, "use less memory"), ("latency_ms", ">", 3000.0, "cut the latency")),
+    "accuracy": (("wer_moderate", ">", 0.10, "use a larger recognition model"), ("precision", "<", 0.8, "tune speaker clustering"), ("attribution", "<", 0.8, "align words with speakers")),
+    "settings": (("miss_rate", ">", 0.2, "lower the speech threshold"), ("false_alarm_rate", ">", 0.2, "raise the speech threshold")),
+}
+
+
+def recommendations(**values: Column) -> Column:
+    """What to do, by the rules whose value is given; ``wer`` up to its critical bound also counts as moderate."""
+    if "wer" in values:
+        values["wer_moderate"] = F.when(values["wer"] <= 0.30, values["wer"])
+    hits = [F.when(values[name] > bound if way == ">" else values[name] < bound, F.lit(text)) for rules in RULES.values() for name, way, bound, text in rules if name in values]
+    return F.array_compact(F.array(*hits))
+
+
+def level(value: Column, bounds: tuple[float, float, float]) -> Column:
+    """excellent, good, fair or poor by three rising bounds."""
+    return F.when(value < bounds[0], "excellent").when(value < bounds[1], "good").when(value < bounds[2], "fair").otherwise("poor")
+
+
+def validation_summary(der: Column, f1: Column, consistency: Column, rtf: Column, memory_mb: Column, target_der: float = 0.15, target_rtf: float = 1.5, least_consistency: float = 0.85) -> dict[str, Column]:
+    """Levels, overall quality (0.5 speakers, 0.3 consistency, 0.2 speed), strengths, what to improve, and whether targets are met."""
+    clamp = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    good = ((der < 0.15, "accurate speakers"), (f1 > 0.85, "balanced precision and recall"), (consistency > 0.85, "consistent speakers"), (rtf < 1.0, "real time"), (memory_mb < 300, "little memory"))
+    bad = ((der > 0.25, "speaker accuracy"), (f1 < 0.70, "precision and recall"), (consistency <= 0.85, "speaker consistency"), (rtf > 1.5, "speed"), (memory_mb > 500, "memory"))
+    pick = lambda tests: F.array_compact(F.array(*[F.when(t, F.lit(x)) for t, x in tests]))
+    return {
+        "accuracy_level": level(der, (0.1, 0.2, 0.3)),
+        "performance_level": level(rtf, (0.5, 1.0, 2.0)),
+        "quality": clamp(0.5 * clamp(1.0 - der) + 0.3 * consistency + 0.2 * clamp(2.0 - rtf)),
+        "strengths": pick(good),
+        "improvements": pick(bad),
+        "meets_targets": (der < target_der) & (rtf < target_rtf) & (consistency > least_consistency),
+    }
+
+
+def consistency(pure: DataFrame, covered: DataFrame) -> DataFrame:
+    """Mean purity and coverage over the true speakers, and their mean: the consistency score."""
+    both = pure.agg(F.coalesce(F.avg("purity"), F.lit(0.0)).alias("purity")).crossJoin(covered.agg(F.coalesce(F.avg("coverage"), F.lit(0.0)).alias("coverage")))
+    return both.withColumn("score", (F.col("purity") + F.col("coverage")) / 2)
+
+
+def benchmark_summary(runs: DataFrame, *by: str) -> DataFrame:
+    """Of runs (ms, memory_mb, segments): times, memory, segments a second and a megabyte."""
+    out = runs.groupBy(*by).agg(F.avg("ms").alias("mean_ms"), F.min("ms").alias("least_ms"), F.max("ms").alias("most_ms"), F.stddev_pop("ms").alias("deviation_ms"), F.avg("memory_mb").alias("mean_mb"), F.max("memory_mb").alias("peak_mb"), F.sum("segments").alias("_s"), F.avg("segments").alias("_m"))
+    seconds = F.col("mean_ms") / 1000
+    return out.withColumn("segments_a_second", F.when(seconds > 0, F.col("_s") / seconds).otherwise(0.0)).withColumn("segments_a_mb", F.when(F.col("mean_mb") > 0, F.col("_m") / F.col("mean_mb")).otherwise(0.0)).drop("_s", "_m")
+
+
+def sampled(a: DataFrame, b: DataFrame, every: int = 100) -> DataFrame:
+    """Per meeting: moments ``every`` ms apart up to the last end, and those at which both sides have the same speaker or none.
+
+    The first segment that holds a moment counts; both its ends do.
+    """
+    ends = a.select("meeting", "end_ms").union(b.select("meeting", "end_ms")).groupBy("meeting").agg(F.max("end_ms").alias("end"))
+    total = ends.select("meeting", F.ceil(F.col("end") / every).alias("samples"))
+
+    def label(rows: DataFrame, name: str) -> DataFrame:
+        first, last = F.ceil(F.col("start_ms") / every), F.floor(F.col("end_ms") / every)
+        each = rows.select("meeting", "seq", "speaker", F.explode(F.sequence(first, F.greatest(first, last))).alias("k"), last.alias("_l")).where("k <= _l")
+        return each.groupBy("meeting", "k").agg(F.min_by("speaker", "seq").alias(name))
+
+    both = label(a, "r").join(label(b, "h"), ["meeting", "k"], "full_outer").join(total, "meeting").where("k < samples")
+    differ = both.where(~F.col("r").eqNullSafe(F.col("h"))).groupBy("meeting").agg(F.count("*").alias("d"))
+    return total.join(differ, "meeting", "left").where("samples > 0").select("meeting", "samples", (F.col("samples") - F.coalesce("d", F.lit(0))).alias("equal"))
+
+
+def agreement(runs: list[DataFrame], every: int = 100) -> DataFrame:
+    """Per meeting the mean share of equal moments over all pairs of runs."""
+    out = None
+    for i, a in enumerate(runs):
+        for b in runs[i + 1 :]:
+            one = sampled(a, b, every).select("meeting", (F.col("equal") / F.col("samples")).alias("share"))
+            out = one if out is None else out.unionByName(one)
+    return out.groupBy("meeting").agg(F.avg("share").alias("agreement"), F.count("*").alias("pairs"))
+
+
+def single_speaker(found: DataFrame, expected: str, duration: DataFrame, key: str = "meeting") -> DataFrame:
+    """Where one speaker should speak for ``expected_ms``: missed, surplus and wrong time over it, and the share with a fitting label.
+
+    Labels that hold ``speaker`` are generic and count as right, for the share also ``unknown_speaker``.
+    """
+    length, who = F.col("end_ms") - F.col("start_ms"), F.col("speaker")
+    fits = (who == expected) | who.contains("speaker")
+    held = (who == expected) | who.startswith("speaker_") | (who == "unknown_speaker")
+    sums = found.groupBy(key).agg(F.sum(length).alias("_t"), F.coalesce(F.sum(F.when(fits, length)), F.lit(0)).alias("_c"), F.coalesce(F.sum(F.when(held, length)), F.lit(0)).alias("_h"))
+    e, t = F.col("expected_ms"), F.col("_t")
+    out = duration.join(sums, key, "left")
+    zero = F.lit(0)
+    wrong = (F.greatest(e - t, zero) + F.greatest(t - e, zero) + t - F.col("_c")) / e
+    return out.select(key, F.when(t.isNull(), 1.0).otherwise(wrong).alias("der"), F.coalesce(F.least(F.col("_h") / e, F.lit(1.0)), F.lit(0.0)).alias("attribution"))
+
+
+def combined_error(wer: Column, der: Column, attribution: Column) -> Column:
+    """0.6 words, 0.3 speakers, 0.1 attribution."""
+    return 0.6 * wer + 0.3 * der + 0.1 * (1 - attribution)
 
 
 def _edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
@@ -150,3 +252,32 @@ def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     wrong = F.col("_e.substitutions") + F.col("_e.insertions") + F.col("_e.deletions")
     return out.select(*pairs.columns, "_e.substitutions", "_e.insertions", "_e.deletions", n.cast("long").alias("n_words_reference"), F.when(n > 0, wrong / n).otherwise(F.when(F.size(hypothesis) > 0, 1.0).otherwise(0.0)).alias("wer"))
 
+
+def corpus_errors(each: DataFrame, *by: str) -> DataFrame:
+    """Edit counts and rates over all pairs of ``word_errors``, not the mean of their rates."""
+    out = each.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("substitutions", "insertions", "deletions")], F.sum("n_words_reference").alias("n_reference"))
+    wrong = F.col("substitutions") + F.col("insertions") + F.col("deletions")
+    rate = F.when(F.col("n_reference") > 0, wrong / F.col("n_reference")).otherwise(0.0)
+    return out.withColumn("error_rate", rate).withColumn("accuracy", F.greatest(1 - F.col("error_rate"), F.lit(0.0)))
+
+
+def speaker_errors(reference: DataFrame, hypothesis: DataFrame, key: str = "meeting") -> DataFrame:
+    """Word errors of each true speaker: all its words on both sides (key, speaker, seq, words), aligned as one text.
+
+    Speakers without reference words have no rate. ``n_words_reference`` is the weight of a speaker.
+    """
+    def joined(rows: DataFrame, name: str) -> DataFrame:
+        own = rows.groupBy(key, "speaker").agg(F.array_sort(F.collect_list(F.struct("seq", "words"))).alias("w"))
+        return own.select(key, "speaker", F.flatten(F.transform("w", lambda x: x["words"])).alias(name))
+
+    both = joined(reference, "a").where(F.size("a") > 0).join(joined(hypothesis, "b"), [key, "speaker"], "left")
+    return word_errors(both.withColumn("b", F.coalesce("b", F.array().cast("array<string>"))), "a", "b").drop("a", "b")
+
+
+def attribution(words: DataFrame, truth: DataFrame, least: int) -> DataFrame:
+    """Words (key, seq, pos, speaker, span) whose first true word that overlaps by more than ``least`` has their speaker, those that have not, and all."""
+    pairs = overlap_join(words, truth).where(F.col("overlap") > least)
+    first = pairs.groupBy("l_meeting", "l_seq", "l_pos", "l_speaker").agg(F.min_by("r_speaker", F.struct("r_seq", "r_pos")).alias("true_speaker"))
+    right = first.agg(F.coalesce(F.sum((F.col("l_speaker") == F.col("true_speaker")).cast("long")), F.lit(0)).alias("correct"))
+    both = right.crossJoin(words.agg(F.count("*").alias("total")))
+    return both.select("correct", (F.col("total") - F.col("correct")).alias("incorrect"), "total", F.when(F.col("total") > 0, F.col("correct") / F.col("total")).otherwise(0.0).alias("accuracy"))

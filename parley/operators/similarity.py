@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import vector as V
@@ -94,3 +95,22 @@ def profile_similarity(voices: DataFrame, key: str = "speaker_id") -> DataFrame:
     b = own.select(F.col(key).alias("b"), F.col("n").alias("nb"), F.posexplode("sum").alias("i", "y"))
     pairs = a.join(b, "i").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return pairs.select("a", "b", (F.col("s") / (F.col("na") * F.col("nb"))).alias("similarity"))
+
+
+def search(queries: DataFrame, voices: DataFrame, profiles: DataFrame, threshold: float, most: int, include_inactive: bool = False, model: str | None = None, min_quality: float | None = None) -> DataFrame:
+    """``query_id, speaker_id, similarity``: for each query the best speakers, at most ``most``.
+
+    Rows are filtered by activity, model and quality before any vector is compared.
+    """
+    rows = voices if include_inactive else voices.join(profiles.where("is_active"), "speaker_id", "left_semi")
+    rows = rows if model is None else rows.where(F.col("model") == model)
+    rows = rows if min_quality is None else rows.where(F.col("quality") >= min_quality)
+    best = scored_against(queries, rows).where(F.col("similarity") >= threshold).groupBy("query_id", "speaker_id").agg(F.max("similarity").alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "speaker_id"))
+    return best.withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
+
+
+def matches(queries: DataFrame, voices: DataFrame, threshold: float) -> DataFrame:
+    """Every row that is ``threshold`` alike to a query, with its place among that query's matches."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return scored_against(queries, voices).where(F.col("similarity") >= threshold).withColumn("place", rank)

@@ -25,6 +25,16 @@ PAIRS = f"""{SEGMENTS}, pairs as (select * from (select meeting, seq, lag(text)
 wp as (select meeting, seq, before, text, {SQL_WORDS.format(_normal("before"))} as a, {SQL_WORDS.format(_normal("text"))} as b from pairs)"""
 
 
+#: Lower-cased words without other signs, and fields s, i, d of the cheapest edits from one list of words to another.
+TOKENS = r"list_filter(list_transform(regexp_split_to_array(lower({0}), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda w: w <> '')"
+EDITS = """list_last(list_reduce(list_transform({0}, lambda w: struct_pack(w := w, k := 0, row := list_transform(range(0), lambda j: struct_pack(c := 0::bigint, s := 0::bigint, i := 0::bigint, d := 0::bigint)))), lambda up, x:
+struct_pack(w := x.w, k := up.k + 1, row := list_reduce(list_transform(range(1, len({1}) + 1), lambda j: struct_pack(j := j, out := list_transform(range(0), lambda q: struct_pack(c := 0::bigint, s := 0::bigint, i := 0::bigint, d := 0::bigint)))), lambda acc, y:
+ struct_pack(j := y.j, out := list_append(acc.out, case when up.row[y.j].c + (case when x.w = {1}[y.j] then 0 else 1 end) <= least(acc.out[y.j].c + 1, up.row[y.j + 1].c + 1) then struct_pack(c := up.row[y.j].c + (case when x.w = {1}[y.j] then 0 else 1 end), s := up.row[y.j].s + (case when x.w = {1}[y.j] then 0 else 1 end), i := up.row[y.j].i, d := up.row[y.j].d)
+ when acc.out[y.j].c <= up.row[y.j + 1].c then struct_pack(c := acc.out[y.j].c + 1, s := acc.out[y.j].s, i := acc.out[y.j].i + 1, d := acc.out[y.j].d) else struct_pack(c := up.row[y.j + 1].c + 1, s := up.row[y.j + 1].s, i := up.row[y.j + 1].i, d := up.row[y.j + 1].d + 1) end)),
+ struct_pack(j := 0::bigint, out := [struct_pack(c := (up.k + 1)::bigint, s := 0::bigint, i := 0::bigint, d := (up.k + 1)::bigint)])).out),
+ struct_pack(w := '', k := 0, row := list_transform(range(len({1}) + 1), lambda j: struct_pack(c := j::bigint, s := 0::bigint, i := j::bigint, d := 0::bigint)))).row)"""
+
+
 def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn with the one before: meeting, seq, before, text."""
     rows = views.segments(spark, sf_dir)
@@ -84,38 +94,56 @@ def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_repeats(views.segments(spark, sf_dir))
 
 
-@query()
+#: Length of the longest common subsequence of two lists.
+LCS = """list_last(list_reduce(list_transform({0}, lambda w: struct_pack(w := w, row := list_transform(range(0), lambda j: 0::bigint))), lambda up, x: struct_pack(w := x.w, row := list_reduce(list_transform(range(1, len({1}) + 1), lambda j: struct_pack(j := j, out := list_transform(range(0), lambda q: 0::bigint))),
+ lambda acc, y: struct_pack(j := y.j, out := list_append(acc.out, case when x.w = {1}[y.j] then up.row[y.j] + 1 else greatest(acc.out[y.j], up.row[y.j + 1]) end)), struct_pack(j := 0::bigint, out := [0::bigint])).out), struct_pack(w := '', row := list_transform(range(len({1}) + 1), lambda j: 0::bigint))).row)"""
+
+
+@query(f"with {PAIRS}, l as (select *, {LCS.format('a', 'b')} as n from wp) select meeting, seq, round(n / greatest(len(a), len(b), 1), 6) as similarity from l")
 def lcs_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.greatest(F.size("a"), F.size("b"), F.lit(1))
     return _lists(spark, sf_dir).select("meeting", "seq", F.round(metrics.common_words("a", "b") / top, 6).alias("similarity"))
 
 
-@query()
+@query(f"""with {PAIRS}, l as (select *, {LCS.format('a', 'b')} as n, list_sum(list_transform(a, lambda w: {WEIGHT})) as total, coalesce(list_sum(list_transform(list_filter(a, lambda w: list_contains(b, w)), lambda w: {WEIGHT})), 0) as common from wp)
+select meeting, seq, round(case when len(a) = 0 or len(b) = 0 then 0 else least(0.5 * common / total + 0.3 * n / greatest(len(a), len(b)) + 0.2 * (1 - abs(len(a) - len(b)) / greatest(len(a), len(b))), 1) end, 6) as similarity from l""")
 def semantic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lists(spark, sf_dir).select("meeting", "seq", F.round(dedup.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-@query()
+@query(f"""with {PAIRS}, t as (select meeting, seq, {TOKENS.format("before")} as a, {TOKENS.format("text")} as b from pairs), e as (select *, {EDITS.format("a", "b")} as e from t)
+select meeting, seq, e.s as substitutions, e.i as insertions, e.d as deletions, round(case when len(a) > 0 then (e.s + e.i + e.d) / len(a) when len(b) > 0 then 1 else 0 end, 6) as wer from e""")
 def wer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = turn_pairs(spark, sf_dir).select("meeting", "seq", X.tokens(F.col("before")).alias("a"), X.tokens(F.col("text")).alias("b"))
-    out = metrics.word_errors(pairs, "a", "b")
+    out = _word_errors(spark, sf_dir)
     return out.select("meeting", "seq", "substitutions", "insertions", "deletions", F.round("wer", 6).alias("wer"))
 
 
-@query()
-def sa_wer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word errors of each speaker's text against the text of the turns before, weighted by words."""
-    pairs = turn_pairs(spark, sf_dir).join(views.segments(spark, sf_dir).select("meeting", "seq", "speaker"), ["meeting", "seq"])
-    lists = pairs.select("speaker", X.tokens(F.col("before")).alias("a"), X.tokens(F.col("text")).alias("b"))
-    each = metrics.word_errors(lists, "a", "b")
-    wrong = F.sum(F.col("substitutions") + F.col("insertions") + F.col("deletions"))
-    return each.groupBy("speaker").agg(F.sum("n_words_reference").alias("n_words"), F.round(wrong / F.sum("n_words_reference"), 6).alias("wer"))
+def _word_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = turn_pairs(spark, sf_dir).select("meeting", "seq", X.tokens(F.col("before")).alias("a"), X.tokens(F.col("text")).alias("b"))
+    return metrics.word_errors(pairs, "a", "b")
+
+
+@query(f"""with {PAIRS}, t as (select {TOKENS.format("before")} as a, {TOKENS.format("text")} as b from pairs), e as (select a, {EDITS.format("a", "b")} as e from t), s as (select sum(e.s)::bigint as substitutions, sum(e.i)::bigint as insertions, sum(e.d)::bigint as deletions, sum(len(a))::bigint as n_reference from e)
+select *, round((substitutions + insertions + deletions) / n_reference, 6) as error_rate, round(greatest(1 - (substitutions + insertions + deletions) / n_reference, 0), 6) as accuracy from s""")
+def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metrics.corpus_errors(_word_errors(spark, sf_dir))
+    return out.select("substitutions", "insertions", "deletions", "n_reference", F.round("error_rate", 6).alias("error_rate"), F.round("accuracy", 6).alias("accuracy"))
 
 
 @query()
 def cer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = turn_pairs(spark, sf_dir)
-    return pairs.select("meeting", "seq", F.levenshtein("before", "text").cast("long").alias("edits"), F.char_length("before").cast("long").alias("n_chars"))
+    """Character edits of the turns as they are, by kind."""
+    chars = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
+    pairs = turn_pairs(spark, sf_dir).select("meeting", "seq", chars("before").alias("a"), chars("text").alias("b"))
+    out = metrics.word_errors(pairs, "a", "b")
+    return out.select("meeting", "seq", "substitutions", "insertions", "deletions", F.col("n_words_reference").alias("n_chars"), F.round("wer", 6).alias("cer"))
+
+
+@query()
+def cer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    each = cer_turns(spark, sf_dir).withColumnRenamed("n_chars", "n_words_reference")
+    out = metrics.corpus_errors(each)
+    return out.select("substitutions", "insertions", "deletions", "n_reference", F.round("error_rate", 6).alias("error_rate"))
 
 
 @query(f"""with {PAIRS}, t as (select meeting, seq, a, b, least(len(a), len(b)) as n from wp)
@@ -149,6 +177,57 @@ def relative_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.relative_day(day, F.lit("1995-06-17").cast("date")).alias("day"))
 
 
+@query(f"""with {SEGMENTS}, f as (select a.meeting, a.seq, b.text as before, a.text from segments a join segments b on a.meeting = b.meeting and b.seq between a.seq - 5 and a.seq - 1),
+c as (select meeting, seq, trim(lower(text)) as x, trim(lower(before)) as y from f), w as (select *, {SQL_WORDS.format("x")} as p, {SQL_WORDS.format("y")} as q, least(strlen(x), strlen(y)) as size, least(length(x), length(y)) * 3 // 4 as cut from c),
+m as (select *, list_filter(list_transform(range(len(p)), lambda i: struct_pack(i := i, j := coalesce(list_position(q, p[i + 1]), 0))), lambda s: s.j > 0) as placed, greatest(len(p), len(q)) as top from w),
+b as (select *, len(placed) as n, coalesce(list_sum(list_transform(placed, lambda s: 1.0::double - abs(s.i - (s.j - 1)) / top)), 0) as bonus from m),
+d as (select meeting, seq, strlen(x) >= 5 and (x = y or (size >= greatest(8, size // 4) and (contains(x, y) or contains(y, x) or (size > 15 and x[1:cut] = y[1:cut]))) or case when x = '' or y = '' then 0 when x = y then 1 when len(p) = 0 or len(q) = 0 then 0 else least(0.7::double * n / (len(p) + len(q) - n) + 0.3::double * bonus / greatest(n, 1), 1) end >= 0.4) as hit from b)
+select meeting, seq, coalesce(bool_or(hit), false) as duplicate from segments left join d using (meeting, seq) group by 1, 2""")
+def dup_recent_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn against the five before it."""
+    before = W.partitionBy("meeting").orderBy("seq").rowsBetween(-5, -1)
+    rows = views.segments(spark, sf_dir).withColumn("recent", F.collect_list("text").over(before))
+    return rows.select("meeting", "seq", X.repeats_any(F.col("text"), F.col("recent"), 0.4).alias("duplicate"))
+
+
+@query(f"""with {SEGMENTS}, w as (select meeting, seq, text, {SQL_WORDS.format("text")} as ws from segments)
+select meeting, seq, case when len(ws) > 3 and 3 / len(ws) > 0.3 then array_to_string(ws[4:], ' ') else text end as rest from w""")
+def overlap_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn after a buffer that holds its first three words."""
+    ws = X.words(F.col("text"))
+    return views.segments(spark, sf_dir).select("meeting", "seq", X.without_overlap(F.col("text"), F.upper(F.array_join(F.slice(ws, 1, 3), " ")), 0.3).alias("rest"))
+
+
+@query(f"""with {SEGMENTS}, w as (select meeting, seq, unnest({SQL_WORDS.format("text")}) as word from segments)
+select meeting, seq, round(avg(case when word in ('the', 'and', 'de', 'la') then 0.9 else 0.5 end), 6) as confidence, count(*) as words from w group by 1, 2""")
+def vocabulary_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = F.transform(X.words(F.col("text")), lambda w: F.struct(w.alias("word"), F.lit(0.5).alias("confidence")))
+    each = views.segments(spark, sf_dir).select("meeting", "seq", F.explode(X.boosted(ws, ("the", "and", "de", "la"))).alias("w"))
+    return each.groupBy("meeting", "seq").agg(F.round(F.avg("w.confidence"), 6).alias("confidence"), F.count("*").alias("words"))
+
+
+@query(f"""with {SEGMENTS} select meeting, seq, lpad((end_ms // 60000)::varchar, greatest(2, length((end_ms // 60000)::varchar))::int, '0') || ':' || lpad((end_ms // 1000 % 60)::varchar, 2, '0') as minutes,
+case when end_ms < 60000 then printf('%.1f', end_ms / 1000) || 's' else (end_ms // 60000) || 'm ' || (end_ms // 1000 % 60) || 's' end as speech from segments where end_ms % 100 = 0""")
+def time_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("end_ms") / 1000
+    return views.segments(spark, sf_dir).where("end_ms % 100 = 0").select("meeting", "seq", X.minute_clock(s).alias("minutes"), X.speech_time(s).alias("speech"))
+
+
+@query("""with k as (select event_id, case event_id % 6 when 0 then 'model_load' when 1 then 'audio_system' when 2 then 'permission_denied' when 3 then 'system_busy' when 4 then 'network_down' else 'other' end as kind from events)
+select kind, case when contains(kind, 'model') then 'model' when contains(kind, 'audio') then 'audio' when contains(kind, 'permission') then 'permissions' when contains(kind, 'system') then 'system' when contains(kind, 'network') then 'network' else 'unknown' end as area, count(*) as n from k group by 1, 2""")
+def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ("model_load", "audio_system", "permission_denied", "system_busy", "network_down", "other")]), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(kinds.alias("kind")).groupBy("kind", X.error_category(F.col("kind")).alias("area")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {PAIRS} select meeting, seq, len({TOKENS.format("text")}) as n_tokens, md5(array_to_string(list_transform({SQL_WORDS.format("text")}, lambda w: regexp_replace(w, '^[[:punct:]]+|[[:punct:]]+$', '', 'g')), ' ')) as trimmed,
+md5(case when contains(before, text) then before when contains(text, before) then text else before || ' ' || text end) as merged from pairs""")
+def text_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, words without marks at their ends, and the text of a turn merged with the one before."""
+    trimmed = F.array_join(F.transform(X.words(F.col("text")), X.trim_marks), " ")
+    return turn_pairs(spark, sf_dir).select("meeting", "seq", F.size(X.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.md5(trimmed).alias("trimmed"), F.md5(X.merge_texts(F.col("before"), F.col("text"))).alias("merged"))
+
+
 def _grouped(voices: DataFrame) -> DataFrame:
     """Recordings of 50 vectors each."""
     return voices.withColumn("recording", F.floor(F.col("id") / 50).cast("long"))

@@ -122,17 +122,18 @@ def align_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("meeting", "seq", "speaker", F.round("overall", 6).alias("overall"))
 
 
-@query(f"""with {PREDICTED}, f as (select a.meeting, a.seq, any_value(a.start_ms) as start_ms, any_value(a.end_ms) as end_ms, list(struct_pack(o := {OVERLAP}, s := b.speaker) order by {OVERLAP} desc, b.start_ms, b.seq) as found
+@query(f"""with {PREDICTED}, f as (select a.meeting, a.seq, any_value(a.start_ms) as start_ms, any_value(a.end_ms) as end_ms, any_value(a.text) as text, any_value(a.confidence) as c, list(struct_pack(o := {OVERLAP}, s := b.speaker, c := b.confidence) order by {OVERLAP} desc, b.start_ms, b.seq) as found
 from segments a join predicted b on {MEET} where {OVERLAP} > 0.02 * (a.end_ms - a.start_ms) group by 1, 2),
-p as (select meeting, seq, end_ms, found, unnest(range(len(found))) as i, start_ms from f where len(found) > 1),
+p as (select *, {SQL_WORDS.format("text")} as ws, unnest(range(len(found))) as i from f where len(found) > 1),
 w as (select *, start_ms + coalesce(list_sum(list_transform(found[1:i], lambda x: x.o)), 0)::bigint as begun from p)
-select meeting, seq, i as part, found[i + 1].s as speaker, begun as start_ms, least(begun + found[i + 1].o, end_ms) as end_ms from w where begun < end_ms qualify count(*) over (partition by meeting, seq) > 1""")
+select meeting, seq, i as part, found[i + 1].s as speaker, begun as start_ms, least(begun + found[i + 1].o, end_ms) as end_ms, round((c + found[i + 1].c) / 2, 6) as overall,
+case when i = len(found) - 1 then text else array_to_string(ws[1:round(len(ws) * found[i + 1].o / (end_ms - start_ms))::int], ' ') end as text from w where begun < end_ms qualify count(*) over (partition by meeting, seq) > 1""")
 def split_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _both(spark, sf_dir)
     pieces = I.align(own, found, 0.02)
     several = pieces.groupBy("meeting", "seq").agg(F.max("part").alias("_m")).where("_m > 0")
     split = pieces.join(several, ["meeting", "seq"], "left_semi")
-    return split.select("meeting", "seq", F.col("part").cast("long").alias("part"), "speaker", "start_ms", "end_ms")
+    return split.select("meeting", "seq", F.col("part").cast("long").alias("part"), "speaker", "start_ms", "end_ms", F.round("overall", 6).alias("overall"), "text")
 
 
 @query(f"""with {SEGMENTS}, k as (select *, greatest(ceil((end_ms - start_ms) / 8000), 1)::bigint as n from segments), p as (select *, unnest(range(n)) as part from k)

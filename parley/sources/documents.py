@@ -10,15 +10,15 @@ segments array<struct<speaker_id:string,start_time:double,end_time:double,text:s
 MEETING = "array<struct<id:string,title:string,date:string,duration:long,speakers:int,accuracy:double,language:string,quality:string,preview:string>>"
 
 
-def read_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all recordings under ``path``: recording, seq, speaker, start_ms, end_ms, text, confidence.
+def read_truth(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Segments of all recordings under ``path``: recording, seq, speaker, start_ms, end_ms, text, confidence, file.
 
     Both layouts are read: recordings named by ``recording_id`` or by ``audio_file``.
     """
-    docs = spark.read.schema(TRUTH).option("multiLine", True).json(path)
-    each = docs.select(F.coalesce("recording_id", "audio_file").alias("recording"), F.posexplode("segments").alias("seq", "s"))
+    docs = spark.read.schema(TRUTH).option("multiLine", multi_line).json(path)
+    each = docs.select(F.coalesce("recording_id", "audio_file").alias("recording"), F.col("_metadata.file_path").alias("file"), F.posexplode("segments").alias("seq", "s"))
     ms = lambda c: F.round(F.col(c) * 1000).cast("long")
-    return each.select("recording", F.col("seq").cast("long").alias("seq"), F.col("s.speaker_id").alias("speaker"), ms("s.start_time").alias("start_ms"), ms("s.end_time").alias("end_ms"), F.col("s.text").alias("text"), F.coalesce("s.confidence", "s.quality", F.lit(1.0)).alias("confidence"))
+    return each.select("recording", F.col("seq").cast("long").alias("seq"), F.col("s.speaker_id").alias("speaker"), ms("s.start_time").alias("start_ms"), ms("s.end_time").alias("end_ms"), F.col("s.text").alias("text"), F.coalesce("s.confidence", "s.quality", F.lit(1.0)).alias("confidence"), "file")
 
 
 def truth_json(segments: DataFrame, key: str = "recording") -> DataFrame:
