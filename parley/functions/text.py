@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.vector import let
+
 #: Words of three and four letters that say little.
 COMMON = ("the", "and", "are", "but", "not", "you", "all", "can", "had", "her", "was", "one", "our", "out", "day", "get", "has", "him", "how", "may", "new", "now", "old", "see", "two", "way", "who", "boy", "did", "its", "let", "put", "say", "she", "too", "use")
 
@@ -25,11 +27,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", "")), lambda w: w != "")
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often ``body`` uses it in lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def trigrams(ws: Column) -> Column:
     """Three consecutive words joined by blanks, in order."""
 
@@ -200,3 +197,8 @@ def error_category(kind: Column) -> Column:
     for part, area in reversed(areas):
         out = F.when(kind.contains(part), area).otherwise(out)
     return out
+
+
+def shifted(time: Column, **by: int) -> Column:
+    """A time so many days, hours, mins or secs later (negative: earlier)."""
+    return time + F.make_interval(**{k: F.lit(v) for k, v in by.items()})

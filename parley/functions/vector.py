@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def doubles(vector: Column) -> Column:
     return vector.cast("array<double>")
 
@@ -20,14 +25,12 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """The vector at length one; a zero vector stays as it is."""
-    size = norm(a)
-    return F.transform(a, lambda x: F.when(size > 0, x / size).otherwise(x))
+    return let(F.struct(a.alias("a"), norm(a).alias("n")), lambda s: F.transform(s["a"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(x)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 for a zero vector, for vectors of different sizes and for null."""
-    scale = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (scale > 0), dot(a, b) / scale).otherwise(0.0)
+    return let(norm(a) * norm(b), lambda scale: F.when((F.size(a) == F.size(b)) & (scale > 0), dot(a, b) / scale).otherwise(0.0))
 
 
 def literal(values: list[float]) -> Column:
@@ -43,3 +46,10 @@ def sign_bits(vector: Column, hashes: int = 8) -> Column:
 def seeded(seed: Column, time: Column, size: int) -> Column:
     """A reproducible unit vector: half the sine of seed, place and time."""
     return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sin(seed + i + F.sin(time * 0.1)) * 0.5))
+
+
+def random_bits(vector: Column, hashes: int) -> Column:
+    """Signs of ``hashes`` projections whose weights, sines of a quadratic of the place, span all dimensions
+    (those of ``sign_bits`` span two)."""
+    weigh = lambda v, h: F.aggregate(F.transform(v, lambda x, j: x * F.sin((h + 1) * 1.618033988749895 * (j + 1) * (j + 1))), F.lit(0.0), lambda s, x: s + x)
+    return let(vector, lambda v: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda h: F.when(weigh(v, h) > 0, 1).otherwise(0)))

@@ -46,15 +46,42 @@ def signature(vector: Column, hashes: int = 8) -> Column:
 
 
 def candidates(queries: DataFrame, voices: DataFrame, agree: int = 1) -> DataFrame:
-    """``query_id, id`` of vectors whose signature agrees with the query's in ``agree`` bits or more.
+    """``query_id, id`` of vectors that share ``agree`` buckets or more with the query, by an equi-join of the index.
 
-    With one bit this is the plain or-of-bits index; more bits prune more and may lose neighbours.
-    Agreement is counted on packed signatures, so no bucket is ever gathered.
+    With one bucket this is the plain or-of-bits index; more prune more and may lose neighbours.
     """
-    code = lambda v: F.conv(signature(v), 2, 10).cast("long")
-    left = queries.select(F.col("id").alias("query_id"), code(F.col("vector")).alias("_a"))
-    right = voices.select("id", code(F.col("vector")).alias("_b"))
-    return right.crossJoin(left).where(8 - F.bit_count(F.col("_a").bitwiseXOR(F.col("_b"))) >= agree).select("query_id", "id")
+    own = lsh_index(queries).select(F.col("id").alias("query_id"), "bucket")
+    pairs = lsh_index(voices).select("id", "bucket").join(own, "bucket")
+    return pairs.groupBy("query_id", "id").agg(F.count("*").alias("_n")).where(F.col("_n") >= agree).select("query_id", "id")
+
+
+def index_without(index: DataFrame, gone: DataFrame, key: str = "speaker_id") -> DataFrame:
+    """The index without some speakers."""
+    return index.join(gone.select(key).distinct(), key, "left_anti")
+
+
+def index_replaced(index: DataFrame, fresh: DataFrame, key: str = "speaker_id") -> DataFrame:
+    """The index with all entries of the speakers of ``fresh`` (voices) made anew."""
+    return index_without(index, fresh, key).unionByName(lsh_index(fresh).select(*index.columns))
+
+
+def banded(voices: DataFrame, bands: int = 96, bits: int = 3) -> DataFrame:
+    """``id, band``: one key for each band of sign bits; alike vectors share most, unlike ones few."""
+    signs = V.random_bits(F.col("vector"), bands * bits)
+    key = lambda s, b: F.concat_ws("_", b.cast("string"), F.array_join(F.transform(F.slice(s, b * bits + 1, bits), lambda x: x.cast("string")), ""))
+    keys = V.let(signs, lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: key(s, b)))
+    return voices.select("id", F.explode(keys).alias("band"))
+
+
+def band_search(queries: DataFrame, voices: DataFrame, k: int, share: int = 14, bands: int = 96, bits: int = 3) -> DataFrame:
+    """``query_id, id, similarity``: the ``k`` most similar other rows of each query among those that share
+    ``share`` bands or more with it. Bands meet in an equi-join; vectors are fetched for candidates only."""
+    own = banded(queries, bands, bits).select(F.col("id").alias("query_id"), "band")
+    pairs = banded(voices, bands, bits).join(own, "band").groupBy("query_id", "id").agg(F.count("*").alias("_n")).where((F.col("_n") >= share) & (F.col("query_id") != F.col("id")))
+    left = queries.select(F.col("id").alias("query_id"), V.unit(F.col("vector")).alias("_q"))
+    scored = pairs.join(voices.select("id", V.unit(F.col("vector")).alias("_v")), "id").join(left, "query_id").select("query_id", "id", V.dot(F.col("_q"), F.col("_v")).alias("similarity"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return scored.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
 
 
 def lsh_search(voices: DataFrame, query: list[float], least: float, k: int) -> DataFrame:

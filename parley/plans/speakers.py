@@ -83,6 +83,24 @@ def lsh_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.agg(F.countDistinct("speaker_id").alias("speakers"), F.countDistinct("id").alias("embeddings"), F.countDistinct("bucket").alias("buckets"), F.count("*").alias("entries"))
 
 
+@query(f"""with {VOICES}, s as (select id, speaker_id, {_SIGNATURE} as sig from voices where speaker_id <> 4), b as (select speaker_id, i || '_' || sig[i + 1] as bucket from s, range(8) t(i))
+select speaker_id, bucket, count(*) as n from b where speaker_id <> 2 group by 1, 2 union all
+select 2, i || '_' || (case when bit = '0' then '1' else '0' end), count(*) from (select i, sig[i + 1] as bit from s, range(8) t(i) where speaker_id = 2) group by 1, 2""")
+def lsh_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index without speaker 4 and with the vectors of speaker 2 replaced by their opposites."""
+    voices = views.voices(spark, sf_dir)
+    less = similarity.index_without(similarity.lsh_index(voices), spark.createDataFrame([(4,)], "speaker_id long"))
+    fresh = voices.where("speaker_id = 2").withColumn("vector", F.transform("vector", lambda x: -x))
+    return similarity.index_replaced(less, fresh).groupBy("speaker_id", "bucket").agg(F.count("*").alias("n"))
+
+
+@query()
+def band_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each query by bands of signs; a test measures the recall against all rows."""
+    voices = views.voices(spark, sf_dir)
+    return similarity.band_search(_query_set(voices), voices, 10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query(f"with {VOICES} select id, quality, duration_s from voices where speaker_id = 3 order by quality desc, id")
 def embeddings_by_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.voices(spark, sf_dir).where("speaker_id = 3").select("id", "quality", "duration_s").orderBy(F.desc("quality"), "id")

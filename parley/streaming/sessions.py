@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.operators import boundaries
 from parley.session import ship
 
 
@@ -105,3 +106,43 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
+
+
+def spoken(events: DataFrame, policy: boundaries.Policy, unit_us: int = 1000, late: str = "5 seconds") -> DataFrame:
+    """``boundaries.utterances`` of a stream (stream, ts, t_us, seq, energy): the same fold as state per stream.
+
+    An utterance whose stream falls silent closes as ``open`` once the watermark is past its end by
+    twice the shortest length, and the state of the stream goes.
+    """
+    ship(events.sparkSession)
+
+    def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = boundaries.Assembler.unpack(policy, unit_us, state.get) if state.exists else boundaries.Assembler(policy, unit_us)
+        rows = []
+        if state.hasTimedOut:
+            rows = [(key[0], *own.close("open"))] if own.start is not None else []
+            state.remove()
+        else:
+            for t, e in pd.concat(list(frames)).sort_values(["t_us", "seq"])[["t_us", "energy"]].itertuples(index=False):
+                rows += [(key[0], *x) for x in own.add(t, e)]
+            state.update(own.pack())
+            state.setTimeoutTimestamp(max(own.last, t) // 1000 + 2 * policy.shortest_ms * unit_us // 1000)
+        yield pd.DataFrame(rows, columns=["stream", "start_us", "end_us", "frames", "reason"])
+
+    return events.withWatermark("ts", late).groupBy("stream").applyInPandasWithState(assemble, boundaries.UTTERANCE, boundaries.STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def emit(stream: DataFrame, out: str, checkpoint: str, kinds: dict[str, Column]) -> None:
+    """Events of a stream as rows of ``event`` and JSON ``payload``, one set for each kind, written batch by batch.
+
+    A batch is written under its number, so a repeated batch replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = [batch.where(hit).select(F.lit(name).alias("event"), F.to_json(F.struct(*batch.columns)).alias("payload")) for name, hit in kinds.items()]
+        every = rows[0]
+        for r in rows[1:]:
+            every = every.unionByName(r)
+        every.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

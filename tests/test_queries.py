@@ -135,6 +135,6 @@ def test_repeats_of_a_session_in_many_files(spark, tmp_path):
     assert got == {turn: turn > 0 for turn in range(20)}
 
 
-@pytest.mark.parametrize("name", ["cer_turns", "sa_wer", "cluster_agglomerative", "cluster_online"])
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
