@@ -235,8 +235,8 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     each = marked.groupBy("_fp", "_id").agg(F.count("*").alias("_same"))
     prints = marked.select("_fp").distinct()
     named = each.join(components(links(prints, bits)), F.col("_fp") == F.col("node"), "left").select("_id", "_same", F.coalesce("root", "_fp").alias("_root"))
-    best = named.groupBy("_root").agg(F.min("_id").alias("_best"), F.count("*").alias("_n"), F.max("_same").alias("_most")).where("_n > 1 or _most > 1")
-    judged = named.join(best, "_root").select("_id", "_same", (F.col("_id") == F.col("_best")).alias("_stays")).where("not _stays or _same > 1")
+    best = cut(named.groupBy("_root").agg(F.min("_id").alias("_best"), F.count("*").alias("_n"), F.max("_same").alias("_most")).where("_n > 1 or _most > 1"))
+    judged = named.join(rows.near(best, best.count()), "_root").select("_id", "_same", (F.col("_id") == F.col("_best")).alias("_stays")).where("not _stays or _same > 1")
     judged = cut(judged.select(F.col("_id").alias("_which"), "_stays").distinct())
     out = wide.select("_row", key.alias("_key")).join(rows.near(judged, judged.count()), F.col("_key") == F.col("_which"), "left")
     alone = out.where("_which is null").select("_row.*")
