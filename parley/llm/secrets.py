@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import words
-from parley.session import ship
+from parley.session import cut, ship
 
 #: Trees, their depth, least findings in a leaf, and labelled findings that a forest is grown from.
 TREES, DEPTH, LEAF, FINDINGS = 31, 9, 4, 4000
@@ -69,7 +69,7 @@ def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY)
     own = F.array_distinct(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "[^a-z]+"))
     each = docs.select(F.explode(own).alias("_word")).where(F.char_length("_word").between(*LETTERS))
     often = each.groupBy("_word").agg(F.count("*").alias("_n")).where("_n > 1")
-    return frozenset(r[0].encode() for r in often.orderBy(F.desc("_n"), "_word").limit(size).select("_word").collect())
+    return frozenset(r[0].encode() for r in cut(often.orderBy(F.desc("_n"), "_word").limit(size)).select("_word").collect())
 
 
 def coverage(value: bytes, known: frozenset[bytes]) -> float:
