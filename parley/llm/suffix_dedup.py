@@ -4,18 +4,21 @@ Distinct texts are kept once, bucketed by digest (half a SHA-256). A stretch is
 so equal stretches share anchor and offset, and consecutive stretches with one anchor form one
 string. Strings meet by anchor; those equal as a whole count as one string with a weight. The strings
 of an anchor are merged in ``suffix_merge``, whose repeated intervals are the stretches to remove.
+A group of too many strings is first cut finer: stretches that start equally far before the anchor,
+give or take a few bytes, share all bytes but those few, so the shared ones name a smaller group.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +27,11 @@ from parley.session import ship, written
 
 #: Bytes of a stretch, and of the k-mers that are anchors.
 LENGTH, KMER = 200, 32
-#: Strings of one anchor that are merged together; stretches of larger groups are counted one by one.
+#: Strings that are merged together; larger groups are cut finer.
 GROUP_STRINGS = 2000
+#: Starts that one band of a string holds, for each cut; equal stretches fall into equal bands. In a band
+#: of one start all strings of a group are equal, so no group is left to cut after the last.
+BANDS = (24, 4, 1)
 #: Bytes of the digest that tells texts apart.
 REF = 16
 #: Bytes of strings that are merged at once, besides the last group.
@@ -169,18 +175,19 @@ def _ids(batch: pa.RecordBatch, i: int) -> tuple[int, int]:
     return batch.column(5)[i].as_py(), batch.column(6)[i].as_py()
 
 
-STRING = "key long, own long, weight int, many int, string binary"
+STRING = "key long, own long, weight int, many int, place int, string binary"
+BAND = "key long, own long, off int, part long, print long, weight int, place int, string binary"
 RESULT = "key long, own long, starts array<int>, ends array<int>"
 
 
 def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings of each text (columns packed, asked) as rows."""
+    """The strings of each text (columns packed, asked) as rows; the anchor's place is not yet known."""
     unpack = zstandard.ZstdDecompressor().decompress
-    names = ["key", "own", "weight", "many", "string"]
+    names = ["key", "own", "weight", "many", "place", "string"]
     for batch in batches:
         for packed, asked in zip(batch.column(0), batch.column(1), strict=True):
             text, rows = unpack(packed.as_py()), asked.as_py()
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], k) for c, k in (("key", pa.int64()), ("own", pa.int64()), ("weight", pa.int32()), ("many", pa.int32()))), pa.array([text[r["start"] : r["start"] + r["size"]] for r in rows], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], k) for c, k in (("key", pa.int64()), ("own", pa.int64()), ("weight", pa.int32()), ("many", pa.int32()))), pa.array([-1] * len(rows), pa.int32()), pa.array([text[r["start"] : r["start"] + r["size"]] for r in rows], pa.binary())], names)
 
 
 def _ranges(starts: np.ndarray) -> tuple[list[int], list[int]]:
@@ -195,7 +202,7 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole groups of strings, in units, through the merged transforms."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
-        found = [_ranges(x) for x in suffix_merge.repeated([r[4] for r in rows], np.array([r[2] for r in rows]), LENGTH)]
+        found = [_ranges(x) for x in suffix_merge.repeated([r[3] for r in rows], np.array([r[2] for r in rows]), LENGTH)]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1))], ["key", "own", "starts", "ends"])
 
     unit: list[tuple] = []
@@ -206,34 +213,92 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield solve(unit)
                 unit, held = [], 0
             unit.append(row)
-            held += len(row[4])
+            held += len(row[3])
     if unit:
         yield solve(unit)
 
 
-def _stretches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every stretch of every string by digest."""
-    for batch in batches:
-        for key, own, weight, _, string in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(string) - LENGTH + 1
-            prints = [hashlib.md5(string[i : i + LENGTH], usedforsecurity=False).digest() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([own] * n, pa.int64()), pa.array([weight] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), pa.array(prints, pa.binary())], ["key", "own", "weight", "at", "print"])
+def anchor_place(string: bytes, key: int) -> int:
+    """Where the anchor of a string is: its first k-mer with that hash."""
+    up, down = words.powers(len(string) + 1)
+    sums = np.zeros(len(string) + 1, np.uint64)
+    np.cumsum((np.frombuffer(string, np.uint8).astype(np.uint64) + np.uint64(1)) * up[: len(string)], out=sums[1:])
+    code = _mix((sums[KMER:] - sums[:-KMER]) * down[: len(string) + 1 - KMER])
+    return int(np.flatnonzero(code.view(np.int64) == key)[0])
+
+
+def _short(*parts: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
+
+
+def bands(string: bytes, key: int, place: int, width: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """``off, part, print, place, bytes`` of each band of a string.
+
+    Band ``i`` has the stretches that start ``i * width`` to ``(i + 1) * width - 1`` bytes before the
+    anchor. Its part is the hash of the bytes that all these stretches share.
+    """
+    last = len(string) - LENGTH
+    for band in range((place - last) // width, place // width + 1):
+        low, high = place - (band + 1) * width + 1, place - band * width
+        off, end = max(0, low), min(last, high) + LENGTH
+        head, piece = struct.pack("<qi", key, band), string[off:end]
+        yield off, _short(head, string[high : low + LENGTH]), _short(head, struct.pack("<i", place - off), piece), place - off, piece
+
+
+def _banded(width: int):
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = [c.split()[0] for c in BAND.split(", ")]
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                rows = []
+                for key, own, weight, place, string in zip(*(c.to_pylist() for c in batch.slice(a, 2000).columns), strict=True):
+                    at = anchor_place(string, key) if place < 0 else place
+                    rows += [(key, own, off, part, mark, weight, seat, piece) for off, part, mark, seat, piece in bands(string, key, at, width)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return split
+
+
+def _groups(strings: DataFrame, key: str, own: str, least: Column) -> DataFrame:
+    """Distinct strings with capped weight, one occurrence (``at``), and the size ``many`` of their group;
+    groups in which nothing is twice are left out."""
+    each = written(strings.groupBy(key, own).agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.min(least).alias("at")))
+    many = each.groupBy(key).agg(F.count("*").cast("int").alias("many"), F.sum("weight").alias("_all")).where("_all > 1").drop("_all")
+    return each.join(many, key)
+
+
+def solved(strings: DataFrame, widths: tuple[int, ...] = BANDS) -> DataFrame:
+    """``RESULT`` for groups of two strings and more (columns ``STRING``, a written table).
+
+    Groups within ``GROUP_STRINGS`` are merged. Strings of larger ones are cut into bands, bands that
+    are equal become one with a weight, and the groups of bands are solved in the same way.
+    """
+    columns = ["key", "own", "weight", "string"]
+    small = strings.where(F.col("many") <= GROUP_STRINGS) if widths else strings
+    merged = small.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(_merge, RESULT)
+    large = strings.where(F.col("many") > GROUP_STRINGS)
+    if not widths or large.isEmpty():
+        return merged
+    cuts = written(large.select("key", "own", "weight", "place", "string").mapInArrow(_banded(widths[0]), BAND), "bands")
+    groups = _groups(cuts, "part", "print", F.struct("key", "own", "off", F.octet_length("string").alias("size")))
+    alone = groups.where("many = 1").select("part", "print", F.array(F.lit(0)).alias("starts"), F.array("at.size").alias("ends"))
+    asked = groups.where("many > 1").select("part", "print", "at.key", "at.own", "at.off", F.col("weight").alias("_weight"), "many")
+    inner = cuts.join(asked, ["part", "print", "key", "own", "off"])
+    inner = solved(written(inner.select(F.col("part").alias("key"), F.col("print").alias("own"), F.col("_weight").alias("weight"), "many", "place", "string")), widths[1:])
+    found = alone.unionByName(inner.select(F.col("key").alias("part"), F.col("own").alias("print"), "starts", "ends").where(F.size("starts") > 0))
+    shifted = [F.transform(c, lambda x: x + F.col("off")).alias(c) for c in ("starts", "ends")]
+    return merged.unionByName(cuts.select("part", "print", "key", "own", "off").join(found, ["part", "print"]).select("key", "own", *shifted))
 
 
 def repeats(texts: DataFrame, members: DataFrame) -> DataFrame:
     """Byte ranges to remove, for each string that has any: ``RESULT``."""
-    least = F.min(F.struct("ref", "start", "size")).alias("at")
-    strings = written(members.where("head").groupBy("key", "own").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), least))
-    many = strings.groupBy("key").agg(F.count("*").cast("int").alias("many"))
-    strings = strings.join(many, "key")
-    alone = strings.where("many = 1 and weight > 1").select("key", "own", F.array(F.lit(0)).alias("starts"), F.array("at.size").alias("ends"))
+    strings = _groups(members.where("head"), "key", "own", F.struct("ref", "start", "size"))
+    alone = strings.where("many = 1").select("key", "own", F.array(F.lit(0)).alias("starts"), F.array("at.size").alias("ends"))
     asked = strings.where("many > 1").groupBy("at.ref").agg(F.collect_list(F.struct("key", "own", "weight", "many", "at.start", "at.size")).alias("asked"))
     cut = written(asked.join(texts.select("ref", "packed"), "ref").select("packed", "asked").mapInArrow(_cut_out, STRING))
-    merged = cut.where(F.col("many") <= GROUP_STRINGS).repartition("key").sortWithinPartitions("key").mapInArrow(_merge, RESULT)
-    each = cut.where(F.col("many") > GROUP_STRINGS).mapInArrow(_stretches, "key long, own long, weight int, at int, print binary")
-    often = each.groupBy("print").agg(F.sum("weight").alias("n")).where("n > 1").select("print")
-    large = each.join(often, "print").select("key", "own", F.array("at").alias("starts"), F.array(F.col("at") + LENGTH).alias("ends"))
-    return written(alone.unionByName(merged).unionByName(large).where(F.size("starts") > 0))
+    return written(alone.unionByName(solved(cut)).where(F.size("starts") > 0))
 
 
 def _kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

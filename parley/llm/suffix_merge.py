@@ -28,6 +28,17 @@ class Shard:
     before: np.ndarray
 
 
+def named(codes: np.ndarray, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the byte groups at ``at``: equal exactly if the bytes are, also where hashes collide."""
+    name = np.unique(codes, return_inverse=True)[1]
+    first = np.empty(len(at), np.int64)
+    first[name] = at
+    groups = np.lib.stride_tricks.sliding_window_view(raw, GROUP)
+    if (groups[at] == groups[first[name]]).all():
+        return name
+    return np.unique(groups[at], axis=0, return_inverse=True)[1].reshape(-1)
+
+
 def _sorted_shard(symbol: np.ndarray, after: np.ndarray, rows: np.ndarray, previous: np.ndarray) -> Shard:
     """Rank doubling over ``rows``; ``after`` is the next row of the same sequence, or -1 at its end."""
     place = np.full(len(symbol) + 1, -1)
@@ -90,7 +101,7 @@ def repeated(strings: list[bytes], weight: np.ndarray, length: int) -> list[np.n
     sums = np.zeros(total + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:total], out=sums[1:])
     symbol = np.zeros(total, np.int64)
-    symbol[whole] = np.unique((sums[whole + GROUP] - sums[whole]) * down[whole], return_inverse=True)[1] + 1
+    symbol[whole] = named((sums[whole + GROUP] - sums[whole]) * down[whole], raw, whole) + 1
     after = np.full(total, -1)
     after[whole] = whole + GROUP
     previous = np.zeros(total, np.int64)

@@ -36,6 +36,46 @@ def test_merged_transforms_find_repeats():
     assert any(want)
 
 
+def test_symbols_are_told_apart_by_bytes():
+    raw = np.frombuffer(bytes(range(60)) + bytes(range(60)), np.uint8)
+    at = np.array([0, 60, 5, 30, 65])
+    for codes in ([7, 7, 7, 7, 7], [1, 1, 2, 2, 2], [1, 1, 2, 3, 2]):
+        name = suffix_merge.named(np.array(codes, np.uint64), raw, at)
+        assert [[a == b for b in name] for a in name] == [[bytes(raw[a : a + 25]) == bytes(raw[b : b + 25]) for b in at] for a in at]
+
+
+def test_bands_hold_each_stretch_once():
+    rng = random.Random(8)
+    string = bytes(rng.randrange(256) for _ in range(331))
+    for width in (169, 24, 4, 1):
+        parts = {}
+        starts = []
+        for off, part, mark, place, piece in suffix_dedup.bands(string, 5, 150, width):
+            assert string[off : off + len(piece)] == piece and place == 150 - off
+            assert len(piece) <= 199 + width
+            parts[part] = mark
+            starts += range(off, off + len(piece) - 199)
+        assert sorted(starts) == list(range(132))
+        # another string with the same stretches further on: equal bands stay equal, cut ones keep their part
+        other = b"zz" + string[100:]
+        again = {part: mark for _, part, mark, _, _ in suffix_dedup.bands(other, 5, 52, width)}
+        assert len(set(parts) & set(again)) >= 32 // width
+        if width == 1:
+            assert sum(parts.get(k) == v for k, v in again.items()) == 32
+
+
+def test_large_groups(spark):
+    """Ten thousand strings around one anchor: some share bytes before it, some after it, most neither."""
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    core, left, right = some(110), some(150), some(150)
+    rows = [(i, some(130) + core + some(130), "x") for i in range(9000)]
+    rows += [(20000 + i, some(130) + core + right[: 60 + i % 91] + some(60), "x") for i in range(600)]
+    rows += [(30000 + i, some(60) + left[i % 91 :] + core + some(130), "x") for i in range(600)]
+    found = _compare(spark, [r[:2] for r in rows])
+    assert any(r[3] for r in found) and sum(r[3] == 0 for r in found) > 8000
+
+
 def _compare(spark, rows):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ref string")
     got = sorted((r._id is not None, r._id or 0, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(docs).collect())
@@ -62,8 +102,9 @@ def test_edges(spark, monkeypatch):
     rows += [(20 + i, some(60) + passage[50:290] + some(60)) for i in range(12)]
     found = _compare(spark, rows)
     assert any(r[3] for r in found)
-    monkeypatch.setattr(suffix_dedup, "GROUP_STRINGS", 3)
-    assert _compare(spark, rows) == found
+    for most in (3, 0):
+        monkeypatch.setattr(suffix_dedup, "GROUP_STRINGS", most)
+        assert _compare(spark, rows) == found
     monkeypatch.setattr(suffix_dedup, "_hot", lambda texts: [k for (k,) in texts.select("ref", "copies", "packed").mapInArrow(suffix_dedup._members, suffix_dedup.MEMBER).select("key").distinct().collect()])
     assert _compare(spark, rows) == found
     assert suffix_dedup.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
