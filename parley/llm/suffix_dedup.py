@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm import suffix_merge, words
+from parley.llm import rows, suffix_merge, words
 from parley.session import ship, written
 
 #: Bytes of a stretch, and of the k-mers that are anchors.
@@ -265,8 +265,12 @@ def _groups(strings: DataFrame, key: str, own: str, least: Column) -> DataFrame:
     """Distinct strings with capped weight, one occurrence (``at``), and the size ``many`` of their group;
     groups in which nothing is twice are left out."""
     each = written(strings.groupBy(key, own).agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.min(least).alias("at")))
-    many = each.groupBy(key).agg(F.count("*").cast("int").alias("many"), F.sum("weight").alias("_all")).where("_all > 1").drop("_all")
-    return each.join(many, key)
+    many = written(each.groupBy(key).agg(F.count("*").cast("int").alias("many"), F.sum("weight").alias("_all")).where("_all > 1").drop("_all"))
+    # strings of large groups stay where they are, so that no task gets a whole large group
+    large = many.where(F.col("many") > GROUP_STRINGS)
+    large = rows.near(large, large.count())
+    rest = each.join(large.select(key), key, "left_anti").join(many.where(F.col("many") <= GROUP_STRINGS), key)
+    return rest.unionByName(each.join(large, key))
 
 
 def solved(strings: DataFrame, widths: tuple[int, ...] = BANDS) -> DataFrame:
