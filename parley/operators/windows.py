@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,11 +58,28 @@ def word_times(rows: DataFrame, words: Column) -> DataFrame:
 
 
 def spaced(rows: DataFrame, least: int, key: str, time: str) -> DataFrame:
-    """Of the times of a group those at least ``least`` after the last one kept (a fold)."""
-    times = rows.groupBy(key).agg(F.array_sort(F.collect_list(time)).alias("_t"))
-    init = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, t: F.when(a["last"].isNull() | (t - a["last"] >= least), F.struct(t.alias("last"), F.concat(a["kept"], F.array(t)).alias("kept"))).otherwise(a)
-    return times.select(key, F.explode(F.aggregate("_t", init, step, lambda a: a["kept"])).alias(time))
+    """Of the times of a group those at least ``least`` after the last one kept; null times are left out.
+
+    Sorted rows pass through a task in batches, and only the last time kept is remembered between them.
+    """
+    ship(rows.sparkSession)
+    first = F.row_number().over(W.partitionBy(key).orderBy(time)) == 1
+    slim = rows.select(key, time).where(F.col(time).isNotNull())
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free = None
+        for batch in batches:
+            times, opens = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            kept, begins = [], np.flatnonzero(opens).tolist()
+            for lo, hi in pairwise(sorted({0, *begins, len(times)})):
+                i = lo if opens[lo] else lo + int(np.searchsorted(times[lo:hi], free))
+                while i < hi:
+                    kept.append(i)
+                    free = times[i] + least
+                    i += max(1, int(np.searchsorted(times[i:hi], free)))
+            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
+
+    return slim.withColumn("_first", first).sortWithinPartitions(key, time).mapInArrow(fold, slim.schema)
 
 
 def validity(rows: DataFrame, key: str = "meeting", least: int = 100, most: int = 60_000, late: int = 5_000) -> DataFrame:
@@ -77,38 +97,45 @@ def newest(rows: DataFrame, n: int, key: str = "meeting") -> DataFrame:
 def resolve(rows: DataFrame, fill: int, least_gap: int = 100, key: str = "meeting") -> DataFrame:
     """Overlaps resolved in order: one speaker merges, different speakers meet halfway; a small gap is filled.
 
-    A merge ends where the later segment ends. One fold over the sorted segments of a meeting.
+    A merge ends where the later segment ends, so what happens between two segments depends on these
+    two alone, and windows tell it. The confidence of a merge is a fold over its own segments.
     """
-    sort = F.array_sort(F.collect_list(F.struct("start_ms", "seq", "end_ms", "speaker", "confidence")))
-    packed = rows.groupBy(key).agg(F.transform(sort, lambda s: F.struct(s["start_ms"].cast("double").alias("a"), s["end_ms"].cast("double").alias("b"), s["speaker"].alias("who"), s["confidence"].alias("c"), F.lit(1).alias("n"))).alias("_s"))
-    kind = "array<struct<a:double,b:double,who:string,c:double,n:int>>"
-    seg = lambda a, b, who, c, n: F.struct(a.alias("a"), b.alias("b"), who.alias("who"), c.alias("c"), n.alias("n"))
-    init = F.struct(F.array().cast(kind).alias("out"), F.element_at("_s", 1).alias("now"))
-
-    def step(acc: Column, x: Column) -> Column:
-        now, out = acc["now"], acc["out"]
-        gap, half = x["a"] - now["b"], (now["b"] + x["a"]) / 2
-        merged = F.struct(out.alias("out"), seg(now["a"], x["b"], now["who"], (now["c"] + x["c"]) / 2, now["n"] + 1).alias("now"))
-        met = F.struct(F.concat(out, F.array(seg(now["a"], half, now["who"], now["c"], now["n"]))).alias("out"), seg(half, x["b"], x["who"], x["c"], x["n"]).alias("now"))
-        end = F.when((gap > least_gap) & (gap < fill), x["a"]).otherwise(now["b"])
-        apart = F.struct(F.concat(out, F.array(seg(now["a"], end, now["who"], now["c"], now["n"]))).alias("out"), x.alias("now"))
-        return F.when((gap < 0) & (now["who"] == x["who"]), merged).when(gap < 0, met).otherwise(apart)
-
-    done = F.aggregate(F.slice("_s", 2, F.size("_s")), init, step, lambda acc: F.concat(acc["out"], F.array(acc["now"])))
-    return packed.select(key, F.posexplode(done).alias("part", "p")).select(key, "part", F.col("p.a").alias("start_ms"), F.col("p.b").alias("end_ms"), F.col("p.who").alias("speaker"), F.col("p.c").alias("confidence"), F.col("p.n").alias("n"))
+    own = W.partitionBy(key).orderBy("start_ms", "seq")
+    a, b = F.col("start_ms").cast("double"), F.col("end_ms").cast("double")
+    before, after = F.lag(b).over(own), F.lead(a).over(own)
+    merges = F.coalesce((a < before) & (F.col("speaker") == F.lag("speaker").over(own)), F.lit(False))
+    begin = F.when(a < before, (before + a) / 2).otherwise(a)
+    end = F.when(after < b, (b + after) / 2).when((after - b > least_gap) & (after - b < fill), after).otherwise(b)
+    marked = rows.select(key, "start_ms", "seq", "speaker", "confidence", begin.alias("_a"), end.alias("_b"), F.when(merges, 0).otherwise(1).alias("_new"))
+    marked = marked.withColumn("part", (F.sum("_new").over(own.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("int"))
+    packed = marked.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("start_ms", "seq", "_a", "_b", "speaker", "confidence"))).alias("_s"))
+    values = F.transform("_s", lambda s: s["confidence"])
+    mean = F.aggregate(F.slice(values, 2, F.size(values)), F.element_at(values, 1), lambda x, y: (x + y) / 2)
+    head = F.element_at("_s", 1)
+    return packed.select(key, "part", head["_a"].alias("start_ms"), F.element_at("_s", -1)["_b"].alias("end_ms"), head["speaker"].alias("speaker"), mean.alias("confidence"), F.size("_s").alias("n"))
 
 
 def overlap_groups(rows: DataFrame, key: str = "meeting") -> DataFrame:
-    """Groups of rows that overlap the group's first row (not each other in turn); groups of one go."""
-    packed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start_ms", "seq", "end_ms"))).alias("_s"))
-    init = F.struct(F.lit(-1).alias("g"), F.lit(None).cast("bigint").alias("end"), F.array().cast("array<struct<g:int,seq:bigint>>").alias("out"))
+    """Groups of rows that overlap the group's first row (not each other in turn); groups of one go.
+
+    Sorted rows pass through a task in batches, and only the end of the group's first row is remembered.
+    """
+    ship(rows.sparkSession)
+    first = F.row_number().over(W.partitionBy(key).orderBy("start_ms", "seq")) == 1
+    slim = rows.select(key, "seq", F.col("start_ms").cast("long").alias("_a"), F.col("end_ms").cast("long").alias("_b"), first.alias("_first"))
+    schema = slim.select(key, "seq", F.lit(0).alias("g")).schema
 
-    def step(acc: Column, x: Column) -> Column:
-        joins = x["start_ms"] < acc["end"]
-        g = F.when(joins, acc["g"]).otherwise(acc["g"] + 1)
-        return F.struct(g.alias("g"), F.when(joins, acc["end"]).otherwise(x["end_ms"]).alias("end"), F.concat(acc["out"], F.array(F.struct(g.alias("g"), x["seq"].alias("seq")))).alias("out"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, end = -1, None
+        for batch in batches:
+            out = []
+            for a, b, opens in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if opens or a is None or end is None or a >= end:
+                    g, end = 0 if opens else g + 1, b
+                out.append(g)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], schema.names)
 
-    each = packed.select(key, F.explode(F.aggregate("_s", init, step, lambda acc: acc["out"])).alias("m")).select(key, F.col("m.g").alias("g"), F.col("m.seq").alias("seq"))
+    each = slim.sortWithinPartitions(key, "_a", "seq").mapInArrow(fold, schema)
     return each.groupBy(key, "g").agg(F.count("*").alias("members"), F.min("seq").alias("first_seq")).where("members > 1")
 
 

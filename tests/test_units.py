@@ -86,6 +86,20 @@ def test_resolve(spark):
     assert got == [("a", 0, 2400), ("b", 2400, 5500), ("b", 5500, 6000)]
 
 
+def test_folds_over_batches(spark):
+    """Folds go on over the borders of Arrow batches, and groups begin anew."""
+    times = [(g, g * 7 + t) for g in range(4) for t in (0, 3, 9, 10, 11, 19, 20, 21, 35)]
+    spans = [seg("a", 0, 100), seg("b", 50, 70), seg("a", 60, 500), seg("b", 120, 130), seg("a", 125, 140), seg("b", 140, 150), seg("a", 300, 310)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        kept = windows.spaced(spark.createDataFrame(times[::-1], "g long, t long"), 10, "g", "t").collect()
+        groups = windows.overlap_groups(segs(spark, *spans)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(tuple, kept)) == [(g, g * 7 + t) for g in range(4) for t in (0, 10, 20, 35)]
+    assert sorted((r.g, r.members) for r in groups) == [(0, 3), (1, 2)]
+
+
 def test_validity(spark):
     rows = segs(spark, seg("a", 1000, 2000), seg("a", 2000, 1000), seg("a", 1000, 70_000), seg("a", 9000, 9050), seg("a", 3000, 3500))
     assert [r.valid for r in windows.validity(rows).orderBy("seq").collect()] == [True, False, False, False, False]
