@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, secrets, simhash, suffix_dedup, url_filter
+from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, secrets, simhash, suffix_dedup, turn_repair, url_filter
 from parley.session import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -64,7 +64,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, labels)).withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op8_suffix_dedup, op9_simhash, op10_quality)}
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.digests(turns, *turn_repair.repair(turn_repair.damage(turns)))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op8_suffix_dedup, op9_simhash, op10_quality, op11_turn_repair)}
 
 SQL = {
     "op2_url_filter": """
