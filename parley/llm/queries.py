@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, secrets, simhash, suffix_dedup, turn_repair, url_filter
-from parley.session import table
+from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, secrets, simhash, suffix_dedup, turn_repair, url_filter, warc
+from parley.session import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -69,7 +71,15 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.digests(turns, *turn_repair.repair(turn_repair.damage(turns)))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op8_suffix_dedup, op9_simhash, op10_quality, op11_turn_repair)}
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, out = table(spark, sf_dir, "pages"), f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(pages, out)
+    ids = pages.schema["page_id"].dataType
+    found = warc.records(warc.chunks(spark, out, data=False))
+    return found.select(F.col("page_id").cast(ids), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(ids), "intact")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op8_suffix_dedup, op9_simhash, op10_quality, op11_turn_repair, op12_warc)}
 
 SQL = {
     "op2_url_filter": """
@@ -88,5 +98,12 @@ n as (select doc_id, length(t) as n, sha256(regexp_replace(t, '[\x20\x09-\x0D]+'
 select doc_id, first_value(doc_id) over w as keep_id, count(*) over (partition by text_sha256) as group_size,
        row_number() over w = 1 as kept, text_sha256
 from n window w as (partition by text_sha256 order by n desc, doc_id)
+""",
+    "op12_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages),
+n as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest, case when strlen(h) >= 1000 then max(page_id) over (partition by h) end as keeper from p)
+select page_id, payload_bytes, payload_digest, case when page_id < keeper then 'revisit' else 'response' end as record_type,
+       case when page_id < keeper then keeper end as refers_to, true as intact
+from n
 """,
 }
