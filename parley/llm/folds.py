@@ -20,8 +20,8 @@ def joined_sha256(rows: DataFrame, key: Column, order: list[Column], value: Colu
     """``key, n, sha256``: per key, how many values there are and the digest of all, in order, joined.
 
     SHA-256 has to see its bytes one after the other, so a key's values pass through one task, as a
-    sorted stream of which the task holds one batch; Spark's sort spills. Null keys are one key, and
-    null values count as empty. ``dealt`` is the number of partitions, else that of the session.
+    sorted stream of which the task holds one batch; Spark's sort spills. Nulls come first, null keys are one key,
+    and null values count as empty. ``dealt`` is the number of partitions, else that of the session.
     """
     ship(rows.sparkSession)
     named = rows.select(key.alias("key"), *[c.alias(f"o{i}") for i, c in enumerate(order)], value.alias("value"))

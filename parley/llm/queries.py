@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, secrets, simhash, suffix_dedup, turn_repair, url_filter, warc
+from parley.llm import bpe, chat_format, classifier, decontaminate, exact_dedup, html_extract, prefix_trie, secrets, simhash, suffix_dedup, turn_repair, url_filter, warc
 from parley.session import shared_dir, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -79,7 +79,11 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("page_id").cast(ids), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast(ids), "intact")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op8_suffix_dedup, op9_simhash, op10_quality, op11_turn_repair, op12_warc)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(prefix_trie.paths(table(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_html_extract, op6_bpe, op7_decontaminate, op8_suffix_dedup, op9_simhash, op10_quality, op11_turn_repair, op12_warc, op13_prefix_trie)}
 
 SQL = {
     "op2_url_filter": """
