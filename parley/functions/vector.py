@@ -47,9 +47,3 @@ def seeded(seed: Column, time: Column, size: int) -> Column:
     """A reproducible unit vector: half the sine of seed, place and time."""
     return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sin(seed + i + F.sin(time * 0.1)) * 0.5))
 
-
-def random_bits(vector: Column, hashes: int) -> Column:
-    """Signs of ``hashes`` projections whose weights, sines of a quadratic of the place, span all dimensions
-    (those of ``sign_bits`` span two)."""
-    weigh = lambda v, h: F.aggregate(F.transform(v, lambda x, j: x * F.sin((h + 1) * 1.618033988749895 * (j + 1) * (j + 1))), F.lit(0.0), lambda s, x: s + x)
-    return let(vector, lambda v: F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda h: F.when(weigh(v, h) > 0, 1).otherwise(0)))

@@ -7,13 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import vector as V
+from parley.operators.vector_index import VectorIndex
 
 
-def similar_speakers(voices: DataFrame, profiles: DataFrame, query: list[float], least: float, k: int) -> DataFrame:
-    """The ``k`` active speakers with the best similarity of at least ``least``: best and number of matches."""
-    scored = voices.join(profiles.where("is_active"), "speaker_id").select("speaker_id", "name", V.cosine(F.col("vector"), V.literal(query)).alias("s"))
-    best = scored.where(F.col("s") >= least).groupBy("speaker_id", "name").agg(F.max("s").alias("similarity"), F.count("*").alias("matches"))
-    return best.orderBy(F.desc("similarity"), "speaker_id").limit(k)
+def similar_speakers(queries: DataFrame, voices: DataFrame, profiles: DataFrame, least: float, k: int) -> DataFrame:
+    """For each query (id, vector) the ``k`` active speakers with the best similarity of at least ``least``:
+    best and number of matches. Speakers that are not active are left out before any vector is compared."""
+    active = profiles.where("is_active").select("speaker_id", "name")
+    scored = scored_against(queries, voices.join(active, "speaker_id", "left_semi")).where(F.col("similarity") >= least)
+    best = scored.groupBy("query_id", "speaker_id").agg(F.max("similarity").alias("similarity"), F.count("*").alias("matches"))
+    return top(best, k).join(active, "speaker_id").select("query_id", "speaker_id", "name", "similarity", "matches")
+
+
+def top(best: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best speakers of each query."""
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "speaker_id"))
+    return best.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
 
 
 def scored_against(queries: DataFrame, voices: DataFrame) -> DataFrame:
@@ -45,14 +54,33 @@ def signature(vector: Column, hashes: int = 8) -> Column:
     return F.array_join(F.transform(V.sign_bits(vector, hashes), lambda b: b.cast("string")), "")
 
 
-def candidates(queries: DataFrame, voices: DataFrame, agree: int = 1) -> DataFrame:
-    """``query_id, id`` of vectors that share ``agree`` buckets or more with the query, by an equi-join of the index.
+def signatures(rows: DataFrame, hashes: int = 8) -> DataFrame:
+    """``id, speaker_id, sig``: the one-bit hashes of a vector as the bits of a number."""
+    bits = V.sign_bits(F.col("vector"), hashes)
+    return rows.select("id", "speaker_id", F.aggregate(bits, F.lit(0), lambda s, b: s * 2 + b).alias("sig"))
+
+
+def agreeing(queries: DataFrame, agree: int = 1, hashes: int = 8) -> DataFrame:
+    """``query_id, sig``: every signature that has ``agree`` bits or more in common with the query's."""
+    every = F.sequence(F.lit(0), F.lit(2**hashes - 1))
+    own = signatures(queries, hashes)
+    fit = F.filter(every, lambda s: hashes - F.bit_count(s.bitwiseXOR(F.col("sig"))) >= agree)
+    return own.select(F.col("id").alias("query_id"), F.explode(fit).alias("sig"))
+
 
+def candidates(queries: DataFrame, voices: DataFrame, agree: int = 1, hashes: int = 8) -> DataFrame:
+    """``query_id, id`` of vectors that share ``agree`` buckets or more with the query.
+
+    A query meets whole signatures that agree enough, so the join makes each pair once and no other.
     With one bucket this is the plain or-of-bits index; more prune more and may lose neighbours.
     """
-    own = lsh_index(queries).select(F.col("id").alias("query_id"), "bucket")
-    pairs = lsh_index(voices).select("id", "bucket").join(own, "bucket")
-    return pairs.groupBy("query_id", "id").agg(F.count("*").alias("_n")).where(F.col("_n") >= agree).select("query_id", "id")
+    return signatures(voices, hashes).join(agreeing(queries, agree, hashes), "sig").select("query_id", "id")
+
+
+def candidate_counts(queries: DataFrame, voices: DataFrame, agree: int = 1, hashes: int = 8) -> DataFrame:
+    """``query_id, n``: how many candidates a query has, from the counts of signatures and without pairs."""
+    held = signatures(voices, hashes).groupBy("sig").agg(F.count("*").alias("n"))
+    return agreeing(queries, agree, hashes).join(F.broadcast(held), "sig").groupBy("query_id").agg(F.sum("n").alias("n"))
 
 
 def index_without(index: DataFrame, gone: DataFrame, key: str = "speaker_id") -> DataFrame:
@@ -65,36 +93,27 @@ def index_replaced(index: DataFrame, fresh: DataFrame, key: str = "speaker_id")
     return index_without(index, fresh, key).unionByName(lsh_index(fresh).select(*index.columns))
 
 
-def banded(voices: DataFrame, bands: int = 96, bits: int = 3) -> DataFrame:
-    """``id, band``: one key for each band of sign bits; alike vectors share most, unlike ones few."""
-    signs = V.random_bits(F.col("vector"), bands * bits)
-    key = lambda s, b: F.concat_ws("_", b.cast("string"), F.array_join(F.transform(F.slice(s, b * bits + 1, bits), lambda x: x.cast("string")), ""))
-    keys = V.let(signs, lambda s: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: key(s, b)))
-    return voices.select("id", F.explode(keys).alias("band"))
-
+def lsh_speakers(queries: DataFrame, voices: DataFrame, hashes: int = 8) -> DataFrame:
+    """``query_id, speaker_id``: speakers with a vector in one of the query's buckets; all where there are none.
 
-def band_search(queries: DataFrame, voices: DataFrame, k: int, share: int = 14, bands: int = 96, bits: int = 3) -> DataFrame:
-    """``query_id, id, similarity``: the ``k`` most similar other rows of each query among those that share
-    ``share`` bands or more with it. Bands meet in an equi-join; vectors are fetched for candidates only."""
-    own = banded(queries, bands, bits).select(F.col("id").alias("query_id"), "band")
-    pairs = banded(voices, bands, bits).join(own, "band").groupBy("query_id", "id").agg(F.count("*").alias("_n")).where((F.col("_n") >= share) & (F.col("query_id") != F.col("id")))
-    left = queries.select(F.col("id").alias("query_id"), V.unit(F.col("vector")).alias("_q"))
-    scored = pairs.join(voices.select("id", V.unit(F.col("vector")).alias("_v")), "id").join(left, "query_id").select("query_id", "id", V.dot(F.col("_q"), F.col("_v")).alias("similarity"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("_k", rank).where(F.col("_k") <= k).drop("_k")
+    Both sides meet in the table of signatures, of which there are two to ``hashes``.
+    """
+    own = signatures(voices, hashes).select("sig", "speaker_id").distinct()
+    held = own.select("sig").distinct().agg(F.collect_set("sig").alias("held"))
+    asked = agreeing(queries, 1, hashes).groupBy("query_id").agg(F.collect_set("sig").alias("fit"))
+    met = asked.crossJoin(F.broadcast(held)).withColumn("sig", F.array_intersect("fit", "held"))
+    met = met.select("query_id", F.explode(F.when(F.size("sig") > 0, F.col("sig")).otherwise(F.col("held"))).alias("sig"))
+    return met.join(own, "sig").select("query_id", "speaker_id").distinct()
 
 
-def lsh_search(voices: DataFrame, query: list[float], least: float, k: int) -> DataFrame:
-    """Best similarity of each speaker among the candidates, all rows where there are none; top ``k``.
+def lsh_search(queries: DataFrame, voices: DataFrame, index: VectorIndex, least: float, k: int) -> DataFrame:
+    """For each query the ``k`` best of its candidate speakers, by the best of all their vectors.
 
-    A speaker's best starts at 0, so negative similarities never match.
+    The vector index finds the speakers that are ``least`` alike; a best starts at 0, so similarities that
+    are not above it never match.
     """
-    own = V.sign_bits(V.literal(query))
-    marked = voices.select("speaker_id", "vector", F.exists(F.zip_with(V.sign_bits(F.col("vector")), own, lambda a, b: a == b), lambda x: x).alias("_hit"))
-    any_hit = marked.agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("_any"))
-    kept = marked.crossJoin(F.broadcast(any_hit)).where("_hit or not _any")
-    best = kept.groupBy("speaker_id").agg(F.greatest(F.max(V.cosine(F.col("vector"), V.literal(query))), F.lit(0.0)).alias("similarity"))
-    return best.where((F.col("similarity") >= least) & (F.col("similarity") > 0)).orderBy(F.desc("similarity"), "speaker_id").limit(k)
+    alike = index.owners(queries, max(least, 0.0)).where("similarity > 0").select("query_id", "speaker_id", "similarity")
+    return top(alike.join(lsh_speakers(queries, voices), ["query_id", "speaker_id"], "left_semi"), k)
 
 
 def vector_sums(voices: DataFrame, key: str) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import vector as V
 from parley.operators import similarity, store
+from parley.operators.vector_index import VectorIndex
 from parley.plans import views
 from parley.plans.registry import query
 from parley.plans.views import PROFILES, VOICES
+from parley.session import shared_dir
 
 LEAST, TOP = 0.2, 5
 QUERY_SET = "qs as (select id as query_id, vector as qv from voices where id % 100 = 0)"
@@ -20,17 +24,18 @@ def _query_set(voices: DataFrame) -> DataFrame:
     return voices.where("id % 100 = 0")
 
 
-def _first_vector(voices: DataFrame) -> list[float]:
-    row = voices.where("id = 0").select("vector").first()
-    return row[0] if row else []
+def _index(voices: DataFrame) -> VectorIndex:
+    return VectorIndex.build(voices, f"{shared_dir(voices.sparkSession)}/index-{uuid.uuid4().hex}")
 
 
-@query(f"""with {PROFILES}, {VOICES}, q as (select vector as qv from voices where id = 0),
-s as (select speaker_id, name, list_cosine_similarity(vector, qv) as sim from voices join profiles using (speaker_id), q where is_active)
-select speaker_id, name, round(max(sim), 6) as similarity, count(*) as matches from s where sim >= {LEAST} group by speaker_id, name order by max(sim) desc, speaker_id limit {TOP}""")
+@query(f"""with {PROFILES}, {VOICES}, {QUERY_SET},
+s as (select query_id, speaker_id, name, list_cosine_similarity(vector, qv) as sim from voices join profiles using (speaker_id), qs where is_active),
+b as (select query_id, speaker_id, name, max(sim) as sim, count(*) as matches from s where sim >= {LEAST} group by all),
+r as (select *, row_number() over (partition by query_id order by sim desc, speaker_id) as k from b)
+select query_id, speaker_id, name, round(sim, 6) as similarity, matches from r where k <= {TOP}""")
 def similar_speakers_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     voices = views.voices(spark, sf_dir)
-    return similarity.similar_speakers(voices, views.profiles(spark, sf_dir), _first_vector(voices), LEAST, TOP).withColumn("similarity", F.round("similarity", 6))
+    return similarity.similar_speakers(_query_set(voices), voices, views.profiles(spark, sf_dir), LEAST, TOP).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""with {VOICES}, {QUERY_SET},
@@ -62,18 +67,28 @@ p as (select q.query_id, len(list_filter(range(1, 9), lambda i: sq.sig[i] = s.si
 select query_id, count(*) filter (where same >= 1) as any_bit, count(*) filter (where same >= 6) as six_bits from p group by query_id""")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     voices = views.voices(spark, sf_dir)
-    one = similarity.candidates(_query_set(voices), voices, 1).groupBy("query_id").agg(F.count("*").alias("any_bit"))
-    six = similarity.candidates(_query_set(voices), voices, 6).groupBy("query_id").agg(F.count("*").alias("six_bits"))
+    one = similarity.candidate_counts(_query_set(voices), voices, 1).withColumnRenamed("n", "any_bit")
+    six = similarity.candidate_counts(_query_set(voices), voices, 6).withColumnRenamed("n", "six_bits")
     return one.join(six, "query_id", "left").select("query_id", "any_bit", F.coalesce("six_bits", F.lit(0)).alias("six_bits"))
 
 
-@query(f"""with {VOICES}, q as (select vector as qv, {_SIGNATURE} as sig from voices where id = 0),
-s as (select speaker_id, greatest(0, max(list_cosine_similarity(vector, qv))) as sim from (select v.speaker_id, v.vector, {_SIGNATURE.replace("vector", "v.vector")} as s2 from voices v), q
-  where len(list_filter(range(1, 9), lambda i: s2[i] = q.sig[i])) > 0 group by speaker_id)
-select speaker_id, round(sim, 6) as similarity from s where sim >= {LEAST} order by sim desc, speaker_id limit {TOP}""")
+@query(f"""with {VOICES}, {QUERY_SET}, s as (select id, speaker_id, {_SIGNATURE} as sig from voices), q as (select s.* from s join qs on id = query_id)
+select q.id as query_id, s.id from q join s on len(list_filter(range(1, 9), lambda i: q.sig[i] = s.sig[i])) >= 6""")
+def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voices = views.voices(spark, sf_dir)
+    return similarity.candidates(_query_set(voices), voices, 6)
+
+
+@query(f"""with {VOICES}, {QUERY_SET}, s as (select id, speaker_id, vector, {_SIGNATURE} as sig from voices),
+q as (select query_id, qv, sig from qs join s on id = query_id),
+c as (select distinct query_id, speaker_id from q join s on len(list_filter(range(1, 9), lambda i: q.sig[i] = s.sig[i])) > 0),
+a as (select query_id, speaker_id from c union select q.query_id, s.speaker_id from q, s where q.query_id not in (select query_id from c)),
+b as (select query_id, speaker_id, max(list_cosine_similarity(vector, qv)) as sim from a join q using (query_id) join s using (speaker_id) group by all),
+r as (select *, row_number() over (partition by query_id order by sim desc, speaker_id) as k from b where sim >= {LEAST})
+select query_id, speaker_id, round(sim, 6) as similarity from r where k <= {TOP}""")
 def lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     voices = views.voices(spark, sf_dir)
-    return similarity.lsh_search(voices, _first_vector(voices), LEAST, TOP).withColumn("similarity", F.round("similarity", 6))
+    return similarity.lsh_search(_query_set(voices), voices, _index(voices), LEAST, TOP).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""with {VOICES}, s as (select id, speaker_id, {_SIGNATURE} as sig from voices), b as (select id, speaker_id, i || '_' || sig[i + 1] as bucket from s, range(8) t(i))
@@ -94,11 +109,45 @@ def lsh_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similarity.index_replaced(less, fresh).groupBy("speaker_id", "bucket").agg(F.count("*").alias("n"))
 
 
+@query()
+def ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each query by cells and codes; a test counts pairs and measures recall."""
+    voices = views.voices(spark, sf_dir)
+    return _index(voices).search(_query_set(voices), 10).withColumn("similarity", F.round("similarity", 6))
+
+
 @query()
 def band_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest rows of each query by bands of signs; a test measures the recall against all rows."""
+    """The ten nearest rows of each query by codes alone, in all cells."""
+    voices = views.voices(spark, sf_dir)
+    index = _index(voices)
+    asked = _query_set(voices).select("id", "vector", F.lit(None).cast("double").alias("least"))
+    found = index.best(index.probe(asked, 10, other=True, probes=len(index.trained.centres)), 10)
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""with {VOICES}, {QUERY_SET}, p as (select query_id, id, list_cosine_similarity(vector, qv) as sim from voices, qs where id <> query_id),
+r as (select *, row_number() over (partition by query_id order by sim desc, id) as place from p)
+select query_id, id, round(sim, 6) as similarity, place from r where place <= 10""")
+def ivf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    voices = views.voices(spark, sf_dir)
+    return _index(voices).search(_query_set(voices), 10, exact=True).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""with {VOICES}, {QUERY_SET}, v as (select id, speaker_id, vector from voices where speaker_id not in (2, 4) and id % 7 <> 3
+union all select id, speaker_id, list_transform(vector, lambda x: -x) from voices where speaker_id = 2),
+p as (select query_id, id, list_cosine_similarity(vector, qv) as sim from v, qs where id <> query_id),
+r as (select *, row_number() over (partition by query_id order by sim desc, id) as place from p)
+select query_id, id, round(sim, 6) as similarity, place from r where place <= 3""")
+def ivf_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search after rows were put in, a speaker and single rows taken out and another speaker's replaced."""
     voices = views.voices(spark, sf_dir)
-    return similarity.band_search(_query_set(voices), voices, 10).withColumn("similarity", F.round("similarity", 6))
+    index = _index(voices.where("id % 3 <> 1"))
+    index.add(voices.where("id % 3 = 1"))
+    index.remove(spark.createDataFrame([(4,)], "speaker_id long"))
+    index.remove(voices.where("id % 7 = 3").select("id"), "id")
+    index.replace(voices.where("speaker_id = 2").withColumn("vector", F.transform("vector", lambda x: -x)))
+    return index.search(_query_set(voices), 3, exact=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"with {VOICES} select id, quality, duration_s from voices where speaker_id = 3 order by quality desc, id")

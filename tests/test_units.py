@@ -9,6 +9,7 @@ from parley.functions import text as X
 from parley.functions import vector as V
 from parley.operators import cluster, intervals, meetings, metrics, similarity, store, windows
 from parley.operators.dedup import Memory, alike
+from parley.operators.vector_index import VectorIndex
 
 
 def one(spark, column, **values):
@@ -27,10 +28,20 @@ def test_cosine(spark):
     assert one(spark, V.cosine(arr(0, 0), arr(1, 0))) == 0
 
 
-def test_lsh_search(spark):
-    voices = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0]), (2, 2, [0.0, 1.0, 0.0])], "id long, speaker_id long, vector array<double>")
-    found = similarity.lsh_search(voices, [0.9, 0.1, 0.0], 0.5, 5).collect()
-    assert found[0].speaker_id == 1 and found[0].similarity > 0.8
+def test_lsh_search(spark, tmp_path):
+    kind = "id long, speaker_id long, vector array<double>"
+    voices = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0]), (2, 2, [0.0, 1.0, 0.0]), (3, 2, [-0.9, -0.1, 0.0])], kind)
+    queries = spark.createDataFrame([(9, 0, [0.9, 0.1, 0.0]), (8, 0, [-1.0, 0.0, 0.0])], kind)
+    found = similarity.lsh_search(queries, voices, VectorIndex.build(voices, str(tmp_path / "x")), 0.5, 5).collect()
+    assert {(r.query_id, r.speaker_id) for r in found} == {(9, 1), (8, 2)} and min(r.similarity for r in found) > 0.8
+
+
+def test_queries_without_a_bucket_ask_all_speakers(spark):
+    kind = "id long, speaker_id long, vector array<double>"
+    queries = spark.createDataFrame([(9, 0, [0.9, 0.1, 0.0])], kind)
+    voices = spark.createDataFrame([(1, 1, [-0.9, -0.1, 0.0]), (2, 2, [-1.8, -0.2, 0.0])], kind)
+    assert {tuple(r) for r in similarity.lsh_speakers(queries, voices).collect()} == {(9, 1), (9, 2)}
+    assert similarity.candidates(queries, voices).count() == 0
 
 
 def segs(spark, *rows):
