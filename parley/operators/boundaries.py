@@ -10,13 +10,11 @@ from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.operators.speech import ORDER, trailing
-from parley.session import ship
 
 #: Milliseconds of a frame, frames of history, speech frames that make up the speech pattern.
 FRAME, HISTORY, PATTERN = 100, 50, 20
@@ -152,29 +150,4 @@ class Assembler:
         return cls(policy, unit_us, deque(e, HISTORY), deque(p, PATTERN), quiet, speech, none(hard), none(start), last, frames)
 
 
-UTTERANCE = "stream long, start_us long, end_us long, frames long, reason string"
 STATE = "energies array<double>, pattern array<double>, quiet long, speech long, hard_at long, start long, last long, frames long"
-
-
-def utterances(frames: DataFrame, policy: Policy, unit_us: int = 1000) -> DataFrame:
-    """Utterances of all streams; what is still open at the end of a stream closes there (``open``).
-
-    The frames of a stream come in order to one task, which holds one ``Assembler``.
-    """
-    ship(frames.sparkSession)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, own = None, None
-        for batch in batches:
-            rows = []
-            for stream, t, e in batch.itertuples(index=False):
-                if stream != now:
-                    if own is not None and own.start is not None:
-                        rows.append((now, *own.close("open")))
-                    now, own = stream, Assembler(policy, unit_us)
-                rows += [(stream, *x) for x in own.add(t, e)]
-            yield pd.DataFrame(rows, columns=["stream", "start_us", "end_us", "frames", "reason"])
-        if own is not None and own.start is not None:
-            yield pd.DataFrame([(now, *own.close("open"))], columns=["stream", "start_us", "end_us", "frames", "reason"])
-
-    return frames.repartition("stream").sortWithinPartitions("stream", *ORDER).select("stream", "t_us", "energy").mapInPandas(fold, UTTERANCE)

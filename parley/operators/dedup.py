@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
 from parley.operators.metrics import _common, common_words
-from parley.session import ship
 
 #: How many accepted texts are remembered, and from which similarity a text repeats one of them.
 KEPT, LEAST = 8, 0.6
@@ -65,24 +61,7 @@ class Memory:
         return False
 
 
-def exact_repeats(rows: DataFrame, key: str = "meeting", order: str = "seq", kept: int = KEPT, least: float = LEAST) -> DataFrame:
-    """``key, order, duplicate``: each text against the last ``kept`` accepted ones of its session.
-
-    Rows of a session come in order to one task, which holds only the remembered texts.
-    """
-    ship(rows.sparkSession)
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with what ``Memory`` needs of ``text``: ``normal`` and ``mark``."""
     normal = X.normalize(F.coalesce("text", F.lit("")))
-    slim = rows.select(key, order, normal.alias("_normal"), X.semantic_key(normal).alias("_key"))
-    schema = rows.select(key, order, F.lit(True).alias("duplicate")).schema
-
-    def decide(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, memory = None, Memory()
-        for frame in frames:
-            out = []
-            for session, text, mark in zip(frame[key], frame["_normal"], frame["_key"], strict=True):
-                if session != now:
-                    now, memory = session, Memory((), kept, least)
-                out.append(memory.repeats(text, mark))
-            yield frame[[key, order]].assign(duplicate=out)
-
-    return slim.repartition(key).sortWithinPartitions(key, order).mapInPandas(decide, schema)
+    return rows.withColumn("normal", normal).withColumn("mark", X.semantic_key(F.col("normal")))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -161,46 +160,3 @@ def steady(rows: DataFrame, most: int, key: str = "meeting") -> DataFrame:
     """Per group: the longest gap between two segments of one speaker, and whether none exceeds ``most``."""
     after = F.lead("start_ms").over(W.partitionBy(key, "speaker").orderBy("start_ms", "seq"))
     return rows.select(key, (after - F.col("end_ms")).alias("_g")).groupBy(key).agg(F.max("_g").alias("longest"), F.coalesce(F.bool_and(F.col("_g") <= most), F.lit(True)).alias("steady"))
-
-
-def corrected(rows: DataFrame, kept: int = 10, overlap: int = 300, gap: int = 100, least: int = 100, most: int = 60_000, late: int = 5_000, key: str = "meeting") -> DataFrame:
-    """Segments as they are taken in, one by one in order of ``seq``: ``key, seq, start_ms, end_ms, text, speaker, confidence, merged``.
-
-    A segment of bad timing that overlaps what is remembered moves behind it. One that still overlaps
-    merges with all it overlaps, which are then forgotten; else it is remembered, the ``kept`` latest
-    in all. The rows of a group come in order to one task.
-    """
-    ship(rows.sparkSession)
-    names = [key, "seq", "start_ms", "end_ms", "text", "speaker", "confidence"]
-    schema = rows.select(*names, F.lit(0).cast("long").alias("merged")).schema
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held = None, []
-        for frame in frames:
-            out = []
-            for group, seq, a, b, text, who, c in frame[names].itertuples(index=False):
-                now, held = (now, held) if group == now else (group, [])
-                meets = lambda h: h[0] < b and a < h[1]  # noqa: E731,B023
-                fine = a >= 0 and b > a and least <= b - a <= most and not (held and a < held[-1][0] - late)
-                if not fine and any(map(meets, held)):
-                    length, start = b - a, a
-                    for h in reversed(held):
-                        if a >= h[1] - overlap:
-                            break
-                        start = h[1] + gap
-                    a, b = start, start + length
-                hit = []
-                for h in held:
-                    if meets(h):
-                        hit.append(h)
-                        who = who if c > h[4] else h[3]
-                        text = text if h[2] in text else h[2] if text in h[2] else f"{text} {h[2]}"
-                        a, b, c = min(a, h[0]), max(b, h[1]), (c + h[4]) / 2
-                if hit:
-                    held = [h for h in held if h not in hit]
-                else:
-                    held = sorted([*held, (a, b, text, who, c)], key=lambda h: h[0])[-kept:]
-                out.append((group, seq, a, b, text, who, c, len(hit)))
-            yield pd.DataFrame(out, columns=[*names, "merged"])
-
-    return rows.select(*names).repartition(key).sortWithinPartitions(key, "seq").mapInPandas(fold, schema)

@@ -7,11 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import speech, windows
+from parley.operators import dedup, folds, speech, windows
 from parley.plans import views
 from parley.plans.registry import query
 from parley.plans.views import FRAMES
 from parley.session import shared_dir
+from parley.streaming import live
 from parley.streaming import sessions as S
 
 RUNS = f"""{FRAMES}, r0 as (select *, energy > 0.3 as speech, case when (energy > 0.3) = lag(energy > 0.3) over (partition by stream order by t_us, seq) then 0 else 1 end as fresh from frames),
@@ -87,6 +88,11 @@ def _streamed(spark: SparkSession, stream: DataFrame, mode: str = "append") -> D
     return spark.read.parquet(f"{place}/out")
 
 
+def _replayed(spark: SparkSession, events: DataFrame, fold: folds.Fold, key: str, stretch: int) -> DataFrame:
+    """A fold over a stream up to its end."""
+    return live.replay(events, lambda both: live.folded(both, fold, key, stretch=stretch), f"{shared_dir(spark)}/live-{uuid.uuid4().hex}")
+
+
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     ts = F.col("ts").cast("timestamp")
     return S.stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), F.col("event_id").alias("seq"), ts.alias("ts"), F.unix_micros(ts).alias("t_us"), (F.col("value") / 500).alias("energy"))
@@ -109,10 +115,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stream_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event times here are minutes apart, so a second of the policy stands for ten minutes."""
-    return _streamed(spark, S.utterances(_live(spark, sf_dir), 0.3, unit_us=600_000_000))
+    return _replayed(spark, _live(spark, sf_dir), folds.Silences(0.3, unit_us=600_000_000), "stream", 3_600_000_000)
 
 
 @query()
 def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = S.stream_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting"), F.col("turn").alias("seq"), F.coalesce("text", F.lit("")).alias("text"))
-    return _streamed(spark, S.deduplicated(live))
+    return _replayed(spark, dedup.marked(views.timed(live)), folds.Repeats(), "meeting", 600_000_000).select("meeting", "seq", "duplicate")

@@ -12,10 +12,10 @@ from parley.functions import text as X
 from parley.functions import vector as V
 from parley.operators import boundaries as B
 from parley.operators import intervals as I
-from parley.operators import speech, windows
+from parley.operators import folds, speech
 from parley.plans import views
 from parley.plans.registry import query
-from parley.plans.signals import _live, _streamed
+from parley.plans.signals import _live, _replayed, _streamed
 from parley.plans.views import FRAMES, PREDICTED, SEGMENTS, VOICES
 from parley.session import shared_dir, table
 from parley.streaming import sessions
@@ -52,12 +52,13 @@ def buffering_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.utterances(views.frames(spark, sf_dir), POLICY, UNIT)
+    return folds.in_order(views.frames(spark, sf_dir), folds.Utterances(POLICY, UNIT), "stream")
 
 
 @query()
 def stream_boundary_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _streamed(spark, sessions.spoken(_live(spark, sf_dir), POLICY, UNIT))
+    """The same, live: frames wait until the watermark has passed them, and silence or the end closes."""
+    return _replayed(spark, _live(spark, sf_dir), folds.Utterances(POLICY, UNIT), "stream", HOUR)
 
 
 @query(f"with {FRAMES} select seq, max(energy) over (partition by stream order by t_us range between 3599999999 preceding and current row) as peak from frames")
@@ -117,7 +118,53 @@ def timing_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def timing_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = views.segments(spark, sf_dir)
     rows = views.predicted(own).join(own.select("meeting", "seq", "text"), ["meeting", "seq"])
-    return windows.corrected(rows).select("meeting", "seq", "start_ms", "end_ms", "speaker", F.round("confidence", 6).alias("confidence"), F.md5("text").alias("digest"), "merged")
+    return _told(folds.in_order(views.timed(rows), folds.Correction(), "meeting"))
+
+
+def _told(corrected: DataFrame) -> DataFrame:
+    return corrected.select("meeting", "seq", "start_ms", "end_ms", "speaker", F.round("confidence", 6).alias("confidence"), F.md5("text").alias("digest"), "merged")
+
+
+@query()
+def stream_timing_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, live: segments come late and in any order and are taken in by number."""
+    turns = sessions.stream_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("meeting"), F.col("turn").alias("seq"), F.col("role").alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    timing = views.predicted(views.segments(spark, sf_dir)).select(F.col("meeting").alias("_m"), F.col("seq").alias("_s"), "start_ms", "end_ms", "confidence", F.col("speaker").alias("_who"))
+    rows = turns.join(timing, (F.col("meeting") == F.col("_m")) & (F.col("seq") == F.col("_s"))).select("meeting", "seq", "start_ms", "end_ms", "text", F.col("_who").alias("speaker"), "confidence")
+    return _told(_replayed(spark, views.timed(rows), folds.Correction(), "meeting", 600_000_000))
+
+
+def _chunks(voices: DataFrame) -> DataFrame:
+    """Chunks of samples made of voice vectors, one speaker's in order as a stream; some are long, some short."""
+    times = (20 + F.col("id") % 7 * 40).cast("int")
+    samples = F.flatten(F.array_repeat(F.transform("vector", lambda x: x * (0.02 + F.col("id") % 4 * 0.1)), times))
+    return voices.select(F.col("speaker_id").alias("stream"), F.col("id").alias("seq"), samples.alias("samples"))
+
+
+def _heard(found: DataFrame) -> DataFrame:
+    return found.select("stream", "seq", F.round("offset_s", 6).alias("offset_s"), F.size("segments").cast("long").alias("n"), F.round(F.aggregate("segments", F.lit(0.0), lambda s, x: s + x["end_s"] - x["start_s"]), 6).alias("speech_s"), F.round("confidence", 6).alias("confidence"), F.round("threshold", 6).alias("threshold"), F.round("snr_db", 6).alias("snr_db"), "clipping")
+
+
+VAD = folds.VoiceActivity(least_ms=100, most_ms=600)
+
+
+@query()
+def vad_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _heard(folds.in_order(views.timed(_chunks(views.voices(spark, sf_dir))), VAD, "stream"))
+
+
+@query()
+def stream_vad_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sessions.stream_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("speaker_id"), V.doubles(F.col("embedding")).alias("vector"))
+    return _heard(_replayed(spark, views.timed(_chunks(rows)), VAD, "stream", 6_000_000_000))
+
+
+@query()
+def stream_cluster_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cluster_online``, live: a map of cluster sums for each recording."""
+    rows = sessions.stream_table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 50).cast("long").alias("recording"), F.col("vec_id").alias("seq"), V.doubles(F.col("embedding")).alias("vector"))
+    out = _replayed(spark, views.timed(rows), folds.OnlineClusters(0.3), "recording", 600_000_000)
+    return out.select("recording", F.col("seq").alias("id"), "cluster")
 
 
 HOUR = 3_600_000_000

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parley.functions import text as X
-from parley.operators import cluster, dedup, metrics
+from parley.operators import cluster, dedup, folds, metrics
 from parley.plans import views
 from parley.plans.registry import query
 from parley.plans.views import SEGMENTS, SQL_WORDS
@@ -91,7 +91,8 @@ def dup_recent_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def dedup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.exact_repeats(views.segments(spark, sf_dir))
+    rows = dedup.marked(views.timed(views.segments(spark, sf_dir).select("meeting", "seq", "text")))
+    return folds.in_order(rows, folds.Repeats(), "meeting").select("meeting", "seq", "duplicate")
 
 
 #: Length of the longest common subsequence of two lists.

@@ -69,3 +69,8 @@ def meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meeting list: id, title, language, duration_s, speakers, accuracy, quality."""
     quality = F.when(F.col("doc_id") % 3 == 0, "high").when(F.col("doc_id") % 3 == 1, "medium").otherwise("low")
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("title"), F.col("lang").alias("language"), F.floor(F.col("n_chars") / 15).alias("duration_s"), (1 + F.col("doc_id") % 5).alias("speakers"), (60 + F.col("doc_id") % 41).alias("accuracy"), quality.alias("quality"))
+
+
+def timed(rows: DataFrame, order: str = "seq") -> DataFrame:
+    """``rows`` with the time at which they are taken in, a minute of the year 2000 for each number: ``ts`` and ``t_us``."""
+    return rows.withColumn("t_us", 946_684_800_000_000 + F.col(order) * 60_000_000).withColumn("ts", F.timestamp_micros("t_us"))

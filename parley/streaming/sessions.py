@@ -1,16 +1,9 @@
-"""Structured Streaming queries over energy frames and utterances."""
+"""Structured Streaming queries over energy frames and utterances that need no state of our own (see ``live``)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-from parley.operators import boundaries
-from parley.session import ship
 
 
 def framed(events: DataFrame, length: str, hop: str | None = None, late: str = "5 seconds", key: str = "stream") -> DataFrame:
@@ -29,69 +22,6 @@ def first_seen(events: DataFrame, *columns: str, late: str = "1 hour") -> DataFr
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(columns))
 
 
-#: An utterance ends after so many silent frames, once it is long enough, or at most so long; seconds.
-SILENT, SHORTEST, LONGEST, STALE = 3, 4.5, 20.0, 9.0
-UTTERANCE = "stream long, start_us long, end_us long, frames long, energy double, reason string"
-_STATE = "start long, last long, frames long, total double, silent long"
-
-
-def utterances(events: DataFrame, over: float, silent: int = SILENT, shortest: float = SHORTEST, longest: float = LONGEST, stale: float = STALE, unit_us: int = 1_000_000) -> DataFrame:
-    """Utterances assembled from frames (stream, t_us, energy): state per stream survives restarts.
-
-    An utterance is emitted after ``silent`` silent frames once it lasts ``shortest``, when it reaches
-    ``longest``, or when the next frame comes ``stale`` later (then it closes at its last frame). Times
-    are event times in ``unit_us``, so a replay gives the same result. Frames of one trigger are taken
-    in time order.
-    """
-    ship(events.sparkSession)
-
-    def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, last, n, total, quiet = state.get if state.exists else (-1, -1, 0, 0.0, 0)
-        rows = []
-
-        def close(reason: str) -> None:
-            nonlocal start, n, total, quiet
-            if n:
-                rows.append((key[0], start, last, n, total / n, reason))
-            start, n, total, quiet = -1, 0, 0.0, 0
-
-        for t, e in pd.concat(list(frames)).sort_values(["t_us", "seq"])[["t_us", "energy"]].itertuples(index=False):
-            if n and t - last >= stale * unit_us:
-                close("stale")
-            speech = e > over
-            if speech or n:
-                start = t if not n else start
-                n, total, quiet, last = n + 1, total + float(e), 0 if speech else quiet + 1, t
-                if last - start >= longest * unit_us:
-                    close("longest")
-                elif quiet >= silent and last - start >= shortest * unit_us:
-                    close("silence")
-        state.update((int(start), int(last), int(n), float(total), int(quiet)))
-        yield pd.DataFrame(rows, columns=["stream", "start_us", "end_us", "frames", "energy", "reason"])
-
-    return events.groupBy("stream").applyInPandasWithState(assemble, UTTERANCE, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def deduplicated(utterances_: DataFrame, key: str = "meeting", order: str = "seq", kept: int = 8, least: float = 0.6) -> DataFrame:
-    """Each text with ``duplicate``: repeats of the last accepted texts of its session, across triggers."""
-    from parley.functions import text as X
-    from parley.operators.dedup import Memory
-
-    ship(utterances_.sparkSession)
-    normal = X.normalize(F.coalesce("text", F.lit("")))
-    slim = utterances_.select(key, order, normal.alias("_normal"), X.semantic_key(normal).alias("_key"))
-
-    def decide(own: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        texts, keys = state.get if state.exists else ([], [])
-        memory = Memory(list(zip(texts, keys, strict=True)), kept, least)
-        frame = pd.concat(list(frames)).sort_values(order)
-        marks = [memory.repeats(t, k) for t, k in zip(frame["_normal"], frame["_key"], strict=True)]
-        state.update(([t for t, _ in memory.texts], [k for _, k in memory.texts]))
-        yield frame[[key, order]].assign(duplicate=marks)
-
-    return slim.groupBy(key).applyInPandasWithState(decide, f"{key} long, {order} long, duplicate boolean", "texts array<string>, keys array<string>", "append", GroupStateTimeout.NoTimeout)
-
-
 def run_once(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there as a stream into Parquet files, and stop."""
     query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
@@ -108,30 +38,6 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def spoken(events: DataFrame, policy: boundaries.Policy, unit_us: int = 1000, late: str = "5 seconds") -> DataFrame:
-    """``boundaries.utterances`` of a stream (stream, ts, t_us, seq, energy): the same fold as state per stream.
-
-    An utterance whose stream falls silent closes as ``open`` once the watermark is past its end by
-    twice the shortest length, and the state of the stream goes.
-    """
-    ship(events.sparkSession)
-
-    def assemble(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = boundaries.Assembler.unpack(policy, unit_us, state.get) if state.exists else boundaries.Assembler(policy, unit_us)
-        rows = []
-        if state.hasTimedOut:
-            rows = [(key[0], *own.close("open"))] if own.start is not None else []
-            state.remove()
-        else:
-            for t, e in pd.concat(list(frames)).sort_values(["t_us", "seq"])[["t_us", "energy"]].itertuples(index=False):
-                rows += [(key[0], *x) for x in own.add(t, e)]
-            state.update(own.pack())
-            state.setTimeoutTimestamp(max(own.last, t) // 1000 + 2 * policy.shortest_ms * unit_us // 1000)
-        yield pd.DataFrame(rows, columns=["stream", "start_us", "end_us", "frames", "reason"])
-
-    return events.withWatermark("ts", late).groupBy("stream").applyInPandasWithState(assemble, boundaries.UTTERANCE, boundaries.STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def emit(stream: DataFrame, out: str, checkpoint: str, kinds: dict[str, Column]) -> None:
     """Events of a stream as rows of ``event`` and JSON ``payload``, one set for each kind, written batch by batch.
 

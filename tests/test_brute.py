@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from parley.operators import boundaries, windows
+from parley.operators import boundaries, folds
 from parley.plans import all_queries, streams, views
 from parley.sources import audio
 
@@ -72,14 +72,6 @@ def test_kinds_of_both_forms_agree(spark, sf):
     assert {"none", "hard", "sentence_end"} <= seen
 
 
-def test_stream_of_utterances_is_the_batch(spark, sf):
-    every = {tuple(r) for r in QUERIES["boundary_utterances"](spark, sf).collect()}
-    live = {tuple(r) for r in QUERIES["stream_boundary_utterances"](spark, sf).collect()}
-    assert live <= every and {r[-1] for r in every - live} <= {"open"} and len({r[-1] for r in live}) > 2
-    top = max(r.t_us for r in views.frames(spark, sf).select("t_us").collect())
-    assert all(r[2] + 2 * streams.POLICY.shortest_ms * streams.UNIT > top - 10_000_000 for r in every - live)
-
-
 def test_policies_of_utterances():
     def run(energies, **policy):
         own = boundaries.Assembler(boundaries.Policy(**policy), 1000)
@@ -97,8 +89,8 @@ def test_policies_of_utterances():
 
 def test_timing_is_corrected_and_merged(spark):
     rows = [("m", 0, 0, 5000, "one two", "a", 0.9), ("m", 1, 5200, 8000, "three", "b", 0.8), ("m", 2, 7000, 9000, "three four", "c", 0.9), ("m", 3, 20_000, 21_000, "x", "a", 0.5), ("m", 4, 1000, 1050, "bad", "a", 0.5), ("n", 0, 3, 4, "alone", "a", 0.5)]
-    frame = spark.createDataFrame(rows, "meeting string, seq long, start_ms long, end_ms long, text string, speaker string, confidence double")
-    got = {(r.meeting, r.seq): (r.start_ms, r.end_ms, r.text, r.speaker, round(r.confidence, 3), r.merged) for r in windows.corrected(frame).collect()}
+    frame = views.timed(spark.createDataFrame(rows, "meeting string, seq long, start_ms long, end_ms long, text string, speaker string, confidence double"))
+    got = {(r.meeting, r.seq): (r.start_ms, r.end_ms, r.text, r.speaker, round(r.confidence, 3), r.merged) for r in folds.in_order(frame, folds.Correction(), "meeting").collect()}
     assert got["m", 1] == (5200, 8000, "three", "b", 0.8, 0)
     assert got["m", 2] == (5200, 9000, "three four", "c", 0.85, 1)
     assert got["m", 4] == (5100, 5150, "bad", "a", 0.5, 0)
