@@ -2,9 +2,10 @@
 
 Two sparse logistic models, one on words and layout of the text and one on page metadata, are fitted
 on a bounded sample of labelled documents. In each round Spark scores all unlabelled documents by
-both; of those that a view is sure of, a bounded number chosen by a hash of the id goes with its
-labels to the other view, in the proportion of the labelled documents. Both views are calibrated on labelled documents kept back, and their
-calibrated log-odds add up to the score. All documents are scored.
+both; the ones that a view is surest of, by rank and in the proportion of the labelled documents, go to
+the other view, which keeps them. What is passed on is the view's probability, calibrated on labelled
+documents kept back, and it weighs as much as it tells beyond the label's rate, so a view that is never
+very sure teaches little and misleads no one. In the end both views are calibrated again, and their log-odds add up to the score. All documents are scored.
 """
 
 from __future__ import annotations
@@ -17,16 +18,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import words
 from parley.session import cut, ship
 
-#: Labelled documents that a fit uses at most, and sure documents that a view passes on in a round.
+#: Labelled documents that a fit uses at most, and documents that a view labels for the other in a round.
 LABELLED, TAKEN = 6000, 1000
-#: Buckets of the hashed features (a power of two), rounds, and how sure a passed-on label must be.
-BUCKETS, ROUNDS, SURE = 1 << 18, 3, 0.98
+#: Buckets of the hashed features (a power of two), and rounds.
+BUCKETS, ROUNDS = 1 << 18, 3
+#: What all passed-on documents may weigh, as a share of the labelled ones: the surest are not a fair sample.
+TRUST = 0.1
 #: A feature is used if it is in so many sampled documents and its rate differs by so many deviations.
 LEAST, DEVIATIONS = 4, 4.0
 TARGETS = ("quality", "toxic")
@@ -77,10 +81,12 @@ class View:
 
 @dataclass
 class Model:
-    """For each target: the two views and the calibration (weights of the views, bias)."""
+    """For each target: the two views and the calibration (weights of the views, bias); ``passed`` counts,
+    by target and view (0 text, 1 metadata), what that view passed on in each round."""
 
     views: dict[str, tuple[View, View]] = field(default_factory=dict)
     mix: dict[str, tuple[float, float, float]] = field(default_factory=dict)
+    passed: dict[tuple[str, int], list[int]] = field(default_factory=dict)
 
     def probability(self, target: str, text: tuple, meta: tuple, size: int) -> np.ndarray:
         if target not in self.views:
@@ -90,10 +96,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(u * a + v * b + w, -30, 30)))
 
 
-def _fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 250) -> View:
-    """Logistic regression by Adam over the buckets whose rates differ between the classes."""
-    n, ones = len(y), y.sum()
-    seen, with_one = np.bincount(bucket, minlength=BUCKETS), np.bincount(bucket, y[doc], minlength=BUCKETS)
+def _fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, steps: int = 250) -> View:
+    """Weighted logistic regression by Adam over the buckets whose rates differ between the classes; ``y``
+    may be probabilities."""
+    n, ones, size = weight.sum(), (y * weight).sum(), len(y)
+    seen, with_one = np.bincount(bucket, weight[doc], minlength=BUCKETS), np.bincount(bucket, (y * weight)[doc], minlength=BUCKETS)
     rate = min(max(ones / n, 1e-3), 1 - 1e-3)
     score = np.abs(with_one - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate) + 1e-9)
     use = np.flatnonzero((seen >= LEAST) & (score >= DEVIATIONS))
@@ -104,8 +111,9 @@ def _fit(doc: np.ndarray, bucket: np.ndarray, y: np.ndarray, ridge: float = 1.0,
     w, m, v = np.zeros(len(use) + 1), np.zeros(len(use) + 1), np.zeros(len(use) + 1)
     w[-1] = np.log(rate / (1 - rate))
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[col], minlength=n) + w[-1], -30, 30)))
-        g = np.concatenate((np.bincount(col, (p - y)[doc], minlength=len(use)) + ridge * w[:-1], [(p - y).sum()])) / n
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[col], minlength=size) + w[-1], -30, 30)))
+        off = (p - y) * weight
+        g = np.concatenate((np.bincount(col, off[doc], minlength=len(use)) + ridge * w[:-1], [off.sum()])) / n
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     weights = np.zeros(BUCKETS, np.float64)
@@ -164,45 +172,75 @@ def _gathered(slim: DataFrame, keys: DataFrame) -> pd.DataFrame:
     return one.mapInArrow(gather, schema).toPandas().sort_values("_id", kind="stable", ignore_index=True)
 
 
-def _exchange(free: DataFrame, views: dict[str, tuple[View, View]], rates: list[float], taken: int, turn: int) -> pd.DataFrame:
-    """Documents that a view is sure of: feature lists, and in ``_for`` a bit for each view and label
-    (target by target, text before metadata, 0 before 1) that passes it on. ``rates``: shares of 1."""
-    held = free.sparkSession.sparkContext.broadcast(views)
-    schema = T.StructType([free.schema["_id"], T.StructField("_mask", T.IntegerType())])
+def _sure(own: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift that make a view's log-odds probabilities, by kept-back labels."""
+    u, _, w = _calibrate(own, np.zeros(len(own)), y)
+    return u, w
+
+
+def _known(p: np.ndarray, rate: float) -> np.ndarray:
+    """How much of a label a probability tells beyond its rate: 0 nothing, 1 all of it (a share of divergence)."""
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    more = p * np.log(p / rate) + (1 - p) * np.log((1 - p) / (1 - rate))
+    return more / np.where(p > rate, -np.log(rate), -np.log(1 - rate))
+
+
+def _weights(p: np.ndarray, rate: float, labelled: int) -> np.ndarray:
+    """Weights of passed-on documents: all of them together at most ``TRUST`` of the labelled ones."""
+    own = _known(p, rate)
+    return own * min(1.0, TRUST * labelled / max(own.sum(), 1e-9))
+
+
+def _exchange(free: DataFrame, views: dict[str, tuple[View, View]], scales: list[tuple[float, float]], wanted: list[int], turn: int) -> pd.DataFrame:
+    """The documents that views pass on, with their feature lists and a column ``p0, p1, ...`` for each slot.
+
+    A slot is a view (target by target, text before metadata) and the label 0 or 1; it takes the
+    ``wanted`` documents with the highest calibrated probability of its label, ties by a hash of the
+    id. Its column is the probability of 1, null for other documents. A task keeps the best of its own
+    documents for each slot, and only those meet in one ranking.
+    """
+    held = free.sparkSession.sparkContext.broadcast((views, scales))
+    marked = free.withColumn("_tie", F.xxhash64("_id", F.lit(turn)))
+    schema = T.StructType([free.schema["_id"], *(T.StructField(n, t) for n, t in (("slot", T.IntegerType()), ("p", T.DoubleType()), ("tie", T.LongType())))])
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, scale = held.value
+        best: dict[int, tuple[np.ndarray, np.ndarray, pa.Array]] = {}
         for batch in batches:
             for rows, text, meta, n in _features(batch, 1, 2):
-                mask = np.zeros(n, np.int32)
-                for k, (view, pairs) in enumerate((v, x) for both in held.value.values() for v, x in zip(both, (text, meta), strict=True)):
-                    p = 1 / (1 + np.exp(-np.clip(view.logits(*pairs, n), -30, 30)))
-                    mask |= ((p <= 1 - SURE).astype(np.int32) | (p >= SURE).astype(np.int32) << 1) << 2 * k
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(mask)], schema.names).filter(pa.array(mask > 0))
-
-    sure = cut(free.mapInArrow(judge, schema).groupBy("_id").agg(F.min("_mask").alias("_mask")))
-    own = None
-    for k in range(4 * len(views)):
-        share = rates[k // 4] if k % 2 else 1 - rates[k // 4]
-        some = sure.where(F.col("_mask").bitwiseAND(F.lit(1 << k)) != 0).orderBy(F.xxhash64("_id", F.lit(turn)), "_id").limit(math.ceil(taken * share)).select("_id", F.lit(1 << k).alias("_for"))
-        own = some if own is None else own.unionByName(some)
-    keys = own.groupBy(F.col("_id").alias("_key")).agg(F.bit_or("_for").alias("_for"))
-    got = _gathered(free, keys)
+                ties = rows.column(rows.num_columns - 1).to_numpy()
+                for k, (view, pairs) in enumerate((v, x) for both in own.values() for v, x in zip(both, (text, meta), strict=True)):
+                    p = 1 / (1 + np.exp(-np.clip(scale[k][0] * view.logits(*pairs, n) + scale[k][1], -30, 30)))
+                    for slot, order in ((2 * k, p), (2 * k + 1, -p)):
+                        at = np.lexsort((ties, order))[: wanted[slot]]
+                        found = p[at], ties[at], rows.column(0).take(pa.array(at))
+                        if slot in best:
+                            joined = tuple(np.concatenate((x, y)) for x, y in zip(best[slot][:2], found[:2], strict=True))
+                            top = np.lexsort((joined[1], joined[0] if slot % 2 == 0 else -joined[0]))[: wanted[slot]]
+                            found = joined[0][top], joined[1][top], pa.concat_arrays([best[slot][2], found[2]]).take(pa.array(top))
+                        best[slot] = found
+        for slot, (p, ties, ids) in best.items():
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(p), slot, np.int32)), pa.array(p), pa.array(ties)], schema.names)
+
+    found = cut(marked.mapInArrow(judge, schema))
+    sure = F.when(F.col("slot") % 2 == 0, F.col("p")).otherwise(-F.col("p"))
+    rank = F.row_number().over(W.partitionBy("slot").orderBy(sure, "tie", "_id"))
+    most = F.element_at(F.array(*[F.lit(n) for n in wanted]), F.col("slot") + 1)
+    top = found.withColumn("rank", rank).where(F.col("rank") <= most)
+    keys = top.groupBy(F.col("_id").alias("_key")).agg(*[F.max(F.when(F.col("slot") == k, F.col("p"))).alias(f"p{k}") for k in range(len(wanted))])
+    got = _gathered(free, cut(keys))
     held.destroy()
     return got
 
 
-def _told(told: pd.DataFrame, k: int, rate: float, column: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """What the ``k``-th view passes on: features and labels, cut to the labelled documents'
-    proportion. A view that is sure of one label only would shift the other's idea of how frequent
-    it is, so it passes on nothing."""
-    bits = told["_for"].to_numpy(int)
-    found = [np.flatnonzero(bits >> 2 * k + y & 1) for y in (0, 1)]
-    scale = min(len(found[0]) / (1 - rate), len(found[1]) / rate)
-    own = [x[: int(scale * share)] for x, share in zip(found, (1 - rate, rate), strict=True)]
-    return [np.asarray(told[column].iloc[i]) for i in np.concatenate(own)], np.repeat([0.0, 1.0], [len(x) for x in own])
+def _told(told: pd.DataFrame, k: int, column: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """What the ``k``-th view passes on: features for the other view, and probabilities."""
+    p = np.concatenate([told[f"p{2 * k + y}"].to_numpy(float) for y in (0, 1)])
+    at = np.flatnonzero(~np.isnan(p))
+    return [np.asarray(told[column].iloc[i % len(told)]) for i in at], p[at]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, taken: int = TAKEN, labels_id: str = "doc_id", seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, taken: int = TAKEN, labels_id: str = "doc_id", seed: int = 5, rounds: int = ROUNDS) -> Model:
     """Fit on at most ``labelled`` labelled documents, and on what the views tell each other of all others.
 
     Labelled documents are chosen by a hash of the id, which may be of any type. Rows of ``labels``
@@ -223,15 +261,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if min((y == 1).sum(), (y == 0).sum()) >= 20:
             own = np.random.default_rng(seed).permutation(len(y))
             parts[target] = y, own[len(own) // 4 :], own[: len(own) // 4]
-    model, given = Model(), {}
-    for turn in range(ROUNDS if parts else 0):
-        for target, (y, train_, _) in parts.items():
-            model.views[target] = tuple(_fit(*_joined([lists[v][i] for i in train_] + given.get((target, v), ([], []))[0]), np.concatenate((y[train_], given.get((target, v), ([], []))[1]))) for v in (0, 1))
-        if turn + 1 < ROUNDS:
-            rates = [float(y[train_].mean()) for y, train_, _ in parts.values()]
-            told = _exchange(free, model.views, rates, taken, turn)
+    model, given, gone = Model(), {}, None
+    most = min(taken, free.count() // (2 * len(parts) * (rounds - 1))) if parts and rounds > 1 else 0
+    for turn in range(rounds if parts else 0):
+        scales, wanted = [], []
+        for target, (y, train_, held) in parts.items():
+            more, rate = [given.setdefault((target, v), ([], np.empty(0))) for v in (0, 1)], float(y[train_].mean())
+            model.views[target] = tuple(_fit(*_joined([lists[v][i] for i in train_] + more[v][0]), np.concatenate((y[train_], more[v][1])), np.concatenate((np.ones(len(train_)), _weights(more[v][1], rate, len(train_))))) for v in (0, 1))
+            for v in (0, 1):
+                scales.append(_sure(model.views[target][v].logits(*_joined([lists[v][i] for i in held]), len(held)), y[held]))
+                wanted += [math.ceil(most * share) for share in (1 - rate, rate)]
+        if turn + 1 < rounds:
+            rest = free if gone is None else free.join(F.broadcast(gone), F.col("_id") == F.col("_gone"), "left_anti")
+            told = _exchange(rest, model.views, scales, wanted, turn)
             for k, (target, view) in enumerate((t, v) for t in model.views for v in (0, 1)):
-                given[target, 1 - view] = _told(told, k, rates[k // 2], ("words", "meta")[1 - view])
+                found, p = _told(told, k, ("words", "meta")[1 - view])
+                model.passed.setdefault((target, view), []).append(len(found))
+                given[target, 1 - view] = given[target, 1 - view][0] + found, np.concatenate((given[target, 1 - view][1], p))
+            fresh = docs.sparkSession.createDataFrame([(x,) for x in told["_id"]], "_gone string").select(F.col("_gone").cast(free.schema["_id"].dataType))
+            gone = fresh if gone is None else gone.unionByName(fresh)
     for target, (y, _, held) in parts.items():
         a, b = (model.views[target][v].logits(*_joined([lists[v][i] for i in held]), len(held)) for v in (0, 1))
         model.mix[target] = _calibrate(a, b, y[held])
