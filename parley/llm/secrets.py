@@ -43,7 +43,7 @@ KINDS = (
     ("code host token", rb"\b(?:gh[pousr]_[A-Za-z0-9]{20}[\w-]*+|glpat-[\w-]{20,}+)"),
     ("chat token", rb"\bxox[abprs]-[A-Za-z0-9-]{10}[\w-]*+"),
     ("api key", rb"\b(?:sk|pk|rk)[-_][\w-]{20,}+"),
-    ("signed token", rb"\beyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
+    ("signed token", rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
     ("private key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]*PRIVATE KEY-----"),
     ("assigned", _NAME + rb"(?P<value>[^\s\"'<>,;]{6,}+)"),
     ("long word", rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}+={0,2}(?![A-Za-z0-9+/_=-])"),
