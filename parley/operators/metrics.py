@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -192,44 +194,67 @@ def combined_error(wer: Column, der: Column, attribution: Column) -> Column:
     return 0.6 * wer + 0.3 * der + 0.1 * (1 - attribution)
 
 
+def _places(words: list) -> dict:
+    """Where each word stands, as the bits of a number."""
+    out: dict = {}
+    for j, w in enumerate(words):
+        out[w] = out.get(w, 0) | 1 << j
+    return out
+
+
+def _row(match: int, up: int, down: int, full: int) -> tuple[int, int, int]:
+    """The next row of an edit matrix, as bits: steps of +1 and of -1 to the right, and cells that are no
+    dearer than the one before on the diagonal."""
+    diagonal = (((match & up) + up) ^ up) | match | down
+    rise, fall = down | ~(diagonal | up), diagonal & up
+    rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+    return (fall | ~(diagonal | rise)) & full, rise & diagonal, diagonal & full
+
+
 def _edits(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int]:
-    """Substitutions, insertions and deletions of a cheapest edit script; ties prefer them in that order."""
-    codes: dict[str, int] = {}
-    a = [codes.setdefault(w, len(codes)) for w in reference]
-    b = np.array([codes.setdefault(w, len(codes)) for w in hypothesis], np.int64)
-    m, n = len(a), len(b)
-    rows = np.empty((m + 1, n + 1), np.int32)
-    rows[0] = np.arange(n + 1)
-    steps = np.arange(n + 1)
-    for i, w in enumerate(a, 1):
-        up = rows[i - 1]
-        best = np.empty(n + 1, np.int64)
-        best[0] = i
-        best[1:] = np.minimum(up[:-1] + (b != w), up[1:] + 1)
-        rows[i] = np.minimum.accumulate(best - steps) + steps
+    """Substitutions, insertions and deletions of a cheapest edit script; ties prefer them in that order.
+
+    Rows are numbers of a bit for each word. Only each so-manieth row is kept, about the square root of
+    all; the walk back makes the rows between two kept ones again. So texts of 100,000 words need
+    some 20 MB.
+    """
+    m, n = len(reference), len(hypothesis)
+    stride, full, places = max(1, math.isqrt(m)), (1 << n) - 1, _places(hypothesis)
+    up, down, kept = full, 0, []
+    for i, w in enumerate(reference):
+        if i % stride == 0:
+            kept.append((up, down))
+        up, down, _ = _row(places.get(w, 0), up, down, full)
     s = ins = dele = 0
-    i, j = m, n
-    while i or j:
-        if i and j and rows[i, j] == rows[i - 1, j - 1] + (a[i - 1] != b[j - 1]):
-            s += int(a[i - 1] != b[j - 1])
+    i, j, block, base = m, n, [], m
+    while i and j:
+        if i <= base:
+            base = (i - 1) // stride * stride
+            up, down = kept[base // stride]
+            block = []
+            for w in reference[base:i]:
+                up, down, diagonal = _row(places.get(w, 0), up, down, full)
+                block.append((up, diagonal))
+        right, diagonal = block[i - base - 1]
+        same = reference[i - 1] == hypothesis[j - 1]
+        if same or not diagonal >> j - 1 & 1:
+            s += not same
             i, j = i - 1, j - 1
-        elif j and rows[i, j] == rows[i, j - 1] + 1:
+        elif right >> j - 1 & 1:
             ins, j = ins + 1, j - 1
         else:
             dele, i = dele + 1, i - 1
-    return s, ins, dele
+    return s, ins + j, dele + i
 
 
 def _common(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence of words."""
-    codes: dict[str, int] = {}
-    x, y = [codes.setdefault(w, len(codes)) for w in a], np.array([codes.setdefault(w, len(codes)) for w in b], np.int64)
-    row = np.zeros(len(y) + 1, np.int64)
-    for w in x:
-        best = row.copy()
-        best[1:] = np.maximum(row[1:], row[:-1] + (y == w))
-        row = np.maximum.accumulate(best)
-    return int(row[-1])
+    """Length of the longest common subsequence of words, a bit for each word of ``b``."""
+    full, places = (1 << len(b)) - 1, _places(b)
+    left = full
+    for w in a:
+        met = left & places.get(w, 0)
+        left = (left + met | left - met) & full
+    return len(b) - left.bit_count()
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "insertions", "deletions")]))
