@@ -1,12 +1,17 @@
-"""Clustering of the voice vectors of a recording: average linkage, speaker limits, online assignment."""
+"""Clustering of the voice vectors of a recording: average linkage and speaker limits."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from parley.session import ship
+from parley.operators import linkage
+from parley.session import ship, written
+
+#: Vectors of a recording that one task clusters; the matrix of their similarities takes 8 MB.
+IN_TASK = 1024
 
 
 def _cosines(vectors: np.ndarray) -> np.ndarray:
@@ -61,49 +66,31 @@ def limit(label: np.ndarray, vectors: np.ndarray, times: np.ndarray, least: int,
     return label
 
 
-def online(vectors: np.ndarray, over: float) -> np.ndarray:
-    """Each vector in turn joins the cluster with the best mean similarity above ``over``, or opens one."""
-    sums: list[np.ndarray] = []
-    counts: list[int] = []
-    out = np.empty(len(vectors), np.int64)
-    for i, v in enumerate(vectors):
-        size = np.linalg.norm(v)
-        u = v / size if size > 0 else v
-        scores = [float(u @ s) / c for s, c in zip(sums, counts, strict=True)]
-        best = int(np.argmax(scores)) if scores else -1
-        if best >= 0 and scores[best] > over:
-            sums[best] = sums[best] + u
-            counts[best] += 1
-            out[i] = best
-        else:
-            out[i] = len(sums)
-            sums.append(u)
-            counts.append(1)
-    return out
-
-
 def _numbered(label: np.ndarray) -> np.ndarray:
     """Clusters numbered by their first member in time."""
     _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
     return np.argsort(np.argsort(first))[inverse]
 
 
-def cluster(voices: DataFrame, key: str, method: str = "agglomerative", similarity: float = 0.7, least: int = 1, most: int = 8, stop_at_most: bool = True) -> DataFrame:
-    """``key, id, cluster`` for each vector (id in time order) of each recording.
+def cluster(voices: DataFrame, key: str, similarity: float = 0.7, least: int = 1, most: int = 8, stop_at_most: bool = True, in_task: int = IN_TASK) -> DataFrame:
+    """``key, id, cluster`` for each vector (id in time order) of each recording, by average linkage.
 
-    One recording goes to one task, as its clusters depend on each other; its size is that of one
-    conversation.
+    A recording of at most ``in_task`` vectors is solved in one task, larger ones in rounds of
+    ``linkage``; both give the same clusters.
     """
-
     ship(voices.sparkSession)
+    own = voices.select(F.col(key).alias("key"), "id", "vector")
+    sizes = written(own.groupBy("key").agg(F.count("*").alias("_n")), "sizes")
+    large = sizes.where(F.col("_n") > in_task).select("key")
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id", kind="stable")
         vectors = np.array(frame["vector"].to_list(), float)
-        if method == "online":
-            label = online(vectors, similarity)
-        else:
-            label = limit(agglomerate(vectors, similarity, most, stop_at_most), vectors, frame["id"].to_numpy(), least, most)
-        return pd.DataFrame({key: frame[key], "id": frame["id"], "cluster": _numbered(label)})
-
-    return voices.select(key, "id", "vector").groupBy(key).applyInPandas(solve, f"{key} long, id long, cluster long")
+        label = limit(agglomerate(vectors, similarity, most, stop_at_most), vectors, frame["id"].to_numpy(), least, most)
+        return pd.DataFrame({"key": frame["key"], "id": frame["id"], "cluster": _numbered(label)})
+
+    small = own.join(large, own["key"].eqNullSafe(large["key"]), "left_anti").groupBy("key").applyInPandas(solve, "key long, id long, cluster long")
+    if large.isEmpty():
+        return small.withColumnRenamed("key", key)
+    rounds = linkage.numbered(linkage.label(own.join(large, "key", "left_semi"), similarity, least, most, stop_at_most))
+    return small.unionByName(rounds).withColumnRenamed("key", key)

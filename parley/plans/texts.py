@@ -239,7 +239,14 @@ def cluster_agglomerative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster.cluster(_grouped(views.voices(spark, sf_dir)), "recording", similarity=0.3, most=8)
 
 
+@query()
+def cluster_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one recording, in rounds of mutually nearest clusters."""
+    return cluster.cluster(views.voices(spark, sf_dir).withColumn("recording", F.lit(0).cast("long")), "recording", similarity=0.3, most=8, stop_at_most=False, in_task=256)
+
+
 @query()
 def cluster_online(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster.cluster(_grouped(views.voices(spark, sf_dir)), "recording", method="online", similarity=0.3)
+    rows = views.timed(_grouped(views.voices(spark, sf_dir)).withColumn("seq", F.col("id")))
+    return folds.in_order(rows, folds.OnlineClusters(0.3), "recording").select("recording", F.col("seq").alias("id"), "cluster")
 
