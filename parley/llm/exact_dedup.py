@@ -63,6 +63,15 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, digest: Column | None)
     return marked, slim, found.select(F.col("_h").alias("_g"), "_sub", "group_size", "_best"), count
 
 
+def _joined(table: DataFrame, groups: DataFrame, count: int) -> DataFrame:
+    """Rows with their groups: sent to the rows while they are few, else by shuffle with hot groups dealt out."""
+    if count <= rows.SMALL:
+        return table.join(F.broadcast(groups), _own_group(), "left")
+    dealt, parts = rows.spread(table, "_h", groups.groupBy("_g").agg(F.sum("group_size").alias("_size")), "_g", "_size", table.count())
+    salted = groups.join(parts.select(F.col("_g").alias("_p"), F.col("_salt").alias("_s")), F.col("_g") == F.col("_p")).drop("_p")
+    return dealt.join(salted, _own_group() & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_s")
+
+
 def _own_group() -> Column:
     return (F.col("_h") == F.col("_g")) & ((F.col("_sub") == "") | (F.col("_sub") == F.col("_sha")))
 
@@ -77,7 +86,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     replaces the 128-bit hash in tests of the collision path.
     """
     _, slim, groups, count = _decided(docs, id_col, text_col, digest)
-    out = slim.join(rows.near(groups, count), _own_group(), "left")
+    out = _joined(slim, groups, count)
     alone, best = F.col("_g").isNull(), F.col("_best._key.id")
     kept = alone | (F.col("_at") == F.col("_best._at"))
     return out.select(F.col("_key.id").alias("_id"), F.when(alone, F.col("_key.id")).otherwise(best).alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), kept.alias("kept"), F.col("_sha").alias("text_sha256"))
@@ -92,7 +101,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked, _, groups, count = _decided(docs, id_col, text_col, digest)
     every = marked.select("_row", "_h", "_key", F.sha2("_norm", 256).alias("_sha"))
-    out = every.join(rows.near(groups, count), _own_group(), "left")
+    out = _joined(every, groups, count)
     alone = out.where("_g is null").select("_row.*")
     best = out.where(F.col("_key").eqNullSafe(F.col("_best._key"))).groupBy("_g", "_sub").agg(F.first("_row").alias("_row"))
     return alone.unionByName(best.select("_row.*"))

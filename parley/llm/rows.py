@@ -32,3 +32,22 @@ def packed(table: DataFrame) -> Column:
 def near(table: DataFrame, count: int) -> DataFrame:
     """``table`` marked for a broadcast where its counted rows are few; else as it is."""
     return F.broadcast(table) if count <= SMALL else table
+
+
+#: Rows of one key that a join keeps together, and keys at most that may have more (these are broadcast).
+TOGETHER, MOST_HOT = 100_000, 10_000
+
+
+def spread(big: DataFrame, key: str, small: DataFrame, own: str, size: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of ``big.key`` with the unique ``small.own``, with ``_salt`` to join by as well.
+
+    ``size``: how many rows of ``big`` a row of ``small`` meets, of ``total``. A key with more rows than
+    stay together is dealt over parts, and its row of ``small`` repeated for each. There can be no more
+    than ``MOST_HOT`` such keys, so they may be sent to all rows of ``big``.
+    """
+    most = max(TOGETHER, -(-total // MOST_HOT))
+    parts = F.ceil(F.col(size) / most).cast("int")
+    hot = small.where(F.col(size) > most).select(F.col(own).alias("_hot"), parts.alias("_parts"))
+    dealt = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int"), F.lit(0))).drop("_hot", "_parts")
+    return dealt, small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))

@@ -161,7 +161,8 @@ def links(prints: DataFrame, bits: int = BITS, part: int = PART) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(k), *[piece(i) for i in own]) for k, own in enumerate(sets)])
     keyed = pivot_table(prints).select("_fp", "_d", F.explode(keys).alias("_key"))
     sizes = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_parts", F.ceil(F.col("_n") / part).cast("int"))
-    keyed = keyed.join(sizes, "_key").withColumn("_own", F.pmod(F.xxhash64("_fp", F.lit(1)), F.col("_parts")).cast("int"))
+    dealt, sized = rows.spread(keyed, "_key", sizes, "_key", "_n", count * len(sets))
+    keyed = dealt.join(sized, ["_key", "_salt"]).drop("_salt").withColumn("_own", F.pmod(F.xxhash64("_fp", F.lit(1)), F.col("_parts")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("_parts") - 1), lambda i: F.struct(F.least(i, "_own").alias("p"), F.greatest(i, "_own").alias("q")))
     group = F.xxhash64("_key", "_pair.p", "_pair.q").alias("_group")
     dealt = keyed.select("_fp", "_d", F.col("_key"), F.explode(pair).alias("_pair")).select("_fp", group, "_d")
@@ -194,8 +195,9 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("_n")))
+        dealt, lows = rows.spread(both, "a", low, "a", "_n", low.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+        large = dealt.join(lows, ["a", "_salt"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("m").alias("y")), F.struct(F.col("b").alias("x"), F.col("m").alias("y")))).alias("e"))
         now = cut(small.select(F.col("e.x").alias("a"), F.col("e.y").alias("b")).where("a <> b").distinct())
@@ -213,12 +215,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     in one component. An empty table gives an empty result.
     """
     marked = cut(fingerprints(docs, id_col, text_col))
-    prints = marked.groupBy("_fp").agg(F.min("_id").alias("_low"))
+    prints = cut(marked.groupBy("_fp").agg(F.min("_id").alias("_low"), F.count("*").alias("_n")))
     roots = components(links(prints.select("_fp"), bits))
-    classed = prints.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_low", F.coalesce("root", "_fp").alias("_root"))
+    classed = prints.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_low", "_n", F.coalesce("root", "_fp").alias("_root"))
     named = classed.groupBy("_root").agg(F.min("_low").alias("component_id"))
-    member = classed.join(named, "_root").select("_fp", "component_id")
-    return marked.join(member, "_fp").select("_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    member = classed.join(named, "_root").select("_fp", "component_id", "_n")
+    dealt, members = rows.spread(marked, "_fp", member, "_fp", "_n", marked.count())
+    return dealt.join(members, ["_fp", "_salt"]).select("_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:

@@ -143,3 +143,30 @@ def test_drop_near_keeps_one_document_of_each(spark, monkeypatch):
         got = simhash.drop_near(docs)
         assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     assert simhash.drop_near(docs.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt_out(spark, monkeypatch):
+    """100,000 rows of one key: each part gets its share, every row meets its key's row once."""
+    from parley.llm import rows
+
+    monkeypatch.setattr(rows, "TOGETHER", 5000)
+    big = spark.range(130_000).select(F.when(F.col("id") < 100_000, -1).otherwise(F.col("id")).alias("k"), "id").repartition(9)
+    small = big.groupBy("k").agg(F.count("*").alias("n"))
+    dealt, parts = rows.spread(big, "k", small, "k", "n", 130_000)
+    met = dealt.join(parts, ["k", "_salt"])
+    assert met.count() == 130_000
+    sizes = [r[1] for r in met.where("k = -1").groupBy("_salt").agg(F.count("*")).collect()]
+    assert len(sizes) == 20 and max(sizes) <= 1.5 * min(sizes)
+
+
+def test_results_do_not_depend_on_what_is_hot(spark, monkeypatch):
+    texts = ["", "one two three four five six seven", "one two three four five six seven", "completely other words stand here now"]
+    docs = spark.createDataFrame([(i, texts[i % 4] if i < 90 else f"own words number {i} and some {i * 7} more") for i in range(120)], "doc_id long, text string").repartition(5)
+    near = sorted(map(tuple, simhash.near_dedup(docs).collect()))
+    exact = sorted(map(tuple, exact_dedup.exact_dedup(docs).collect()))
+    kept = sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect())
+    monkeypatch.setattr(simhash.rows, "TOGETHER", 2)
+    monkeypatch.setattr(simhash.rows, "SMALL", 0)
+    assert sorted(map(tuple, simhash.near_dedup(docs).collect())) == near
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs).collect())) == exact
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(docs).collect()) == kept
