@@ -73,6 +73,12 @@ def written(df: DataFrame, name: str = "rows") -> DataFrame:
     return df.sparkSession.read.parquet(out)
 
 
+def discard(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate data that nothing reads any more, in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
