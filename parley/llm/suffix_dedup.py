@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.llm import rows, suffix_merge, words
-from parley.session import ship, written
+from parley.session import discard, shared_dir, ship, written
 
 #: Bytes of a stretch, and of the k-mers that are anchors.
 LENGTH, KMER = 200, 32
@@ -109,8 +109,8 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_texts(docs: DataFrame, text_col: str) -> str:
-    """``ref`` (digest), ``copies`` and packed text of each distinct text, as a table of the warehouse
-    that is bucketed by ``ref``; ``removed`` drops it once it is done."""
+    """``ref`` (digest), ``copies`` and packed text of each distinct text, as a table in the
+    shared folder that is bucketed by ``ref``; ``removed`` drops it once it is done."""
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{text_col}`").alias("_text")).where(F.octet_length("_text") >= LENGTH)
 
@@ -123,7 +123,7 @@ def distinct_texts(docs: DataFrame, text_col: str) -> str:
     grouped = slim.mapInArrow(pack, "ref binary, packed binary").groupBy("ref").agg(F.count("*").alias("copies"), F.first("packed").alias("packed"))
     name = f"stretches_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grouped.write.bucketBy(buckets, "ref").saveAsTable(name)
+    grouped.write.bucketBy(buckets, "ref").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return name
 
 
@@ -341,6 +341,7 @@ def removed(docs: DataFrame, text_col: str = "text", columns: list | None = None
         return written(out.select(*columns) if columns else out, "kept")
     finally:
         spark.sql(f"drop table if exists {name}")
+        discard(spark, f"{shared_dir(spark)}/{name}")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -111,3 +111,18 @@ def test_edges(spark, monkeypatch):
     kept = {r._id: bytes(r.kept) for r in suffix_dedup.strip_repeats(spark.createDataFrame([(1, passage, "x"), (2, "y" + passage, "x"), (3, None, "x")], "doc_id long, text string, kept string")).collect()}
     assert kept == {1: b"", 2: b"y", 3: b""}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("stretches")]
+
+
+def test_nothing_is_left_in_the_warehouse_or_of_the_table(spark, tmp_path):
+    import os
+
+    from parley.session import shared_dir
+
+    before = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    held = set(os.listdir(before)) if os.path.isdir(before) else set()
+    text = "".join(chr(97 + i * i % 23) for i in range(400))
+    docs = spark.createDataFrame([(1, text), (2, "x" + text), (3, "short")], "doc_id long, text string")
+    assert sorted(r.n_removed for r in suffix_dedup.report(docs).collect()) == [0, 400, 400]
+    assert (set(os.listdir(before)) if os.path.isdir(before) else set()) == held
+    place = shared_dir(spark).removeprefix("file:")
+    assert not [x for x in os.listdir(place) if x.startswith("stretches_")] and not spark.catalog.listTables()
