@@ -93,11 +93,6 @@ def add_children(children: DataFrame, fresh: DataFrame, parents: DataFrame, key:
     return children.unionByName(fresh.join(parents.select(key), key, "left_semi"))
 
 
-def cleared(*tables: DataFrame) -> tuple[DataFrame, ...]:
-    """The tables without rows, children first."""
-    return tuple(t.limit(0) for t in tables)
-
-
 def find_profiles(profiles: DataFrame, voices: DataFrame, name: str | None = None, after: str | None = None, before: str | None = None, min_confidence: float | None = None, has_embeddings: bool | None = None, is_active: bool | None = None, color: str | None = None, min_count: int | None = None, key: str = "speaker_id") -> DataFrame:
     """Profiles that fit every filter given; what is None does not filter. Times are ISO texts, both ends count."""
     tests = [

@@ -9,7 +9,7 @@ from parley.operators import meetings as M
 from parley.operators import similarity, store
 from parley.plans import views
 from parley.plans.registry import query
-from parley.plans.speakers import QUERY_SET, _query_set
+from parley.plans.speakers import QUERY_SET, _query_set, _table
 from parley.plans.views import MEETINGS, PROFILES, SEGMENTS, VOICES
 from parley.session import table, written
 
@@ -30,21 +30,36 @@ union all select * from (values (200, 'Ada', true, 0.7::double, '#3B82F6'), (201
 def profile_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = wide(spark, sf_dir).select("speaker_id", "name", "is_active", "confidence_threshold", "color")
     asked = spark.createDataFrame([(200, "Ada", None, None), (201, "Bo", 0.9, "#000000"), (3, "There already", None, None)], "speaker_id long, name string, confidence_threshold double, color string")
-    return store.create(rows, asked, {"is_active": F.lit(True), "confidence_threshold": F.lit(0.7), "color": F.lit("#3B82F6")}, "speaker_id")
+    stored = _table(rows)
+    stored.change(asked, lambda old: store.create(old, asked, {"is_active": F.lit(True), "confidence_threshold": F.lit(0.7), "color": F.lit("#3B82F6")}, "speaker_id"))
+    return stored.read()
 
 
 @query(f"""with {VOICES} select speaker_id, count(*) + case when speaker_id = 3 then 1 else 0 end as embeddings, round(sum(duration_s) + case when speaker_id = 3 then 2.5 else 0 end, 6) as total_s from voices group by 1""")
 def embedding_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.voices(spark, sf_dir).select("id", "speaker_id", "quality", "duration_s")
     fresh = spark.createDataFrame([(-1, 3, 0.5, 2.5), (-2, 999, 0.5, 2.5)], "id long, speaker_id long, quality double, duration_s double")
-    out = store.add_children(rows, fresh, views.profiles(spark, sf_dir), "speaker_id")
-    return out.groupBy("speaker_id").agg(F.count("*").alias("embeddings"), F.round(F.sum("duration_s"), 6).alias("total_s"))
+    stored = _table(rows)
+    stored.append(store.add_children(rows.limit(0), fresh, views.profiles(spark, sf_dir), "speaker_id"))
+    return stored.read().groupBy("speaker_id").agg(F.count("*").alias("embeddings"), F.round(F.sum("duration_s"), 6).alias("total_s"))
 
 
-@query("select 'embeddings' as name, 0::bigint as n union all select 'profiles', 0")
+@query(f"""with {PROFILES}, {VOICES} select 'before' as at, (select count(*) from profiles) as profiles, (select count(*) from voices) as embeddings
+union all select 'after', 0, 0 union all select 'refilled', (select count(*) from profiles where is_active), 0""")
 def clear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    voices, profiles = store.cleared(views.voices(spark, sf_dir), views.profiles(spark, sf_dir))
-    return voices.agg(F.count("*").alias("n")).select(F.lit("embeddings").alias("name"), "n").union(profiles.agg(F.count("*").alias("n")).select(F.lit("profiles"), "n"))
+    """Rows of both stored tables before they are cleared, after it, and after profiles were put in again."""
+    rows = views.profiles(spark, sf_dir)
+    profiles, voices = _table(rows), _table(views.voices(spark, sf_dir))
+
+    def counted(at: str) -> DataFrame:
+        n = profiles.read().agg(F.count("*").alias("profiles")).crossJoin(voices.read().agg(F.count("*").alias("embeddings")))
+        return written(n.select(F.lit(at).alias("at"), "profiles", "embeddings"))
+
+    before = counted("before")
+    profiles.clear(voices)
+    after = counted("after")
+    profiles.upsert(rows.where("is_active"))
+    return before.unionByName(after).unionByName(counted("refilled"))
 
 
 @query(f"""with {WIDE}, {VOICES} select speaker_id, 'with' as kind from wide w where contains(lower(name), 'speaker') and created_at between timestamp '2024-01-02' and timestamp '2024-01-09' and confidence_threshold >= 0.65 and is_active and identification_count >= 2

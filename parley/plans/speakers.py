@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import vector as V
 from parley.operators import similarity, store
+from parley.operators.tables import KeyedTable
 from parley.operators.vector_index import VectorIndex
 from parley.plans import views
 from parley.plans.registry import query
@@ -165,24 +166,35 @@ def profile_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.profiles(spark, sf_dir).where("speaker_id = 7")
 
 
+def _table(rows: DataFrame) -> KeyedTable:
+    """A stored table of the rows in the shared folder."""
+    return KeyedTable.create(rows, f"{shared_dir(rows.sparkSession)}/table-{uuid.uuid4().hex}", "speaker_id", 8)
+
+
 @query(f"with {PROFILES} select speaker_id, case when speaker_id = 2 then 'Renamed' else name end as name, case when speaker_id = 3 then false else is_active end as is_active from profiles")
 def profile_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = spark.createDataFrame([(2, "Renamed", None), (3, None, False), (99, "Nobody", True)], "speaker_id long, name string, is_active boolean")
-    return store.update(views.profiles(spark, sf_dir), changes, "speaker_id")
+    table = _table(views.profiles(spark, sf_dir))
+    table.update(changes)
+    return table.read()
 
 
 @query(f"""with {PROFILES}, {VOICES} select 'profiles' as name, count(*) as n from profiles where speaker_id not in (1, 4)
 union all select 'embeddings', count(*) from voices where speaker_id not in (1, 4)""")
 def profile_delete_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = spark.createDataFrame([(1,), (4,)], "speaker_id long")
-    a, b = store.delete_cascade(views.profiles(spark, sf_dir), views.voices(spark, sf_dir), keys, "speaker_id")
+    profiles, voices = _table(views.profiles(spark, sf_dir)), _table(views.voices(spark, sf_dir))
+    profiles.delete(keys, voices)
+    a, b = profiles.read(), voices.read()
     return a.agg(F.count("*").alias("n")).select(F.lit("profiles").alias("name"), "n").union(b.agg(F.count("*").alias("n")).select(F.lit("embeddings"), "n"))
 
 
 @query(f"""with {PROFILES} select * from profiles where speaker_id not in (0, 100) union all select 0, 'First', true union all select 100, 'New', false""")
 def profile_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     fresh = spark.createDataFrame([(0, "First", True), (100, "New", False)], "speaker_id long, name string, is_active boolean")
-    return store.upsert(views.profiles(spark, sf_dir), fresh, "speaker_id")
+    table = _table(views.profiles(spark, sf_dir))
+    table.upsert(fresh)
+    return table.read()
 
 
 @query(f"""with {PROFILES}, {VOICES}, m as (select case when speaker_id = 6 then 5 else speaker_id end as speaker_id from voices)
