@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -145,32 +146,42 @@ def benchmark_summary(runs: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("segments_a_second", F.when(seconds > 0, F.col("_s") / seconds).otherwise(0.0)).withColumn("segments_a_mb", F.when(F.col("mean_mb") > 0, F.col("_m") / F.col("mean_mb")).otherwise(0.0)).drop("_s", "_m")
 
 
-def sampled(a: DataFrame, b: DataFrame, every: int = 100) -> DataFrame:
-    """Per meeting: moments ``every`` ms apart up to the last end, and those at which both sides have the same speaker or none.
+def compared(runs: list[DataFrame], every: int = 100) -> DataFrame:
+    """``meeting, i, j, samples, equal`` for each two runs: moments ``every`` ms apart up to their last end, and
+    those at which both have the same speaker or none.
 
-    The first segment that holds a moment counts; both its ends do.
+    The first segment that holds a moment counts; both its ends do. Spans in which no segment of any
+    run begins or ends are counted as a whole, all runs at once, so rows grow with segments, not with time.
     """
-    ends = a.select("meeting", "end_ms").union(b.select("meeting", "end_ms")).groupBy("meeting").agg(F.max("end_ms").alias("end"))
-    total = ends.select("meeting", F.ceil(F.col("end") / every).alias("samples"))
+    every_run = None
+    for i, run in enumerate(runs):
+        own = run.select("meeting", "seq", "speaker", "end_ms", F.lit(i).alias("run"), F.ceil(F.col("start_ms") / every).alias("a"), (F.floor(F.col("end_ms") / every) + 1).alias("b"))
+        every_run = own if every_run is None else every_run.unionByName(own)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in range(len(runs)) for i in range(j)])
+    ends = every_run.groupBy("meeting", "run").agg(F.max("end_ms").alias("end")).groupBy("meeting").agg(F.map_from_entries(F.collect_list(F.struct("run", "end"))).alias("_e"))
+    last = F.greatest(F.try_element_at("_e", F.col("p.i")), F.try_element_at("_e", F.col("p.j")))
+    total = ends.select("meeting", "_e", F.explode(pairs).alias("p")).select("meeting", "p.i", "p.j", F.ceil(last / every).alias("samples")).where("samples > 0")
+    held = every_run.where("b > a").select("meeting", "seq", "speaker", "run", F.col("a").alias("start_ms"), F.col("b").alias("end_ms"))
+    points = held.select("meeting", F.explode(F.array("start_ms", "end_ms")).alias("start_ms")).distinct()
+    spans = points.withColumn("end_ms", F.lead("start_ms").over(W.partitionBy("meeting").orderBy("start_ms"))).where("end_ms is not null")
+    names = [F.col("l_meeting").alias("meeting"), F.col("l_start_ms").alias("a"), F.col("l_end_ms").alias("b")]
+    each = overlap_join(spans, held, width=60_000 // every).groupBy(*names, "r_run").agg(F.min_by("r_speaker", "r_seq").alias("who"))
+    labels = each.groupBy("meeting", "a", "b").agg(F.map_from_entries(F.collect_list(F.struct("r_run", "who"))).alias("_l"))
+    unlike = labels.select("meeting", "a", "b", "_l", F.explode(pairs).alias("p")).where(~F.try_element_at("_l", F.col("p.i")).eqNullSafe(F.try_element_at("_l", F.col("p.j"))))
+    cells = F.greatest(F.least("b", "samples") - F.col("a"), F.lit(0))
+    differ = unlike.select("meeting", "p.i", "p.j", "a", "b").join(total, ["meeting", "i", "j"]).groupBy("meeting", "i", "j").agg(F.sum(cells).alias("d"))
+    return total.join(differ, ["meeting", "i", "j"], "left").select("meeting", "i", "j", "samples", (F.col("samples") - F.coalesce("d", F.lit(0))).alias("equal"))
 
-    def label(rows: DataFrame, name: str) -> DataFrame:
-        first, last = F.ceil(F.col("start_ms") / every), F.floor(F.col("end_ms") / every)
-        each = rows.select("meeting", "seq", "speaker", F.explode(F.sequence(first, F.greatest(first, last))).alias("k"), last.alias("_l")).where("k <= _l")
-        return each.groupBy("meeting", "k").agg(F.min_by("speaker", "seq").alias(name))
 
-    both = label(a, "r").join(label(b, "h"), ["meeting", "k"], "full_outer").join(total, "meeting").where("k < samples")
-    differ = both.where(~F.col("r").eqNullSafe(F.col("h"))).groupBy("meeting").agg(F.count("*").alias("d"))
-    return total.join(differ, "meeting", "left").where("samples > 0").select("meeting", "samples", (F.col("samples") - F.coalesce("d", F.lit(0))).alias("equal"))
+def sampled(a: DataFrame, b: DataFrame, every: int = 100) -> DataFrame:
+    """``meeting, samples, equal`` of two sides (see ``compared``)."""
+    return compared([a, b], every).select("meeting", "samples", "equal")
 
 
 def agreement(runs: list[DataFrame], every: int = 100) -> DataFrame:
     """Per meeting the mean share of equal moments over all pairs of runs."""
-    out = None
-    for i, a in enumerate(runs):
-        for b in runs[i + 1 :]:
-            one = sampled(a, b, every).select("meeting", (F.col("equal") / F.col("samples")).alias("share"))
-            out = one if out is None else out.unionByName(one)
-    return out.groupBy("meeting").agg(F.avg("share").alias("agreement"), F.count("*").alias("pairs"))
+    shares = compared(runs, every).select("meeting", (F.col("equal") / F.col("samples")).alias("share"))
+    return shares.groupBy("meeting").agg(F.avg("share").alias("agreement"), F.count("*").alias("pairs"))
 
 
 def single_speaker(found: DataFrame, expected: str, duration: DataFrame, key: str = "meeting") -> DataFrame:

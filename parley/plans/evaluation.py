@@ -13,7 +13,7 @@ from parley.operators.intervals import labelled_spans
 from parley.plans import texts, views
 from parley.plans.registry import query
 from parley.plans.texts import PAIRS
-from parley.plans.timeline import MEET, OVERLAP, WORDS_SQL
+from parley.plans.timeline import MEET, OVERLAP, WORDS_SQL, pieces_sql
 from parley.plans.views import PREDICTED, SEGMENTS, SQL_WORDS
 
 #: The common table of recognised segments without those it builds on.
@@ -216,17 +216,14 @@ def majority_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.majority(found, own, 200)
 
 
-_SPLIT = f"x as (select a.meeting, a.seq, count(*) as n, arg_max(b.speaker, {OVERLAP}) as who, arg_max(b.confidence, {OVERLAP}) as c from tr a join sp b on {MEET} where {OVERLAP} > 0.5 * (a.end_ms - a.start_ms) group by 1, 2)"
-
-
-@query(f"""with {PREDICTED}, tr as (select * from segments where meeting % 3 <> 0), sp as (select * from predicted where meeting % 3 <> 1), {_SPLIT}
-select t.meeting, t.seq, case when x.n is null then 'unknown_speaker' else who end as speaker, text, round(case when x.n is null then confidence * 0.5 else (confidence + c) / 2 end, 6) as overall from tr t left join x using (meeting, seq) where meeting % 3 = 2 and coalesce(x.n, 1) = 1
-union all select meeting, seq, speaker, text, confidence from tr where meeting % 3 = 1 union all select meeting, seq, speaker, '', confidence from sp where meeting % 3 = 0""")
+@query(f"""with {PREDICTED}, tr as (select * from segments where meeting % 3 <> 0), sp as (select * from predicted where meeting % 3 <> 1),
+tb as (select * from tr where meeting % 3 = 2), {pieces_sql("tb", "sp")}
+select meeting, seq, part, speaker, md5(text) as digest, round(overall, 6) as overall from pieces
+union all select meeting, seq, 0, speaker, md5(text), confidence from tr where meeting % 3 = 1 union all select meeting, seq, 0, speaker, md5(''), confidence from sp where meeting % 3 = 0""")
 def merge_one_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, found = _sides(spark, sf_dir)
     out = I.merge(own.where("meeting % 3 <> 0"), found.where("meeting % 3 <> 1"))
-    several = out.groupBy("meeting", "seq").agg(F.count("*").alias("n")).where("n > 1")
-    return out.join(several, ["meeting", "seq"], "left_anti").select("meeting", "seq", "speaker", "text", F.round("overall", 6).alias("overall"))
+    return out.select("meeting", "seq", F.col("part").cast("long").alias("part"), "speaker", F.md5("text").alias("digest"), F.round("overall", 6).alias("overall"))
 
 
 @query(f"""with {SEGMENTS}, w as (select meeting, (50 + (strlen(word) * 7 + pos) % 50) / 100.0::double as c from (select meeting, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as pos from (select meeting, {SQL_WORDS.format('text')} as ws from segments)))

@@ -108,18 +108,23 @@ def overlap_other_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.overlap_join(own, own).where("l_speaker <> r_speaker").groupBy(F.col("l_meeting").alias("meeting"), F.col("l_seq").alias("seq")).agg(F.count("*").alias("others"))
 
 
-_FOUND = f"""f as (select a.meeting, a.seq, list(struct_pack(o := {OVERLAP}, s := b.speaker, c := b.confidence) order by {OVERLAP} desc, b.start_ms, b.seq) as found
-from segments a join predicted b on {MEET} where {OVERLAP} > 0.5 * (a.end_ms - a.start_ms) group by 1, 2)"""
-
-
-@query(f"""with {PREDICTED}, {_FOUND}, j as (select s.*, coalesce(len(found), 0) as n, found from segments s left join f using (meeting, seq))
-select meeting, seq, case when n = 0 then 'unknown_speaker' else found[1].s end as speaker, round(case when n = 0 then confidence * 0.5 else (confidence + found[1].c) / 2 end, 6) as overall from j where n < 2""")
+def pieces_sql(transcript: str, speakers: str, least: float = 0.5) -> str:
+    """CTE ``pieces``: every piece of every transcript segment, as ``intervals.align`` makes them."""
+    return f"""f0 as (select a.meeting, a.seq, list(struct_pack(o := {OVERLAP}, s := b.speaker, c := b.confidence) order by {OVERLAP} desc, b.start_ms, b.seq) as found
+from {transcript} a join {speakers} b on {MEET} where {OVERLAP} > {least} * (a.end_ms - a.start_ms) group by 1, 2),
+f1 as (select t.*, found, coalesce(len(found), 0) as n, {SQL_WORDS.format("text")} as ws from {transcript} t left join f0 using (meeting, seq)),
+f2 as (select *, unnest(range(greatest(n, 1)))::bigint as part from f1),
+f3 as (select *, start_ms + coalesce(list_sum(list_transform(found[1:part], lambda x: x.o)), 0)::bigint as begun from f2),
+pieces as (select meeting, seq, part, case when n = 0 then 'unknown_speaker' else found[part + 1].s end as speaker, begun as start_ms, case when n > 1 then least(begun + found[part + 1].o, end_ms) else end_ms end as end_ms,
+case when n = 0 then confidence * 0.5 else (confidence + found[part + 1].c) / 2 end as overall, case when n < 2 or part = n - 1 then text else array_to_string(ws[1:round(len(ws) * found[part + 1].o / (end_ms - start_ms))::int], ' ') end as text
+from f3 where n < 2 or begun < end_ms)"""
+
+
+@query(f"""with {PREDICTED}, {pieces_sql("segments", "predicted")} select meeting, seq, part, speaker, start_ms, end_ms, round(overall, 6) as overall, md5(text) as digest from pieces""")
 def align_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every segment, those of several speakers too."""
     own, found = _both(spark, sf_dir)
-    pairs = I.overlap_join(own, found).where(F.col("overlap") > 0.5 * (F.col("l_end_ms") - F.col("l_start_ms")))
-    several = pairs.groupBy(F.col("l_meeting").alias("meeting"), F.col("l_seq").alias("seq")).agg(F.count("*").alias("n")).where("n > 1")
-    out = I.align(own, found).join(several, ["meeting", "seq"], "left_anti")
-    return out.select("meeting", "seq", "speaker", F.round("overall", 6).alias("overall"))
+    return I.align(own, found).select("meeting", "seq", F.col("part").cast("long").alias("part"), "speaker", "start_ms", "end_ms", F.round("overall", 6).alias("overall"), F.md5("text").alias("digest"))
 
 
 @query(f"""with {PREDICTED}, f as (select a.meeting, a.seq, any_value(a.start_ms) as start_ms, any_value(a.end_ms) as end_ms, any_value(a.text) as text, any_value(a.confidence) as c, list(struct_pack(o := {OVERLAP}, s := b.speaker, c := b.confidence) order by {OVERLAP} desc, b.start_ms, b.seq) as found
