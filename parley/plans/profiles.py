@@ -175,11 +175,13 @@ def speaker_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("display", "color").agg(F.count("*").alias("n"))
 
 
-@query("select 1 as version, 'create' as name, 'kept' as state, 7 as latest union all select 9, 'unknown', 'kept', 7 union all select 7, 'later', 'undone', 7 union all select 3, 'colours', 'undone', 7")
+@query("""with k as (select max(p_partkey) as latest from part where p_partkey % 10 <> 9)
+select p_partkey as version, p_name as name, case when p_partkey > 50 and p_partkey % 10 <> 9 then 'undone' else 'kept' end as state, latest from part, k""")
 def migration_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(1, "create"), (3, "colours"), (7, "later")], "version int, name string")
-    applied = known.union(spark.createDataFrame([(9, "unknown")], known.schema))
-    kept, undone = store.rolled_back(known, applied, 1)
+    """Parts as applied migrations, taken back to version 50; every tenth is not known any more and stays."""
+    applied = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("version"), F.col("p_name").alias("name"))
+    known = applied.where("version % 10 <> 9")
+    kept, undone = store.rolled_back(known, applied, 50)
     state = store.history(kept).withColumn("state", F.lit("kept")).unionByName(undone.withColumn("state", F.lit("undone")))
     return state.crossJoin(F.broadcast(store.current_version(known).select(F.col("version").alias("latest"))))
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import vector as V
-from parley.operators import similarity, store
+from parley.operators import quantiles, similarity, store
+from parley.operators.pages import Pages
 from parley.operators.tables import KeyedTable
 from parley.operators.vector_index import VectorIndex
 from parley.plans import views
 from parley.plans.registry import query
 from parley.plans.views import PROFILES, VOICES
-from parley.session import shared_dir
+from parley.session import shared_dir, table
 
 LEAST, TOP = 0.2, 5
 QUERY_SET = "qs as (select id as query_id, vector as qv from voices where id % 100 = 0)"
@@ -220,17 +221,36 @@ def profiles_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {PROFILES}, {VOICES} select (select count(*) from profiles) as profiles, (select count(*) from voices) as embeddings, (select count(distinct conv_id) from conversations) as meetings")
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from parley.session import table
-
     a = views.profiles(spark, sf_dir).agg(F.count("*").alias("profiles"))
     b = views.voices(spark, sf_dir).agg(F.count("*").alias("embeddings"))
     return a.crossJoin(b).crossJoin(table(spark, sf_dir, "conversations").agg(F.countDistinct("conv_id").alias("meetings")))
 
 
-@query("select version, name, md5(body) as checksum from (values (2, 'add notes', 'alter 2'), (3, 'add colours', 'alter 3')) t(version, name, body)")
+@query("select p_partkey as version, p_name as name, md5('alter ' || p_name) as checksum from part where p_partkey % 5 <> 0")
 def pending_migrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = spark.createDataFrame([(1, "create", "create 1"), (2, "add notes", "alter 2"), (3, "add colours", "alter 3")], "version int, name string, sql string")
-    return store.pending(every, spark.createDataFrame([(1,)], "version int")).select("version", "name", "checksum")
+    """Parts as migrations, of which every fifth was applied."""
+    every = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("version"), F.col("p_name").alias("name"), F.concat(F.lit("alter "), "p_name").alias("sql"))
+    return store.pending(every, every.where("version % 5 = 0").select("version")).select("version", "name", "checksum")
+
+
+@query("""with o as (select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) - 1 as place, count(*) over () as total_count from orders),
+p as (select unnest([1, 1 + total_count // 100, 1 + (total_count - 1) // 50]) as page, total_count from (select count(*) as total_count from orders))
+select o_orderkey, place, o.total_count, p.page, 50::bigint as page_size, o.total_count > p.page * 50 as has_more from o join p on place >= (p.page - 1) * 50 and place < p.page * 50""")
+def deep_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first, a middle and the last page of the orders by price."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    stored = Pages.create(rows, f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}", [F.desc("o_totalprice"), F.col("o_orderkey")], 5000)
+    total = stored.total()
+    out = [stored.page(n, 50) for n in (1, 1 + total // 100, 1 + (total - 1) // 50)]
+    return out[0].unionByName(out[1]).unionByName(out[2]).drop("o_totalprice")
+
+
+@query()
+def value_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of event values by kind, from sketches by kind and day that are merged; tests measure ranks."""
+    rows = table(spark, sf_dir, "events").select("event_type", F.to_date("ts").alias("day"), "value")
+    by_day = quantiles.sketched(rows, ["event_type", "day"], "value")
+    return quantiles.quantiles(quantiles.merged(by_day, ["event_type"]), (0.5, 0.95, 0.99))
 
 
 @query(f"""with {VOICES}, u as (select speaker_id, list_transform(vector, lambda x: x / sqrt(list_sum(list_transform(vector, lambda y: y * y)))) as v, id from voices),
