@@ -295,3 +295,21 @@ def diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, own = _by_stream(spark, sf_dir)
     out = diarization.diarize(found, own, 0.5, 4)
     return out.select("stream", "speaker", "segments", "time_us", F.round("confidence", 6).alias("confidence"), "speakers", F.round("overall", 6).alias("overall"))
+
+
+@query(f"""with {VOICES}, s as (select id // 50 as recording, id, unnest(vector) as x, generate_subscripts(vector, 1) as i from voices),
+q as (select recording, greatest(-32768, least(32767, round(x * 4000)))::bigint as v, row_number() over (partition by recording order by id, i) - 1 as place from s)
+select recording, count(*) as n_frames, sum(v)::bigint as total, sum(v * place)::bigint as weighted, 8000::bigint as sample_rate from q group by 1""")
+def wav_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings of 50 vectors each as WAV files, read again by ranges of their bytes."""
+    from parley.sources import wav
+
+    wav.register(spark)
+    place = f"{shared_dir(spark)}/wav-{uuid.uuid4().hex}"
+    value = lambda x: F.greatest(F.lit(-32768), F.least(F.lit(32767), F.round(x * 4000))) / 32768
+    rows = views.voices(spark, sf_dir).groupBy(F.floor(F.col("id") / 50).alias("recording")).agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("v"))
+    rows.select(F.concat(F.lit("r"), F.col("recording").cast("string")).alias("name"), F.lit(8000).alias("sample_rate"), F.transform(F.flatten(F.transform("v", lambda x: x["vector"])), value).alias("samples")).write.format("wav").mode("append").save(place)
+    back = spark.read.format("wav").option("partbytes", "4000").load(place)
+    each = back.select(F.regexp_extract("path", r"r(\d+)\.wav$", 1).cast("long").alias("recording"), "n_frames", "sample_rate", "start", F.posexplode("samples").alias("i", "x"))
+    v = F.round(F.col("x") * 32768).cast("long")
+    return each.groupBy("recording").agg(F.max("n_frames").alias("n_frames"), F.sum(v).alias("total"), F.sum(v * (F.col("start") + F.col("i"))).alias("weighted"), F.max("sample_rate").cast("long").alias("sample_rate"))

@@ -31,7 +31,11 @@ def decode(content: bytes) -> tuple[int, int, np.ndarray]:
         at += 8 + size + size % 2
     if form is None or data is None:
         raise ValueError("no format or no data")
-    kind, channels, rate, bits = form[0], form[1], form[2], form[5]
+    return form[2], form[1], pcm(data, form[0], form[1], form[5])
+
+
+def pcm(data: bytes, kind: int, channels: int, bits: int) -> np.ndarray:
+    """Mono samples of the whole frames in ``data``."""
     width = bits // 8
     if not channels or not width:
         raise ValueError("no channels or no bits")
@@ -48,7 +52,7 @@ def decode(content: bytes) -> tuple[int, int, np.ndarray]:
         values = np.frombuffer(data, f"<i{width}") / float(1 << (bits - 1))
     else:
         raise ValueError(f"samples of kind {kind} with {bits} bits are not supported")
-    return rate, channels, values.reshape(-1, channels).mean(axis=1)
+    return values.reshape(-1, channels).mean(axis=1)
 
 
 def read_wav(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:

@@ -49,3 +49,31 @@ def test_documents(spark, tmp_path):
     own = spark.createDataFrame([("m", 0, "a", 0, 1500, "hi")], "meeting string, seq long, speaker string, start_ms long, end_ms long, text string")
     assert documents.captions(own, "vtt").first().body == "WEBVTT\n\n00:00:00.000 --> 00:00:01.500\na: hi\n"
     assert documents.captions(own, "txt").first().body == "a: hi"
+
+
+def test_long_wav_files_are_read_by_several_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from parley.sources import wav
+
+    wav.register(spark)
+    pick = np.random.default_rng(1)
+    long, place = np.round(pick.uniform(-1, 1, 200_000) * 32767) / 32768, str(tmp_path / "w")
+    spark.createDataFrame([("long", 16_000, long.tolist()), ("none", 8000, [])], "name string, sample_rate int, samples array<double>").write.format("wav").mode("append").save(place)
+    with wave.open(f"{place}/long.wav") as own:
+        assert (own.getframerate(), own.getnchannels(), own.getsampwidth(), own.getnframes()) == (16_000, 1, 2, 200_000)
+    (tmp_path / "w" / "bad.wav").write_bytes(b"nothing")
+    (tmp_path / "w" / "x.mp3").write_bytes(b"nothing")
+    stereo = struct.pack("<hh", 8192, 16384) * 70_000
+    (tmp_path / "w" / "stereo.WAV").write_bytes(b"RIFF\0\0\0\0WAVELIST" + struct.pack("<I", 3) + b"abc\0fmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 0, 0, 16) + b"data" + struct.pack("<I", len(stereo)) + stereo)
+    read = spark.read.format("wav").option("partbytes", "50000").load(place)
+    rows = read.withColumn("task", F.spark_partition_id()).collect()
+    by = {name: sorted((r for r in rows if r.path.rsplit("/", 1)[1].startswith(name)), key=lambda r: r.start or 0) for name in ("long", "none", "bad", "stereo")}
+    assert np.allclose(np.concatenate([r.samples for r in by["long"]]), long) and len({r.task for r in by["long"]}) == 9
+    assert [r.start for r in by["long"]] == np.cumsum([0] + [len(r.samples) for r in by["long"]])[:-1].tolist()
+    assert [(r.n_frames, r.samples) for r in by["none"]] == [(0, [])] and [r.error for r in by["bad"]] == ["not a WAV file"]
+    assert sum(len(r.samples) for r in by["stereo"]) == 70_000 and set(by["stereo"][0].samples) == {0.375}
+    heads = spark.read.format("wav").option("samples", "false").load(place).where("error is null").collect()
+    assert {(r.path.rsplit("/", 1)[1], r.n_frames, r.samples) for r in heads} == {("long.wav", 200_000, None), ("none.wav", 0, None), ("stereo.WAV", 70_000, None)}
+    (tmp_path / "e").mkdir()
+    assert spark.read.format("wav").load(str(tmp_path / "e")).count() == 0
