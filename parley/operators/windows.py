@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import pairwise
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parley.session import ship
+from parley.operators import greedy
 
 
 def gaps(rows: DataFrame, least: int, key: str = "meeting") -> DataFrame:
@@ -57,28 +52,9 @@ def word_times(rows: DataFrame, words: Column) -> DataFrame:
 
 
 def spaced(rows: DataFrame, least: int, key: str, time: str) -> DataFrame:
-    """Of the times of a group those at least ``least`` after the last one kept; null times are left out.
-
-    Sorted rows pass through a task in batches, and only the last time kept is remembered between them.
-    """
-    ship(rows.sparkSession)
-    first = F.row_number().over(W.partitionBy(key).orderBy(time)) == 1
-    slim = rows.select(key, time).where(F.col(time).isNotNull())
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        free = None
-        for batch in batches:
-            times, opens = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            kept, begins = [], np.flatnonzero(opens).tolist()
-            for lo, hi in pairwise(sorted({0, *begins, len(times)})):
-                i = lo if opens[lo] else lo + int(np.searchsorted(times[lo:hi], free))
-                while i < hi:
-                    kept.append(i)
-                    free = times[i] + least
-                    i += max(1, int(np.searchsorted(times[i:hi], free)))
-            yield batch.select([0, 1]).take(pa.array(kept, pa.int64()))
-
-    return slim.withColumn("_first", first).sortWithinPartitions(key, time).mapInArrow(fold, slim.schema)
+    """Of the times of a group those at least ``least`` after the last one kept; null times are left out."""
+    slim = rows.select(key, time).where(F.col(time).isNotNull()).withColumn("_end", F.col(time) + least)
+    return greedy.began(slim, key, time, "_end").where("begins").select(key, time)
 
 
 def validity(rows: DataFrame, key: str = "meeting", least: int = 100, most: int = 60_000, late: int = 5_000) -> DataFrame:
@@ -117,25 +93,12 @@ def resolve(rows: DataFrame, fill: int, least_gap: int = 100, key: str = "meetin
 def overlap_groups(rows: DataFrame, key: str = "meeting") -> DataFrame:
     """Groups of rows that overlap the group's first row (not each other in turn); groups of one go.
 
-    Sorted rows pass through a task in batches, and only the end of the group's first row is remembered.
+    Rows without a start are groups of one and come first; after one without an end a group begins.
     """
-    ship(rows.sparkSession)
-    first = F.row_number().over(W.partitionBy(key).orderBy("start_ms", "seq")) == 1
-    slim = rows.select(key, "seq", F.col("start_ms").cast("long").alias("_a"), F.col("end_ms").cast("long").alias("_b"), first.alias("_first"))
-    schema = slim.select(key, "seq", F.lit(0).alias("g")).schema
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g, end = -1, None
-        for batch in batches:
-            out = []
-            for a, b, opens in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if opens or a is None or end is None or a >= end:
-                    g, end = 0 if opens else g + 1, b
-                out.append(g)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int32())], schema.names)
-
-    each = slim.sortWithinPartitions(key, "_a", "seq").mapInArrow(fold, schema)
-    return each.groupBy(key, "g").agg(F.count("*").alias("members"), F.min("seq").alias("first_seq")).where("members > 1")
+    slim = rows.select(key, "seq", F.col("start_ms").cast("long").alias("_a"), F.coalesce("end_ms", "start_ms").cast("long").alias("_b"))
+    none = slim.where("_a is null").groupBy(F.col(key).alias("_k")).agg(F.count("*").alias("_none"))
+    each = greedy.began(slim.where("_a is not null"), key, "_a", "_b", ("seq",)).groupBy(key, "group").agg(F.count("*").alias("members"), F.min("seq").alias("first_seq")).where("members > 1")
+    return each.join(none, F.col(key).eqNullSafe(F.col("_k")), "left").select(key, (F.col("group") + F.coalesce("_none", F.lit(0))).cast("int").alias("g"), "members", "first_seq")
 
 
 def split_long(rows: DataFrame, most: int) -> DataFrame:
