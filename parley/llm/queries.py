@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import public_tokenizers
@@ -17,8 +18,9 @@ URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, [("user", probe), ("assistant", probe)])], "conv_id long, messages array<struct<role:string,content:string>>")
-    turns = chat_format.canonical(table(spark, sf_dir, "conversations")).unionByName(chat_format.canonical(extra))
+    said = json.dumps({"messages": [{"role": r, "content": probe} for r in ("user", "assistant")]})
+    extra = chat_format.canonical_rows(spark.createDataFrame([(-1, said)], "conv_id long, row string"), "row")
+    turns = chat_format.canonical(table(spark, sf_dir, "conversations")).unionByName(extra)
     return chat_format.digests(chat_format.format_chats(turns)).withColumnRenamed("_conv", "conv_id")
 
 
