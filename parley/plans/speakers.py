@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import vector as V
 from parley.operators import quantiles, similarity, store
 from parley.operators.pages import Pages
 from parley.operators.tables import KeyedTable

@@ -12,7 +12,7 @@ from parley.functions import text as X
 from parley.functions import vector as V
 from parley.operators import boundaries as B
 from parley.operators import intervals as I
-from parley.operators import folds, speech
+from parley.operators import folds, speech, windows
 from parley.plans import views
 from parley.plans.registry import query
 from parley.plans.signals import _live, _replayed, _streamed
