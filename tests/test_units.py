@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from parley.functions import signal as S
 from parley.functions import text as X
 from parley.functions import vector as V
-from parley.operators import cluster, intervals, meetings, metrics, similarity, store, windows
+from parley.operators import cluster, folds, intervals, meetings, metrics, similarity, store, windows
 from parley.operators.dedup import Memory, alike
 from parley.operators.vector_index import VectorIndex
+from parley.plans import views
 
 
 def one(spark, column, **values):
@@ -162,7 +163,8 @@ def test_clusters(spark):
     assert len(set(got(most=2, stop_at_most=False))) == 2
     assert got(stop_at_most=False) == [0, 0, 1, 1, 2, 2]
     assert got(most=8) == [0, 1, 2, 3, 4, 5]
-    assert got(method="online") == [0, 0, 1, 1, 2, 2]
+    timed = views.timed(rows.withColumnRenamed("id", "seq"))
+    assert [r.cluster for r in folds.in_order(timed, folds.OnlineClusters(0.7), "recording").orderBy("seq").collect()] == [0, 0, 1, 1, 2, 2]
     assert len(set(got(least=4, stop_at_most=False))) == 4
 
 
