@@ -241,7 +241,8 @@ def _told(told: pd.DataFrame, k: int, column: str) -> tuple[list[np.ndarray], np
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED, taken: int = TAKEN, labels_id: str = "doc_id", seed: int = 5, rounds: int = ROUNDS) -> Model:
-    """Fit on at most ``labelled`` labelled documents, and on what the views tell each other of all others.
+    """Fit on at most ``labelled`` labelled documents, and on what the views tell each other of all others:
+    in each exchange at most ``taken`` documents for a view, and no more than there are for all of them.
 
     Labelled documents are chosen by a hash of the id, which may be of any type. Rows of ``labels``
     with a null id or null labels are left out; of several for one id the worst counts, and of

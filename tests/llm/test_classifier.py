@@ -70,7 +70,7 @@ def test_the_surest_are_passed_on_once_with_their_probability(spark):
     docs = spark.createDataFrame([(i, f"{'bad words here' if i % 2 else 'some good prose'} {i}", "src1" if i % 2 else "src2") for i in range(400)], "doc_id long, text string, source string").repartition(7)
     free = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), *classifier._meta(docs))
     model = classifier.train(docs, docs.where("doc_id < 300").select("doc_id", (1 - F.col("doc_id") % 2).alias("quality"), (F.col("doc_id") % 2).alias("toxic")), taken=20)
-    assert set(model.passed) == {(t, v) for t in classifier.TARGETS for v in (0, 1)} and all(n == [20, 20] or n == [20, 19] or min(n) >= 19 for n in model.passed.values())
+    assert set(model.passed) == {(t, v) for t in classifier.TARGETS for v in (0, 1)} and all(12 <= x <= 13 for n in model.passed.values() for x in n)  # an eighth of the 100 free documents, half for each label
     told = classifier._exchange(free, model.views, [(1.0, 0.0)] * 4, [10] * 8, 0)
     for k in range(4):
         lists, p = classifier._told(told, k, "meta")
