@@ -2,8 +2,8 @@
 
 Distinct texts are kept once, bucketed by digest (half a SHA-256). A stretch is told by its lowest k-mer (the anchor),
 so equal stretches share anchor and offset, and consecutive stretches with one anchor form one
-string. Strings meet by anchor; those equal as a whole count as one string with a weight. The strings
-of an anchor are merged in ``suffix_merge``, whose repeated intervals are the stretches to remove.
+string. Strings meet by anchor; those equal as a whole, told by 128-bit digests of their bytes, count
+as one string with a weight. The strings of an anchor are merged in ``suffix_merge``, whose repeated intervals are the stretches to remove.
 A group of too many strings is first cut finer: stretches that start equally far before the anchor,
 give or take a few bytes, share all bytes but those few, so the shared ones name a smaller group.
 """
@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,11 +37,14 @@ BANDS = (24, 4, 1)
 REF = 16
 #: Bytes of strings that are merged at once, besides the last group.
 UNIT = 45_000
-#: An anchor is dealt out over parts if it is more than one in so many of a sample of texts.
-HOT_SHARE, HOT_SAMPLE, HOT_PARTS = 4000, 0.02, 64
+#: An anchor is dealt out over parts if it is more than one in so many of a sample of texts; its parts
+#: are about that small.
+HOT_SHARE, HOT_SAMPLE = 10_000, 0.02
 
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
-MEMBER = "ref binary, start int, size int, run int, weight int, key long, own long"
+MEMBER = "ref binary, start int, size int, run int, weight int, key long, own binary"
+#: Where an anchor is in its string, as bytes for the digest of the string.
+_SEAT = [struct.pack("<H", i) for i in range(2 * LENGTH)]
 
 
 def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
@@ -49,18 +53,23 @@ def _mix(x: np.ndarray, k: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def anchored(values: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Strings of a block: text, start, size, run, anchor hash, string hash.
+def _digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"".join(parts), digest_size=16).digest()
+
+
+def anchored(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Strings of a block: text, start, size, run, anchor hash, digest of the string and its anchor's place.
 
     ``run`` strings start one byte after the other and are all equal (a run of one byte).
     """
     sizes = np.array([len(v) for v in values])
     base = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join(values), np.uint8)
+    joined = b"".join(values)
+    raw = np.frombuffer(joined, np.uint8)
     n = len(raw)
     starts = np.maximum(0, sizes - LENGTH + 1)
     if not starts.sum():
-        return (np.empty(0, np.int64),) * 6
+        return *((np.empty(0, np.int64),) * 5), []
     up, down = words.powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -77,14 +86,16 @@ def anchored(values: list[bytes]) -> tuple[np.ndarray, ...]:
     fresh = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1]))))
     last = np.concatenate((fresh[1:], [len(text)])) - 1
     start, end = place[fresh], place[last] + LENGTH
-    key = code[anchor[fresh]]
-    shape = ((end - start) * 512 + anchor[fresh] - start).astype(np.uint64)
-    own = _mix((sums[end] - sums[start]) * down[start] + shape * _MIX[0], 1)
-    text = text[fresh]
-    same = np.concatenate(([False], (key[1:] == key[:-1]) & (own[1:] == own[:-1]) & (text[1:] == text[:-1]) & (start[1:] == start[:-1] + 1)))
+    key, seat, text = code[anchor[fresh]], anchor[fresh] - start, text[fresh]
+    # a string equals the one a byte before it only if all its bytes are one
+    flat = np.concatenate(([0], np.cumsum(raw[1:] == raw[:-1])))
+    one = flat[end - 1] - flat[np.maximum(start, 1) - 1] == end - start
+    same = np.concatenate(([False], one[1:] & (text[1:] == text[:-1]) & (start[1:] == start[:-1] + 1) & (end[1:] == end[:-1] + 1) & (seat[1:] == seat[:-1])))
     head = np.flatnonzero(~same)
     run = np.diff(np.concatenate((head, [len(same)])))
-    return text[head], (start - base[text])[head], (end - start)[head], run, key[head].view(np.int64), own[head].view(np.int64)
+    start, end, text = start[head], end[head], text[head]
+    own = [_digest(_SEAT[i], joined[a:b]) for i, a, b in zip(seat[head].tolist(), start.tolist(), end.tolist(), strict=True)]
+    return text, start - base[text], end - start, run, key[head].view(np.int64), own
 
 
 def _pieces(values: list[bytes], limit: int) -> Iterator[tuple[int, int, bytes]]:
@@ -105,7 +116,7 @@ def _members(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = np.array([p[0] for p in pieces[x:y]], np.int64)[piece] + a
                 start = start + np.array([p[1] for p in pieces[x:y]], np.int64)[piece]
                 weight = np.minimum(2, np.maximum(weights[text], run))
-                yield pa.RecordBatch.from_arrays([refs.take(pa.array(text)), *(pa.array(c.astype(np.int32)) for c in (start, size, run, weight)), pa.array(key), pa.array(own)], ["ref", "start", "size", "run", "weight", "key", "own"])
+                yield pa.RecordBatch.from_arrays([refs.take(pa.array(text)), *(pa.array(c.astype(np.int32)) for c in (start, size, run, weight)), pa.array(key), pa.array(own, pa.binary())], ["ref", "start", "size", "run", "weight", "key", "own"])
 
 
 def distinct_texts(docs: DataFrame, text_col: str) -> str:
@@ -127,20 +138,30 @@ def distinct_texts(docs: DataFrame, text_col: str) -> str:
     return name
 
 
-def _hot(texts: DataFrame) -> list[int]:
-    """Anchors so frequent in a sample that their members are dealt out; this changes no result."""
+def _hot(texts: DataFrame) -> dict[int, int]:
+    """Anchors so frequent in a sample that their members are dealt out, each over parts (a power of
+    two) in proportion to its share; there are at most ``HOT_SHARE``, and this changes no result."""
     counts = texts.sample(HOT_SAMPLE, seed=3).select("ref", "copies", "packed").mapInArrow(_members, MEMBER).groupBy("key").agg(F.count("*").alias("n"))
     counts = written(counts.where("n > 3"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return [r.key for r in counts.where(F.col("n") > max(16, total // HOT_SHARE)).select("key").collect()]
+    most = max(16, total // HOT_SHARE)
+    return {r.key: 1 << (-(-r.n // most) - 1).bit_length() for r in counts.where(F.col("n") > most).collect()}
+
+
+def _part(hot: dict[int, int]) -> Column:
+    """The part of a member of an anchor: hot ones are dealt out by text."""
+    part = F.lit(0).cast("long")
+    for parts in set(hot.values()):
+        own = sorted(k for k, n in hot.items() if n == parts)
+        part = F.when(F.col("key").isin(own), F.pmod(F.xxhash64("ref"), F.lit(parts))).otherwise(part)
+    return part
 
 
 def shared_anchors(texts: DataFrame) -> DataFrame:
     """Members (see ``MEMBER``, and ``head``: first of its string) of anchors that occur twice or more."""
-    hot = sorted(_hot(texts))
-    part = F.when(F.col("key").isin(hot), F.pmod(F.xxhash64("ref"), F.lit(HOT_PARTS))).otherwise(F.lit(0)) if hot else F.lit(0)
-    dealt = texts.select("ref", "copies", "packed").mapInArrow(_members, MEMBER).repartition(F.xxhash64("key", part)).sortWithinPartitions("key", "own")
-    often = np.array(hot, np.int64)
+    hot = _hot(texts)
+    dealt = texts.select("ref", "copies", "packed").mapInArrow(_members, MEMBER).repartition(F.xxhash64("key", _part(hot))).sortWithinPartitions("key", "own")
+    often = np.array(sorted(hot), np.int64)
 
     def keep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = held = None
@@ -159,10 +180,12 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
         if not rows.num_rows:
             return
         n = rows.num_rows
-        key, own, weight = (whole.column(whole.schema.get_field_index(c)).to_numpy() for c in ("key", "own", "weight"))
+        key, weight = (whole.column(whole.schema.get_field_index(c)).to_numpy() for c in ("key", "weight"))
+        own = whole.column(whole.schema.get_field_index("own"))
+        equal = pc.equal(own.slice(1), own.slice(0, len(own) - 1)).to_numpy(zero_copy_only=False).astype(bool)
         back = np.concatenate(([before is not None and before[0] == key[0]], key[1:] == key[:-1]))
         ahead = np.concatenate((back[1:], [False]))
-        alike = np.concatenate(([before is not None and before == (key[0], own[0])], (key[1:] == key[:-1]) & (own[1:] == own[:-1])))
+        alike = np.concatenate(([before is not None and before == (key[0], own[0].as_py())], (key[1:] == key[:-1]) & equal))
         twice = np.maximum(weight, np.where(np.concatenate((alike[1:], [False])), 2, 1))
         stay = (back | ahead | (weight > 1) | np.isin(key, often))[:n]
         out = rows.set_column(rows.schema.get_field_index("weight"), "weight", pa.array(twice[:n].astype(np.int32))).append_column("head", pa.array(~alike[:n]))
@@ -171,13 +194,13 @@ def shared_anchors(texts: DataFrame) -> DataFrame:
     return written(dealt.mapInArrow(keep, MEMBER + ", head boolean"))
 
 
-def _ids(batch: pa.RecordBatch, i: int) -> tuple[int, int]:
+def _ids(batch: pa.RecordBatch, i: int) -> tuple[int, bytes]:
     return batch.column(5)[i].as_py(), batch.column(6)[i].as_py()
 
 
-STRING = "key long, own long, weight int, many int, place int, string binary"
-BAND = "key long, own long, off int, part long, print long, weight int, place int, string binary"
-RESULT = "key long, own long, starts array<int>, ends array<int>"
+STRING = "key long, own binary, weight int, many int, place int, string binary"
+BAND = "key long, own binary, off int, part long, print binary, weight int, place int, string binary"
+RESULT = "key long, own binary, starts array<int>, ends array<int>"
 
 
 def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +210,7 @@ def _cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed, asked in zip(batch.column(0), batch.column(1), strict=True):
             text, rows = unpack(packed.as_py()), asked.as_py()
-            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], k) for c, k in (("key", pa.int64()), ("own", pa.int64()), ("weight", pa.int32()), ("many", pa.int32()))), pa.array([-1] * len(rows), pa.int32()), pa.array([text[r["start"] : r["start"] + r["size"]] for r in rows], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], k) for c, k in (("key", pa.int64()), ("own", pa.binary()), ("weight", pa.int32()), ("many", pa.int32()))), pa.array([-1] * len(rows), pa.int32()), pa.array([text[r["start"] : r["start"] + r["size"]] for r in rows], pa.binary())], names)
 
 
 def _ranges(starts: np.ndarray) -> tuple[list[int], list[int]]:
@@ -203,7 +226,7 @@ def _merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         found = [_ranges(x) for x in suffix_merge.repeated([r[3] for r in rows], np.array([r[2] for r in rows]), LENGTH)]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1))], ["key", "own", "starts", "ends"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), *(pa.array([f[i] for f in found], pa.list_(pa.int32())) for i in (0, 1))], ["key", "own", "starts", "ends"])
 
     unit: list[tuple] = []
     held = 0
@@ -227,26 +250,24 @@ def anchor_place(string: bytes, key: int) -> int:
     return int(np.flatnonzero(code.view(np.int64) == key)[0])
 
 
-def _short(*parts: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(b"".join(parts), digest_size=8).digest(), "little", signed=True)
-
-
-def bands(string: bytes, key: int, place: int, width: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+def bands(string: bytes, key: int, place: int, width: int) -> Iterator[tuple[int, int, bytes, int, bytes]]:
     """``off, part, print, place, bytes`` of each band of a string.
 
     Band ``i`` has the stretches that start ``i * width`` to ``(i + 1) * width - 1`` bytes before the
-    anchor. Its part is the hash of the bytes that all these stretches share.
+    anchor. Its part is a hash of the bytes that all these stretches share, which only names a group; its
+    print is a digest of all its bytes.
     """
     last = len(string) - LENGTH
     for band in range((place - last) // width, place // width + 1):
         low, high = place - (band + 1) * width + 1, place - band * width
         off, end = max(0, low), min(last, high) + LENGTH
         head, piece = struct.pack("<qi", key, band), string[off:end]
-        yield off, _short(head, string[high : low + LENGTH]), _short(head, struct.pack("<i", place - off), piece), place - off, piece
+        part = int.from_bytes(_digest(head, string[high : low + LENGTH])[:8], "little", signed=True)
+        yield off, part, _digest(head, struct.pack("<i", place - off), piece), place - off, piece
 
 
 def _banded(width: int):
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
     names = [c.split()[0] for c in BAND.split(", ")]
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

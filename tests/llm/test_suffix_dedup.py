@@ -44,6 +44,26 @@ def test_symbols_are_told_apart_by_bytes():
         assert [[a == b for b in name] for a in name] == [[bytes(raw[a : a + 25]) == bytes(raw[b : b + 25]) for b in at] for a in at]
 
 
+def test_strings_are_told_apart_where_all_hashes_collide(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda x, k=0: np.zeros_like(x))
+    rng = random.Random(9)
+    some = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    base = some(260)
+    texts = [base, some(300), b"x" + base, b"q" * 300, some(199), b"q" * 230]
+    text, start, size, run, key, own = suffix_dedup.anchored(texts)
+    assert len(set(key.tolist())) == 1 and sum(run) == sum(max(0, len(t) - 199) for t in texts)
+    strings = [texts[t][a : a + n] for t, a, n in zip(text, start, size, strict=True)]
+    assert len(set(own)) == len(set(strings)) == len(set(zip(own, strings, strict=True))) < len(own)
+    assert [r for t, r in zip(text, run, strict=True) if t in (3, 5)] == [101, 31]
+
+
+def test_hot_anchors_have_parts_in_proportion(spark):
+    hot = {7: 2, 8: 64, 9: 64}
+    rows = spark.range(4000).selectExpr("id % 4 + 6 as key", "unhex(hex(id)) as ref").select("key", suffix_dedup._part(hot).alias("part"))
+    found = {r.key: r.n for r in rows.groupBy("key").agg({"part": "approx_count_distinct"}).toDF("key", "n").collect()}
+    assert found[6] == 1 and found[7] == 2 and 55 < found[8] < 72
+
+
 def test_bands_hold_each_stretch_once():
     rng = random.Random(8)
     string = bytes(rng.randrange(256) for _ in range(331))
@@ -105,7 +125,7 @@ def test_edges(spark, monkeypatch):
     for most in (3, 0):
         monkeypatch.setattr(suffix_dedup, "GROUP_STRINGS", most)
         assert _compare(spark, rows) == found
-    monkeypatch.setattr(suffix_dedup, "_hot", lambda texts: [k for (k,) in texts.select("ref", "copies", "packed").mapInArrow(suffix_dedup._members, suffix_dedup.MEMBER).select("key").distinct().collect()])
+    monkeypatch.setattr(suffix_dedup, "_hot", lambda texts: {k: 1 + k % 5 for (k,) in texts.select("ref", "copies", "packed").mapInArrow(suffix_dedup._members, suffix_dedup.MEMBER).select("key").distinct().collect()})
     assert _compare(spark, rows) == found
     assert suffix_dedup.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     kept = {r._id: bytes(r.kept) for r in suffix_dedup.strip_repeats(spark.createDataFrame([(1, passage, "x"), (2, "y" + passage, "x"), (3, None, "x")], "doc_id long, text string, kept string")).collect()}
