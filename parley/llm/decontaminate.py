@@ -25,8 +25,9 @@ from parley.session import ship, written
 
 #: Words of a window, and last words of it that are looked up first.
 WINDOW, ENDING = 13, 4
-#: Bytes of benchmark text that one pass over the documents searches for; more take more passes.
-PASS_BYTES = 16_000_000
+#: Bytes of the benchmark that one pass over the documents searches for, arrays of ``WORD_BYTES`` for
+#: each word included (so about 2.3 million words); more take more passes.
+PASS_BYTES, WORD_BYTES = 160_000_000, 64
 #: A document is contaminated if at least one word in so many is hit.
 SHARE = 20
 
@@ -41,39 +42,84 @@ FOUND = T.StructType(
 
 
 class Phrases:
-    """The windows of some benchmark items: word numbers, right-aligned, and the items they are of."""
+    """The distinct windows of some benchmark items, in a few flat arrays.
+
+    ``numbers`` are the words of all items one after the other; window ``w`` is the ``lengths[w]`` words
+    from ``starts[w]``, and of the items ``items[bounds[w]:bounds[w + 1]]``.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
         self.names = [name for name, _ in items]
-        table = words.Table([text for _, text in items])
-        self.vocabulary, first, number = np.unique(table.hash, return_index=True, return_inverse=True)
-        self.spelled = [table.word(i) for i in first]
-        rows: dict[bytes, list[int]] = {}
-        for k, (a, n) in enumerate(zip(table.first, table.count, strict=False)):
-            for start in range(a, a + max(0, n - window) + 1) if n else ():
-                own = rows.setdefault(number[start : min(start + window, a + n)].astype(np.int32).tobytes(), [])
-                if not own or own[-1] != k:
-                    own.append(k)
-        self.lengths = np.array([len(x) // 4 for x in rows], np.int64)
-        self.rows = np.zeros((len(rows), window), np.int32)
-        for i, x in enumerate(rows):
-            self.rows[i, window - len(x) // 4 :] = np.frombuffer(x, np.int32)
-        self.of = [np.array(x) for x in rows.values()]
-        self.shortest = int(self.lengths.min()) if len(rows) else 0
+        self.window = window
+        hashes, count = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        spelled: dict[int, bytes] = {}
+        for a, b in words.blocks([text for _, text in items]):
+            table = words.Table([text for _, text in items[a:b]])
+            for own, i in zip(*(x.tolist() for x in np.unique(table.hash, return_index=True)), strict=True):
+                if own not in spelled:
+                    spelled[own] = table.word(i)
+            hashes.append(table.hash)
+            count.append(table.count)
+        self.vocabulary, number = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.numbers = number.astype(np.int32)
+        self.spelled = [spelled[own] for own in self.vocabulary.tolist()]
+        self._windows(np.concatenate(count))
+        self.shortest = int(self.lengths.min()) if len(self.lengths) else 0
         self.endings: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in range(1, ENDING + 1):
             own = np.flatnonzero(np.minimum(self.lengths, ENDING) == size)
             if len(own):
-                code = _codes(self.rows[own, window - min(size, window) :].astype(np.int64), size)
+                last = self.starts[own] + self.lengths[own] - size
+                code = _codes((self.numbers[last + k] for k in range(size)), len(own))
                 order = np.argsort(code, kind="stable")
-                self.endings[size] = code[order], own[order]
-
-
-def _codes(numbers: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit code of each row of ``size`` word numbers; unlike rows may share one."""
-    code = np.zeros(len(numbers), np.uint64)
-    for k in range(size):
-        code = (code ^ (numbers[:, k].astype(np.uint64) + np.uint64(1))) * np.uint64(words.BASE)
+                self.endings[size] = code[order], own[order].astype(np.int32)
+
+    def _windows(self, count: np.ndarray) -> None:
+        """Windows of items of ``count`` words each; equal ones are one. Where unlike windows share a
+        code, all of that code stay apart, which makes them no less right."""
+        many = np.where(count > 0, np.maximum(1, count - self.window + 1), 0)
+        item = np.repeat(np.arange(len(count), dtype=np.int32), many)
+        start = np.arange(len(item)) - np.repeat(np.cumsum(many) - many - (np.cumsum(count) - count), many)
+        length = np.minimum(count[item], self.window)
+
+        def column(k: int, of: np.ndarray = slice(None)) -> np.ndarray:
+            return np.where(k < length[of], self.numbers[np.minimum(start[of] + k, len(self.numbers) - 1)], -1)
+
+        code = _codes((column(k) for k in range(self.window)), len(item)) if len(item) else np.empty(0, np.uint64)
+        order = np.argsort(code, kind="stable").astype(np.int32)
+        code = code[order]
+        fresh = np.concatenate(([True], code[1:] != code[:-1]))[: len(order)]
+        group = np.cumsum(fresh) - 1
+        leader = order[np.flatnonzero(fresh)][group]
+        unlike = np.zeros(len(order), bool)
+        for k in range(self.window if len(order) else 0):
+            unlike |= column(k, order) != column(k, leader)
+        if unlike.any():
+            fresh |= np.isin(group, group[unlike])
+        item = item[order]
+        head = np.flatnonzero(fresh)
+        once = fresh | np.concatenate(([True], item[1:] != item[:-1]))[: len(item)]
+        self.starts, self.lengths = start[order[head]].astype(np.int32), length[order[head]].astype(np.int32)
+        self.items, self.bounds = item[once], np.append(np.cumsum(once)[head] - 1, once.sum()).astype(np.int32)
+
+    def rows(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers of windows, right-aligned, and which cells of a row are of its window."""
+        start, length = self.starts[windows][:, None].astype(np.int64), self.lengths[windows][:, None]
+        at = start + np.arange(self.window) - (self.window - length)
+        inside = at >= start
+        return np.where(inside, self.numbers[np.maximum(at, 0)], 0), inside
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        """Names of the items that any of the windows is of."""
+        found = np.unique(np.concatenate([self.items[self.bounds[w] : self.bounds[w + 1]] for w in windows]))
+        return [self.names[i] for i in found]
+
+
+def _codes(columns: Iterable[np.ndarray], count: int) -> np.ndarray:
+    """A 64-bit code of each of ``count`` rows of word numbers; unlike rows may share one."""
+    code = np.zeros(count, np.uint64)
+    for numbers in columns:
+        code = (code ^ (numbers.astype(np.uint64) + np.uint64(1))) * np.uint64(words.BASE)
         code ^= code >> np.uint64(29)
     return code
 
@@ -84,7 +130,7 @@ def _possible(number: np.ndarray, start: np.ndarray, end: np.ndarray, phrases: P
     for size, (codes, windows) in phrases.endings.items():
         room = np.maximum(0, end - start - size + 1)
         at = np.repeat(start - (np.cumsum(room) - room), room) + np.arange(int(room.sum()))
-        own = _codes(np.stack([number[at + k] for k in range(size)], 1), size) if len(at) else np.empty(0, np.uint64)
+        own = _codes((number[at + k] for k in range(size)), len(at))
         low, high = np.searchsorted(codes, own), np.searchsorted(codes, own, "right")
         hit = np.flatnonzero(low < high)
         if not len(hit):
@@ -113,7 +159,7 @@ def _stretches(known: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarr
 def occurrences(table: words.Table, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     """(first word, window) of every occurrence of a window in a block."""
     nothing = np.empty(0, np.int64), np.empty(0, np.int64)
-    if not len(phrases.of) or not len(table.start):
+    if not len(phrases.lengths) or not len(table.start):
         return nothing
     number = np.searchsorted(phrases.vocabulary, table.hash)
     number[number == len(phrases.vocabulary)] = 0
@@ -132,9 +178,8 @@ def occurrences(table: words.Table, phrases: Phrases) -> tuple[np.ndarray, np.nd
     # numbers of this block's words only, so that the alphabet and its table stay small
     present, sequence = np.unique(np.append(sequence, sigma - 1), return_inverse=True)
     index = FMIndex(sequence[:-1], len(present))
-    rows_of = phrases.rows[live]
+    rows_of, inside = phrases.rows(live)
     wanted = np.searchsorted(present, rows_of)
-    inside = np.arange(rows_of.shape[1]) >= rows_of.shape[1] - phrases.lengths[live][:, None]
     whole = ((present[np.minimum(wanted, len(present) - 1)] == rows_of) | ~inside).all(1)
     live, wanted = live[whole], np.where(inside, wanted, 0)[whole]
     low, high = index.search(wanted, phrases.lengths[live])
@@ -174,19 +219,19 @@ def _search(phrases: Phrases, batches: Iterable[pa.RecordBatch], column: str, fo
             last = np.concatenate((fresh[1:], [True]))
             cells[k]["starts"] = cells[k]["starts"] + start[fresh].tolist()
             cells[k]["ends"] = cells[k]["ends"] + reach[last].tolist()
-            items = np.unique(np.concatenate([phrases.of[w] for w in np.unique(window[own])]))
-            cells[k]["items"] = cells[k]["items"] + [phrases.names[i] for i in items]
+            cells[k]["items"] = cells[k]["items"] + phrases.items_of(np.unique(window[own]))
         yield rows.set_column(rows.schema.get_field_index(found), found, pa.array(cells, kind))
 
     yield from words.by_batch(of, batches, column)
 
 
 def _passes(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, pass_bytes: int) -> Iterator[tuple]:
-    """The phrases of the benchmark, block by block of about ``pass_bytes``, each sent to the executors
+    """The phrases of the benchmark, block by block of about ``pass_bytes`` (an item is in one), each sent to the executors
     when it is asked for; and whether there are more."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("i"), F.coalesce(F.col(f"`{item_text_col}`"), F.lit("")).alias("t")).where("i is not null").distinct()
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    held = F.octet_length("t") + WORD_BYTES * F.regexp_count("t", F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"))
+    size = items.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0]
     count = max(1, -(-size // pass_bytes))
     for k in range(count):
         own = items.where(F.pmod(F.xxhash64("i"), F.lit(count)) == k).orderBy("i", "t").collect()

@@ -32,7 +32,7 @@ def test_edges_and_several_passes(spark):
     d = spark.createDataFrame([(a, b, "c") for a, b in docs], "doc_id long, text string, _found string")
     b = spark.createDataFrame(items, "item_id long, text string")
     want = [(i, *list(brute.contamination([(0, t)], items).values())[0]) for i, t in docs]
-    for size in (10**6, 40):
+    for size in (10**6, 1500):
         got = [tuple(r) for r in decontaminate.report(d, b, pass_bytes=size).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert decontaminate.report(d.limit(0), b).count() == 0
@@ -72,7 +72,36 @@ def test_cost_does_not_follow_windows_that_cannot_occur():
             first, window = decontaminate.occurrences(table, phrases)
             best.append(time.perf_counter() - began)
         took.append(min(best))
-        found.append(sorted(zip(first.tolist(), [phrases.rows[w].size for w in window])))
-    assert len(decontaminate.Phrases(many, 13).of) > 1_000_000
+        found.append(sorted(zip(first.tolist(), phrases.lengths[window].tolist())))
+    assert len(decontaminate.Phrases(many, 13).lengths) > 1_000_000
     assert len(found[0]) == 300 * 8 == len(found[1])
     assert took[1] < 2.5 * took[0] + 0.1, took
+
+
+def test_a_pass_of_phrases_is_compact():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = [f"{i:x}w".encode() for i in range(200_000)]
+    items = [(str(k), b" ".join(words[i] for i in rng.integers(0, len(words), 11_500))) for k in range(200)]
+    assert sum(len(t) for _, t in items) + decontaminate.WORD_BYTES * 200 * 11_500 >= decontaminate.PASS_BYTES
+    tracemalloc.start()
+    phrases = decontaminate.Phrases(items, 13)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(phrases.lengths) == 200 * 11_488
+    assert peak < 400_000_000 and len(pickle.dumps(phrases)) < 120_000_000, peak
+
+
+def test_windows_stay_right_where_all_codes_collide(monkeypatch):
+    from parley.llm import words
+
+    monkeypatch.setattr(decontaminate, "_codes", lambda columns, count: np.zeros(count, np.uint64))
+    text = " ".join(f"w{i}" for i in range(16))
+    items = [(1, text), (2, "w3 " + text), (3, "w1 w2"), (4, "w1 w2")]
+    phrases = decontaminate.Phrases([(str(i), t.encode()) for i, t in items], 13)
+    table = words.Table([("x w1 w2 " + text + " w9").encode()])
+    first, window = decontaminate.occurrences(table, phrases)
+    assert phrases.items_of(np.unique(window)) == ["1", "2", "3", "4"]
+    assert sorted(set(first.tolist())) == [1, 3, 4, 5, 6]
