@@ -47,3 +47,8 @@ def seeded(seed: Column, time: Column, size: int) -> Column:
     """A reproducible unit vector: half the sine of seed, place and time."""
     return unit(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.sin(seed + i + F.sin(time * 0.1)) * 0.5))
 
+
+def text_seed(text: Column) -> Column:
+    """A number below 2**32 for a text: its UTF-8 bytes as digits to base 31; null stays null, empty is 0."""
+    digits = F.regexp_extract_all(F.hex(F.encode(text, "UTF-8")), F.lit(".."), F.lit(0))
+    return F.aggregate(digits, F.lit(0).cast("long"), lambda s, x: (s * 31 + F.conv(x, 16, 10).cast("long")) % (1 << 32))

@@ -264,6 +264,16 @@ def seeded_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.voices(spark, sf_dir).select("id", F.round(S.total(F.transform(own, lambda x, i: x * i)), 6).alias("weighted"))
 
 
+@query("""with d as (select c_custkey as id, list_transform(regexp_extract_all(hex(encode(c_name)), '..'), lambda x: ('0x' || x)::bigint) as digits from customer), h as (select id, list_reduce(list_prepend(0::bigint, digits), lambda s, x: (s * 31 + x) % 4294967296) as seed from d),
+t as (select id, seed, list_transform(range(16), lambda i: sin(seed + i + sin(id * 0.1::double)) * 0.5) as v from h)
+select id, seed, round(list_sum(list_transform(range(16), lambda i: v[i + 1] * i)) / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) as weighted from t""")
+def named_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reproducible test vectors of names."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), V.text_seed(F.col("c_name")).alias("seed"))
+    own = V.seeded(F.col("seed"), F.col("id"), 16)
+    return rows.select("id", "seed", F.round(S.total(F.transform(own, lambda x, i: x * i)), 6).alias("weighted"))
+
+
 @query(f"""with {FRAMES}, w as (select stream, t_us // {HOUR} * {HOUR} as start_us, count(*) as n, round(avg(energy), 6) as mean, max(energy) as peak from frames group by 1, 2), m as (select max(t_us) as top from frames)
 select stream, start_us, n, mean, peak from w, m where start_us + {HOUR} <= (top // 1000 - 5000) * 1000""")
 def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

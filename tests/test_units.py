@@ -177,3 +177,18 @@ def test_store(spark):
     texts = store.to_export(rows.withColumnRenamed("id", "speaker_id"))
     good, bad = store.from_export(spark, texts.select("json").union(spark.createDataFrame([("{oops",)], "json string")), "speaker_id long, name string")
     assert good.count() == 2 and bad.count() == 1
+
+
+def test_text_seed_equals_a_plain_loop(spark):
+    from parley.functions import vector
+
+    def plain(text):
+        seed = 0
+        for byte in text.encode():
+            seed = (seed * 31 + byte) % 2**32
+        return seed
+
+    texts = ["", "a", "speaker_1", "Zoë 日本", "x" * 5000, "a"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    got = dict(rows.select("i", vector.text_seed(rows.t).alias("s")).collect())
+    assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts] and got[len(texts)] is None
