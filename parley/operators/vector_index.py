@@ -109,6 +109,11 @@ def train(voices: DataFrame, k: int = 10, cells: int | None = None) -> Trained:
     return Trained(centres, planes, probes, codes, min(1.0, float(np.quantile(rank, KEPT, method="higher"))))
 
 
+def _dots(rows: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """A product for each row, from that row alone: equal rows get equal bits wherever they stand, which a matrix product does not grant."""
+    return np.einsum("ij,j->i", rows, vector)
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     """Vectors of a list column at length one."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
@@ -199,19 +204,21 @@ class VectorIndex:
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t = shared.value
-            for batch in batches:
-                unit = _matrix(batch.column(1), size)
-                codes = _codes(unit, t.planes)
-                near = unit @ t.centres[there].T if len(there) else np.zeros((len(unit), 0))
-                least = batch.column(2).to_pylist()
-                far = np.sort(_apart(codes, t.codes), axis=1)[:, max(0, math.ceil(close * len(t.codes)) - 1)] if close < 1 else np.full(len(unit), BITS)
-                bound = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius))
-                order = np.argsort(-near, axis=1, kind="stable")
-                for i, query in enumerate(batch.column(0)):
-                    own = order[i, :n_probes] if least[i] is None else np.flatnonzero((bound[i] >= least[i] - 1e-9) | (unit[i] == 0).all())
-                    n = len(own)
-                    limit = far[i] if least[i] is None else BITS
-                    yield pa.RecordBatch.from_arrays([pa.array(there[own].astype(np.int32)), pa.array([query.as_py()] * n, batch.schema.field(0).type), pa.array([unit[i].tobytes()] * n, pa.binary()), pa.array([codes[i].tobytes()] * n, pa.binary()), pa.array([int(limit)] * n, pa.int32()), pa.array([least[i]] * n, pa.float64())], ["cell", "id", "unit", "code", "limit", "least"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, QUERY_BLOCK):
+                    batch = whole.slice(at, QUERY_BLOCK)
+                    unit = _matrix(batch.column(1), size)
+                    codes = _codes(unit, t.planes)
+                    near = unit @ t.centres[there].T if len(there) else np.zeros((len(unit), 0))
+                    least = batch.column(2).to_pylist()
+                    far = np.sort(_apart(codes, t.codes), axis=1)[:, max(0, math.ceil(close * len(t.codes)) - 1)] if close < 1 else np.full(len(unit), BITS)
+                    bound = np.cos(np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radius))
+                    order = np.argsort(-near, axis=1, kind="stable")
+                    for i, query in enumerate(batch.column(0)):
+                        own = order[i, :n_probes] if least[i] is None else np.flatnonzero((bound[i] >= least[i] - 1e-9) | (unit[i] == 0).all())
+                        n = len(own)
+                        limit = far[i] if least[i] is None else BITS
+                        yield pa.RecordBatch.from_arrays([pa.array(there[own].astype(np.int32)), pa.array([query.as_py()] * n, batch.schema.field(0).type), pa.array([unit[i].tobytes()] * n, pa.binary()), pa.array([codes[i].tobytes()] * n, pa.binary()), pa.array([int(limit)] * n, pa.int32()), pa.array([least[i]] * n, pa.float64())], ["cell", "id", "unit", "code", "limit", "least"])
 
         rows = queries.where("vector is not null").select("id", F.col("vector").cast("array<double>"), "least")
         return rows.mapInArrow(run, f"cell int, id {queries.schema['id'].dataType.simpleString()}, unit binary, code binary, limit int, least double")
@@ -226,8 +233,9 @@ class VectorIndex:
         total = asked.count()
         per_cell = max(1, math.ceil(total / max(1, len(self.trained.centres)) / QUERY_BLOCK))
         blocks = asked.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(per_cell))).groupBy("cell", "part").agg(F.collect_list(F.struct("id", "unit", "code", "limit", "least")).alias("qs")).drop("part")
-        if total * (8 * self.size + BITS // 8) <= SMALL_BYTES:
-            blocks = F.broadcast(blocks)
+        # a probed cell repeats its query, which files and shuffles compress a hundredfold, so that Spark would take
+        # blocks of any size for small ones
+        blocks = F.broadcast(blocks) if total * (8 * self.size + BITS // 8) <= SMALL_BYTES else blocks.hint("merge")
         kinds = queries.schema["id"].dataType.simpleString(), *self.kinds
         hit = f"struct<similarity: double, id: {kinds[1]}, owner: {kinds[2]}, n: bigint>"
         out = T.StructType.fromDDL(f"query_id {kinds[0]}, compared bigint, scored bigint, hits array<{hit}>")
@@ -239,19 +247,29 @@ class VectorIndex:
             left, right = units(qs), units(rows)
             limit = np.array([q["limit"] for q in qs])
             near = _apart(codes(qs), codes(rows)) <= limit[:, None] if (limit < BITS).any() else None
+            place = {x["id"]: [] for x in rows}
+            for j, x in enumerate(rows):
+                place[x["id"]].append(j)
+            names = list({x["owner"]: None for x in rows})
+            nth = {o: i for i, o in enumerate(names)}
+            owner = np.array([nth[x["owner"]] for x in rows])
             for i, q in enumerate(qs):
                 own = np.arange(len(rows)) if near is None else np.flatnonzero(near[i])
-                like = np.round(np.clip(right[own] @ left[i], -1, 1), DIGITS)
-                found = [(s, rows[j]) for s, j in zip(like.tolist(), own.tolist(), strict=True) if (q["least"] is None or s >= q["least"]) and not (other and rows[j]["id"] == q["id"])]
+                like = np.round(np.clip(_dots(right if near is None else right[own], left[i]), -1, 1), DIGITS)
+                fits = np.ones(len(own), bool) if q["least"] is None else like >= q["least"]
+                if other and q["id"] in place:
+                    fits &= ~np.isin(own, place[q["id"]])
+                at, like = own[fits], like[fits]
                 if k is not None:
-                    found.sort(key=lambda x: (-x[0], x[1]["id"]))
+                    if len(at) > k:
+                        top = like >= np.partition(like, len(like) - k)[len(like) - k]
+                        at, like = at[top], like[top]
+                    found = sorted(((s, rows[j]) for s, j in zip(like.tolist(), at.tolist(), strict=True)), key=lambda x: (-x[0], x[1]["id"]))
                     hits = [(s, r["id"], r["owner"], 1) for s, r in found[:k]]
                 else:
-                    best: dict = {}
-                    for s, r in found:
-                        top, n = best.get(r["owner"], (-2.0, 0))
-                        best[r["owner"]] = max(top, s), n + 1
-                    hits = [(s, None, o, n) for o, (s, n) in best.items()]
+                    best, n = np.full(len(names), -2.0), np.bincount(owner[at], minlength=len(names))
+                    np.maximum.at(best, owner[at], like)
+                    hits = [(float(best[o]), None, names[o], int(n[o])) for o in np.flatnonzero(n)]
                 yield q["id"], len(rows) if near is not None else 0, len(own), hits
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,3 +138,22 @@ def test_edges(spark, tmp_path):
     assert empty.search(spark.createDataFrame([(1, 1, [1.0])], KIND), 3, exact=True).count() == 0
     with pytest.raises(Exception, match="have to have 2 elements"):
         index.search(spark.createDataFrame([(1, 1, [1.0])], KIND), 3).count()
+
+
+def test_many_probes_are_not_broadcast(spark, tmp_path, monkeypatch):
+    """Repeated queries compress so well that Spark takes them for small; only counted small ones may pass the driver."""
+    monkeypatch.setattr("parley.operators.vector_index.SMALL_BYTES", 0)
+    voices = spark.createDataFrame(clustered(400), KIND)
+    index = VectorIndex.build(voices, str(tmp_path / "x"))
+    asked = voices.where("id % 100 = 0").select("id", "vector", F.lit(None).cast("double").alias("least"))
+    plan = index.probe(asked, 3, True, probes=len(index.trained.centres))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
+def test_copies_of_a_vector_tie(spark, tmp_path):
+    """Equal vectors are equally alike in whatever block they stand, so ids decide."""
+    rows = clustered(70)
+    voices = spark.createDataFrame([(i + 100 * k, w, v) for i, w, v in rows for k in range(30)], KIND)
+    index = VectorIndex.build(voices, str(tmp_path / "x"))
+    for q, best in told(index.search(voices.where("id in (5, 23)"), 29, exact=True)).items():
+        assert [i for i, _ in best] == [q + 100 * k for k in range(1, 30)]
