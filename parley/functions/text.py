@@ -162,8 +162,9 @@ def without_overlap(text: Column, buffer: Column, over: float) -> Column:
     more than ``over`` of the longer one and ``text`` has more words; case does not count."""
     def cut(s: Column) -> Column:
         a, b = s["a"], s["b"]
-        low = lambda ws: F.transform(ws, lambda w: F.lower(w))
-        alike = common_prefix(low(F.slice(a, 1, F.least(F.size(a), F.size(b)))), low(F.slice(b, 1, F.least(F.size(a), F.size(b))))) / F.greatest(F.size(a), F.size(b))
+        # capitals stay what they are in capitals, but "SS" for "ß" in small letters is "ss"
+        caps = lambda ws: F.transform(ws, lambda w: F.upper(w))
+        alike = common_prefix(caps(F.slice(a, 1, F.least(F.size(a), F.size(b)))), caps(F.slice(b, 1, F.least(F.size(a), F.size(b))))) / F.greatest(F.size(a), F.size(b))
         fits = (F.size(a) > 0) & (F.size(b) > 0) & (alike > over) & (F.size(a) > F.size(b))
         return F.when(fits, F.array_join(F.slice(a, F.size(b) + 1, F.greatest(F.size(a) - F.size(b), F.lit(0))), " ")).otherwise(text)
 

@@ -135,6 +135,11 @@ def test_texts(spark):
     assert (got.substitutions, got.insertions, got.deletions, round(got.wer, 4)) == (1, 0, 0, 0.1667)
 
 
+def test_overlap_of_letters_that_grow_in_capitals(spark):
+    rows = spark.createDataFrame([("Die Straße ßa und so weiter", "DIE STRASSE SSA"), ("ﬁne ŉ a rest", "ﬁne ŉ a")], "text string, buffer string")
+    assert [r[0] for r in rows.select(X.without_overlap(F.col("text"), F.col("buffer"), 0.3)).collect()] == ["und so weiter", "rest"]
+
+
 def test_memory():
     memory = Memory(least=0.6)
     texts = ["hello everyone welcome to our meeting", "hello everyone welcome to the meeting", "now the budget for next year", "ok"]
