@@ -138,3 +138,50 @@ def test_packed_states_are_whole():
     own = folds.VoiceActivity(context=5).begin()
     folds.VoiceActivity(context=5).add(own, 1, 1, list(range(9)))
     assert own[2] == [4, 5, 6, 7, 8]
+
+
+class Puts:
+    """State of one key in memory, counting what is put into it."""
+
+    def __init__(self):
+        self.own, self.puts = {}, 0
+
+    def keys(self):
+        return iter(list(self.own))
+
+    def getValue(self, key):
+        return self.own[key]
+
+    def updateValue(self, key, value):
+        self.own[key], self.puts = value, self.puts + 1
+
+    def removeKey(self, key):
+        del self.own[key]
+
+    def get(self):
+        return self.own.get(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+
+def test_rows_far_apart_share_entries_and_a_timer():
+    """One key with a row in each of 1,000 stretches, taken in unordered: few entries, one timer at a time, rows in order."""
+    import types
+
+    import pandas as pd
+
+    timers, states = [], []
+    made = lambda *a: states.append(Puts()) or states[-1]
+    own = live.InOrder(folds.Silences(0.3, unit_us=1_000_000), ["t_us", "seq", "energy"], "stream", ["stream", "start_us", "end_us", "frames", "energy", "reason"], 60_000_000)
+    own.init(types.SimpleNamespace(getMapState=made, getValueState=made, registerTimer=timers.append, deleteTimer=timers.remove))
+    place = np.random.default_rng(2).permutation(1000)
+    frames = [pd.DataFrame({"t_us": place[i::4] * 60_000_000, "seq": place[i::4], "energy": 0.9}) for i in range(4)]
+    assert not list(own.handleInputRows((7,), iter(frames), None))
+    assert own.waiting.puts <= 8 and len(timers) == 1
+    out = []
+    while timers:
+        now = max(timers.pop(0), 60_000 * (len(out) + 100))
+        out += pd.concat([pd.DataFrame(), *own.handleExpiredTimer((7,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None)]).get("start_us", pd.Series()).tolist()
+        assert len(timers) <= 1
+    assert out == [60_000_000 * i for i in range(1000)] and not own.waiting.own
