@@ -37,6 +37,28 @@ def test_lsh_search(spark, tmp_path):
     assert {(r.query_id, r.speaker_id) for r in found} == {(9, 1), (8, 2)} and min(r.similarity for r in found) > 0.8
 
 
+def test_searches_meet_in_blocks(spark, monkeypatch):
+    """Pairs are bounded and speakers counted in blocks; copies tie, and rows without a vector are alike to nothing."""
+    monkeypatch.setattr(similarity, "ROWS", 7)
+    monkeypatch.setattr(similarity, "QUERIES", 3)
+    x = np.random.default_rng(1).standard_normal((20, 9))
+    rows = [(i, i % 4 or None, x[i % 20].tolist() if i != 33 else None) for i in range(60)]
+    voices = spark.createDataFrame(rows, "id long, speaker_id long, vector array<double>")
+    queries = voices.where("id % 3 = 0")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    like = {(q, i): float(unit[q % 20] @ unit[i % 20]) if 33 not in (q, i) else None for q in range(0, 60, 3) for i in range(60)}
+    got = {(r.query_id, r.id): r.similarity for r in similarity.scored_against(queries, voices).collect()}
+    assert got.keys() == like.keys() and all(v is None if like[k] is None else abs(v - like[k]) < 1e-12 for k, v in got.items())
+    assert all(got[q, i] == got[q, i + 20] == got[q, i + 40] for q, i in got if i < 13 and q != 33)
+    want = {}
+    for (q, i), s in like.items():
+        if s is not None and s >= 0.2:
+            top, n = want.get((q, rows[i][1]), (-2.0, 0))
+            want[q, rows[i][1]] = max(top, s), n + 1
+    found = {(r.query_id, r.speaker_id): (r.similarity, r.matches) for r in similarity._speakers(queries, voices, 0.2).collect()}
+    assert found.keys() == want.keys() and all(abs(found[k][0] - s) < 1e-12 and found[k][1] == n for k, (s, n) in want.items())
+
+
 def test_queries_without_a_bucket_ask_all_speakers(spark):
     kind = "id long, speaker_id long, vector array<double>"
     queries = spark.createDataFrame([(9, 0, [0.9, 0.1, 0.0])], kind)
