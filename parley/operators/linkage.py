@@ -36,23 +36,27 @@ def nearest(asked: DataFrame, clusters: DataFrame) -> DataFrame:
     one of its key; ties go to the pair with the smallest ids."""
     pairs = _blocks(asked, "qs").join(_blocks(clusters, "rows"), "key").select("key", "qs", "rows")
 
-    def one(qs: list[dict], rows: list[dict]) -> Iterator[tuple]:
-        a, b = (np.array([x["total"] for x in xs], float) / np.array([x["n"] for x in xs], float)[:, None] for xs in (qs, rows))
-        ids = np.array([x["c"] for x in rows], np.int64)
-        like = a @ b.T
-        for i, q in enumerate(qs):
-            own = like[i]
-            own[ids == q["c"]] = -np.inf
-            top = own.max()
-            if top > -np.inf:
-                tied = ids[own == top]
-                yield q["c"], int(min(tied, key=lambda x: (min(x, q["c"]), max(x, q["c"])))), float(top)
+    def side(blocks: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids in order and mean vectors of a block."""
+        own = blocks[i].values
+        ids, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("c", "n"))
+        means = own.field("total").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) / n[:, None]
+        order = np.argsort(ids)
+        return ids[order], means[order]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                made = list(one(batch.column(1)[i].as_py(), batch.column(2)[i].as_py()))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(made), pa.int64()), *(pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64())))], ["key", "c", "mate", "similarity"])
+                (asked, a), (ids, b) = side(batch.column(1), i), side(batch.column(2), i)
+                like = a @ b.T
+                at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
+                same = np.flatnonzero(ids[at] == asked)
+                like[same, at[same]] = -np.inf
+                # of tied ids the smallest, which is the first, also gives the smallest pair
+                mate = like.argmax(1)
+                top = like[np.arange(len(asked)), mate]
+                fits = top > -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * int(fits.sum()), pa.int64()), pa.array(asked[fits]), pa.array(ids[mate][fits]), pa.array(top[fits])], ["key", "c", "mate", "similarity"])
 
     each = pairs.mapInArrow(run, "key long, c long, mate long, similarity double")
     best = F.max(F.struct("similarity", (-F.least("c", "mate")).alias("a"), (-F.greatest("c", "mate")).alias("b"), "mate"))

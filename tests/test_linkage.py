@@ -49,3 +49,13 @@ def test_equal_vectors_zero_vectors_and_no_rows(spark):
     got = {r.id: r.cluster for r in cluster.cluster(table, "recording", 0.9, 1, 3, False, in_task=0).collect()}
     assert {got[i] for i in range(1, 12, 2)} == {got[1]} and len(set(got.values())) <= 3
     assert cluster.cluster(table.limit(0), "recording", in_task=0).count() == 0
+
+
+def test_nearest_of_ties_is_the_smallest_pair(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "BLOCK", 30)
+    x = np.random.default_rng(0).integers(-2, 3, (120, 6)).astype(float)
+    x[60:80], x[5] = x[:20], 0
+    rows = spark.createDataFrame([(i % 2, i, 1 + i % 3, (x[i] * (1 + i % 3)).tolist()) for i in range(120)], "key long, c long, n long, total array<double>")
+    got = {(r.key, r.c): (r.mate, r.similarity) for r in linkage.nearest(rows.where("c % 3 = 0"), rows).collect()}
+    best = {i: min((-(x[i] @ x[j]), min(i, j), max(i, j), j) for j in range(120) if j != i and j % 2 == i % 2) for i in range(0, 120, 3)}
+    assert got == {(i % 2, i): (b[3], -b[0]) for i, b in best.items()}
