@@ -12,10 +12,11 @@ character that a block's end has cut.
 from __future__ import annotations
 
 import base64
+import re
 import uuid
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +28,18 @@ from pyspark.sql import types as T
 from parley.llm import words
 from parley.session import ship
 
-#: Entries at most of the tables of steps, of pairs of tokens, and of pieces (two of the last).
-STEPS, PAIRS, PIECES = 300_000, 500_000, 250_000
+#: Entries at most of the tables of steps, of pairs of tokens, of pieces, and of stretches of text (two of each of the last).
+STEPS, PAIRS, PIECES, STRETCHES = 300_000, 500_000, 250_000, 100_000
+#: Bytes of a beginning whose readings are kept for other pieces, and how many are kept.
+HEAD, HEADS = 5, 25_000
 #: Bytes that are read before what is settled is emitted.
 LOOKAHEAD = 256
 #: Tokens that are decoded at once.
 BLOCK_TOKENS = 8192
+#: A pattern no match of which goes on from another sign to a blank, or looks there for more than white space.
+BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Stretches of text up to a blank that does not follow white space; matches of that pattern lie within them.
+STRETCH = re.compile(r".[^ ]*(?:(?<=\s) [^ ]*)*", re.DOTALL)
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -41,7 +48,7 @@ def read_ranks(text: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Encodes one piece at a time; ``steps`` maps (state, byte) to a state.
+    """Encodes one piece at a time; ``steps`` has for each state the states after a byte.
 
     A state stands for the longest end of what was read that a token begins with, so there are no
     more states than beginnings of tokens.
@@ -51,12 +58,15 @@ class Transducer:
         self.ranks = ranks
         self.prefixes = {token[:i] for token in ranks for i in range(1, len(token))}
         self.token = {rank: token for token, rank in ranks.items()}
-        self.fits: dict[int, bool] = {}
+        # for each token whether it may follow another one, and how many pairs these are
+        self.fits: dict[int, dict[int, bool]] = {}
+        self.n_fits = self.n_steps = 0
         self.split: dict[int, tuple[int, int] | None] = {}
         self.texts: list[bytes] = [b""]
-        self.ending: list[tuple[tuple[int, int], ...]] = [()]
+        self.ending: list[tuple[tuple[int, int, dict[int, bool]], ...]] = [()]
         self.number: dict[bytes, int] = {b"": 0}
-        self.steps: dict[int, int] = {}
+        self.steps: list[dict[int, int]] = [{}]
+        self.heads: dict[bytes, tuple[int, list[int], list[int]]] = {}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a byte or a token no merge makes."""
@@ -81,12 +91,15 @@ class Transducer:
         The merges at the seam are undone, latest first; were two parts at the seam ever free at once
         whose own merge comes before they are used up, the pair could not have come about.
         """
-        key = left << 32 | right
-        found = self.fits.get(key)
+        known = self.fits.setdefault(right, {})
+        found = known.get(left)
         if found is None:
-            if len(self.fits) > PAIRS:
-                self.fits.clear()
-            found = self.fits[key] = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
+            if self.n_fits >= PAIRS:
+                self.n_fits = 0
+                for each in self.fits.values():
+                    each.clear()
+            self.n_fits += 1
+            found = known[left] = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
         return found
 
     def apart(self, left: int, right: int) -> bool:
@@ -112,10 +125,15 @@ class Transducer:
         if found is None:
             found = self.number[text] = len(self.texts)
             self.texts.append(text)
-            self.ending.append(tuple((self.ranks[text[i:]], len(text) - i) for i in range(len(text)) if text[i:] in self.ranks))
-        if len(self.steps) >= STEPS:
-            self.steps.clear()
-        self.steps[state << 8 | byte] = found
+            self.steps.append({})
+            tokens = [self.ranks[text[i:]] for i in range(len(text)) if text[i:] in self.ranks]
+            self.ending.append(tuple((t, len(self.token[t]), self.fits.setdefault(t, {})) for t in tokens))
+        if self.n_steps >= STEPS:
+            self.n_steps = 0
+            for each in self.steps:
+                each.clear()
+        self.n_steps += 1
+        self.steps[state][byte] = found
         return found
 
     def encode(self, piece: bytes) -> list[int]:
@@ -123,31 +141,46 @@ class Transducer:
         found = self.ranks.get(piece)
         if found is not None:
             return [found]
+        if len(piece) <= HEAD:
+            state, last, sizes = self.read(piece, 0, [-1], [0])
+            return self.back(last, sizes, len(last) - 1)
+        head = piece[:HEAD]
+        begun = self.heads.get(head)
+        if begun is None:
+            if len(self.heads) >= HEADS:
+                self.heads.clear()
+            begun = self.heads[head] = self.read(head, 0, [-1], [0])
+        state, last, sizes = begun[0], begun[1].copy(), begun[2].copy()
         out: list[int] = []
-        # the token that ends at each place since the last settled one, and its size
-        last, sizes, state = [-1], [0], 0
-        steps, fits, ending = self.steps, self.fits, self.ending
-        for byte in piece:
-            after = steps.get(state << 8 | byte)
+        for a in range(HEAD, len(piece), LOOKAHEAD):
+            state, last, sizes = self.read(piece[a : a + LOOKAHEAD], state, last, sizes)
+            if a + LOOKAHEAD < len(piece):
+                base = self.settled(state, sizes)
+                out += self.back(last, sizes, base)
+                last, sizes = last[base:], [0, *sizes[base + 1 :]]
+        return out + self.back(last, sizes, len(last) - 1)
+
+    def read(self, text: bytes, state: int, last: list[int], sizes: list[int]) -> tuple[int, list[int], list[int]]:
+        """The state after ``text``; the token that ends at each place since the last settled one is
+        added to ``last``, and its size to ``sizes``."""
+        steps, ending, n = self.steps, self.ending, len(last)
+        for byte in text:
+            after = steps[state].get(byte)
             state = self.step(state, byte) if after is None else after
-            n = len(last)
-            for token, size in ending[state]:
+            for token, size, known in ending[state]:
                 # a longer token would begin before the last settled place
                 if size > n:
                     continue
                 left = last[n - size]
-                fine = fits.get(left << 32 | token)
+                fine = known.get(left)
                 if fine or fine is None and self.fit(left, token):
                     last.append(token)
                     sizes.append(size)
                     break
             else:
                 raise ValueError(f"no token ends after {self.texts[state]!r}")
-            if n % LOOKAHEAD == 0:
-                base = self.settled(state, sizes)
-                out += self.back(last, sizes, base)
-                last, sizes = last[base:], [0, *sizes[base + 1 :]]
-        return out + self.back(last, sizes, len(last) - 1)
+            n += 1
+        return state, last, sizes
 
     def settled(self, state: int, sizes: list[int]) -> int:
         """The last place that all readings which can still go on share."""
@@ -194,45 +227,60 @@ class Utf8Machine:
         return chunk[:cut].decode("utf-8", "replace")
 
 
+class Known(dict):
+    """Packed ids of texts that were met; a full table becomes the older one, so two are held at most."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.make(text)
+        if len(text) <= 64:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Codec:
-    """Encodes and decodes whole texts by the ranks and the splitting pattern."""
+    """Encodes and decodes whole texts by the ranks and the splitting pattern.
+
+    Where the pattern allows it, a text is cut at its blanks first, and only stretches that were not
+    met before are split by the pattern.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.pieces = Known(lambda piece: array("i", self.machine.encode(piece.encode())).tobytes(), PIECES)
+        self.stretches = Known(lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))), STRETCHES)
+        self.cut, self.known = (STRETCH.findall, self.stretches) if pattern == BY_WORDS else (self.split, self.pieces)
 
     @cached_property
     def machine(self) -> Transducer:
         return Transducer(self.ranks)
 
     @cached_property
-    def table(self) -> dict[int, bytes]:
-        return {rank: token for token, rank in self.ranks.items()}
-
-    def tokens(self, piece: str) -> list[int]:
-        """Tokens of a piece that the younger table lacks; a full one becomes the older table."""
-        found = self.older.get(piece)
-        if found is None:
-            found = self.machine.encode(piece.encode())
-        if len(piece) <= 64:
-            if len(self.known) >= PIECES:
-                self.older, self.known = self.known, {}
-            self.known[piece] = found
-        return found
+    def table(self) -> np.ndarray:
+        """The bytes of each token by its rank; None where there is none."""
+        out = np.full(max(self.ranks.values(), default=-1) + 1, None, object)
+        for token, rank in self.ranks.items():
+            out[rank] = token
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        pieces = self.split(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            found = [self.known.get(p) or self.tokens(p) if x is None else x for x, p in zip(found, pieces, strict=True)]
-        return np.fromiter(chain.from_iterable(found), np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(text))), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        machine, out, get = Utf8Machine(), [], self.table.__getitem__
+        machine, out = Utf8Machine(), []
+        # unsigned, as a negative id is no token
+        ids = np.asarray(ids, np.int32).view(np.uint32)
         for a in range(0, len(ids), BLOCK_TOKENS):
-            out.append(machine.feed(b"".join(map(get, ids[a : a + BLOCK_TOKENS].tolist()))))
+            out.append(machine.feed(b"".join(self.table[ids[a : a + BLOCK_TOKENS]].tolist())))
         return "".join(out) + machine.feed(b"", last=True)
 
 

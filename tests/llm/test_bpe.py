@@ -30,6 +30,35 @@ def test_full_tables_change_nothing(monkeypatch):
         assert codec.encode(text).tolist() == LIBRARY.encode_ordinary(text)
 
 
+def test_stretches_lose_no_match_of_the_pattern():
+    signs = [" ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "a", "Zé", "中", "7", "²", ".", "'s", "'", "🙂", "\u0301", "\0"]
+    split, rng = bpe.Codec(RANKS, public_tokenizers.PATTERN).split, random.Random(4)
+    assert public_tokenizers.PATTERN == bpe.BY_WORDS
+    assert not {c for c in map(chr, range(0x110000)) if bpe.regex.match(r"\s", c)} - {c for c in map(chr, range(0x110000)) if bpe.re.match(r"\s", c)}
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 14)))
+        assert [m for part in bpe.STRETCH.findall(text) for m in split(part)] == split(text)
+
+
+def test_the_pattern_sees_only_what_is_new():
+    codec, seen = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    split = codec.split
+    codec.split = lambda text: seen.append(len(text)) or split(text)
+    text = "The same few words, again and again.\n" * 500
+    assert codec.encode(text).tolist() == LIBRARY.encode_ordinary(text) and sum(seen) < 100
+
+
+def test_beginnings_are_read_once(monkeypatch):
+    machine, read = bpe.Transducer(RANKS), []
+    whole = machine.read
+    monkeypatch.setattr(machine, "read", lambda text, *rest: read.append(len(text)) or whole(text, *rest))
+    monkeypatch.setattr(bpe, "HEADS", 2)
+    pieces = [a + b for a in (" unbrot", " zzkwqx", " äöüß") for b in ("", "erk", "zzq" * 5, "é" * 300)]
+    for piece in pieces * 2:
+        assert machine.encode(piece.encode()) == LIBRARY._core_bpe.encode_single_piece(piece.encode())
+    assert sum(read) < 2 * sum(len(p.encode()) for p in pieces) - 6 * bpe.HEAD
+
+
 def test_utf8_machine_holds_back_cut_characters():
     text = "aé中🙂z"
     for size in (1, 2, 3):
