@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
 from parley.operators.boundaries import STATE, Assembler, Policy
@@ -210,7 +210,7 @@ class VoiceActivity(Fold):
         snr = 10 * math.log10(power / (floor * floor)) if floor > 0 else None
         if self.adaptive and snr is not None:
             own[1] = min(0.9, self.threshold + (0.3 if snr < 10 else 0.2 if snr < 20 else 0.1 if snr < 30 else 0.0))
-        own[2] = [*own[2], *x.tolist()][-self.context :]
+        own[2] = (own[2] + x[-self.context :].tolist())[-self.context :]
         found = list(self._segments(x, own[0], own[1]))
         out = seq, own[0], found, sum(f[2] for f in found) / len(found) if found else 0.1, own[1], snr, bool((sizes > 0.95).sum() > len(x) // 100)
         own[0] += len(x) / self.rate
@@ -292,17 +292,30 @@ def result_schema(rows: DataFrame, fold: Fold, key: str) -> T.StructType:
     return T.StructType([T.StructField(key, rows.schema[key].dataType), *T.StructType.fromDDL(fold.out).fields])
 
 
-def in_order(rows: DataFrame, fold: Fold, key: str, time: str = "t_us", order: str = "seq") -> DataFrame:
-    """``key`` and the fold's output. A key's rows come to one task, sorted, which holds a batch and a state."""
+def _values(column: pa.Array) -> list:
+    """Values of a column; lists of numbers as arrays."""
+    if not (pa.types.is_list(column.type) and pa.types.is_float64(column.type.value_type)):
+        return column.to_pylist()
+    return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in column]
+
+
+def in_order(rows: DataFrame, fold: Fold, key: str, time: str = "t_us", order: str = "seq", **made: Column) -> DataFrame:
+    """``key`` and the fold's output. A key's rows come to one task, sorted, which holds a batch and a state.
+
+    ``made`` are columns of the fold that are large and follow from smaller ones: they are made after the
+    sort, row by row, so that they are neither moved nor sorted.
+    """
     ship(rows.sparkSession)
     schema = result_schema(rows, fold, key)
-    slim = rows.where(f"`{time}` is not null and `{order}` is not null").select(key, time, order, *fold.columns)
+    slim = rows.where(f"`{time}` is not null and `{order}` is not null")
+    if not made:
+        slim = slim.select(key, time, order, *fold.columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, own, begun = None, None, False
         for batch in batches:
             out: list[tuple] = []
-            for group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for group, *row in zip(*map(_values, batch.columns), strict=True):
                 if not begun or group != now:
                     if begun:
                         out += [(now, *x) for x in fold.close(own)]
@@ -312,4 +325,5 @@ def in_order(rows: DataFrame, fold: Fold, key: str, time: str = "t_us", order: s
         if begun:
             yield arrow_rows([(now, *x) for x in fold.close(own)], schema)
 
-    return slim.repartition(key).sortWithinPartitions(key, time, order).mapInArrow(run, schema)
+    own = slim.repartition(key).sortWithinPartitions(key, time, order)
+    return own.select(key, time, order, *[made[c].alias(c) if c in made else c for c in fold.columns]).mapInArrow(run, schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.functions import signal as S
@@ -135,10 +135,14 @@ def stream_timing_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _chunks(voices: DataFrame) -> DataFrame:
-    """Chunks of samples made of voice vectors, one speaker's in order as a stream; some are long, some short."""
-    times = (20 + F.col("id") % 7 * 40).cast("int")
-    samples = F.flatten(F.array_repeat(F.transform("vector", lambda x: x * (0.02 + F.col("id") % 4 * 0.1)), times))
-    return voices.select(F.col("speaker_id").alias("stream"), F.col("id").alias("seq"), samples.alias("samples"))
+    """Chunks made of voice vectors, one speaker's in order as a stream; ``_samples`` are theirs."""
+    return voices.select(F.col("speaker_id").alias("stream"), F.col("id").alias("seq"), "vector")
+
+
+def _samples() -> Column:
+    """The samples of a chunk, its vector again and again; some chunks are long, some short."""
+    times = (20 + F.col("seq") % 7 * 40).cast("int")
+    return F.flatten(F.array_repeat(F.transform("vector", lambda x: x * (0.02 + F.col("seq") % 4 * 0.1)), times))
 
 
 def _heard(found: DataFrame) -> DataFrame:
@@ -150,13 +154,13 @@ VAD = folds.VoiceActivity(least_ms=100, most_ms=600)
 
 @query()
 def vad_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _heard(folds.in_order(views.timed(_chunks(views.voices(spark, sf_dir))), VAD, "stream"))
+    return _heard(folds.in_order(views.timed(_chunks(views.voices(spark, sf_dir))), VAD, "stream", samples=_samples()))
 
 
 @query()
 def stream_vad_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sessions.stream_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("speaker_id"), V.doubles(F.col("embedding")).alias("vector"))
-    return _heard(_replayed(spark, views.timed(_chunks(rows)), VAD, "stream", 6_000_000_000))
+    return _heard(_replayed(spark, views.timed(_chunks(rows)).withColumn("samples", _samples()), VAD, "stream", 6_000_000_000))
 
 
 @query()

@@ -185,3 +185,9 @@ def test_rows_far_apart_share_entries_and_a_timer():
         out += pd.concat([pd.DataFrame(), *own.handleExpiredTimer((7,), types.SimpleNamespace(getCurrentWatermarkInMs=lambda now=now: now), None)]).get("start_us", pd.Series()).tolist()
         assert len(timers) <= 1
     assert out == [60_000_000 * i for i in range(1000)] and not own.waiting.own
+
+
+def test_chunks_are_moved_and_sorted_without_their_samples(spark, sf):
+    plan = streams.vad_chunks(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("Sort [") :]
+    assert "Exchange" in below and "array_repeat" in plan and "array_repeat" not in below and "samples" not in below
