@@ -273,6 +273,12 @@ def edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_edits(list(a) if a is not None else [], list(b) if b is not None else []) for a, b in zip(reference, hypothesis, strict=True)], columns=["substitutions", "insertions", "deletions"])
 
 
+@F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in ("substitutions", "insertions", "deletions")]))
+def char_edits(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+    """Edit operations between the characters of two columns of texts; null counts as empty. Only one pair is held as lists."""
+    return pd.DataFrame([_edits(list(a or ""), list(b or "")) for a, b in zip(reference, hypothesis, strict=True)], columns=["substitutions", "insertions", "deletions"])
+
+
 @F.pandas_udf(T.LongType())
 def common_words(a: pd.Series, b: pd.Series) -> pd.Series:
     """Words of the longest common subsequence of two columns of word lists."""
@@ -282,10 +288,18 @@ def common_words(a: pd.Series, b: pd.Series) -> pd.Series:
 def word_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` with the edit counts and the error rate over the reference's words."""
     ship(pairs.sparkSession)
-    out = pairs.withColumn("_e", edits(F.col(reference), F.col(hypothesis)))
-    n = F.size(reference)
+    return _rated(pairs.withColumn("_e", edits(F.col(reference), F.col(hypothesis))), F.size(reference), F.size(hypothesis))
+
+
+def char_errors(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
+    """The same for the characters of two columns of texts, without lists of them as columns."""
+    ship(pairs.sparkSession)
+    return _rated(pairs.withColumn("_e", char_edits(F.col(reference), F.col(hypothesis))), F.char_length(reference), F.char_length(hypothesis))
+
+
+def _rated(edited: DataFrame, n: Column, m: Column) -> DataFrame:
     wrong = F.col("_e.substitutions") + F.col("_e.insertions") + F.col("_e.deletions")
-    return out.select(*pairs.columns, "_e.substitutions", "_e.insertions", "_e.deletions", n.cast("long").alias("n_words_reference"), F.when(n > 0, wrong / n).otherwise(F.when(F.size(hypothesis) > 0, 1.0).otherwise(0.0)).alias("wer"))
+    return edited.select(*[c for c in edited.columns if c != "_e"], "_e.substitutions", "_e.insertions", "_e.deletions", n.cast("long").alias("n_words_reference"), F.when(n > 0, wrong / n).otherwise(F.when(m > 0, 1.0).otherwise(0.0)).alias("wer"))
 
 
 def corpus_errors(each: DataFrame, *by: str) -> DataFrame:

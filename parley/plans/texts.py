@@ -134,9 +134,7 @@ def wer_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cer_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character edits of the turns as they are, by kind."""
-    chars = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
-    pairs = turn_pairs(spark, sf_dir).select("meeting", "seq", chars("before").alias("a"), chars("text").alias("b"))
-    out = metrics.word_errors(pairs, "a", "b")
+    out = metrics.char_errors(turn_pairs(spark, sf_dir), "before", "text")
     return out.select("meeting", "seq", "substitutions", "insertions", "deletions", F.col("n_words_reference").alias("n_chars"), F.round("wer", 6).alias("cer"))
 
 

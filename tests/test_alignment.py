@@ -3,6 +3,7 @@
 import tracemalloc
 from random import Random
 
+from parley.operators import metrics
 from parley.operators.metrics import _common, _edits
 
 
@@ -51,3 +52,14 @@ def test_long_texts_in_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     tracemalloc.stop()
     assert len(a) - dele == len(b) - ins and 0.85 * 9700 < s < 1.15 * 9700
+
+
+def test_characters_come_as_texts(spark, sf):
+    from parley.plans import texts
+
+    rows = [("ab🙂é", "a🙂ee"), ("", "xy"), ("e\u0301\n", ""), (None, "x"), ("", "")]
+    out = metrics.char_errors(spark.createDataFrame(rows, "a string, b string"), "a", "b").collect()
+    assert [(r.substitutions, r.insertions, r.deletions, r.n_words_reference) for r in out] == [(*matrix(a or "", b), a and len(a) or (0 if a == "" else None)) for a, b in rows]
+    assert [r.wer for r in out] == [0.75, 1.0, 1.0, 1.0, 0.0]
+    plan = texts.cer_turns(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "split(before" not in plan and "split(_w" not in plan and "char_edits" in plan
