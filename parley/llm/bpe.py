@@ -29,7 +29,7 @@ from parley.llm import words
 from parley.session import ship
 
 #: Entries at most of the tables of steps, of pairs of tokens, of pieces, and of stretches of text (two of each of the last).
-STEPS, PAIRS, PIECES, STRETCHES = 300_000, 500_000, 250_000, 100_000
+STEPS, PAIRS, PIECES, STRETCHES = 300_000, 500_000, 100_000, 150_000
 #: Bytes of a beginning whose readings are kept for other pieces, and how many are kept.
 HEAD, HEADS = 5, 25_000
 #: Bytes that are read before what is settled is emitted.

@@ -27,6 +27,8 @@ from parley.session import cut, ship
 
 #: Labelled documents that a fit uses at most, and documents that a view labels for the other in a round.
 LABELLED, TAKEN = 6000, 1000
+#: Bytes of text of which features are made at once; the arrays of a block take about 60 times as much.
+SLICE = 1 << 18
 #: Buckets of the hashed features (a power of two), and rounds.
 BUCKETS, ROUNDS = 1 << 18, 3
 #: What all passed-on documents may weigh, as a share of the labelled ones: the surest are not a fair sample.
@@ -149,7 +151,7 @@ def _meta(docs: DataFrame) -> list[Column]:
 
 def _features(batch: pa.RecordBatch, text: int, meta: int) -> Iterator[tuple[pa.RecordBatch, tuple, tuple, int]]:
     """Text and metadata pairs of slices of a batch; ``text`` and ``meta`` are places of columns."""
-    for rows, values in words.sliced(batch, text):
+    for rows, values in words.sliced(batch, text, SLICE):
         yield rows, text_features(values), meta_features(*(rows.column(meta + i).to_pylist() for i in range(len(META)))), len(values)
 
 

@@ -1,4 +1,5 @@
 import random
+import sys
 
 import public_tokenizers
 import tiktoken
@@ -74,3 +75,12 @@ def test_round_trip_in_spark(spark):
     for r, (_, text, _) in zip(out, rows, strict=True):
         assert list(r.ids) == LIBRARY.encode_ordinary(text or "") and r.decoded == (text or "")
     assert bpe.digests(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_tables_of_texts_stay_small():
+    codec = bpe.Codec({bytes((i,)): i for i in range(256)}, public_tokenizers.PATTERN)
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    for n in range(0, 600_000, 1000):
+        codec.encode("".join(f" {i:x}.".translate(letters) for i in range(n, n + 1000)))
+    held = [x for known in (codec.pieces, codec.stretches) for x in (known, known.older)]
+    assert sum(sys.getsizeof(x) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in x.items()) for x in held) < 65e6

@@ -1,5 +1,9 @@
 """Held-out accuracy of the quality classifier, and its edges."""
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,3 +81,18 @@ def test_the_surest_are_passed_on_once_with_their_probability(spark):
         assert len(lists) == len(p) == 20 and sum(p > 0.5) == 10
         sure = told[told[f"p{2 * k + 1}"].notna()]
         assert {int(i) % 2 for i in sure["_id"]} == {0 if k < 2 else 1}
+
+
+def test_features_of_a_large_batch_take_little_memory():
+    texts = [f"{i} some words of text {i % 97}, and more of them\n" * 40 for i in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), *[pa.nulls(len(texts))] * 3], ["_id", "_text", "_lang", "_source", "_n_chars"])
+    whole = classifier.text_features([t.encode() for t in texts])
+    classifier.text_features([b"the table of powers is there"])
+    tracemalloc.start()
+    parts = [(a, n) for _, a, _, n in classifier._features(batch, 1, 2)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    firsts = np.cumsum([0] + [n for _, n in parts])
+    for k in (0, 1):
+        assert (np.concatenate([a[k] + (f if k == 0 else 0) for (a, _), f in zip(parts, firsts, strict=False)]) == whole[k]).all()
+    assert peak < 15e6
