@@ -191,6 +191,18 @@ def test_diarized_time_is_the_time_of_speech(spark, sf):
         assert r[0].overall == pytest.approx(np.mean([x.confidence for x in r]), abs=1e-5)
 
 
+def test_diarize_finds_speech_once(spark, sf, monkeypatch):
+    from parley.operators import diarization
+
+    vectors, made = [], diarization.cluster.cluster
+    monkeypatch.setattr(diarization.cluster, "cluster", lambda rows, *a, **b: vectors.append(rows) or made(rows, *a, **b))
+    result = QUERIES["diarize"](spark, sf)
+    for frame in (*vectors, result):
+        plan = frame._jdf.queryExecution().optimizedPlan()
+        assert not any("events.parquet" in x for x in frame.inputFiles()), plan.toString()[:2000]
+    assert result._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 1
+
+
 def test_statistics_vector_by_its_definition():
     rng = np.random.default_rng(3)
     x = rng.normal(0, 0.3, 5000)

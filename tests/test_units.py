@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import signal as S
 from parley.functions import text as X
 from parley.functions import vector as V
-from parley.operators import cluster, folds, intervals, meetings, metrics, similarity, store, windows
+from parley.operators import cluster, diarization, folds, intervals, meetings, metrics, similarity, store, windows
 from parley.operators.dedup import Memory, alike
 from parley.operators.vector_index import VectorIndex
 from parley.plans import views
@@ -219,3 +219,27 @@ def test_text_seed_equals_a_plain_loop(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
     got = dict(rows.select("i", vector.text_seed(rows.t).alias("s")).collect())
     assert [got[i] for i in range(len(texts))] == [plain(t) for t in texts] and got[len(texts)] is None
+
+
+def test_samples_of_stretches_that_touch_several_spans(spark):
+    rng = np.random.default_rng(6)
+    frames = [(k, i, int(t), float(e)) for k in (1, 2) for i, (t, e) in enumerate(zip(rng.integers(-50, 400, 200), rng.random(200), strict=True))]
+    stretches = [(1, 0, -40, 3), (1, 1, 5, 6), (1, 2, 10, 200), (1, 3, 300, 300), (2, 0, 10, 20), (2, 1, 500, 600)]
+    want = {(k, i): [e for _, _, e in sorted((t, q, e) for s, q, t, e in frames if s == k and a <= t < b)] for k, i, a, b in stretches}
+    own = spark.createDataFrame(frames, "stream long, seq long, t_us long, energy double")
+    rows = diarization.with_samples(spark.createDataFrame(stretches, "stream long, island long, start_us long, end_us long"), own, width=7).collect()
+    assert {(r.stream, r.island): r.samples for r in rows} == {k: v for k, v in want.items() if v} and len(rows) == len({(r.stream, r.island) for r in rows})
+
+
+def test_limit_merges_the_pair_with_the_largest_mean():
+    rng = np.random.default_rng(8)
+    for n, most in ((1, 4), (9, 0), (14, 3), (20, 5)) * 10:
+        vectors = np.round(rng.normal(size=(n, 3)))
+        label = cluster.agglomerate(vectors, 0.9, most, False)
+        size = np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = np.divide(vectors, size, out=np.zeros_like(vectors), where=size > 0)
+        sims, want = unit @ unit.T, label.copy()
+        while len(names := np.unique(want)) > max(most, 1):
+            best = max(((sims[np.ix_(want == a, want == b)].mean(), -a, -b) for a in names for b in names if a < b))
+            want[want == -best[2]] = -best[1]
+        assert (cluster.limit(label, vectors, np.arange(n), 1, most) == want).all()
