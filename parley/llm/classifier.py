@@ -27,7 +27,7 @@ from parley.session import cut, ship
 
 #: Labelled documents that a fit uses at most, and documents that a view labels for the other in a round.
 LABELLED, TAKEN = 6000, 1000
-#: Bytes of text of which features are made at once; the arrays of a block take about 60 times as much.
+#: Bytes of text of which features are made at once; at most about 27 times as much is held for it.
 SLICE = 1 << 18
 #: Buckets of the hashed features (a power of two), and rounds.
 BUCKETS, ROUNDS = 1 << 18, 3
