@@ -243,3 +243,13 @@ def test_limit_merges_the_pair_with_the_largest_mean():
             best = max(((sims[np.ix_(want == a, want == b)].mean(), -a, -b) for a in names for b in names if a < b))
             want[want == -best[2]] = -best[1]
         assert (cluster.limit(label, vectors, np.arange(n), 1, most) == want).all()
+
+
+def test_vectors_made_in_the_task(spark):
+    rng = np.random.default_rng(9)
+    rows = [(key, i, [float(x) for x in rng.random(3)]) for key in (1, 2) for i in range(30)]
+    halves = spark.createDataFrame(rows, "recording long, id long, vector array<double>")
+    want = spark.createDataFrame([(key, i, [v[0], -v[1], v[2], 1.0]) for key, i, v in rows], halves.schema)
+    got = lambda rows, **o: {(r.recording, r.id): r.cluster for r in cluster.cluster(rows, "recording", 0.9, 1, 4, False, **o).collect()}
+    make = lambda v: np.array([v[0], -v[1], v[2], 1.0])
+    assert got(halves, make=make) == got(halves, make=make, in_task=0) == got(want) and len(got(want)) == 60
