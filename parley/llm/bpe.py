@@ -4,7 +4,9 @@ Reading tokens from every place of a piece at once is a non-deterministic machin
 readings only the longest beginning of a token matters, as the others are its ends; so these
 beginnings are the states, made when they are first met. A state knows the tokens that may end
 there, longest first, and the compiled merges decide which of them fits the token before it (exactly
-one does). What all open readings have in common is settled and emitted after a bounded lookahead.
+one does). Pieces that are new are read together, a byte of all of them at a time, with steps and pairs
+of tokens looked up in arrays; a long piece is read alone, and what all its open readings have in common
+is settled and emitted after a bounded lookahead.
 Decoding joins token bytes block by block; an incremental UTF-8 machine holds back the bytes of a
 character that a block's end has cut.
 """
@@ -17,6 +19,7 @@ import uuid
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,17 +32,23 @@ from parley.llm import words
 from parley.session import ship
 
 #: Entries at most of the tables of steps, of pairs of tokens, of pieces, and of stretches of text (two of each of the last).
-STEPS, PAIRS, PIECES, STRETCHES = 300_000, 500_000, 100_000, 150_000
+STEPS, PAIRS, PIECES, STRETCHES = 300_000, 500_000, 50_000, 180_000
 #: Bytes of a beginning whose readings are kept for other pieces, and how many are kept.
 HEAD, HEADS = 5, 25_000
 #: Bytes that are read before what is settled is emitted.
 LOOKAHEAD = 256
+#: Bytes of the longest pieces that are read together, how many pieces these are at most, and how many new texts are made at once.
+SHORT, TOGETHER, AT_ONCE = 48, 16_384, 50_000
 #: Tokens that are decoded at once.
 BLOCK_TOKENS = 8192
 #: A pattern no match of which goes on from another sign to a blank, or looks there for more than white space.
 BY_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Stretches of text up to a blank that does not follow white space; matches of that pattern lie within them.
-STRETCH = re.compile(r".[^ ]*(?:(?<=\s) [^ ]*)*", re.DOTALL)
+#: Letters and other signs of which no version of Unicode tells otherwise.
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+#: A word that one match of that pattern takes whole if no letter follows.
+WORD = re.compile(f" ?[{LETTERS}]+")
+#: Stretches of text: such words, signs before a word, a blank or the end of a line, the end of a line, or else all up to a blank that does not follow white space; matches of that pattern lie within them.
+STRETCH = re.compile(rf"{WORD.pattern}(?![^\0-@\[-`{{-\x7f])| ?[{SIGNS}]+(?=[ \n{LETTERS}])|\n(?=[!-~])|.[^ ]*(?:(?<=\s) [^ ]*)*", re.DOTALL)
 
 
 def read_ranks(text: str) -> dict[bytes, int]:
@@ -47,8 +56,62 @@ def read_ranks(text: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in text.splitlines() if line.strip())}
 
 
+class Numbers:
+    """Numbers by key, in arrays that are probed for many keys at once; they grow up to ``most`` keys, then they are emptied."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.empty(12)
+
+    def empty(self, bits: int) -> None:
+        self.bits, self.held = bits, 0
+        self.keys, self.values = np.full(1 << bits, -1), np.zeros(1 << bits, np.int32)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, keys: np.ndarray, make: Callable[[int], int]) -> np.ndarray:
+        """The number of each key; ``make`` gives those that are not there."""
+        at = self.places(keys)
+        seen = self.keys[at]
+        out, open_ = self.values[at], np.flatnonzero(seen != keys)
+        new = []
+        while len(open_):
+            free = self.keys[at[open_]] < 0
+            new.append(open_[free])
+            open_ = open_[~free]
+            at[open_] = at[open_] + 1 & len(self.keys) - 1
+            same = self.keys[at[open_]] == keys[open_]
+            out[open_[same]] = self.values[at[open_[same]]]
+            open_ = open_[~same]
+        if new:
+            rows = np.concatenate(new)
+            fresh, back = np.unique(keys[rows], return_inverse=True)
+            made = np.array([make(k) for k in fresh.tolist()], np.int32)
+            out[rows] = made[back]
+            self.put(fresh[: self.most], made[: self.most])
+        return out
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Different keys that are not there, no more than the table takes."""
+        if self.held + len(keys) > self.most:
+            self.empty(self.bits)
+        if 2 * (self.held + len(keys)) > len(self.keys):
+            full = self.keys >= 0
+            keys, values = np.concatenate([self.keys[full], keys]), np.concatenate([self.values[full], values])
+            self.empty((2 * len(keys)).bit_length())
+        self.held += len(keys)
+        at = self.places(keys)
+        while len(keys):
+            free = self.keys[at] < 0
+            self.keys[at[free]] = keys[free]
+            put = self.keys[at] == keys
+            self.values[at[put]] = values[put]
+            at, keys, values = at[~put] + 1 & len(self.keys) - 1, keys[~put], values[~put]
+
+
 class Transducer:
-    """Encodes one piece at a time; ``steps`` has for each state the states after a byte.
+    """Encodes pieces; ``steps`` has for each state the states after a byte.
 
     A state stands for the longest end of what was read that a token begins with, so there are no
     more states than beginnings of tokens.
@@ -67,6 +130,14 @@ class Transducer:
         self.number: dict[bytes, int] = {b"": 0}
         self.steps: list[dict[int, int]] = [{}]
         self.heads: dict[bytes, tuple[int, list[int], list[int]]] = {}
+        # for pieces that are read together: the same steps and pairs, the longest token that ends at a state, and for tokens their size and the longest token at their end
+        self.after, self.pairs = Numbers(STEPS), Numbers(PAIRS)
+        self.longest = np.full(1024, -1, np.int32)
+        self.base = max(self.token, default=0) + 2
+        self.size, self.shorter = np.zeros(self.base, np.int32), np.full(self.base, -1, np.int32)
+        for token, rank in ranks.items():
+            self.size[rank] = len(token)
+            self.shorter[rank] = next((ranks[token[i:]] for i in range(1, len(token)) if token[i:] in ranks), -1)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a byte or a token no merge makes."""
@@ -99,9 +170,12 @@ class Transducer:
                 for each in self.fits.values():
                     each.clear()
             self.n_fits += 1
-            found = known[left] = self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
+            found = known[left] = self.agree(left, right)
         return found
 
+    def agree(self, left: int, right: int) -> bool:
+        return self.whole(right) and (left < 0 or self.whole(left) and self.apart(left, right))
+
     def apart(self, left: int, right: int) -> bool:
         used_left = used_right = 1 << 60
         while True:
@@ -128,6 +202,9 @@ class Transducer:
             self.steps.append({})
             tokens = [self.ranks[text[i:]] for i in range(len(text)) if text[i:] in self.ranks]
             self.ending.append(tuple((t, len(self.token[t]), self.fits.setdefault(t, {})) for t in tokens))
+            if found >= len(self.longest):
+                self.longest = np.concatenate([self.longest, np.full(len(self.longest), -1, np.int32)])
+            self.longest[found] = tokens[0] if tokens else -1
         if self.n_steps >= STEPS:
             self.n_steps = 0
             for each in self.steps:
@@ -160,6 +237,67 @@ class Transducer:
                 last, sizes = last[base:], [0, *sizes[base + 1 :]]
         return out + self.back(last, sizes, len(last) - 1)
 
+    def encode_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed tokens of each piece."""
+        out, open_ = [], []
+        for i, piece in enumerate(pieces):
+            found = self.ranks.get(piece)
+            if found is None and len(piece) <= SHORT:
+                open_.append(i)
+                out.append(b"")
+            else:
+                out.append(array("i", self.encode(piece) if found is None else (found,)).tobytes())
+        open_.sort(key=lambda i: -len(pieces[i]))
+        for a in range(0, len(open_), TOGETHER):
+            part = open_[a : a + TOGETHER]
+            for i, ids in zip(part, self.read_all([pieces[i] for i in part]), strict=True):
+                out[i] = ids
+        return out
+
+    def read_all(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed tokens of pieces, longest first; they are read side by side."""
+        n, sizes = len(pieces), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        if not n or not sizes[0]:
+            return [b""] * n
+        text, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+        # the token that ends at each place, of all pieces at this place together
+        last, state = np.full((sizes[0] + 1) * n, -1, np.int32), np.zeros(n, np.int64)
+        for i in range(sizes[0]):
+            m = int(np.searchsorted(-sizes, -i))
+            state = self.after.find(state[:m] << 8 | text[starts[:m] + i], self.step_of).astype(np.int64)
+            rows, token = np.arange(m), self.longest[state]
+            while len(rows):
+                if token.min() < 0:
+                    raise ValueError(f"no token ends after {self.texts[state[rows[token.argmin()]]]!r}")
+                left = last[(i + 1 - self.size[token]) * n + rows]
+                fine = self.pairs.find((left + np.int64(1)) * self.base + token, self.agree_of) > 0
+                last[(i + 1) * n + rows[fine]] = token[fine]
+                rows, token = rows[~fine], self.shorter[token[~fine]]
+        rows, at, ways = np.flatnonzero(sizes), sizes[sizes > 0], []
+        while len(rows):
+            token = last[at * n + rows]
+            ways.append((rows, token))
+            at = at - self.size[token]
+            rows, at = rows[at > 0], at[at > 0]
+        counts = np.zeros(n, np.int64)
+        for rows, _ in ways:
+            counts[rows] += 1
+        ends = np.cumsum(counts)
+        ids = np.empty(ends[-1], np.int32)
+        for back, (rows, token) in enumerate(ways):
+            ids[ends[rows] - 1 - back] = token
+        packed, stops = ids.tobytes(), (4 * ends).tolist()
+        return [packed[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def step_of(self, key: int) -> int:
+        state, byte = key >> 8, key & 255
+        found = self.steps[state].get(byte)
+        return self.step(state, byte) if found is None else found
+
+    def agree_of(self, key: int) -> bool:
+        left, right = divmod(key, self.base)
+        return self.agree(left - 1, right)
+
     def read(self, text: bytes, state: int, last: list[int], sizes: list[int]) -> tuple[int, list[int], list[int]]:
         """The state after ``text``; the token that ends at each place since the last settled one is
         added to ``last``, and its size to ``sizes``."""
@@ -230,36 +368,70 @@ class Utf8Machine:
 class Known(dict):
     """Packed ids of texts that were met; a full table becomes the older one, so two are held at most."""
 
-    def __init__(self, make: Callable[[str], bytes], most: int):
+    def __init__(self, make: Callable[[list[str]], dict[str, bytes]], most: int):
         super().__init__()
         self.make, self.most, self.older = make, most, {}
 
-    def __missing__(self, text: str) -> bytes:
-        found = self.older.get(text)
-        if found is None:
-            found = self.make(text)
-        if len(text) <= 64:
-            if len(self) >= self.most:
-                self.older = dict(self)
-                self.clear()
-            self[text] = found
-        return found
+    def of(self, many: Iterable[list[str]]) -> Iterator[list[bytes]]:
+        """The packed ids of each text, list by list; what was not met before is made together."""
+        held, n = [], 0
+        for texts in many:
+            found = list(map(self.get, texts, texts))
+            gaps = [i for i, x in enumerate(found) if x.__class__ is str]
+            held.append((found, gaps))
+            n += len(gaps)
+            if n >= AT_ONCE:
+                yield from self.filled(held)
+                held, n = [], 0
+        yield from self.filled(held)
+
+    def filled(self, held: list[tuple[list[bytes | str], list[int]]]) -> list[list[bytes]]:
+        missed = [found[i] for found, gaps in held for i in gaps]
+        ids = list(map(self.older.get, missed, missed))
+        made = self.make(list({x for x in ids if x.__class__ is str}))
+        ids = [made[x] if x.__class__ is str else x for x in ids]
+        each = iter(ids)
+        for found, gaps in held:
+            for i in gaps:
+                found[i] = next(each)
+        if len(self) + len(missed) > self.most:
+            self.older = dict(self)
+            self.clear()
+        self.update(islice(zip(missed, ids, strict=True), self.most))
+        for text in made:
+            if len(text) > 64:
+                self.pop(text, None)
+        return [found for found, _ in held]
 
 
 class Codec:
     """Encodes and decodes whole texts by the ranks and the splitting pattern.
 
-    Where the pattern allows it, a text is cut at its blanks first, and only stretches that were not
-    met before are split by the pattern.
+    Where the pattern allows it, a text is cut into words, signs and other stretches first, and only
+    stretches that were not met before are read, all those of some texts together; the pattern splits
+    what is not a word.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
-        self.pieces = Known(lambda piece: array("i", self.machine.encode(piece.encode())).tobytes(), PIECES)
-        self.stretches = Known(lambda text: b"".join(map(self.pieces.__getitem__, self.split(text))), STRETCHES)
+        self.pieces = Known(self.encode_pieces, PIECES)
+        self.stretches = Known(self.by_pieces, STRETCHES)
         self.cut, self.known = (STRETCH.findall, self.stretches) if pattern == BY_WORDS else (self.split, self.pieces)
 
+    def by_pieces(self, stretches: list[str]) -> dict[str, bytes]:
+        """The packed ids of stretches; a word is one piece, all others are split by the pattern."""
+        made = self.encode_pieces([t for t in stretches if WORD.fullmatch(t)])
+        rest = [t for t in stretches if t not in made]
+        split = [self.split(t) for t in rest]
+        pieces = list(chain.from_iterable(split))
+        packed = chain.from_iterable(self.pieces.of(pieces[a : a + AT_ONCE] for a in range(0, len(pieces), AT_ONCE)))
+        made.update((t, b"".join(islice(packed, len(x)))) for t, x in zip(rest, split, strict=True))
+        return made
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        return dict(zip(pieces, self.machine.encode_all([p.encode() for p in pieces]), strict=True))
+
     @cached_property
     def machine(self) -> Transducer:
         return Transducer(self.ranks)
@@ -273,7 +445,20 @@ class Codec:
         return out
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.cut(text))), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        counts = []
+
+        def lists() -> Iterator[list[str]]:
+            for text in texts:
+                parts = self.cut(text)
+                counts.append(-(-len(parts) // AT_ONCE))
+                for a in range(0, len(parts), AT_ONCE):
+                    yield parts[a : a + AT_ONCE]
+
+        packed = map(b"".join, list(self.known.of(lists())))
+        return [np.frombuffer(b"".join(islice(packed, n)), np.int32) for n in counts]
 
     def decode(self, ids: np.ndarray) -> str:
         machine, out = Utf8Machine(), []
@@ -313,7 +498,7 @@ def _encoded(shared: _Shared, pattern: str, at: int, names: list[str], batches:
     codec = _codec(shared, pattern)
     for batch in batches:
         for rows, values in words.sliced(batch, at):
-            ids = [codec.encode(v.decode("utf-8", "replace")) for v in values]
+            ids = codec.encode_all([v.decode("utf-8", "replace") for v in values])
             ends = np.cumsum([0] + [len(x) for x in ids]).astype(np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([*rows.columns, column], names)

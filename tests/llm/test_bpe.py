@@ -49,6 +49,47 @@ def test_the_pattern_sees_only_what_is_new():
     assert codec.encode(text).tolist() == LIBRARY.encode_ordinary(text) and sum(seen) < 100
 
 
+def test_new_words_are_read_together_and_not_split():
+    codec, seen = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    split, codec.machine.read = codec.split, None
+    codec.split = lambda text: seen.append(text) or split(text)
+    rng = random.Random(5)
+    words = ["".join(rng.choice("aeéßnrstqzÄ") for _ in range(rng.randint(2, 20))) for _ in range(3000)]
+    texts = [" ".join(words[:1000]) + ".\nA" + ", ".join(words[1000:]) + "...", "", " " + words[7]]
+    for got, text in zip(codec.encode_all(texts), texts, strict=True):
+        assert got.tolist() == LIBRARY.encode_ordinary(text)
+    assert sorted(seen) == ["\n", ",", ".", "..."]
+
+
+def test_words_and_signs_are_cut_where_the_pattern_cuts_them():
+    signs = [" ", " ", "\n", "\t", "\x1c", "\xa0", "a", "Zé", "ßÿ", "×", "ª", "µ", "\u0100", "д", "中", "7", "½", ".", "_", "~", "\x7f", "'", "'s", "'ll", "’", "🙂", "e\u0301", "\0"]
+    split, rng = bpe.Codec(RANKS, public_tokenizers.PATTERN).split, random.Random(6)
+    for _ in range(20_000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randint(0, 12)))
+        parts = bpe.STRETCH.findall(text)
+        assert "".join(parts) == text and [m for part in parts for m in split(part)] == split(text)
+        assert all(split(part) == [part] for part in parts if bpe.WORD.fullmatch(part))
+
+
+def test_numbers_by_key_survive_growth_and_emptying():
+    table, rng = bpe.Numbers(3000), random.Random(7)
+    for size in (0, 1, 700, 2900, 5000, 40):
+        keys = bpe.np.array([rng.randrange(9000) << rng.choice((0, 30)) for _ in range(size)], bpe.np.int64)
+        for _ in range(2):
+            assert table.find(keys, lambda k: k % 97).tolist() == [k % 97 for k in keys.tolist()]
+        assert table.held == (table.keys >= 0).sum() <= 3000
+
+
+def test_long_texts_are_looked_up_in_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "AT_ONCE", 3)
+    monkeypatch.setattr(bpe, "TOGETHER", 2)
+    monkeypatch.setattr(bpe, "STRETCHES", 4)
+    codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    texts = ["", "Ein zzkwqx, zwei zzkwqx; 中文字a1b2c3 don't\n\n ende" * 4, "x", "", "zzkwqx " * 9 + "q" * 300]
+    assert [x.tolist() for x in codec.encode_all(texts)] == [LIBRARY.encode_ordinary(x) for x in texts]
+    assert max(map(len, (codec.stretches, codec.stretches.older))) <= 4
+
+
 def test_beginnings_are_read_once(monkeypatch):
     machine, read = bpe.Transducer(RANKS), []
     whole = machine.read
