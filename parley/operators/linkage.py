@@ -1,16 +1,23 @@
-"""Average linkage of recordings of any size, in rounds of mutually nearest clusters.
+"""Average linkage of recordings of any size, in rounds over groups of bounded size.
 
 A cluster is the sum of its unit vectors and their number, so the mean similarity of two clusters is one
 product. Average linkage can merge all pairs that are nearest to each other at once: what is not merged
 does not come nearer by it, so the merges are those of the one-by-one method, only found in another
-order. A cluster looks for its nearest again only after it or that one has merged. It meets all others
-of its recording block by block, as matrix products; a task sees two blocks and gives the best for each
-cluster, never a matrix of a recording. Every round is written to the shared folder.
+order.
+
+In a round each cluster gets the list of its nearest ones. It meets all others of its recording block by
+block, as matrix products; a task sees two stripes of a recording and gives the best for each cluster,
+never a matrix of a recording. Clusters that follow each other to the nearest form a group of at most
+``GROUP``, and a task merges within a group for as long as that is sure: the lists say how near anything
+outside can be, and what merges is no nearer to it than its parts are on average. So a round does the work
+of many, and a recording of no more than ``GROUP`` clusters needs only one. Every round is written to the
+shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,69 +28,306 @@ from pyspark.sql import functions as F
 from parley.functions import vector as V
 from parley.session import ship, written
 
-#: Clusters of a block.
-BLOCK = 1024
+#: Clusters of a block, of a stripe that one task holds, and of a group that one task merges.
+BLOCK, STRIPE, GROUP = 1024, 49152, 1000
+#: Length of the list of nearest clusters, and steps (powers of two) that a group follows to the nearest.
+NEAR, STEPS = 16, 3
+#: What rounding may change in a mean similarity, in double and in single precision.
+MARGIN, SLACK = 1e-12, 1e-5
+
+_LISTS = "key long, c long, mates array<long>, likes array<double>"
+_ROUND = "key long, c long, b long, n long, total array<double>, height double, nth long"
+
+
+class _Best:
+    """The ``k`` most alike of each of ``rows`` clusters; of tied ones the smallest ids."""
+
+    def __init__(self, rows: int, k: int) -> None:
+        self.k, self.like, self.mate = k, np.full((rows, k), -np.inf), np.full((rows, k), -1, np.int64)
+        self.waiting, self.many = [], 0
+
+    def add(self, at: slice, like: np.ndarray, own: np.ndarray, other: np.ndarray, ids: np.ndarray, flip: bool = False) -> None:
+        """Rows ``at`` (means ``own``) meet clusters ``ids`` (``other``), which come in order of ids; ``flip`` where
+        ``like`` has them as rows. It is rounded, so it only tells which products to compute in double precision."""
+        least, wide, k = self.like[at, -1], len(ids) // self.k, self.k
+        if wide > 1 and least.min() == -np.inf:
+            # the best of k parts are k clusters
+            parts = like[: wide * k].reshape(wide, k, -1).max(0).min(0) if flip else like[:, : wide * k].reshape(len(own), wide, k).max(1).min(1)
+            least = np.maximum(least, parts - SLACK)
+        floor = (least - SLACK).astype(np.float32)
+        row, col = _places(like > (floor if flip else floor[:, None]))
+        if flip:
+            row, col = col, row
+        for i in range(0, len(row), 1 << 16):
+            r, c = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
+            exact = np.einsum("ij,ij->i", own[r], other[c])
+            fits = exact > least[r]
+            self.waiting.append((r[fits] + at.start, ids[c[fits]], exact[fits]))
+            self.many += int(fits.sum())
+            if self.many > self.mate.size:
+                self.sort()
+
+    def sort(self) -> None:
+        """What has waited goes into the lists; of one row it has come in order of ids."""
+        if self.waiting:
+            row, mate, like = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+            some, row = np.unique(row, return_inverse=True)
+            row = np.concatenate((np.repeat(np.arange(len(some)), self.k), row))
+            mate, like = np.concatenate((self.mate[some].ravel(), mate)), np.concatenate((self.like[some].ravel(), like))
+            order = np.lexsort((-like, row))
+            first = order[np.searchsorted(row[order], np.arange(len(some)))[:, None] + np.arange(self.k)]
+            self.like[some], self.mate[some], self.waiting, self.many = like[first], mate[first], [], 0
+
+    def batch(self, key: int, ids: np.ndarray) -> pa.RecordBatch:
+        self.sort()
+        fits = self.like > -np.inf
+        ends = pa.array(np.concatenate(([0], np.cumsum(fits.sum(1)))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(own[fits])) for own in (self.mate, self.like)]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key, np.int64)), pa.array(ids), *lists], ["key", "c", "mates", "likes"])
+
+
+def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1)
 
 
-def _blocks(clusters: DataFrame, name: str) -> DataFrame:
-    part = F.pmod(F.monotonically_increasing_id(), F.greatest(F.lit(1), F.ceil(F.col("_m") / BLOCK)))
-    sized = clusters.withColumn("_m", F.count("*").over(W.partitionBy("key"))).withColumn("_part", part)
-    return sized.groupBy("key", "_part").agg(F.collect_list(F.struct("c", "n", "total")).alias(name)).drop("_part")
+def _places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of what is true, which is rare: eight at a time are looked at first."""
+    if hit.shape[1] % 8:
+        return np.nonzero(hit)
+    eights = np.flatnonzero(hit.view(np.uint64))
+    at, col = np.nonzero(hit.reshape(-1, 8)[eights])
+    return divmod(eights[at] * 8 + col, hit.shape[1])
+
+
+def _rounded(a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
+    return np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+
+
+def _cuts(n: int, size: int) -> list[slice]:
+    return [slice(i, min(i + size, n)) for i in range(0, n, size)]
+
+
+def lists(clusters: DataFrame, k: int) -> DataFrame:
+    """``key, c, mates, likes``: for each cluster (``key, c, n, total``) the ``k`` most alike other ones of its
+    key, the nearest first; of tied ones the smallest ids."""
+    size = BLOCK
+    sizes = clusters.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
+    many = F.greatest(F.ceil(F.col("_m") / STRIPE), F.least(F.lit(8), F.ceil(F.col("_m") / BLOCK)))
+    striped = clusters.join(F.broadcast(sizes), "key").withColumn("_s", F.pmod(F.xxhash64("c"), many)).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
+    cells = striped.select("key", F.least("_s", "_t").alias("i"), F.greatest("_s", "_t").alias("j"), (F.col("_s") > F.col("_t")).alias("late"), F.col("c").cast("long").alias("c"), F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+
+    def within(key: int, ids: np.ndarray, means: np.ndarray, room: np.ndarray) -> pa.RecordBatch:
+        best, short = _Best(len(ids), k), means.astype(np.float32)
+        for y in _cuts(len(ids), size):
+            for x in _cuts(y.stop, size):
+                like = _rounded(short[x], short[y], room)
+                if x == y:
+                    np.fill_diagonal(like, -np.inf)
+                else:
+                    best.add(y, like, means[y], means[x], ids[x], flip=True)
+                best.add(x, like, means[x], means[y], ids[y])
+        return best.batch(key, ids)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, best, room = None, [], None, np.empty(size * size, np.float32)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                yield best.batch(cell[0], held[0])
+            elif held and cell[1] == cell[2]:
+                yield within(cell[0], *(np.concatenate(x) for x in zip(*held, strict=True)), room)
+
+        for batch in batches:
+            marks = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(4)]
+            fresh = np.flatnonzero(np.any([x[1:] != x[:-1] for x in marks], axis=0)) + 1
+            for a, b in pairwise([0, *fresh, batch.num_rows] if batch.num_rows else []):
+                now, late = tuple(int(x[a]) for x in marks[:3]), bool(marks[3][a])
+                ids, means = batch.column(4)[a:b].to_numpy(), _matrix(batch.column(5)[a:b], b - a)
+                if now != cell:
+                    yield from ended()
+                    cell, held, best = now, [], None
+                if not late:
+                    held.append((ids, means))
+                elif held:
+                    if best is None:
+                        held = [np.concatenate(x) for x in zip(*held, strict=True)]
+                        best, short = _Best(len(held[0]), k), held[1].astype(np.float32)
+                    for y in _cuts(len(ids), size):
+                        own, thin = _Best(y.stop - y.start, k), means[y].astype(np.float32)
+                        for x in _cuts(len(held[0]), size):
+                            like = _rounded(short[x], thin, room)
+                            best.add(x, like, held[1][x], means[y], ids[y])
+                            own.add(slice(0, len(thin)), like, means[y], held[1][x], held[0][x], flip=True)
+                        yield own.batch(now[0], ids[y])
+        yield from ended()
+
+    each = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "late", "c").mapInArrow(run, _LISTS)
+    pairs = F.transform("likes", lambda x, i: F.struct(x.alias("like"), (-F.get("mates", i)).alias("mate")))
+    top = F.slice(F.sort_array(F.flatten(F.collect_list(pairs)), asc=False), 1, k)
+    return each.groupBy("key", "c").agg(top.alias("_top")).select("key", "c", F.transform("_top", lambda x: -x["mate"]).alias("mates"), F.col("_top.like").alias("likes"))
 
 
 def nearest(asked: DataFrame, clusters: DataFrame) -> DataFrame:
-    """``key, c, mate, similarity``: for each cluster asked for (``key, c, n, total``) the most alike other
-    one of its key; ties go to the pair with the smallest ids."""
-    pairs = _blocks(asked, "qs").join(_blocks(clusters, "rows"), "key").select("key", "qs", "rows")
-
-    def side(blocks: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids in order and mean vectors of a block."""
-        own = blocks[i].values
-        ids, n = (own.field(k).to_numpy(zero_copy_only=False) for k in ("c", "n"))
-        means = own.field("total").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) / n[:, None]
-        order = np.argsort(ids)
-        return ids[order], means[order]
+    """``key, c, mate, similarity``: for each cluster asked for the most alike other one of its key; ties go to
+    the pair with the smallest ids."""
+    found = lists(clusters, 1).join(asked.select("key", "c"), ["key", "c"], "left_semi").where(F.size("mates") > 0)
+    return found.select("key", "c", F.col("mates")[0].alias("mate"), F.col("likes")[0].alias("similarity"))
+
+
+def _groups(found: DataFrame) -> DataFrame:
+    """``key, c, group``: clusters that end at the same one, each going on to its nearest; of larger groups
+    the nearest ``GROUP``, the others are alone. Two that are nearest to each other are together."""
+    up = found.where("up is not null").select("key", "c", "up", "like")
+
+    def on(rows: DataFrame) -> DataFrame:
+        return rows.join(rows.select("key", F.col("c").alias("up"), F.col("up").alias("_next")), ["key", "up"])
+
+    pair = F.col("_next") == F.col("c")
+    ends = on(up).select("key", "c", F.when(pair, F.least("c", "up")).otherwise(F.col("up")).alias("up"), "like", pair.alias("pair"))
+    for _ in range(STEPS):
+        ends = on(ends).select("key", "c", F.col("_next").alias("up"), "like", "pair")
+    ends = written(ends, "ends")
+    over = ends.groupBy("key", "up").agg(F.count("*").alias("_m")).where(F.col("_m") > GROUP).select("key", "up")
+    group = F.col("up").alias("group")
+    if over.isEmpty():
+        return ends.select("key", "c", group)
+    nth = F.row_number().over(W.partitionBy("key", "up").orderBy(F.desc("like"), F.desc("pair"), "c"))
+    nearest = ends.join(over, ["key", "up"], "left_semi").withColumn("_nth", nth).where(F.col("_nth") <= GROUP)
+    return ends.join(over, ["key", "up"], "left_anti").select("key", "c", group).unionByName(nearest.select("key", "c", group))
+
+
+def _merge(ids: np.ndarray, n: np.ndarray, total: np.ndarray, height: np.ndarray, mates: np.ndarray | None, likes: np.ndarray | None) -> tuple[np.ndarray, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """Merges within a group, whose ids are in order; ``n``, ``total`` and ``height`` are changed. Which
+    clusters are left, and for each step its number, the places of ``a`` and ``b``, and the heights.
+
+    ``mates`` and ``likes`` are lists of the nearest over the whole recording, or None where the group is
+    the recording. ``out`` is the most that anything outside can be alike.
+    """
+    every, live, found, step = np.arange(len(ids)), np.ones(len(ids), bool), [], 0
+    mean = total / n[:, None]
+    like = mean @ mean.T
+    like = np.maximum(like, like.T)
+    np.fill_diagonal(like, -np.inf)
+    out, both = np.full(len(ids), -np.inf), np.zeros(len(ids), bool)
+    if mates is not None:
+        place = np.minimum(np.searchsorted(ids, mates), len(ids) - 1)
+        inside = (ids[place] == mates) & (likes > -np.inf)
+        # a full list says that all others are no nearer than its last
+        out = np.maximum(np.where(inside, -np.inf, likes).max(1), likes[:, -1])
+        first = np.where(inside[:, 0], place[:, 0], every)
+        both = (first[first] == every) & (every < first)
+    while True:
+        if both.any():
+            a = np.flatnonzero(both)
+            b, top, both = first[a], likes[a, 0], np.zeros(len(ids), bool)
+        else:
+            near = like.argmax(1)
+            best = like[every, near]
+            sure = best > out + MARGIN
+            a = np.flatnonzero((near[near] == every) & (every < near) & sure & sure[near])
+            b, top = near[a], best[a]
+        if not len(a):
+            return live, found
+        height[a] = np.minimum(top, np.minimum(height[a], height[b]))
+        found.append((step, a, b, height[a]))
+        with np.errstate(invalid="ignore"):
+            out[a] = (n[a] * out[a] + n[b] * out[b]) / (n[a] + n[b])
+        total[a] += total[b]
+        n[a] += n[b]
+        mean[a], live[b], step = total[a] / n[a][:, None], False, step + 1
+        fresh = mean[a] @ mean.T
+        fresh[:, ~live] = -np.inf
+        fresh[:, a] = np.maximum(fresh[:, a], fresh[:, a].T)
+        fresh[np.arange(len(a)), a] = -np.inf
+        like[a], like[:, a] = fresh, fresh.T
+        like[b], like[:, b] = -np.inf, -np.inf
+
+
+def _solved(rows: pa.RecordBatch, bounds: list[int], k: int, first: int) -> pa.RecordBatch:
+    """One round over whole groups: what is left and what has merged."""
+    keys, ids, n, height = (rows.column(x).to_numpy().copy() for x in ("key", "c", "n", "height"))
+    total, known = _matrix(rows.column("total"), len(ids)).copy(), rows.column("mates").is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.where(known, rows.column("mates").value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    fits = np.arange(k) < sizes[:, None]
+    mates, likes = np.full(fits.shape, -1, np.int64), np.full(fits.shape, -np.inf)
+    mates[fits], likes[fits] = (rows.column(x).flatten().to_numpy(zero_copy_only=False) for x in ("mates", "likes"))
+    live, made = np.ones(len(ids), bool), []
+    for a, b in pairwise(bounds):
+        if b - a > 1:
+            own, lists = slice(a, b), (mates[a:b], likes[a:b]) if known[a] else (None, None)
+            live[own], steps = _merge(ids[own], n[own], total[own], height[own], *lists)
+            made += [(np.full(len(x), first + step), x + a, y + a, high) for step, x, y, high in steps]
+    nth, a, b, high = (np.concatenate(x) for x in zip(*made, strict=True)) if made else [np.empty(0, int)] * 4
+    left = np.flatnonzero(live)
+    vectors = pa.ListArray.from_arrays(pa.array(np.concatenate((np.arange(len(left) + 1) * total.shape[1], np.full(len(a), len(left) * total.shape[1]))).astype(np.int32)), pa.array(total[left].ravel()))
+    none = [pa.nulls(x, pa.int64()) for x in (len(left), len(left))]
+    columns = [
+        pa.array(np.concatenate((keys[left], keys[a]))),
+        pa.array(np.concatenate((ids[left], ids[a]))),
+        pa.concat_arrays([none[0], pa.array(ids[b].astype(np.int64))]),
+        pa.array(np.concatenate((n[left], n[a]))),
+        vectors,
+        pa.array(np.concatenate((height[left], high)).astype(float)),
+        pa.concat_arrays([none[1], pa.array(nth.astype(np.int64))]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["key", "c", "b", "n", "total", "height", "nth"])
+
+
+def _round(clusters: DataFrame, largest: int, first: int) -> DataFrame:
+    """One round: what is left (``b`` is null) and what has merged (``c`` and ``b`` into ``c``)."""
+    k = NEAR
+    if largest > GROUP:
+        large = clusters.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > GROUP).select("key")
+        listed = lists(clusters.join(F.broadcast(large), "key", "left_semi"), k)
+        found = clusters.join(listed, ["key", "c"], "left").withColumns({"up": F.get("mates", F.lit(0)), "like": F.get("likes", F.lit(0))})
+        found = written(found, "nearest")
+        # a recording without lists is one group
+        group = F.coalesce("group", F.when(F.col("mates").isNull(), F.lit(-1)).otherwise(F.col("c")))
+        grouped = found.join(_groups(found), ["key", "c"], "left").withColumn("group", group)
+    else:
+        grouped = clusters.withColumns({"group": F.lit(-1).cast("long"), "mates": F.lit(None).cast("array<long>"), "likes": F.lit(None).cast("array<double>")})
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                (asked, a), (ids, b) = side(batch.column(1), i), side(batch.column(2), i)
-                like = a @ b.T
-                at = np.minimum(np.searchsorted(ids, asked), len(ids) - 1)
-                same = np.flatnonzero(ids[at] == asked)
-                like[same, at[same]] = -np.inf
-                # of tied ids the smallest, which is the first, also gives the smallest pair
-                mate = like.argmax(1)
-                top = like[np.arange(len(asked)), mate]
-                fits = top > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * int(fits.sum()), pa.int64()), pa.array(asked[fits]), pa.array(ids[mate][fits]), pa.array(top[fits])], ["key", "c", "mate", "similarity"])
-
-    each = pairs.mapInArrow(run, "key long, c long, mate long, similarity double")
-    best = F.max(F.struct("similarity", (-F.least("c", "mate")).alias("a"), (-F.greatest("c", "mate")).alias("b"), "mate"))
-    return each.groupBy("key", "c").agg(best.alias("_b")).select("key", "c", "_b.mate", "_b.similarity")
+            if batch.num_rows:
+                batch = batch if held is None else pa.concat_batches([held, batch])
+                marks = [batch.column(x).to_numpy() for x in ("key", "group")]
+                bounds = [0, *(np.flatnonzero((marks[0][1:] != marks[0][:-1]) | (marks[1][1:] != marks[1][:-1])) + 1).tolist()]
+                # the last group of a batch may go on in the next one
+                held = batch.slice(bounds[-1])
+                if bounds[-1]:
+                    yield _solved(batch.slice(0, bounds[-1]), bounds, k, first)
+        if held is not None:
+            yield _solved(held, [0, held.num_rows], k, first)
+
+    own = grouped.select("key", "group", "c", "n", "total", "height", "mates", "likes")
+    return own.repartition("key", "group").sortWithinPartitions("key", "group", "c").mapInArrow(run, _ROUND)
 
 
 def merges(vectors: DataFrame) -> DataFrame:
-    """``key, a, b, height``: every merge of each recording (``key, id, vector``), down to one cluster. The
+    """``key, a, b, height, nth``: every merge of each recording (``key, id, vector``), down to one cluster. The
     cluster of ``b`` goes into that of ``a``; both are named by their smallest id, so ``a < b``."""
     ship(vectors.sparkSession)
-    clusters = written(vectors.select("key", F.col("id").alias("c"), F.lit(1).cast("long").alias("n"), V.unit(F.col("vector")).alias("total"), F.lit(1.0).alias("height")), "clusters")
-    near, done, nth = written(nearest(clusters, clusters), "nearest"), None, 0
+    units = vectors.select("key", F.col("id").cast("long").alias("c"), V.unit(F.col("vector")).alias("total"))
+    # copies are as alike as can be, so they merge first; a zero vector is not even like itself
+    alone = F.when(F.exists("total", lambda x: x != 0), F.lit(-1)).otherwise(F.col("c"))
+    units, alike = written(units.withColumn("alone", alone), "units"), ["key", "total", "alone"]
+    firsts = written(units.groupBy(*alike).agg(F.min("c").alias("a"), F.count("*").alias("n")), "firsts")
+    done = written(units.join(firsts.where("n > 1"), alike).where("c > a").select("key", "a", F.col("c").alias("b"), F.lit(1.0).alias("height"), F.lit(0).cast("long").alias("nth")), "copies")
+    # what has no direction is like nothing
+    clusters = firsts.where(~F.exists("total", F.isnan)).select("key", F.col("a").alias("c"), "n", F.transform("total", lambda x: x * F.col("n")).alias("total"), F.lit(1.0).alias("height"))
+    nth = 1
     while True:
-        other = near.select("key", F.col("c").alias("mate"), F.col("mate").alias("c"))
-        found = near.join(other, ["key", "c", "mate"]).where("c < mate").select("key", F.col("c").alias("a"), F.col("mate").alias("b"), "similarity")
-        sides = clusters.select("key", F.col("c").alias("b"), F.col("n").alias("n2"), F.col("total").alias("t2"), F.col("height").alias("h2"))
-        both = found.join(sides, ["key", "b"]).join(clusters.withColumnRenamed("c", "a"), ["key", "a"])
-        made = written(both.select("key", "a", "b", F.least("similarity", "height", "h2").alias("height"), (F.col("n") + F.col("n2")).alias("n"), F.zip_with("total", "t2", lambda x, y: x + y).alias("total")), "merges")
+        sizes = clusters.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
+        largest = sizes.agg(F.max("_m")).first()[0]
+        if largest is None:
+            return done
+        out = written(_round(clusters.join(F.broadcast(sizes), "key", "left_semi"), largest, nth), "round")
+        made = out.where("b is not null").select("key", F.col("c").alias("a"), "b", "height", "nth")
         if made.isEmpty():
-            return vectors.sparkSession.createDataFrame([], "key long, a long, b long, height double, nth int") if done is None else done
-        step = made.select("key", "a", "b", "height", F.lit(nth).alias("nth"))
-        done = step if done is None else done.unionByName(step)
-        gone = made.select("key", F.explode(F.array("a", "b")).alias("c"))
-        clusters = written(clusters.join(gone, ["key", "c"], "left_anti").unionByName(made.select("key", F.col("a").alias("c"), "n", "total", "height")), "clusters")
-        kept = near.join(gone, ["key", "c"], "left_anti").join(gone.withColumnRenamed("c", "mate"), ["key", "mate"], "left_anti")
-        asked = clusters.join(kept, ["key", "c"], "left_anti")
-        near, nth = written(kept.unionByName(nearest(asked, clusters)), "nearest"), nth + 1
+            return done
+        done, clusters, nth = done.unionByName(made), out.where("b is null").select("key", "c", "n", "total", "height"), nth + GROUP
 
 
 def _roots(ids: DataFrame, kept: DataFrame) -> DataFrame:
@@ -106,10 +350,13 @@ def label(vectors: DataFrame, similarity: float, least: int, most: int, stop_at_
     """
     found = merges(vectors)
     sizes = vectors.groupBy("key").agg(F.count("*").alias("_n"))
-    order = W.partitionBy("key").orderBy(F.desc("height"), "nth", "a", "b")
-    ranked = found.join(sizes, "key").withColumn("_k", F.row_number().over(order))
-    must = F.col("_k") <= F.col("_n") - max(most, 1)
-    kept = ranked.where(must if stop_at_most else must | (F.col("height") >= similarity))
+    counts = found.groupBy("key").agg(F.count("*").alias("_m")).join(sizes, "key")
+    # the last merges, of which those must not hold that leave fewer than ``most``
+    order = W.partitionBy("key").orderBy("height", F.desc("nth"), F.desc("a"), F.desc("b"))
+    last = found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") < max(most, 1)).join(F.broadcast(counts), "key")
+    free = last.where(F.col("_k") <= F.col("_m") - F.col("_n") + max(most, 1)).select("key", "b", F.lit(True).alias("_free"))
+    held = F.col("_free").isNull()
+    kept = found.join(free, ["key", "b"], "left").where(held if stop_at_most else held | (F.col("height") >= similarity))
     out = _roots(vectors.select("key", "id"), kept)
     for _ in range(least - 1):
         counts = out.groupBy("key", "label").agg(F.count("*").alias("_m"))
