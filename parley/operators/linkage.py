@@ -10,8 +10,8 @@ block, as matrix products; a task sees two stripes of a recording and gives the
 never a matrix of a recording. Clusters that follow each other to the nearest form a group of at most
 ``GROUP``, and a task merges within a group for as long as that is sure: the lists say how near anything
 outside can be, and what merges is no nearer to it than its parts are on average. So a round does the work
-of many, and a recording of no more than ``GROUP`` clusters needs only one. Every round is written to the
-shared folder.
+of many, and a recording of no more than ``GROUP`` clusters needs only one, as does what is left of a larger
+one at three times as many. Every round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from parley.session import ship, written
 
 #: Clusters of a block, of a stripe that one task holds, and of a group that one task merges.
 BLOCK, STRIPE, GROUP = 1024, 49152, 1000
-#: Length of the list of nearest clusters, and steps (powers of two) that a group follows to the nearest.
-NEAR, STEPS = 16, 3
+#: Length of the list of nearest clusters, parts of a stripe whose best are known before lists are made (no
+#: fewer than the list is long), and steps (powers of two) that a group follows to the nearest.
+NEAR, PARTS, STEPS = 16, 64, 3
 #: What rounding may change in a mean similarity, in double and in single precision.
 MARGIN, SLACK = 1e-12, 1e-5
 
@@ -40,31 +41,41 @@ _ROUND = "key long, c long, b long, n long, total array<double>, height double,
 
 
 class _Best:
-    """The ``k`` most alike of each of ``rows`` clusters; of tied ones the smallest ids."""
+    """The ``k`` most alike of each of some clusters; of tied ones the smallest ids."""
 
-    def __init__(self, rows: int, k: int) -> None:
-        self.k, self.like, self.mate = k, np.full((rows, k), -np.inf), np.full((rows, k), -1, np.int64)
+    def __init__(self, ids: np.ndarray, means: np.ndarray, k: int) -> None:
+        self.ids, self.means, self.short, self.k = ids, means, means.astype(np.float32), k
+        self.like, self.mate = np.full((len(ids), k), -np.inf), np.full((len(ids), k), -1, np.int64)
+        self.high, self.least = np.full((len(ids), PARTS), -np.inf, np.float32), np.empty(0)
         self.waiting, self.many = [], 0
 
-    def add(self, at: slice, like: np.ndarray, own: np.ndarray, other: np.ndarray, ids: np.ndarray, flip: bool = False) -> None:
-        """Rows ``at`` (means ``own``) meet clusters ``ids`` (``other``), which come in order of ids; ``flip`` where
-        ``like`` has them as rows. It is rounded, so it only tells which products to compute in double precision."""
-        least, wide, k = self.like[at, -1], len(ids) // self.k, self.k
-        if wide > 1 and least.min() == -np.inf:
-            # the best of k parts are k clusters
-            parts = like[: wide * k].reshape(wide, k, -1).max(0).min(0) if flip else like[:, : wide * k].reshape(len(own), wide, k).max(1).min(1)
-            least = np.maximum(least, parts - SLACK)
+    def look(self, at: slice, like: np.ndarray, flip: bool = False) -> None:
+        """Rows ``at`` meet clusters for the first time: the best of each of ``PARTS`` parts is kept; ``flip`` where
+        ``like`` has the others as rows."""
+        wide = like.shape[0 if flip else 1] // PARTS
+        if wide:
+            parts = like[: wide * PARTS].reshape(wide, PARTS, -1).max(0).T if flip else like[:, : wide * PARTS].reshape(len(like), wide, PARTS).max(1)
+            np.maximum(self.high[at], parts, out=self.high[at])
+
+    def looked(self) -> None:
+        """The best of ``k`` parts are ``k`` clusters, so what is less alike than they is not in the lists."""
+        self.least = np.partition(self.high, PARTS - self.k, axis=1)[:, PARTS - self.k].astype(float) - SLACK
+
+    def add(self, at: slice, like: np.ndarray, other: _Best, of: slice, flip: bool = False) -> None:
+        """Rows ``at`` meet clusters ``of`` the other ones, which come in order of ids. ``like`` is rounded, so it
+        only tells which products to compute in double precision."""
+        least = np.maximum(self.like[at, -1], self.least[at])
         floor = (least - SLACK).astype(np.float32)
         row, col = _places(like > (floor if flip else floor[:, None]))
         if flip:
             row, col = col, row
         for i in range(0, len(row), 1 << 16):
             r, c = row[i : i + (1 << 16)], col[i : i + (1 << 16)]
-            exact = np.einsum("ij,ij->i", own[r], other[c])
+            exact = np.einsum("ij,ij->i", self.means[at][r], other.means[of][c])
             fits = exact > least[r]
-            self.waiting.append((r[fits] + at.start, ids[c[fits]], exact[fits]))
+            self.waiting.append((r[fits] + at.start, other.ids[of][c[fits]], exact[fits]))
             self.many += int(fits.sum())
-            if self.many > self.mate.size:
+            if self.many > 2 * self.mate.size:
                 self.sort()
 
     def sort(self) -> None:
@@ -78,12 +89,36 @@ class _Best:
             first = order[np.searchsorted(row[order], np.arange(len(some)))[:, None] + np.arange(self.k)]
             self.like[some], self.mate[some], self.waiting, self.many = like[first], mate[first], [], 0
 
-    def batch(self, key: int, ids: np.ndarray) -> pa.RecordBatch:
+    def batch(self, key: int) -> pa.RecordBatch:
         self.sort()
         fits = self.like > -np.inf
         ends = pa.array(np.concatenate(([0], np.cumsum(fits.sum(1)))).astype(np.int32))
         lists = [pa.ListArray.from_arrays(ends, pa.array(own[fits])) for own in (self.mate, self.like)]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key, np.int64)), pa.array(ids), *lists], ["key", "c", "mates", "likes"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(self.ids), key, np.int64)), pa.array(self.ids), *lists], ["key", "c", "mates", "likes"])
+
+
+def _meet(one: _Best, two: _Best, size: int) -> None:
+    """All pairs of two stripes, or of one with itself, block by block: first to learn what can be in the lists."""
+    room = np.empty(size * size, np.float32)
+
+    def blocks() -> Iterator[tuple[slice, slice, np.ndarray]]:
+        for y in _cuts(len(two.ids), size):
+            for x in _cuts(y.stop if one is two else len(one.ids), size):
+                like = np.matmul(one.short[x], two.short[y].T, out=room[: (x.stop - x.start) * (y.stop - y.start)].reshape(x.stop - x.start, -1))
+                if one is two and x == y:
+                    np.fill_diagonal(like, -np.inf)
+                yield x, y, like
+
+    for x, y, like in blocks():
+        one.look(x, like)
+        if one is not two or x != y:
+            two.look(y, like, flip=True)
+    for side in (one, two):
+        side.looked()
+    for x, y, like in blocks():
+        if one is not two or x != y:
+            two.add(y, like, one, x, flip=True)
+        one.add(x, like, two, y)
 
 
 def _matrix(lists: pa.Array, rows: int) -> np.ndarray:
@@ -99,8 +134,24 @@ def _places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return divmod(eights[at] * 8 + col, hit.shape[1])
 
 
-def _rounded(a: np.ndarray, b: np.ndarray, room: np.ndarray) -> np.ndarray:
-    return np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+def _bounds(rows: pa.RecordBatch) -> list[int]:
+    """Where runs of equal values in the first two columns begin."""
+    one, two = (rows.column(x).to_numpy() for x in (0, 1))
+    return [0, *(np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1).tolist()]
+
+
+def _united(rows: pa.RecordBatch, bounds: np.ndarray, k: int) -> pa.RecordBatch:
+    """The ``k`` best of all lists of each cluster; its rows follow each other."""
+    starts, sizes = bounds[:-1], rows.column(2).value_lengths().to_numpy()
+    mate, like = (rows.column(x).flatten().to_numpy(zero_copy_only=False) for x in (2, 3))
+    own = np.repeat(np.repeat(np.arange(len(starts)), np.diff(bounds)), sizes)
+    order = np.lexsort((mate, -like, own))
+    counts = np.bincount(own, minlength=len(starts))
+    nth = np.arange(len(own)) - np.repeat(np.cumsum(counts) - counts, counts)
+    first = order[nth < k]
+    ends = pa.array(np.concatenate(([0], np.cumsum(np.minimum(counts, k)))).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[first])) for x in (mate, like)]
+    return pa.RecordBatch.from_arrays([*(rows.column(x).take(pa.array(starts)) for x in (0, 1)), *lists], ["key", "c", "mates", "likes"])
 
 
 def _cuts(n: int, size: int) -> list[slice]:
@@ -113,58 +164,49 @@ def lists(clusters: DataFrame, k: int) -> DataFrame:
     size = BLOCK
     sizes = clusters.groupBy("key").agg(F.count("*").alias("_m")).where("_m > 1")
     many = F.greatest(F.ceil(F.col("_m") / STRIPE), F.least(F.lit(8), F.ceil(F.col("_m") / BLOCK)))
-    striped = clusters.join(F.broadcast(sizes), "key").withColumn("_s", F.pmod(F.xxhash64("c"), many)).withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), many - 1)))
-    cells = striped.select("key", F.least("_s", "_t").alias("i"), F.greatest("_s", "_t").alias("j"), (F.col("_s") > F.col("_t")).alias("late"), F.col("c").cast("long").alias("c"), F.transform("total", lambda x: x / F.col("n")).alias("mean"))
-
-    def within(key: int, ids: np.ndarray, means: np.ndarray, room: np.ndarray) -> pa.RecordBatch:
-        best, short = _Best(len(ids), k), means.astype(np.float32)
-        for y in _cuts(len(ids), size):
-            for x in _cuts(y.stop, size):
-                like = _rounded(short[x], short[y], room)
-                if x == y:
-                    np.fill_diagonal(like, -np.inf)
-                else:
-                    best.add(y, like, means[y], means[x], ids[x], flip=True)
-                best.add(x, like, means[x], means[y], ids[y])
-        return best.batch(key, ids)
+    # told how many parts, or Spark joins small ones, whose work is large; more than cells, so that few share one
+    total = sizes.select(many.alias("_many")).agg(F.sum(F.expr("_many * (_many + 1) / 2"))).first()[0]
+    parts = max(1, min(4 * int(total or 0), max(1000, int(total or 0))))
+    means = clusters.join(F.broadcast(sizes), "key").select("key", F.col("c").cast("long").alias("c"), many.alias("_many"), F.pmod(F.xxhash64("c"), many).alias("_s"), F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+    striped = means.withColumn("_t", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_many") - 1)))
+    cells = striped.select("key", F.least("_s", "_t").alias("i"), F.greatest("_s", "_t").alias("j"), (F.col("_s") > F.col("_t")).alias("late"), "c", "mean")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, held, best, room = None, [], None, np.empty(size * size, np.float32)
+        cell, held = None, ([], [])
 
-        def ended() -> Iterator[pa.RecordBatch]:
-            if best is not None:
-                yield best.batch(cell[0], held[0])
-            elif held and cell[1] == cell[2]:
-                yield within(cell[0], *(np.concatenate(x) for x in zip(*held, strict=True)), room)
+        def met() -> Iterator[pa.RecordBatch]:
+            sides = [_Best(*(np.concatenate(x) for x in zip(*side, strict=True)), k) for side in held if side]
+            if cell is not None and (len(sides) == 2 or cell[1] == cell[2]):
+                _meet(sides[0], sides[-1], size)
+                for side in sides:
+                    yield side.batch(cell[0])
 
         for batch in batches:
             marks = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(4)]
             fresh = np.flatnonzero(np.any([x[1:] != x[:-1] for x in marks], axis=0)) + 1
             for a, b in pairwise([0, *fresh, batch.num_rows] if batch.num_rows else []):
-                now, late = tuple(int(x[a]) for x in marks[:3]), bool(marks[3][a])
-                ids, means = batch.column(4)[a:b].to_numpy(), _matrix(batch.column(5)[a:b], b - a)
+                now = tuple(int(x[a]) for x in marks[:3])
                 if now != cell:
-                    yield from ended()
-                    cell, held, best = now, [], None
-                if not late:
-                    held.append((ids, means))
-                elif held:
-                    if best is None:
-                        held = [np.concatenate(x) for x in zip(*held, strict=True)]
-                        best, short = _Best(len(held[0]), k), held[1].astype(np.float32)
-                    for y in _cuts(len(ids), size):
-                        own, thin = _Best(y.stop - y.start, k), means[y].astype(np.float32)
-                        for x in _cuts(len(held[0]), size):
-                            like = _rounded(short[x], thin, room)
-                            best.add(x, like, held[1][x], means[y], ids[y])
-                            own.add(slice(0, len(thin)), like, means[y], held[1][x], held[0][x], flip=True)
-                        yield own.batch(now[0], ids[y])
-        yield from ended()
-
-    each = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "late", "c").mapInArrow(run, _LISTS)
-    pairs = F.transform("likes", lambda x, i: F.struct(x.alias("like"), (-F.get("mates", i)).alias("mate")))
-    top = F.slice(F.sort_array(F.flatten(F.collect_list(pairs)), asc=False), 1, k)
-    return each.groupBy("key", "c").agg(top.alias("_top")).select("key", "c", F.transform("_top", lambda x: -x["mate"]).alias("mates"), F.col("_top.like").alias("likes"))
+                    yield from met()
+                    cell, held = now, ([], [])
+                held[int(marks[3][a])].append((batch.column(4)[a:b].to_numpy(), _matrix(batch.column(5)[a:b], b - a)))
+        yield from met()
+
+    def united(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                batch = batch if held is None else pa.concat_batches([held, batch])
+                bounds = _bounds(batch)
+                # the last cluster of a batch may go on in the next one
+                held = batch.slice(bounds[-1])
+                if bounds[-1]:
+                    yield _united(batch.slice(0, bounds[-1]), np.array(bounds), k)
+        if held is not None:
+            yield _united(held, np.array([0, held.num_rows]), k)
+
+    each = cells.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "late", "c").mapInArrow(run, _LISTS)
+    return each.repartition("key", "c").sortWithinPartitions("key", "c").mapInArrow(united, _LISTS)
 
 
 def nearest(asked: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -273,11 +315,12 @@ def _solved(rows: pa.RecordBatch, bounds: list[int], k: int, first: int) -> pa.R
     return pa.RecordBatch.from_arrays(columns, ["key", "c", "b", "n", "total", "height", "nth"])
 
 
-def _round(clusters: DataFrame, largest: int, first: int) -> DataFrame:
-    """One round: what is left (``b`` is null) and what has merged (``c`` and ``b`` into ``c``)."""
+def _round(clusters: DataFrame, largest: int, whole: int, first: int) -> DataFrame:
+    """One round: what is left (``b`` is null) and what has merged (``c`` and ``b`` into ``c``). Recordings of at
+    most ``whole`` clusters are one group."""
     k = NEAR
-    if largest > GROUP:
-        large = clusters.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > GROUP).select("key")
+    if largest > whole:
+        large = clusters.groupBy("key").agg(F.count("*").alias("_m")).where(F.col("_m") > whole).select("key")
         listed = lists(clusters.join(F.broadcast(large), "key", "left_semi"), k)
         found = clusters.join(listed, ["key", "c"], "left").withColumns({"up": F.get("mates", F.lit(0)), "like": F.get("likes", F.lit(0))})
         found = written(found, "nearest")
@@ -292,8 +335,7 @@ def _round(clusters: DataFrame, largest: int, first: int) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 batch = batch if held is None else pa.concat_batches([held, batch])
-                marks = [batch.column(x).to_numpy() for x in ("key", "group")]
-                bounds = [0, *(np.flatnonzero((marks[0][1:] != marks[0][:-1]) | (marks[1][1:] != marks[1][:-1])) + 1).tolist()]
+                bounds = _bounds(batch)
                 # the last group of a batch may go on in the next one
                 held = batch.slice(bounds[-1])
                 if bounds[-1]:
@@ -323,11 +365,13 @@ def merges(vectors: DataFrame) -> DataFrame:
         largest = sizes.agg(F.max("_m")).first()[0]
         if largest is None:
             return done
-        out = written(_round(clusters.join(F.broadcast(sizes), "key", "left_semi"), largest, nth), "round")
+        # what is left of larger recordings may end in one task earlier; its matrix takes 72 MB
+        whole = GROUP if nth == 1 else 3 * GROUP
+        out = written(_round(clusters.join(F.broadcast(sizes), "key", "left_semi"), largest, whole, nth), "round")
         made = out.where("b is not null").select("key", F.col("c").alias("a"), "b", "height", "nth")
         if made.isEmpty():
             return done
-        done, clusters, nth = done.unionByName(made), out.where("b is null").select("key", "c", "n", "total", "height"), nth + GROUP
+        done, clusters, nth = done.unionByName(made), out.where("b is null").select("key", "c", "n", "total", "height"), nth + 3 * GROUP
 
 
 def _roots(ids: DataFrame, kept: DataFrame) -> DataFrame:
