@@ -353,7 +353,7 @@ def merges(vectors: DataFrame) -> DataFrame:
     ship(vectors.sparkSession)
     units = vectors.select("key", F.col("id").cast("long").alias("c"), V.unit(F.col("vector")).alias("total"))
     # copies are as alike as can be, so they merge first; a zero vector is not even like itself
-    alone = F.when(F.exists("total", lambda x: x != 0), F.lit(-1)).otherwise(F.col("c"))
+    alone = F.when(F.exists("total", lambda x: x != 0) & ~F.exists("total", F.isnan), F.lit(-1)).otherwise(F.col("c"))
     units, alike = written(units.withColumn("alone", alone), "units"), ["key", "total", "alone"]
     firsts = written(units.groupBy(*alike).agg(F.min("c").alias("a"), F.count("*").alias("n")), "firsts")
     done = written(units.join(firsts.where("n > 1"), alike).where("c > a").select("key", "a", F.col("c").alias("b"), F.lit(1.0).alias("height"), F.lit(0).cast("long").alias("nth")), "copies")

@@ -99,3 +99,10 @@ def test_a_group_heeds_what_is_outside():
     assert live.tolist() == [True, False, True] and [(a.tolist(), b.tolist()) for _, a, b, _ in found] == [([0], [1])]
     live, found = linkage._merge(ids, np.ones(3, int), vectors.copy(), np.ones(3), None, None)
     assert live.tolist() == [True, False, False] and len(found) == 2
+
+
+def test_vectors_without_direction_stay_alone(spark):
+    own = [[1.0, 0.0], [float("nan"), 1.0], [0.9, 0.1], [float("nan"), 1.0], [0.0, 1.0], [0.1, 0.9]]
+    table = spark.createDataFrame([(0, i, v) for i, v in enumerate(own)], KIND)
+    got = {r.id: r.cluster for r in cluster.cluster(table, "recording", 0.9, 1, 8, False, in_task=0).collect()}
+    assert [got[i] for i in range(6)] == [0, 1, 0, 2, 3, 3]
